@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe
+from quillspark.llm import bpe, exact_dedup, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_byte_bpe": bpe.op1_byte_bpe}
+    return {
+        "op1_byte_bpe": bpe.op1_byte_bpe,
+        "op3_warc": warc.op3_warc,
+        "op6_simhash": simhash.op6_simhash,
+        "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": warc.OP3_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
