@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, chat_format, exact_dedup, simhash, warc
+from quillspark.llm import bpe, chat_format, exact_dedup, packing, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": bpe.op1_byte_bpe,
         "op3_warc": warc.op3_warc,
+        "op5_packing": packing.op5_packing,
         "op6_simhash": simhash.op6_simhash,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_chat_format": chat_format.op9_chat_format,
