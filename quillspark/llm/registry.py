@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, chat_format, exact_dedup, packing, simhash, warc
+from quillspark.llm import bpe, chat_format, exact_dedup, packing, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": bpe.op1_byte_bpe,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_warc": warc.op3_warc,
         "op5_packing": packing.op5_packing,
         "op6_simhash": simhash.op6_simhash,
