@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, chat_format, exact_dedup, packing, simhash, toxicity, warc
+from quillspark.llm import bpe, chat_format, exact_dedup, line_dedup, neighbours, packing, quality, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,12 +16,15 @@ def queries() -> dict[str, Query]:
         "op1_byte_bpe": bpe.op1_byte_bpe,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_warc": warc.op3_warc,
+        "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_packing": packing.op5_packing,
         "op6_simhash": simhash.op6_simhash,
+        "op7_quality": quality.op7_quality,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_chat_format": chat_format.op9_chat_format,
+        "op10_neighbours": neighbours.op10_neighbours,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.OP3_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+    return {"op3_warc": warc.OP3_SQL, "op4_line_dedup": line_dedup.OP4_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
