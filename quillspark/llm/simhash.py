@@ -39,6 +39,9 @@ SEED = 42
 CHUNK = 1 << 15
 #: Probes that walk a forest together.
 PROBES = 1 << 12
+#: Slots of a signature, the value of an empty one, and multipliers of the min-hashes that key shards.
+SLOTS, EMPTY = 128, np.uint16(0xFFFF)
+ODDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -104,8 +107,9 @@ class BKForest:
                 hits_q.append(q[near])
                 hits_n.append(node[near])
                 edges = apart[:, None] + reach
-                want = (node[:, None] * 65 + edges)[(edges > 0) & (edges < 65)]
-                q = np.broadcast_to(q[:, None], edges.shape)[(edges > 0) & (edges < 65)]
+                fits = (edges >= 0) & (edges < 65)
+                want = (node[:, None] * 65 + edges)[fits]
+                q = np.broadcast_to(q[:, None], edges.shape)[fits]
                 spot = np.searchsorted(self.key, want)
                 spot[spot == len(self.key)] = 0
                 there = self.key[spot] == want if len(self.key) else np.zeros(len(want), bool)
@@ -113,9 +117,9 @@ class BKForest:
         return np.concatenate(hits_q), np.concatenate(hits_n)
 
 
-def spanning_links(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest reachable place of every place, given links a-b."""
-    low = np.arange(n)
+def spanning_links(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest reachable place of every place: roots found so far, joined by links a-b."""
+    a, b = low[a], low[b]  # links between the trees there are
     while len(a):
         old = low.copy()
         np.minimum.at(low, a, low[b])
@@ -123,31 +127,58 @@ def spanning_links(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low = low[low]
         if (old == low).all():
             break
-    return low
+    return low[low]
 
 
-def _shard_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """For rows of (tree values, probe values or null): links of a spanning forest of each row."""
+def _flat(rows: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
+    """Sizes of the lists (null: 0), and their members end to end."""
+    sizes = np.array([len(r) if r.is_valid else 0 for r in rows], dtype=np.int64)
+    return sizes, rows.flatten()
+
+
+def _shard_links(batches: Iterator[pa.RecordBatch], radius: int, similarity: float | None) -> Iterator[pa.RecordBatch]:
+    """For rows of (tree members, probe members or null): links of a spanning forest of each row.
+
+    Members are ``(node, fp, sig)``; with ``similarity``, a link also needs
+    signatures that agree on at least that share of their filled slots.
+    """
     for batch in batches:
-        trees, others = batch.column("tree"), batch.column("other")
-        size = np.array([len(t) if t.is_valid else 0 for t in trees], dtype=np.int64)
-        extra = np.array([len(t) if t.is_valid else 0 for t in others], dtype=np.int64)
-        values = np.concatenate([np.empty(0, np.int64), *(t.values.to_numpy() for t in trees if t.is_valid)]).view(np.uint64)
-        probes = np.concatenate([np.empty(0, np.int64), *(t.values.to_numpy() for t in others if t.is_valid)]).view(np.uint64)
-        groups = np.repeat(np.arange(len(size)), size)
-        forest = BKForest(values, groups)
+        (size, tree), (extra, other) = _flat(batch.column("tree")), _flat(batch.column("other"))
+        both = [pa.concat_arrays([tree.field(i), other.field(i)]) for i in range(3)]
+        nodes, prints = both[0].to_numpy(), both[1].to_numpy().view(np.uint64)
+        rows = np.arange(len(size))
+        groups = np.repeat(rows, size)
+        forest = BKForest(prints[: len(tree)], groups)
         top = np.full(len(size), -1, dtype=np.int64)
         top[groups] = forest.root
-        alone = extra == 0  # a shard probed with its own values
-        own = np.flatnonzero(alone[groups])
-        q, node = forest.probe(values[own], forest.root[own], radius)
-        a, b = own[q], node
-        q, node = forest.probe(probes, top[np.repeat(np.arange(len(size)), extra)], radius)
-        every = np.concatenate([values, probes])
-        a, b = np.concatenate([a, q + len(values)]), np.concatenate([b, node])
-        low = spanning_links(len(every), a[a != b], b[a != b])
+        own = np.flatnonzero((extra == 0)[groups])  # a shard probed with its own members
+        probes = np.concatenate([own, np.arange(len(tree), len(prints))])
+        sigs = None if similarity is None else np.frombuffer(b"".join(both[2].to_pylist()), dtype=np.uint16).reshape(len(nodes), -1)
+        low = np.arange(len(nodes))
+        for start in range(0, len(probes), PROBES):
+            part = probes[start : start + PROBES]
+            q, b = forest.probe(prints[part], np.where(part < len(tree), forest.root[np.minimum(part, len(tree) - 1)], top[_row_of(part, len(tree), rows, extra)]), radius)
+            a = part[q]
+            if sigs is not None and len(a):
+                a, b = _alike(sigs, a, b, similarity)
+            low = spanning_links(low, a[a != b], b[a != b])
         moved = np.flatnonzero(low != np.arange(len(low)))
-        yield pa.RecordBatch.from_arrays([pa.array(every[moved].view(np.int64)), pa.array(every[low[moved]].view(np.int64))], ["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[low[moved]])], ["u", "v"])
+
+
+def _row_of(places: np.ndarray, trees: int, rows: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """Row that a probe member belongs to (0 for tree members, whose row is known already)."""
+    owner = np.repeat(rows, extra)
+    return owner[places - trees] if len(owner) and (places >= trees).all() else np.array([owner[p - trees] if p >= trees else 0 for p in places.tolist()], dtype=np.int64)
+
+
+def _alike(sigs: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    keep = np.zeros(len(a), dtype=bool)
+    for at in range(0, len(a), CHUNK):
+        x, y = sigs[a[at : at + CHUNK]], sigs[b[at : at + CHUNK]]
+        filled = ((x != EMPTY) | (y != EMPTY)).sum(axis=1)
+        keep[at : at + CHUNK] = ((x == y) & (x != EMPTY)).sum(axis=1) >= similarity * filled
+    return a[keep], b[keep]
 
 
 def _blocks(radius: int) -> list[tuple[int, int]]:
@@ -155,28 +186,32 @@ def _blocks(radius: int) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
-def fingerprint_links(prints: DataFrame, radius: int = 2, shard_rows: int = 2048) -> DataFrame:
-    """Links ``(u, v)`` that connect exactly the different ``fp`` values within ``radius`` of each other, transitively."""
-    masks = []
-    for picked in combinations(_blocks(radius), 2):
-        mask = sum(((1 << (hi - lo)) - 1) << lo for lo, hi in picked)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    shares = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(masks)))
-    keyed = prints.select("fp", F.explode(shares).alias("s")).select("fp", "s.t", "s.key")
+def sharded_links(keyed: DataFrame, radius: int, shard_rows: int, similarity: float | None = None) -> DataFrame:
+    """Links ``(u, v)`` between the nodes of ``keyed(t, key, node, fp, sig)`` that share a shard ``(t, key)``."""
     sizes = keyed.groupBy("t", "key").count().where("count > 1").withColumn("cuts", F.ceil(F.col("count") / shard_rows).cast("int"))
     shards = (
         keyed.join(sizes, ["t", "key"])
-        .withColumn("cut", F.pmod(F.xxhash64("fp"), F.col("cuts")))
+        .withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")))
         .groupBy("t", "key", "cuts", "cut")
-        .agg(F.collect_list("fp").alias("tree"))
+        .agg(F.collect_list(F.struct("node", "fp", "sig")).alias("tree"))
     )
     shards = materialize(shards, "shards")
-    other = F.lit(None).cast("array<bigint>").alias("other")
-    work = shards.select("tree", other)
+    work = shards.select("tree", F.lit(None).cast(shards.schema["tree"].dataType).alias("other"))
     split = shards.where("cuts > 1")
     far = split.select("t", "key", F.col("cut").alias("cut2"), F.col("tree").alias("other"))
     work = work.unionByName(split.join(far, ["t", "key"]).where("cut < cut2").select("tree", "other"))
-    return work.mapInArrow(lambda it: _shard_links(it, radius), "u bigint, v bigint").distinct()
+    return work.mapInArrow(lambda it: _shard_links(it, radius, similarity), "u bigint, v bigint").distinct()
+
+
+def fingerprint_links(prints: DataFrame, radius: int = 2, shard_rows: int = 2048) -> DataFrame:
+    """Links ``(u, v)`` that connect exactly the different ``fp`` values within ``radius`` of each other, transitively."""
+    masks = []
+    for picked in combinations(_blocks(radius), 2):
+        mask = sum(((1 << (hi - lo)) - 1) << lo for lo, hi in picked)
+        masks.append(mask - (1 << 64) if mask >> 63 else mask)
+    shares = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(masks)))
+    keyed = prints.select("fp", F.explode(shares).alias("s")).select("s.t", "s.key", F.col("fp").alias("node"), "fp", F.lit(None).cast("binary").alias("sig"))
+    return sharded_links(keyed, radius, shard_rows)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, shard_rows: int = 2048) -> DataFrame:
@@ -190,6 +225,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def sketch(text: bytes, words: int) -> tuple[int, bytes, list[int]]:
+    """Fingerprint, signature (one-permutation min-hash) and shard keys (min-hashes) of a text's word shingles."""
+    found = text.lower().split()
+    shingles = [b" ".join(found)] if len(found) < words else map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False))
+    digest = xxhash.xxh64_digest
+    raw = b"".join([digest(s, SEED) for s in shingles])
+    hashes = np.frombuffer(raw, dtype=">u8").astype(np.uint64)
+    sig = np.full(SLOTS, EMPTY, dtype=np.uint16)
+    np.minimum.at(sig, (hashes >> np.uint64(57)).astype(np.int64), np.minimum((hashes >> np.uint64(16)).astype(np.uint16), EMPTY - 1))
+    keys = [int((hashes * np.uint64(odd)).min()) - (1 << 63) for odd in ODDS]
+    return fingerprint(text, words) if found else 0, sig.tobytes(), keys
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 13, shard_rows: int = 2048) -> DataFrame:
+    """Like ``near_duplicates``, for shingle similarity rather than a few bits: ``id_col, fp, component_id``.
+
+    A Jaccard similarity of 0.8 leaves fingerprints 10 bits apart on average, too
+    far for shards by equal bit blocks.  Shards are keyed by four min-hashes here
+    (documents that similar share one with probability 0.998), their BK-trees are
+    probed with the wide radius, and the signatures must agree as well.
+    """
+    kind = T.StructType([T.StructField("fp", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+
+    @F.arrow_udf(kind)
+    def sketches(texts: pa.Array) -> pa.Array:
+        rows = [sketch(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in texts]
+        prints = np.array([r[0] for r in rows], dtype=np.uint64).view(np.int64)
+        return pa.StructArray.from_arrays([pa.array(prints), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["fp", "sig", "keys"])
+
+    made = docs.select(F.col(id_col).alias("id"), sketches(text_or_empty(text_col)).alias("s")).select("id", "s.*")
+    rows = materialize(made.withColumn("node", F.xxhash64("fp", "sig")), "sketches")
+    nodes = rows.groupBy("node").agg(F.min(F.struct("fp", "sig", "keys")).alias("s")).select("node", "s.*")
+    keyed = nodes.select("node", "fp", "sig", F.posexplode("keys").alias("t", "key"))
+    roots = materialize(connected_components(sharded_links(keyed, radius, shard_rows, similarity)), "roots")
+    named = rows.select("id", "fp", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    return named.join(lowest, "root").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
