@@ -20,6 +20,7 @@ tokeniser and are passed on by ``pack``, whose own columns replace clashing ones
 
 from __future__ import annotations
 
+import json
 import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -36,13 +37,97 @@ CAPACITY = 4096
 #: Groups that the pieces of one length are ranked in.
 SALTS = 128
 #: Units remembered per Python worker, and the longest of them; neither changes a result.
-MEMO_ENTRIES, MEMO_CHARS = 800_000, 40
+MEMO_ENTRIES, MEMO_CHARS = 400_000, 40
+#: Texts that a worker encodes at a time.
+TEXTS = 256
 
 Pattern = tuple[int, list[tuple[int, int]]]  # how many bins, and in each (length, copies)
 
 
+class WordMerges:
+    """BPE merges of many plain words at once, one merge of every word a round.
+
+    Merges, vocabulary and word-end mark are those of the ``tokenizers`` file; each
+    word's lowest-ranked pair (the leftmost of equals) is merged in each round, so
+    ids come out as from the library.  It is for words of Latin letters, which its
+    normaliser only lowers and its pre-tokeniser leaves whole.
+    """
+
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as lines:
+            model = json.load(lines)["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in visible]
+        letter = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}  # how byte-level BPE writes bytes
+        self.inner = np.array([vocab[letter[b]] for b in range(256)], dtype=np.int64)
+        self.final = np.array([vocab[letter[b] + end] for b in range(256)], dtype=np.int64)
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        key = np.array([vocab[x] << 17 | vocab[y] for x, y in pairs], dtype=np.int64)
+        by = np.argsort(key, kind="stable")
+        self.key, self.rank = key[by], by.astype(np.int32)
+        self.into = np.array([vocab[x + y] for x, y in pairs], dtype=np.int64)
+
+    def fits(self, word: str) -> bool:
+        return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word))
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        want = left << 17 | right
+        at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+        return np.where(self.key[at] == want, self.rank[at], self.NONE)
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
+        raw = [w.lower().encode() for w in words]
+        size = np.array([len(r) for r in raw])
+        flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        ends = np.cumsum(size)
+        sym, word = self.inner[flat], np.repeat(np.arange(len(words)), size)
+        sym[ends - 1] = self.final[flat[ends - 1]]
+        out: list[bytes] = [b""] * len(words)
+        rank = np.full(len(sym), self.NONE)
+        if len(sym) > 1:
+            inside = word[:-1] == word[1:]
+            rank[:-1][inside] = self._ranks(sym[:-1][inside], sym[1:][inside])
+        while len(sym):
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            length = np.diff(np.concatenate([starts, [len(sym)]]))
+            least = np.minimum.reduceat(rank, starts)
+            done = least == self.NONE
+            if done.any():
+                packed = sym.astype("<u4").tobytes()
+                for w, at, n in zip(word[starts[done]].tolist(), starts[done].tolist(), length[done].tolist(), strict=True):
+                    out[w] = packed[4 * at : 4 * (at + n)]
+                left = ~np.repeat(done, length)
+                sym, word, rank, length, least = sym[left], word[left], rank[left], length[~done], least[~done]
+                if not len(sym):
+                    break
+            hit = np.flatnonzero(rank == np.repeat(least, length))
+            hit = hit[np.concatenate([[True], word[hit][1:] != word[hit][:-1]])]
+            sym[hit] = self.into[rank[hit]]
+            keep = np.ones(len(sym), dtype=bool)
+            keep[hit + 1] = False
+            at = hit - np.arange(len(hit))  # places once the merged symbols are gone
+            sym, word, rank = sym[keep], word[keep], rank[keep]
+            touched = np.concatenate([at, at[at > 0] - 1])
+            rank[touched] = self.NONE
+            touched = touched[touched + 1 < len(sym)]
+            touched = touched[word[touched] == word[touched + 1]]
+            rank[touched] = self._ranks(sym[touched], sym[touched + 1])
+        return out
+
+
 class UnitTokenizer:
-    """Ids of whole texts, packed as little-endian 32-bit integers."""
+    """Ids of whole texts, packed as little-endian 32-bit integers.
+
+    A unit is what stands between single spaces.  ASCII texts are lowered at once,
+    and a full stop or comma that ends a unit after a small letter is a token of its own,
+    so ``word``, ``Word`` and ``word,`` are encoded together.  Units met lately are
+    kept in two generations, of which the older is dropped when the younger is full.
+    """
 
     def __init__(self, path: str):
         self.path = path
@@ -57,29 +142,49 @@ class UnitTokenizer:
 
         self.tokenizer = Tokenizer.from_file(self.path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {"": b""}
-
-    def _encode(self, unit: str) -> bytes:
-        return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
+        self.words = WordMerges(self.path)
+        self.marks = dict(zip(".,", self._encode([".", ","]), strict=True))
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, units: list[str]) -> list[bytes]:
+        plain = [u for u in units if self.words.fits(u)]
+        ids = dict(zip(plain, self.words(plain), strict=True))
+        rest = [u for u in units if u not in ids]
+        coded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        ids |= {u: np.array(e.ids, dtype="<u4").tobytes() for u, e in zip(rest, coded, strict=True)}
+        return [ids[u] for u in units]
+
+    def _learn(self, units: set[str]) -> dict[str, bytes]:
+        """Ids of units that are not in the younger generation."""
+        old, young, marks = self.old, self.young, self.marks
+        known = {u: old[u] for u in units if u in old}
+        cores = {u: u[:-1] if u[-1:] in marks and u[-2:-1].isalpha() and u[-2].islower() else u for u in units if u not in known}
+        fresh = [c for c in set(cores.values()) if c not in young and c not in old]
+        ids = dict(zip(fresh, self._encode(fresh), strict=True))
+        for unit, core in cores.items():
+            found = ids.get(core)
+            if found is None:
+                found = young[core] if core in young else old[core]
+            known[unit] = found if unit == core else found + marks[unit[-1]]
+        return known | ids
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
         if self.tokenizer is None:
             self._ready()
-        memo, units = self.memo, text.split(" ")
-        found = [*map(memo.get, units)]
-        if None in found:
-            if len(memo) > MEMO_ENTRIES:
-                memo.clear()
-                memo[""] = b""
-            for at, unit in enumerate(units):
-                if found[at] is None:
-                    ids = memo.get(unit)
-                    if ids is None:
-                        ids = self._encode(unit)
-                        if len(unit) < MEMO_CHARS:
-                            memo[unit] = ids
-                    found[at] = ids
-        return b"".join(found)
+        split = [(t.lower() if t.isascii() else t).split(" ") for t in texts]
+        young = self.young
+        missing = {u for units in split for u in units if u not in young}
+        learnt = self._learn(missing)
+        young.update((u, i) for u, i in learnt.items() if len(u) < MEMO_CHARS)
+        long = {u: i for u, i in learnt.items() if len(u) >= MEMO_CHARS}
+        if long:
+            out = [b"".join([young[u] if u in young else long[u] for u in units]) for units in split]
+        else:
+            out = [b"".join(map(young.__getitem__, units)) for units in split]
+        if len(young) > MEMO_ENTRIES:
+            self.old, self.young = young, {}
+        return out
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
@@ -91,8 +196,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         encode = shared.value
         for batch in batches:
             rows, piece, start, length, values = [], [], [], [], []
-            for row, text in enumerate(batch.column(1)):
-                ids = np.frombuffer(encode(text.as_py()) + end, dtype="<u4")
+            texts = batch.column(1)
+            coded = (ids for at in range(0, len(texts), TEXTS) for ids in encode(texts[at : at + TEXTS].to_pylist()))
+            for row, packed in enumerate(coded):
+                ids = np.frombuffer(packed + end, dtype="<u4")
                 for number, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     rows.append(row)

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.plans import relational, streams, texts
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return relational.QUERIES | texts.QUERIES | streams.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return relational.ORACLES | texts.ORACLES | streams.ORACLES

@@ -1 +1 @@
-"""See the modules of this package."""
+"""Tables and their schemas, event frames, and sinks."""
