@@ -26,6 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,9 @@ SEED = 42
 #: Shingles whose bits are unpacked at a time.
 CHUNK = 1 << 15
 #: Probes that walk a forest together.
-PROBES = 1 << 12
+PROBES = 1 << 9
+#: Shard members that are handled together in memory.
+MEMBERS = 1 << 14
 #: Slots of a signature, the value of an empty one, and multipliers of the min-hashes that key shards.
 SLOTS, EMPTY = 128, np.uint16(0xFFFF)
 ODDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
@@ -136,13 +139,22 @@ def _flat(rows: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
     return sizes, rows.flatten()
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows with about ``MEMBERS`` members each."""
+    members = sum(pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tree", "other"))
+    number = (np.cumsum(members) - members) // MEMBERS if len(members) else members
+    starts = np.flatnonzero(np.diff(number, prepend=-1)).tolist()
+    for start, end in zip(starts, [*starts[1:], len(number)], strict=True):
+        yield batch.slice(start, end - start)
+
+
 def _shard_links(batches: Iterator[pa.RecordBatch], radius: int, similarity: float | None) -> Iterator[pa.RecordBatch]:
     """For rows of (tree members, probe members or null): links of a spanning forest of each row.
 
     Members are ``(node, fp, sig)``; with ``similarity``, a link also needs
     signatures that agree on at least that share of their filled slots.
     """
-    for batch in batches:
+    for batch in (part for whole in batches for part in _portions(whole)):
         (size, tree), (extra, other) = _flat(batch.column("tree")), _flat(batch.column("other"))
         both = [pa.concat_arrays([tree.field(i), other.field(i)]) for i in range(3)]
         nodes, prints = both[0].to_numpy(), both[1].to_numpy().view(np.uint64)
@@ -159,9 +171,11 @@ def _shard_links(batches: Iterator[pa.RecordBatch], radius: int, similarity: flo
             part = probes[start : start + PROBES]
             q, b = forest.probe(prints[part], np.where(part < len(tree), forest.root[np.minimum(part, len(tree) - 1)], top[_row_of(part, len(tree), rows, extra)]), radius)
             a = part[q]
-            if sigs is not None and len(a):
+            new = low[a] != low[b]  # the others are connected already
+            a, b = a[new], b[new]
+            if sigs is not None:
                 a, b = _alike(sigs, a, b, similarity)
-            low = spanning_links(low, a[a != b], b[a != b])
+            low = spanning_links(low, a, b)
         moved = np.flatnonzero(low != np.arange(len(low)))
         yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[low[moved]])], ["u", "v"])
 
@@ -191,15 +205,18 @@ def sharded_links(keyed: DataFrame, radius: int, shard_rows: int, similarity: fl
     sizes = keyed.groupBy("t", "key").count().where("count > 1").withColumn("cuts", F.ceil(F.col("count") / shard_rows).cast("int"))
     shards = (
         keyed.join(sizes, ["t", "key"])
-        .withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")))
+        .withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
         .groupBy("t", "key", "cuts", "cut")
         .agg(F.collect_list(F.struct("node", "fp", "sig")).alias("tree"))
     )
     shards = materialize(shards, "shards")
     work = shards.select("tree", F.lit(None).cast(shards.schema["tree"].dataType).alias("other"))
+    # Around a circle, each part of a split shard meets the next half of the parts: every two once, and as many for each part.
+    step = F.explode(F.sequence(F.lit(1), F.floor(F.col("cuts") / 2).cast("int")))
     split = shards.where("cuts > 1")
-    far = split.select("t", "key", F.col("cut").alias("cut2"), F.col("tree").alias("other"))
-    work = work.unionByName(split.join(far, ["t", "key"]).where("cut < cut2").select("tree", "other"))
+    near = split.select("t", "key", "cuts", "cut", "tree", step.alias("step")).where("2 * step < cuts or cut < step").withColumn("met", F.expr("(cut + step) % cuts"))
+    far = split.select("t", "key", F.col("cut").cast("int").alias("met"), F.col("tree").alias("other"))
+    work = work.unionByName(near.join(far, ["t", "key", "met"]).select("tree", "other"))
     return work.mapInArrow(lambda it: _shard_links(it, radius, similarity), "u bigint, v bigint").distinct()
 
 
