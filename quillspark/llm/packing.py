@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import os
+import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -37,7 +38,7 @@ CAPACITY = 4096
 #: Groups that the pieces of one length are ranked in.
 SALTS = 128
 #: Units remembered per Python worker, and the longest of them; neither changes a result.
-MEMO_ENTRIES, MEMO_CHARS = 400_000, 40
+MEMO_ENTRIES, MEMO_CHARS = 200_000, 40
 #: Texts that a worker encodes at a time.
 TEXTS = 256
 
@@ -188,40 +189,39 @@ class UnitTokenizer:
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
-    """Pieces ``(id_col, piece, start, length, ids)`` of at most ``capacity`` tokens; only longer documents are cut."""
+    """Pieces ``(id_col, piece, start, length, ids_crc32, ids)`` of at most ``capacity`` tokens; only longer documents are cut.
+
+    ``ids_crc32`` is the CRC-32 of the ids as little-endian unsigned 32-bit integers.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(UnitTokenizer(tokenizer_path))
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = shared.value
         for batch in batches:
-            rows, piece, start, length, values = [], [], [], [], []
             texts = batch.column(1)
-            coded = (ids for at in range(0, len(texts), TEXTS) for ids in encode(texts[at : at + TEXTS].to_pylist()))
-            for row, packed in enumerate(coded):
-                ids = np.frombuffer(packed + end, dtype="<u4")
-                for number, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    rows.append(row)
-                    piece.append(number)
-                    start.append(at)
-                    length.append(len(part))
-                    values.append(part)
-            ends = np.concatenate([[0], np.cumsum(length, dtype=np.int64)]).astype(np.int32)
-            flat = np.concatenate([np.empty(0, dtype="<u4"), *values]).view("<i4")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(rows, pa.int64())),
-                    pa.array(piece, pa.int32()),
-                    pa.array(start, pa.int64()),
-                    pa.array(length, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                ],
-                ["id", "piece", "start", "length", "ids"],
-            )
+            for at in range(0, len(texts), TEXTS):
+                yield pieces_of(batch.column(0)[at : at + TEXTS], encode(texts[at : at + TEXTS].to_pylist()))
+
+    def pieces_of(keys: pa.Array, coded: list[bytes]) -> pa.RecordBatch:
+        rows, piece, start, length, crc, values = [], [], [], [], [], []
+        for row, packed in enumerate(coded):
+            ids = np.frombuffer(packed + end, dtype="<u4")
+            for number, at in enumerate(range(0, len(ids), capacity)):
+                part = ids[at : at + capacity]
+                rows.append(row)
+                piece.append(number)
+                start.append(at)
+                length.append(len(part))
+                crc.append(zlib.crc32(part.tobytes()))
+                values.append(part)
+        ends = np.concatenate([[0], np.cumsum(length, dtype=np.int64)]).astype(np.int32)
+        flat = np.concatenate([np.empty(0, dtype="<u4"), *values]).view("<i4")
+        columns = [keys.take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+        return pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "ids_crc32", "ids"])
 
     read = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    return read.mapInArrow(cut, "id bigint, piece int, start bigint, length bigint, ids array<int>").withColumnRenamed("id", id_col)
+    return read.mapInArrow(cut, "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids array<int>").withColumnRenamed("id", id_col)
 
 
 class Lengths:
@@ -392,18 +392,9 @@ def pack(pieces: DataFrame, key_cols: list[str], capacity: int = CAPACITY, lengt
     return placed.select(*keep, "__at.sequence_id", "__at.offset")
 
 
-@F.arrow_udf(T.LongType())
-def crc32_of_ids(ids: pa.Array) -> pa.Array:
-    """CRC-32 of ids laid out as little-endian unsigned 32-bit integers."""
-    import zlib
-
-    values, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
-    return pa.array([zlib.crc32(values[a:b].astype("<u4").tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.int64())
-
-
 def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece."""
-    pieces = token_pieces(docs, tokenizer_path).withColumn("ids_crc32", crc32_of_ids("ids")).drop("ids")
+    pieces = token_pieces(docs, tokenizer_path).drop("ids")
     return pack(materialize(pieces, "pieces"), ["doc_id", "piece"])
 
 

@@ -38,7 +38,7 @@ TASKS, ROUNDS, PASSES = 6, 4, 2
 STEP, RIDGE = 0.5, 1e-6
 #: Kept: documents whose probability of this grade or better is at least this.
 KEEP_GRADE, KEEP_CHANCE = 1, 0.5
-MEMO_ENTRIES, MEMO_CHARS = 500_000, 40
+MEMO_ENTRIES, MEMO_CHARS = 200_000, 40
 
 
 def shape(unit: str) -> str:

@@ -45,7 +45,7 @@ MIN_Z, MIN_VALUE = 4.5, 2.5
 CALIBRATION = 3
 PENALTY = 0.5
 THRESHOLD = 0.7
-MEMO_ENTRIES, MEMO_CHARS = 500_000, 40
+MEMO_ENTRIES, MEMO_CHARS = 200_000, 40
 EDGES = re.compile(r"^\W+|\W+$")
 
 
