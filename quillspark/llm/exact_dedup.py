@@ -132,6 +132,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = F.min(F.struct((-F.col("chars")).alias("less"), F.col("id").isNull().alias("no_id"), F.col("id").alias("keep_id")))
     classes = index.groupBy("key", "link").agg(F.count("*").alias("group_size"), best.alias("best"))
     many = classes.where("group_size > 1").select("key", "link", "group_size", F.col("best.keep_id").alias("keep_id"), F.lit(True).alias("shared"))
+    many = materialize(many, "classes")  # so that the join has a shuffle of its own, which may be split where a class is hot
     rows = index.join(many, ["key", "link"], "left")
     keep = F.when(F.col("shared"), F.col("keep_id")).otherwise(F.col("id"))
     return rows.select(
