@@ -51,7 +51,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def _without_id(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """One row for each text fingerprint that only rows without an id have."""
     alone = groups.where("component_id is null").select("fp").distinct()
-    rows = docs.where("doc_id is null").withColumn("__fp", simhash.fingerprint_column(F.coalesce("text", F.lit("")), words=5))
+    rows = docs.where("doc_id is null").withColumn("__fp", simhash.fingerprint_column(F.coalesce("text", F.lit("")), words=5, distinct=True))
     return rows.join(alone, F.col("__fp") == F.col("fp"), "left_semi").dropDuplicates(["__fp"]).select(*docs.columns)
 
 

@@ -1,7 +1,7 @@
 """SimHash near-duplicates, searched with BK-trees.
 
 Each document gets a 64-bit fingerprint: the majority bit of the XXH64 hashes of
-its word shingles, repeats included.  Fingerprints at Hamming distance
+its word shingles, repeats included (in ``similar_documents``, each once).  Fingerprints at Hamming distance
 ``radius`` or less are linked, and documents are grouped by reachability.
 
 Different fingerprints are cut into ``radius + 2`` bit blocks.  Two within the
@@ -47,24 +47,33 @@ SLOTS, EMPTY = 128, np.uint16(0xFFFF)
 ODDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """Majority fingerprint of a UTF-8 text, as an unsigned integer."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of every word shingle of a UTF-8 text, repeats included; one of the empty text without words."""
     found = text.lower().split()  # on bytes: A-Z only, and exactly [\x20\x09-\x0D]
-    if not found:
-        return 0
     shingles = [b" ".join(found)] if len(found) < words else map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False))
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), dtype=np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), dtype=">u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Majority bits of big-endian hashes, as an unsigned integer."""
+    rows = hashes.view(np.uint8).reshape(-1, 8)
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), CHUNK):
-        ones += np.unpackbits(hashes[at : at + CHUNK], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    for at in range(0, len(rows), CHUNK):
+        ones += np.unpackbits(rows[at : at + CHUNK], axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(rows)).tobytes(), "big")
+
 
+def fingerprint(text: bytes, words: int = 3, distinct: bool = False) -> int:
+    """Majority fingerprint of a UTF-8 text, as an unsigned integer; with ``distinct``, of its set of shingles."""
+    hashes = shingle_hashes(text, words)
+    return majority(np.unique(hashes) if distinct else hashes) if text.strip() else 0
 
-def fingerprint_column(text: Column, words: int = 3) -> Column:
+
+def fingerprint_column(text: Column, words: int = 3, distinct: bool = False) -> Column:
     @F.arrow_udf(T.LongType())
     def prints(texts: pa.Array) -> pa.Array:
-        values = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in texts]
+        values = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words, distinct) for t in texts]
         return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
     return prints(text)
@@ -243,16 +252,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def sketch(text: bytes, words: int) -> tuple[int, bytes, list[int]]:
-    """Fingerprint, signature (one-permutation min-hash) and shard keys (min-hashes) of a text's word shingles."""
-    found = text.lower().split()
-    shingles = [b" ".join(found)] if len(found) < words else map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False))
-    digest = xxhash.xxh64_digest
-    raw = b"".join([digest(s, SEED) for s in shingles])
-    hashes = np.frombuffer(raw, dtype=">u8").astype(np.uint64)
+    """Fingerprint, signature (one-permutation min-hash) and shard keys (min-hashes) of the set of a text's word shingles."""
+    hashes = np.unique(shingle_hashes(text, words).astype(np.uint64))
     sig = np.full(SLOTS, EMPTY, dtype=np.uint16)
     np.minimum.at(sig, (hashes >> np.uint64(57)).astype(np.int64), np.minimum((hashes >> np.uint64(16)).astype(np.uint16), EMPTY - 1))
     keys = [int((hashes * np.uint64(odd)).min()) - (1 << 63) for odd in ODDS]
-    return fingerprint(text, words) if found else 0, sig.tobytes(), keys
+    return majority(hashes.astype(">u8")) if text.strip() else 0, sig.tobytes(), keys
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 13, shard_rows: int = 2048) -> DataFrame:

@@ -332,3 +332,14 @@ def test_neighbours_odd_vectors(spark):
     vectors = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, vectors string")
     got = [tuple(r) for r in neighbours.nearest_neighbours(vectors, vectors["vec_id"] % 100 == 0, 2).orderBy("query_id", "rank").collect()]
     assert [(q, r, v) for q, r, v, _ in got] == [(0, 1, 1), (0, 2, 8), (100, 1, 1), (100, 2, 0)]
+
+
+def test_similar_documents_counts_a_shingle_once(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for g in range(40):
+        text, line = "\n".join([" ".join(rng.choice(words, 300)), ""]), " ".join(rng.choice(words, 8)) + "\n"
+        rows += [(2 * g, text + line * 2), (2 * g + 1, text + line * 60)]
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i in range(80)}
