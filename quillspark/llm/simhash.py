@@ -21,7 +21,7 @@ none has one).  An empty table gives an empty result; extra columns are not read
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -42,6 +42,10 @@ CHUNK = 1 << 15
 PROBES = 1 << 9
 #: Shard members that are handled together in memory.
 MEMBERS = 1 << 14
+#: Bytes kept of a shingle's hash for the exact comparison, and bytes of such sets in a part of a shard, and in memory together.
+WIDTH, SHARD_BYTES, SET_BYTES = 6, 1 << 23, 1 << 24
+#: Standard deviations by which the estimate of a pair may fall below the similarity before the pair is not compared.
+DOUBT = 4
 #: Slots of a signature, the value of an empty one, and multipliers of the min-hashes that key shards.
 SLOTS, EMPTY = 128, np.uint16(0xFFFF)
 ODDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
@@ -109,7 +113,6 @@ class BKForest:
     def probe(self, queries: np.ndarray, roots: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, node) within the radius, each query starting at its root."""
         hits_q, hits_n = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
-        reach = np.arange(-radius, radius + 1)
         for start in range(0, len(queries), PROBES):
             q = np.arange(start, min(start + PROBES, len(queries)))
             node = roots[q]
@@ -118,14 +121,10 @@ class BKForest:
                 near = apart <= radius
                 hits_q.append(q[near])
                 hits_n.append(node[near])
-                edges = apart[:, None] + reach
-                fits = (edges >= 0) & (edges < 65)
-                want = (node[:, None] * 65 + edges)[fits]
-                q = np.broadcast_to(q[:, None], edges.shape)[fits]
-                spot = np.searchsorted(self.key, want)
-                spot[spot == len(self.key)] = 0
-                there = self.key[spot] == want if len(self.key) else np.zeros(len(want), bool)
-                q, node = q[there], self.kid[spot[there]]
+                low = np.searchsorted(self.key, node * 65 + np.maximum(apart - radius, 0))
+                kids = np.searchsorted(self.key, node * 65 + np.minimum(apart + radius, 64), side="right") - low
+                q = np.repeat(q, kids)
+                node = self.kid[np.repeat(low - np.cumsum(kids) + kids, kids) + np.arange(len(q))]
         return np.concatenate(hits_q), np.concatenate(hits_n)
 
 
@@ -149,9 +148,15 @@ def _flat(rows: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
 
 
 def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of whole rows with about ``MEMBERS`` members each."""
-    members = sum(pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tree", "other"))
-    number = (np.cumsum(members) - members) // MEMBERS if len(members) else members
+    """Slices of whole rows with about ``MEMBERS`` members, or ``SET_BYTES`` of sets, each."""
+    weight = np.zeros(len(batch))
+    for column in ("tree", "other"):
+        sizes, members = _flat(batch.column(column))
+        held = pc.fill_null(pc.binary_length(members.field(3)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        total = np.concatenate([[0.0], np.cumsum(held / SET_BYTES + 1 / MEMBERS)])
+        weight += total[ends] - total[ends - sizes]
+    number = (np.cumsum(weight) - weight).astype(np.int64)
     starts = np.flatnonzero(np.diff(number, prepend=-1)).tolist()
     for start, end in zip(starts, [*starts[1:], len(number)], strict=True):
         yield batch.slice(start, end - start)
@@ -160,12 +165,12 @@ def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def _shard_links(batches: Iterator[pa.RecordBatch], radius: int, similarity: float | None) -> Iterator[pa.RecordBatch]:
     """For rows of (tree members, probe members or null): links of a spanning forest of each row.
 
-    Members are ``(node, fp, sig)``; with ``similarity``, a link also needs
-    signatures that agree on at least that share of their filled slots.
+    Members are ``(node, fp, sig, set)``; with ``similarity``, a link also needs
+    sets of at least that Jaccard similarity.
     """
     for batch in (part for whole in batches for part in _portions(whole)):
         (size, tree), (extra, other) = _flat(batch.column("tree")), _flat(batch.column("other"))
-        both = [pa.concat_arrays([tree.field(i), other.field(i)]) for i in range(3)]
+        both = [pa.concat_arrays([tree.field(i), other.field(i)]) for i in range(4)]
         nodes, prints = both[0].to_numpy(), both[1].to_numpy().view(np.uint64)
         rows = np.arange(len(size))
         groups = np.repeat(rows, size)
@@ -182,9 +187,7 @@ def _shard_links(batches: Iterator[pa.RecordBatch], radius: int, similarity: flo
             a = part[q]
             new = low[a] != low[b]  # the others are connected already
             a, b = a[new], b[new]
-            if sigs is not None:
-                a, b = _alike(sigs, a, b, similarity)
-            low = spanning_links(low, a, b)
+            low = spanning_links(low, a, b) if sigs is None else _similar_links(low, a, b, sigs, both[3], similarity)
         moved = np.flatnonzero(low != np.arange(len(low)))
         yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[low[moved]])], ["u", "v"])
 
@@ -195,13 +198,46 @@ def _row_of(places: np.ndarray, trees: int, rows: np.ndarray, extra: np.ndarray)
     return owner[places - trees] if len(owner) and (places >= trees).all() else np.array([owner[p - trees] if p >= trees else 0 for p in places.tolist()], dtype=np.int64)
 
 
-def _alike(sigs: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    keep = np.zeros(len(a), dtype=bool)
+def _similar_links(low: np.ndarray, a: np.ndarray, b: np.ndarray, sigs: np.ndarray, sets: pa.Array, similarity: float) -> np.ndarray:
+    """``spanning_links`` by those of the pairs a-b whose sets are that similar; pairs that are connected by then are not compared."""
+    below = b < a  # shards probed with their own members meet every pair twice
+    a, b, share = _plausible(sigs, a[below], b[below], similarity)
+    by = np.lexsort((-share, a))
+    a, b, take = a[by], b[by], 1
+    while len(a):
+        first = np.flatnonzero(np.diff(a, prepend=-1))
+        now = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a)))) < take  # each probe's likeliest
+        same = np.array([_is_similar(_read_set(sets, i), _read_set(sets, j), similarity) for i, j in zip(a[now].tolist(), b[now].tolist(), strict=True)], dtype=bool)
+        low = spanning_links(low, a[now][same], b[now][same])
+        left = ~now & (low[a] != low[b])
+        a, b, take = a[left], b[left], 2 * take
+    return low
+
+
+def _plausible(sigs: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs whose estimated similarity is not too far below, with the estimate."""
+    share, keep = np.zeros(len(a)), np.zeros(len(a), dtype=bool)
     for at in range(0, len(a), CHUNK):
         x, y = sigs[a[at : at + CHUNK]], sigs[b[at : at + CHUNK]]
         filled = ((x != EMPTY) | (y != EMPTY)).sum(axis=1)
-        keep[at : at + CHUNK] = ((x == y) & (x != EMPTY)).sum(axis=1) >= similarity * filled
-    return a[keep], b[keep]
+        agree = ((x == y) & (x != EMPTY)).sum(axis=1)
+        share[at : at + CHUNK] = agree / filled
+        keep[at : at + CHUNK] = agree >= similarity * filled - DOUBT * np.sqrt(similarity * (1 - similarity) * filled)
+    return a[keep], b[keep], share[keep]
+
+
+def _read_set(sets: pa.Array, i: int) -> np.ndarray:
+    rows = np.frombuffer(sets[i].as_buffer(), dtype=np.uint8).reshape(-1, WIDTH)
+    return np.pad(rows, ((0, 0), (0, 8 - WIDTH))).view("<u8").ravel()
+
+
+def _is_similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have that Jaccard similarity."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= similarity * (len(x) + len(y) - common) - 1e-9
 
 
 def _blocks(radius: int) -> list[tuple[int, int]]:
@@ -209,16 +245,20 @@ def _blocks(radius: int) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
-def sharded_links(keyed: DataFrame, radius: int, shard_rows: int, similarity: float | None = None) -> DataFrame:
-    """Links ``(u, v)`` between the nodes of ``keyed(t, key, node, fp, sig)`` that share a shard ``(t, key)``."""
-    sizes = keyed.groupBy("t", "key").count().where("count > 1").withColumn("cuts", F.ceil(F.col("count") / shard_rows).cast("int"))
-    shards = (
-        keyed.join(sizes, ["t", "key"])
-        .withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-        .groupBy("t", "key", "cuts", "cut")
-        .agg(F.collect_list(F.struct("node", "fp", "sig")).alias("tree"))
-    )
-    shards = materialize(shards, "shards")
+def sharded_links(keyed: DataFrame, radius: int, shard_rows: int, similarity: float | None = None, sets_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Links ``(u, v)`` between the nodes of ``keyed(t, key, node, fp, sig, size, row)`` that share a shard ``(t, key)``.
+
+    ``size`` is the length of a node's set; ``sets_of`` gives ``(node, set)`` for ``(node, row)``.
+    """
+    cuts = F.ceil(F.greatest(F.count("*") / shard_rows, F.sum("size") * WIDTH / SHARD_BYTES)).cast("int")
+    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("count"), cuts.alias("cuts")).where("count > 1").drop("count")
+    dealt = keyed.join(sizes, ["t", "key"]).withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    if sets_of is None:
+        dealt = dealt.withColumn("set", F.lit(None).cast("binary"))
+    else:
+        dealt = materialize(dealt, "dealt")
+        dealt = dealt.join(sets_of(dealt.select("node", "row").distinct()), "node")
+    shards = materialize(dealt.groupBy("t", "key", "cuts", "cut").agg(F.collect_list(F.struct("node", "fp", "sig", "set")).alias("tree")), "shards")
     work = shards.select("tree", F.lit(None).cast(shards.schema["tree"].dataType).alias("other"))
     # Around a circle, each part of a split shard meets the next half of the parts: every two once, and as many for each part.
     step = F.explode(F.sequence(F.lit(1), F.floor(F.col("cuts") / 2).cast("int")))
@@ -236,7 +276,7 @@ def fingerprint_links(prints: DataFrame, radius: int = 2, shard_rows: int = 2048
         mask = sum(((1 << (hi - lo)) - 1) << lo for lo, hi in picked)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     shares = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(masks)))
-    keyed = prints.select("fp", F.explode(shares).alias("s")).select("s.t", "s.key", F.col("fp").alias("node"), "fp", F.lit(None).cast("binary").alias("sig"))
+    keyed = prints.select("fp", F.explode(shares).alias("s")).select("s.t", "s.key", F.col("fp").alias("node"), "fp", F.lit(None).cast("binary").alias("sig"), F.lit(0).alias("size"))
     return sharded_links(keyed, radius, shard_rows)
 
 
@@ -251,36 +291,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def sketch(text: bytes, words: int) -> tuple[int, bytes, list[int]]:
-    """Fingerprint, signature (one-permutation min-hash) and shard keys (min-hashes) of the set of a text's word shingles."""
+def sketch(text: bytes, words: int) -> tuple[int, bytes, list[int], int, int]:
+    """Of the set of a text's word shingles: fingerprint, signature (one-permutation min-hash), shard keys (min-hashes), hash and size."""
     hashes = np.unique(shingle_hashes(text, words).astype(np.uint64))
     sig = np.full(SLOTS, EMPTY, dtype=np.uint16)
     np.minimum.at(sig, (hashes >> np.uint64(57)).astype(np.int64), np.minimum((hashes >> np.uint64(16)).astype(np.uint16), EMPTY - 1))
     keys = [int((hashes * np.uint64(odd)).min()) - (1 << 63) for odd in ODDS]
-    return majority(hashes.astype(">u8")) if text.strip() else 0, sig.tobytes(), keys
+    whole = xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
+    return majority(hashes.astype(">u8")) if text.strip() else 0, sig.tobytes(), keys, whole, len(hashes)
+
+
+def shingle_set(text: bytes, words: int) -> bytes:
+    """The set of a text's word shingles, sorted, by ``WIDTH`` bytes of each hash."""
+    hashes = np.unique(shingle_hashes(text, words).astype(np.uint64) & np.uint64((1 << 8 * WIDTH) - 1))
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 13, shard_rows: int = 2048) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 22, shard_rows: int = 2048) -> DataFrame:
     """Like ``near_duplicates``, for shingle similarity rather than a few bits: ``id_col, fp, component_id``.
 
     A Jaccard similarity of 0.8 leaves fingerprints 10 bits apart on average, too
     far for shards by equal bit blocks.  Shards are keyed by four min-hashes here
-    (documents that similar share one with probability 0.998), their BK-trees are
-    probed with the wide radius, and the signatures must agree as well.
+    (documents that similar share one with probability 0.998) and their BK-trees
+    are probed with a radius over four standard deviations wider.  Signatures
+    only tell which pairs are worth a comparison; a link needs sets of shingles
+    that are that similar.  Documents with the same set are one node.
     """
-    kind = T.StructType([T.StructField("fp", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    kinds = {"fp": T.LongType(), "sig": T.BinaryType(), "keys": T.ArrayType(T.LongType()), "node": T.LongType(), "size": T.IntegerType()}
 
-    @F.arrow_udf(kind)
+    @F.arrow_udf(T.StructType([T.StructField(n, k) for n, k in kinds.items()]))
     def sketches(texts: pa.Array) -> pa.Array:
         rows = [sketch(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in texts]
         prints = np.array([r[0] for r in rows], dtype=np.uint64).view(np.int64)
-        return pa.StructArray.from_arrays([pa.array(prints), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["fp", "sig", "keys"])
+        rest = [pa.array([r[i] for r in rows], k) for i, k in ((1, pa.binary()), (2, pa.list_(pa.int64())), (3, pa.int64()), (4, pa.int32()))]
+        return pa.StructArray.from_arrays([pa.array(prints), *rest], list(kinds))
+
+    @F.arrow_udf(T.BinaryType())
+    def sets(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t.as_buffer().to_pybytes(), words) for t in texts], pa.binary())
+
+    named_row = F.xxhash64(F.col(id_col), text_or_empty(text_col)).alias("row")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return docs.select(named_row, text_or_empty(text_col).alias("text")).join(wanted, "row").select("node", sets("text").alias("set"))
 
-    made = docs.select(F.col(id_col).alias("id"), sketches(text_or_empty(text_col)).alias("s")).select("id", "s.*")
-    rows = materialize(made.withColumn("node", F.xxhash64("fp", "sig")), "sketches")
-    nodes = rows.groupBy("node").agg(F.min(F.struct("fp", "sig", "keys")).alias("s")).select("node", "s.*")
-    keyed = nodes.select("node", "fp", "sig", F.posexplode("keys").alias("t", "key"))
-    roots = materialize(connected_components(sharded_links(keyed, radius, shard_rows, similarity)), "roots")
+    rows = materialize(docs.select(F.col(id_col).alias("id"), named_row, sketches(text_or_empty(text_col)).alias("s")).select("id", "row", "s.*"), "sketches")
+    nodes = rows.groupBy("node").agg(F.min(F.struct("fp", "sig", "keys", "size", "row")).alias("s")).select("node", "s.*")
+    keyed = nodes.select("node", "fp", "sig", "size", "row", F.posexplode("keys").alias("t", "key"))
+    roots = materialize(connected_components(sharded_links(keyed, radius, shard_rows, similarity, sets_of)), "roots")
     named = rows.select("id", "fp", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = named.groupBy("root").agg(F.min("id").alias("component_id"))
     return named.join(lowest, "root").select(F.col("id").alias(id_col), "fp", "component_id")

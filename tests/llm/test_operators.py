@@ -343,3 +343,47 @@ def test_similar_documents_counts_a_shingle_once(spark):
         rows += [(2 * g, text + line * 2), (2 * g + 1, text + line * 60)]
     got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i in range(80)}
+
+
+def planted_pairs(number, seed=13):
+    """Pairs of texts of 60 to 600 words with set similarity from 0.7 to 0.9, as (similarity, text, text)."""
+    rng = np.random.default_rng(seed)
+    pairs = []
+    for g in range(number):
+        n = int(rng.integers(60, 600))
+        text = [f"{g}w{i}" for i in rng.integers(0, 5000, n)]
+        near, edits = text.copy(), max(1, round(n * rng.uniform(0.011, 0.035)))
+        for at in rng.choice(n, edits, replace=False):
+            near[at] = f"new{at}"
+        x, y = ({tuple(t[i : i + 5]) for i in range(n - 4)} for t in (text, near))
+        similarity = len(x & y) / len(x | y)
+        if 0.7 <= similarity <= 0.9:
+            pairs.append((similarity, " ".join(text), " ".join(near)))
+    return pairs
+
+
+def test_similar_documents_by_brute_force(spark):
+    pairs = planted_pairs(1500)
+    rows = [(2 * g + k, pair[1 + k]) for g, pair in enumerate(pairs) for k in (0, 1)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [got[2 * g + 1] == 2 * g for g in range(len(pairs))]
+    alike = [ok for ok, pair in zip(linked, pairs, strict=True) if pair[0] >= 0.8]
+    assert len(alike) > 300 and np.mean(alike) >= 0.99, np.mean(alike)
+    assert not any(ok for ok, pair in zip(linked, pairs, strict=True) if pair[0] < 0.8)
+
+
+def test_similar_links_are_verified_in_split_shards(spark):
+    rng = np.random.default_rng(17)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(60):
+        text = base.copy()
+        for at in rng.choice(400, 9, replace=False):
+            text[at] = f"new{i}x{at}"
+        rows.append((i, " ".join(text)))
+    shingles = [{tuple(t.split()[i : i + 5]) for i in range(396)} for _, t in rows]
+    want = plain_components(shingles, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for shard_rows in (4, 2048):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame, shard_rows=shard_rows).collect()}
+        assert [got[i] for i in range(60)] == want
