@@ -39,20 +39,14 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, similarity 0.8), that with the smallest id.
 
-    Rows that repeat that id leave one, and of rows without an id in a group
-    without any id one stays.
+    A group none of whose rows has an id keeps one of them.  Rows that share an
+    id but not the text are told apart; rows alike in both count once.
     """
     groups = materialize(simhash.similar_documents(docs.select("doc_id", "text")), "near-copies")
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    stay = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return stay.dropDuplicates(["doc_id"]).unionByName(_without_id(docs, groups))
-
-
-def _without_id(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row for each text fingerprint that only rows without an id have."""
-    alone = groups.where("component_id is null").select("fp").distinct()
-    rows = docs.where("doc_id is null").withColumn("__fp", simhash.fingerprint_column(F.coalesce("text", F.lit("")), words=5, distinct=True))
-    return rows.join(alone, F.col("__fp") == F.col("fp"), "left_semi").dropDuplicates(["__fp"]).select(*docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    kept = groups.groupBy("root").agg(first["row"].alias("__row"))
+    rows = docs.withColumn("__row", simhash.row_hash("doc_id", "text"))
+    return rows.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

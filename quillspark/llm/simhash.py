@@ -68,16 +68,15 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(rows)).tobytes(), "big")
 
 
-def fingerprint(text: bytes, words: int = 3, distinct: bool = False) -> int:
-    """Majority fingerprint of a UTF-8 text, as an unsigned integer; with ``distinct``, of its set of shingles."""
-    hashes = shingle_hashes(text, words)
-    return majority(np.unique(hashes) if distinct else hashes) if text.strip() else 0
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """Majority fingerprint of a UTF-8 text, as an unsigned integer."""
+    return majority(shingle_hashes(text, words)) if text.strip() else 0
 
 
-def fingerprint_column(text: Column, words: int = 3, distinct: bool = False) -> Column:
+def fingerprint_column(text: Column, words: int = 3) -> Column:
     @F.arrow_udf(T.LongType())
     def prints(texts: pa.Array) -> pa.Array:
-        values = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words, distinct) for t in texts]
+        values = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in texts]
         return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
     return prints(text)
@@ -307,8 +306,15 @@ def shingle_set(text: bytes, words: int) -> bytes:
     return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
 
 
+def row_hash(id_col: str, text_col: str) -> Column:
+    """A row by its id and text; null texts are empty."""
+    return F.xxhash64(F.col(id_col), text_or_empty(text_col))
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 22, shard_rows: int = 2048) -> DataFrame:
-    """Like ``near_duplicates``, for shingle similarity rather than a few bits: ``id_col, fp, component_id``.
+    """Like ``near_duplicates``, for shingle similarity rather than a few bits: ``id_col, fp, component_id, row, root``.
+
+    ``row`` is the ``row_hash`` of id and text, ``root`` tells groups apart.
 
     A Jaccard similarity of 0.8 leaves fingerprints 10 bits apart on average, too
     far for shards by equal bit blocks.  Shards are keyed by four min-hashes here
@@ -330,7 +336,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def sets(texts: pa.Array) -> pa.Array:
         return pa.array([shingle_set(t.as_buffer().to_pybytes(), words) for t in texts], pa.binary())
 
-    named_row = F.xxhash64(F.col(id_col), text_or_empty(text_col)).alias("row")
+    named_row = row_hash(id_col, text_col).alias("row")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         return docs.select(named_row, text_or_empty(text_col).alias("text")).join(wanted, "row").select("node", sets("text").alias("set"))
@@ -339,9 +345,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     nodes = rows.groupBy("node").agg(F.min(F.struct("fp", "sig", "keys", "size", "row")).alias("s")).select("node", "s.*")
     keyed = nodes.select("node", "fp", "sig", "size", "row", F.posexplode("keys").alias("t", "key"))
     roots = materialize(connected_components(sharded_links(keyed, radius, shard_rows, similarity, sets_of)), "roots")
-    named = rows.select("id", "fp", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = rows.select("id", "fp", "row", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    return named.join(lowest, "root").select(F.col("id").alias(id_col), "fp", "component_id")
+    return named.join(lowest, "root").select(F.col("id").alias(id_col), "fp", "component_id", "row", "root")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,15 @@ def test_empty_archives_and_vectors(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neighbours.nearest_neighbours(vectors, vectors["vec_id"] == 0).count() == 0
+
+
+def test_near_copies_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(21)
+    a, b, c = (" ".join(f"{g}{i}" for i in rng.integers(0, 5000, 100)) for g in "abc")
+    rows = [(1, a), (1, b), (2, a), (2, c), (3, b), (4, c), (None, c), (None, "alone"), (None, "alone"), (1, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for frame in (docs, docs.orderBy("text"), docs.orderBy("doc_id")):
+        kept = corpus_pipeline.drop_near_copies(spark, frame, "").collect()
+        assert sorted((r["text"], r["doc_id"] or 0) for r in kept) == sorted([(a, 1), (b, 1), (c, 2), ("alone", 0)])
