@@ -43,12 +43,14 @@ def _checkpointed(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def crawl(links: DataFrame, roots: DataFrame, robots: DataFrame | None = None, user_agent: str = "quillspark", max_pages: int = 200, max_rounds: int = 20) -> DataFrame:
-    """Breadth-first reach of each site's root over known links: ``site, url, depth``.
+def crawl(links: DataFrame, roots: DataFrame, robots: DataFrame | None = None, user_agent: str = "quillspark", max_pages: int = 200, indexable: DataFrame | None = None) -> DataFrame:
+    """Pages fetched by a breadth-first crawl of each site from its root over known links: ``site, url, depth``.
 
     ``links(src, dst)``, ``roots(site, url)``, ``robots(site, body)``.  Links stay
     on the site, are no assets, and obey robots.  One round is one join and one
-    anti-join for all sites; a site stops at ``max_pages``, nearest pages first.
+    anti-join for all sites, and rounds end with the pages.  A site stops with
+    ``max_pages`` pages of ``indexable(url)`` (all pages, where none is given),
+    nearest pages first, and discovers four times as many of any kind.
     """
     edges = links.where(same_site(F.col("src"), F.col("dst")) & ~is_asset(F.coalesce(F.try_parse_url("dst", F.lit("PATH")), F.lit(""))))
     edges = edges.select(url_key(F.col("src")).alias("src_key"), "dst", url_key(F.col("dst")).alias("key")).distinct()
@@ -57,11 +59,18 @@ def crawl(links: DataFrame, roots: DataFrame, robots: DataFrame | None = None, u
         edges = edges.withColumn("host", F.regexp_extract("key", "^[^/]*", 0)).join(ruled, "host", "left")
         edges = edges.where(robots_allow(F.col("rules"), F.try_parse_url("dst", F.lit("PATH")))).drop("host", "rules")
     edges = _checkpointed(edges, "crawl-edges")
-    seen = _checkpointed(roots.select("site", "url", url_key(F.col("url")).alias("key"), F.lit(0).alias("depth")), "crawl")
-    for depth in range(1, max_rounds + 1):
+    good = None if indexable is None else _checkpointed(indexable.select(url_key(F.col("url")).alias("key"), F.lit(1).alias("good")).distinct(), "crawl-indexable")
+    rated = lambda found: found.withColumn("good", F.lit(1)) if good is None else found.join(good, "key", "left").withColumn("good", F.coalesce("good", F.lit(0)))
+    columns = ["site", "url", "key", "depth", "good"]
+    seen = _checkpointed(rated(roots.select("site", "url", url_key(F.col("url")).alias("key"), F.lit(0).alias("depth"))).select(columns), "crawl")
+    order = Window.partitionBy("site").orderBy("depth", "key")
+    before = F.coalesce(F.sum("good").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    depth = 0
+    while True:
+        depth += 1
         reached = seen.where(F.col("depth") == depth - 1).select("site", F.col("key").alias("src_key")).join(edges, "src_key").groupBy("site", "key").agg(F.min("dst").alias("url"))
-        fresh = reached.join(seen, ["site", "key"], "left_anti").select("site", "url", "key", F.lit(depth).alias("depth"))
-        grown = seen.unionByName(fresh).withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("depth", "key"))).where(F.col("n") <= max_pages).drop("n")
+        fresh = rated(reached.join(seen, ["site", "key"], "left_anti").select("site", "url", "key", F.lit(depth).alias("depth"))).select(columns)
+        grown = seen.unionByName(fresh).withColumns({"n": F.row_number().over(order), "before": before}).where((F.col("n") <= 4 * max_pages) & (F.col("before") < max_pages)).select(columns)
         grown = _checkpointed(grown, "crawl")
         if not grown.where(F.col("depth") == depth).take(1):
             seen = grown

@@ -239,7 +239,7 @@ def crawl_bfs(s, d):
     pages = ingest.extract_pages(table(s, d, "pages"))
     links = ingest.page_links(pages, "page_id").select("src", "dst")
     roots = pages.groupBy(ur.host(F.col("url")).alias("site")).agg(F.min_by("url", "page_id").alias("url"))
-    return ingest.crawl(links, roots)
+    return ingest.crawl(links, roots, indexable=pages.where(~ingest.is_thin(F.col("text"))).select("url"))
 
 
 @query("SELECT conversation, turn, CASE WHEN conversation % 5 IN (1, 2) THEN 'human' ELSE outcome END AS outcome, conversation % 5 NOT IN (1, 2) AND outcome = 'answered' AS metered FROM v_messages WHERE role = 'assistant'")
