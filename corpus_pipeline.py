@@ -15,6 +15,13 @@ from quillspark.llm import line_dedup, packing, quality, simhash, toxicity
 from quillspark.llm.common import materialize, table
 
 
+#: A line is boilerplate on this share of its source's documents, whatever their number: boilerplate stood in 8.6 %
+#: and more of each source of sf0.1, lines of copied documents (a matter of near-dedup) in 4.8 % at most.
+LINE_RATIO = 0.065
+#: Fewest documents that make a line more than a document and its copy.
+LINE_PAGES = 3
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold; null texts stay."""
     judged = toxicity.score_toxicity(docs, toxicity.trained_model(spark, sf_dir), out_col="__toxicity")
@@ -29,7 +36,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that are boilerplate of their source; ``n_chars`` follows the text."""
-    cleaned = line_dedup.drop_boilerplate(docs, F.col("source"), count_col="__lines_dropped")
+    cleaned = line_dedup.drop_boilerplate(docs, F.col("source"), ratio=LINE_RATIO, min_pages=LINE_PAGES, count_col="__lines_dropped")
     if "n_chars" in docs.columns:
         changed = F.when(F.col("__lines_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
         cleaned = cleaned.withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))

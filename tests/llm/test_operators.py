@@ -387,3 +387,16 @@ def test_similar_links_are_verified_in_split_shards(spark):
     for shard_rows in (4, 2048):
         got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame, shard_rows=shard_rows).collect()}
         assert [got[i] for i in range(60)] == want
+
+
+def test_pipeline_boilerplate_at_every_size(spark):
+    import corpus_pipeline
+
+    rows = []
+    for pages in (30, 50, 500):
+        for i in range(pages):
+            lines = ["menu"] * (10 * i < pages) + [f"own {i}"] + ["copied"] * (i < 2 or 25 * i < pages)
+            rows.append((f"{pages}", "\n".join(lines)))
+    got = corpus_pipeline.drop_boilerplate(spark, spark.createDataFrame(rows, "source string, text string"), "").collect()
+    assert not any("menu" in r["text"] for r in got)
+    assert sum("copied" in r["text"] for r in got) == 2 + 2 + 20
