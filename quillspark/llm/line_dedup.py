@@ -60,7 +60,7 @@ def drop_boilerplate(pages: DataFrame, site: Column, text_col: str = "text", rat
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by source: what stays of each, by digest, and how many lines went."""
+    """Documents by source, which stands for their site: what stays of each, by digest, and how many lines went."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     cleaned = drop_boilerplate(docs, F.col("source"), count_col="lines_dropped")
     return cleaned.select(
