@@ -1,8 +1,8 @@
 """Best-fit packing of tokenised documents, after Martello-Toth dominance reduction.
 
-Token ids come from a ``tokenizers`` vocabulary.  Texts are cut at single spaces,
-which its normaliser and pre-tokeniser never see across, and each worker
-remembers the ids of the units it has met.
+Token ids come from a ``tokenizers`` vocabulary, as its library gives them without
+added special tokens (those written in a text are special).  Each different word
+of a batch of texts is encoded once.
 
 Packing needs only how many pieces there are of each length, a histogram of at
 most ``capacity`` counts whatever the size of the corpus.  The reduction fixes
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,12 +36,14 @@ from pyspark.sql import types as T
 from quillspark.llm.common import materialize, table, text_or_empty
 
 CAPACITY = 4096
-#: Groups that the pieces of one length are ranked in.
-SALTS = 128
-#: Units remembered per Python worker, and the longest of them; neither changes a result.
-MEMO_ENTRIES, MEMO_CHARS = 200_000, 40
-#: Texts that a worker encodes at a time.
-TEXTS = 256
+#: Groups that the pieces of one length are ranked in, at least, and pieces in all for which there is one more.
+SALTS, SALT_ROWS = 128, 1 << 20
+#: Bytes of text that a worker encodes at a time.
+BATCH_BYTES = 8 << 20
+#: Latin letters (all but U+0130, whose small form is two characters) and the ASCII punctuation after them, in RE2.
+SUFFIXED = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-\x{012F}\x{0131}-\x{024F}]+)(?P<tail>[!-/:-@\[-`{-~]*)$"
+#: What may be lowered neither alone nor in a text, and how special tokens of the vocabulary begin.
+BEYOND, SPECIAL = r"[\x{0130}\x{0250}-\x{10FFFF}]", "<|"
 
 Pattern = tuple[int, list[tuple[int, int]]]  # how many bins, and in each (length, copies)
 
@@ -71,24 +74,20 @@ class WordMerges:
         self.key, self.rank = key[by], by.astype(np.int32)
         self.into = np.array([vocab[x + y] for x, y in pairs], dtype=np.int64)
 
-    def fits(self, word: str) -> bool:
-        return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word))
-
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         want = left << 17 | right
         at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
         return np.where(self.key[at] == want, self.rank[at], self.NONE)
 
-    def __call__(self, words: list[str]) -> list[bytes]:
-        if not words:
-            return []
-        raw = [w.lower().encode() for w in words]
-        size = np.array([len(r) for r in raw])
-        flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
-        ends = np.cumsum(size)
-        sym, word = self.inner[flat], np.repeat(np.arange(len(words)), size)
-        sym[ends - 1] = self.final[flat[ends - 1]]
-        out: list[bytes] = [b""] * len(words)
+    def __call__(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words end to end, and how many each has; no word is empty."""
+        ends = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1]
+        flat = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+        size = np.diff(ends)
+        sym, word = self.inner[flat], np.repeat(np.arange(len(words), dtype=np.int32), size)
+        last = np.cumsum(size) - 1
+        sym[last] = self.final[flat[last]]
+        done_sym, done_word = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int32)]
         rank = np.full(len(sym), self.NONE)
         if len(sym) > 1:
             inside = word[:-1] == word[1:]
@@ -99,10 +98,9 @@ class WordMerges:
             least = np.minimum.reduceat(rank, starts)
             done = least == self.NONE
             if done.any():
-                packed = sym.astype("<u4").tobytes()
-                for w, at, n in zip(word[starts[done]].tolist(), starts[done].tolist(), length[done].tolist(), strict=True):
-                    out[w] = packed[4 * at : 4 * (at + n)]
                 left = ~np.repeat(done, length)
+                done_sym.append(sym[~left])
+                done_word.append(word[~left])
                 sym, word, rank, length, least = sym[left], word[left], rank[left], length[~done], least[~done]
                 if not len(sym):
                     break
@@ -118,16 +116,20 @@ class WordMerges:
             touched = touched[touched + 1 < len(sym)]
             touched = touched[word[touched] == word[touched + 1]]
             rank[touched] = self._ranks(sym[touched], sym[touched + 1])
-        return out
+        word = np.concatenate(done_word)
+        return np.concatenate(done_sym)[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
 
 
-class UnitTokenizer:
-    """Ids of whole texts, packed as little-endian 32-bit integers.
+class BatchTokenizer:
+    """Ids of many whole texts at once; each different unit of a batch is encoded once.
 
-    A unit is what stands between single spaces.  ASCII texts are lowered at once,
-    and a full stop or comma that ends a unit after a small letter is a token of its own,
-    so ``word``, ``Word`` and ``word,`` are encoded together.  Units met lately are
-    kept in two generations, of which the older is dropped when the younger is full.
+    A unit is what stands between single spaces or line feeds, which the
+    normaliser and pre-tokeniser never see across.  Texts of Latin letters are
+    lowered at once (not where they may hold a special token, whose case counts).
+    Latin letters followed by ASCII punctuation are two tokens of the
+    pre-tokeniser, so ``word``, ``Word`` and ``word,`` share the merges of the
+    letters; punctuation and any other unit are the library's.  Nothing is kept
+    between batches.
     """
 
     def __init__(self, path: str):
@@ -142,50 +144,46 @@ class UnitTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(self.path)
-        self.tokenizer.encode_special_tokens = True
         self.words = WordMerges(self.path)
-        self.marks = dict(zip(".,", self._encode([".", ","]), strict=True))
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, units: list[str]) -> list[bytes]:
-        plain = [u for u in units if self.words.fits(u)]
-        ids = dict(zip(plain, self.words(plain), strict=True))
-        rest = [u for u in units if u not in ids]
-        coded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-        ids |= {u: np.array(e.ids, dtype="<u4").tobytes() for u, e in zip(rest, coded, strict=True)}
-        return [ids[u] for u in units]
-
-    def _learn(self, units: set[str]) -> dict[str, bytes]:
-        """Ids of units that are not in the younger generation."""
-        old, young, marks = self.old, self.young, self.marks
-        known = {u: old[u] for u in units if u in old}
-        cores = {u: u[:-1] if u[-1:] in marks and u[-2:-1].isalpha() and u[-2].islower() else u for u in units if u not in known}
-        fresh = [c for c in set(cores.values()) if c not in young and c not in old]
-        ids = dict(zip(fresh, self._encode(fresh), strict=True))
-        for unit, core in cores.items():
-            found = ids.get(core)
-            if found is None:
-                found = young[core] if core in young else old[core]
-            known[unit] = found if unit == core else found + marks[unit[-1]]
-        return known | ids
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+
+    def _library(self, units: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(e.ids, dtype=np.int64) for e in self.tokenizer.encode_batch_fast(units.to_pylist(), add_special_tokens=False)]
+        return np.concatenate([np.empty(0, dtype=np.int64), *ids]), np.array([len(i) for i in ids], dtype=np.int64)
+
+    def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts (none null) end to end as unsigned 32-bit integers, and where each text begins and ends."""
         if self.tokenizer is None:
             self._ready()
-        split = [(t.lower() if t.isascii() else t).split(" ") for t in texts]
-        young = self.young
-        missing = {u for units in split for u in units if u not in young}
-        learnt = self._learn(missing)
-        young.update((u, i) for u, i in learnt.items() if len(u) < MEMO_CHARS)
-        long = {u: i for u, i in learnt.items() if len(u) >= MEMO_CHARS}
-        if long:
-            out = [b"".join([young[u] if u in young else long[u] for u in units]) for units in split]
-        else:
-            out = [b"".join(map(young.__getitem__, units)) for units in split]
-        if len(young) > MEMO_ENTRIES:
-            self.old, self.young = young, {}
-        return out
+        plain = pc.invert(pc.or_(pc.match_substring(texts, SPECIAL), pc.match_substring_regex(texts, BEYOND)))
+        lowered = pc.if_else(plain, pc.utf8_lower(texts), texts)
+        lists = pc.split_pattern(pc.replace_substring(lowered, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        units, place = coded.dictionary, coded.indices.to_numpy()
+        cut = pc.extract_regex(units, SUFFIXED)
+        whole = cut.is_valid().to_numpy(zero_copy_only=False)
+        words, tails = (pc.utf8_lower(cut.field(i).filter(pa.array(whole))).dictionary_encode() for i in (0, 1))
+        parts = [self.words(words.dictionary), self._library(tails.dictionary), self._library(units.filter(pa.array(~whole)))]
+        # Every unit is two runs of the pool: letters and punctuation, or all of it and nothing.
+        pool, runs = np.concatenate([p for p, _ in parts]), np.concatenate([*(n for _, n in parts), [0]])
+        w, t = len(words.dictionary), len(tails.dictionary)
+        first, second = np.empty(len(units), dtype=np.int64), np.full(len(units), len(runs) - 1)
+        first[whole], second[whole] = words.indices.to_numpy(), w + tails.indices.to_numpy()
+        first[~whole] = w + t + np.arange(len(units) - len(words))
+        run = np.column_stack([first, second])[place].ravel()
+        length = runs[run]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        begin = (np.cumsum(runs) - runs)[run]
+        ids = pool[np.repeat(begin - ends[:-1], length) + np.arange(ends[-1])]
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        return ids.astype("<u4"), ends[2 * bounds]
+
+
+def batches_of(texts: pa.StringArray) -> Iterator[tuple[int, pa.StringArray]]:
+    """Slices of about ``BATCH_BYTES``, with their first place; a longer text is a slice of its own."""
+    number = (np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) - 1) // BATCH_BYTES
+    starts = [*np.flatnonzero(np.diff(number, prepend=-2)).tolist(), len(texts)]
+    for at, end in zip(starts[:-1], starts[1:], strict=True):
+        yield at, texts[at:end]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
@@ -193,20 +191,17 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     ``ids_crc32`` is the CRC-32 of the ids as little-endian unsigned 32-bit integers.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(UnitTokenizer(tokenizer_path))
-    end = np.array([end_id], dtype="<u4").tobytes()
+    shared = docs.sparkSession.sparkContext.broadcast(BatchTokenizer(tokenizer_path))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = shared.value
         for batch in batches:
-            texts = batch.column(1)
-            for at in range(0, len(texts), TEXTS):
-                yield pieces_of(batch.column(0)[at : at + TEXTS], encode(texts[at : at + TEXTS].to_pylist()))
+            for at, texts in batches_of(batch.column(1)):
+                yield pieces_of(batch.column(0)[at : at + len(texts)], *shared.value(texts))
 
-    def pieces_of(keys: pa.Array, coded: list[bytes]) -> pa.RecordBatch:
+    def pieces_of(keys: pa.Array, flat: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
         rows, piece, start, length, crc, values = [], [], [], [], [], []
-        for row, packed in enumerate(coded):
-            ids = np.frombuffer(packed + end, dtype="<u4")
+        for row, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            ids = np.append(flat[a:b], np.uint32(end_id))
             for number, at in enumerate(range(0, len(ids), capacity)):
                 part = ids[at : at + capacity]
                 rows.append(row)
@@ -216,8 +211,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 crc.append(zlib.crc32(part.tobytes()))
                 values.append(part)
         ends = np.concatenate([[0], np.cumsum(length, dtype=np.int64)]).astype(np.int32)
-        flat = np.concatenate([np.empty(0, dtype="<u4"), *values]).view("<i4")
-        columns = [keys.take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+        ids = np.concatenate([np.empty(0, dtype="<u4"), *values]).view("<i4")
+        columns = [keys.take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
         return pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "ids_crc32", "ids"])
 
     read = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
@@ -365,10 +360,11 @@ def pack(pieces: DataFrame, key_cols: list[str], capacity: int = CAPACITY, lengt
     """Add ``sequence_id`` and ``offset`` to pieces of 1 to ``capacity`` tokens.
 
     ``key_cols`` order the pieces; rows that agree in all of them may trade places.
+    Groups are dealt by all columns, so pieces without an id are spread out too.
     """
     spark = pieces.sparkSession
     keep = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    salt = F.pmod(F.xxhash64(*key_cols), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64(*keep), F.lit(max(SALTS, pieces.count() // SALT_ROWS))).cast("int")
     rows = pieces.select(*keep, F.col(length_col).cast("long").alias("__len"), salt.alias("__salt"))
     groups = rows.groupBy("__len", "__salt").count()
     counts = {r["__len"]: r["n"] for r in groups.groupBy("__len").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
