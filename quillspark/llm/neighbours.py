@@ -1,22 +1,24 @@
 """Approximate nearest neighbours by collision counting over projections.
 
-Vectors are dealt into blocks of bounded size, and the queries likewise; every
-pair of a vector block and a query block is one piece of work, and each query's
-block results are merged at the end.
-
-In a block each of ``projections`` random directions gives one sorted array of
-projected values.  A query opens a window around its own value in every array and
-widens all of them step by step (virtual rehashing: no table is built anew).  A
-vector that lies in the windows of at least ``threshold`` of the directions is
-verified: its distance is computed on the original vectors in double precision.
-Widening stops when a vector as near as the k-th best found would have been
-missed with a probability of at most ``miss`` - or when every vector is verified.
-There is no cap on candidates.
+Vectors are dealt into blocks of bounded size, and the queries likewise.  In a
+block each of ``projections`` random directions gives one sorted array of projected
+values; this index is built once and written to the shared folder.  A query opens a
+window around its own value in every array and widens all of them step by step
+(virtual rehashing: no table is built anew).  A vector that lies in the windows of
+at least ``threshold`` of the directions is verified: its distance is computed on
+the original vectors in double precision.  Widening stops when a vector as near as
+the k-th best would have been missed with a probability of at most ``miss`` - or
+when every vector is verified.  There is no cap on candidates.
+
+A query first meets one block.  The k-th distance found there bounds the search in
+all others, where windows need not open further for it and only vectors within it
+are returned; each query's results are merged at the end.
 
 Vectors that are null, zero, or hold null or non-finite components take no part,
 nor do rows without an id; vectors of different lengths never meet.  Queries with
 the same id are one (the least vector of them); candidates with the query's id
-are its own.  Equal distances rank by id.  An empty table gives no rows.
+are its own; repeated candidate rows are found as often as they occur.  Equal
+distances rank by id.  An empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,10 +33,10 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import materialize, table
 
-PROJECTIONS, THRESHOLD, MISS = 192, 96, 0.1
-BLOCK_ROWS, QUERY_ROWS = 8192, 512
-#: Factor by which windows widen.
-GROWTH = 1.06
+PROJECTIONS, THRESHOLD, MISS = 64, 36, 0.03
+BLOCK_ROWS, QUERY_ROWS = 8192, 2048
+#: Factor by which windows widen, and queries of a block that widen them together.
+GROWTH, TOGETHER = 1.2, 64
 SEED = 7
 
 
@@ -55,44 +57,74 @@ def stopping_ratio(projections: int, threshold: int, miss: float) -> float:
     return high
 
 
+def directions(dim: int, projections: int) -> np.ndarray:
+    return np.random.default_rng(SEED).standard_normal((dim, projections))
+
+
+def project(vectors: np.ndarray, projections: int = PROJECTIONS) -> tuple[np.ndarray, np.ndarray]:
+    """For every direction, the projected values in order and the vectors they belong to."""
+    projected = (vectors @ directions(vectors.shape[1], projections)).T
+    order = np.argsort(projected, axis=1).astype(np.int32)
+    return np.take_along_axis(projected, order, axis=1), order
+
+
 class CollisionIndex:
     """Sorted projections of one block of vectors."""
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, projections: int = PROJECTIONS, threshold: int = THRESHOLD, miss: float = MISS):
-        self.vectors, self.ids, self.threshold = vectors, ids, threshold
-        self.directions = np.random.default_rng(SEED).standard_normal((vectors.shape[1], projections))
-        projected = vectors @ self.directions
-        self.order = np.argsort(projected, axis=0).T.copy()
-        self.sorted = np.sort(projected, axis=0).T.copy()
-        self.ratio = stopping_ratio(projections, threshold, miss)
-        self.start = max(1e-9, float(np.median(np.linalg.norm(vectors - vectors.mean(axis=0), axis=1)))) * self.ratio / 2 if len(vectors) else 1.0
-
-    def search(self, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the ``k`` nearest verified vectors, other than the query's own."""
-        n, m = len(self.vectors), len(self.sorted)
-        centre = query @ self.directions
-        counts = np.zeros(n, dtype=np.int32)
-        far = np.where(self.ids == query_id, -1.0, np.inf)  # -1: the query's own; inf: not verified
-        left = right = np.array([np.searchsorted(a, c) for a, c in zip(self.sorted, centre, strict=True)])
-        width, todo = self.start, int((far > 0).sum())
-        while todo:
-            lo = np.array([np.searchsorted(a, c - width) for a, c in zip(self.sorted, centre, strict=True)])
-            hi = np.array([np.searchsorted(a, c + width, side="right") for a, c in zip(self.sorted, centre, strict=True)])
-            lo, hi = np.minimum(lo, left), np.maximum(hi, right)
-            fresh = [self.order[j, lo[j] : left[j]] for j in range(m)] + [self.order[j, right[j] : hi[j]] for j in range(m)]
-            counts += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int32)
-            left, right = lo, hi
-            new = np.flatnonzero((counts >= self.threshold) & np.isinf(far))
-            if len(new):
-                far[new] = np.sqrt(((self.vectors[new] - query) ** 2).sum(axis=1))
-                todo -= len(new)
-            found = np.sort(far[(far >= 0) & np.isfinite(far)])
-            if len(found) >= k and width >= found[k - 1] * self.ratio:
-                break
-            width *= GROWTH
-        some = np.flatnonzero((far >= 0) & np.isfinite(far))
-        best = some[np.lexsort((self.ids[some], far[some]))[:k]]
-        return self.ids[best], far[best]
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, values: np.ndarray, order: np.ndarray, threshold: int = THRESHOLD, miss: float = MISS):
+        self.vectors, self.ids, self.values, self.order, self.threshold = vectors, ids, values, order, threshold
+        self.directions = directions(vectors.shape[1], len(values))
+        self.ratio = stopping_ratio(len(values), threshold, miss)
+        self.spread = max(1e-9, float(np.median(np.linalg.norm(vectors - vectors.mean(axis=0), axis=1))))
+
+    def windows(self, centres: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of the windows of every query (row) in every array (column)."""
+        low = np.column_stack([np.searchsorted(a, c - width) for a, c in zip(self.values, centres.T, strict=True)])
+        high = np.column_stack([np.searchsorted(a, c + width, side="right") for a, c in zip(self.values, centres.T, strict=True)])
+        return low, high
+
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, bounds: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For every query, ids and distances of at most ``k`` vectors: the nearest verified ones within its bound, not its own."""
+        for start in range(0, len(queries), TOGETHER):
+            part = slice(start, start + TOGETHER)
+            yield from self._widen(queries[part], query_ids[part], bounds[part], k)
+
+    def _widen(self, queries: np.ndarray, query_ids: np.ndarray, bounds: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        n, m = len(self.vectors), len(self.values)
+        centres = queries @ self.directions
+        counts = np.zeros((len(queries), n), dtype=np.int16)
+        far = np.full((len(queries), n), np.inf)  # inf: not verified
+        own = self.ids == query_ids[:, None]
+        todo = n - own.sum(axis=1)
+        kth = bounds.copy()
+        width = np.minimum(self.spread, bounds) * self.ratio / GROWTH**2
+        left = right = np.column_stack([np.searchsorted(a, c) for a, c in zip(self.values, centres.T, strict=True)])
+        left, right = left.copy(), right.copy()
+        active = np.flatnonzero(todo)
+        while len(active):
+            low, high = self.windows(centres[active], width[active])
+            low, high = np.minimum(low, left[active]), np.maximum(high, right[active])
+            for row, q in enumerate(active.tolist()):
+                fresh = [self.order[j, a:b] for j, a, b in zip(range(m), low[row].tolist(), left[q].tolist(), strict=True) if a < b]
+                fresh += [self.order[j, a:b] for j, a, b in zip(range(m), right[q].tolist(), high[row].tolist(), strict=True) if a < b]
+                if fresh:
+                    counts[q] += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int16)
+                new = np.flatnonzero((counts[q] >= self.threshold) & np.isinf(far[q]) & ~own[q])
+                if len(new):
+                    far[q, new] = np.sqrt(((self.vectors[new] - queries[q]) ** 2).sum(axis=1))
+                    todo[q] -= len(new)
+                    if n - int(own[q].sum()) - todo[q] >= k:
+                        kth[q] = min(bounds[q], np.partition(far[q], k - 1)[k - 1])
+            left[active], right[active] = low, high
+            active = active[(todo[active] > 0) & (width[active] < kth[active] * self.ratio)]
+            # The last step goes no further than it has to.
+            width[active] = np.minimum(width[active] * GROWTH, np.maximum(kth[active] * self.ratio, width[active]))
+        out = []
+        for q in range(len(queries)):
+            some = np.flatnonzero(np.isfinite(far[q]) & (far[q] <= bounds[q]))
+            best = some[np.lexsort((self.ids[some], far[q, some]))[:k]]
+            out.append((self.ids[best], far[q, best]))
+        return out
 
 
 def usable(vector: Column) -> Column:
@@ -100,38 +132,57 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _vectors_of(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    rows = rows.values
+    return rows.field("id").to_numpy(), rows.field("vector").flatten().to_numpy().reshape(len(rows), -1).astype(np.float64)
+
+
+def _index_blocks(batches: Iterator[pa.RecordBatch], projections: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [project(_vectors_of(rows)[1], projections) for rows in batch.column("vectors")]
+        values, order = pa.array([v.tobytes() for v, _ in made], pa.binary()), pa.array([o.tobytes() for _, o in made], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns, values, order], [*batch.schema.names, "values", "order"])
+
+
 def _search_blocks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
-            one = {name: batch.column(name)[row].values for name in ("vectors", "queries")}
-            (ids, data), (query_ids, queries) = ((x.field(0).to_numpy(), x.field(1).flatten().to_numpy().reshape(len(x), -1).astype(np.float64)) for x in one.values())
-            index = CollisionIndex(data, ids)
-            q, v, d = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
-            for query_id, query in zip(query_ids, queries, strict=True):
-                found, far = index.search(query, query_id, k)
-                q.append(np.full(len(found), query_id))
-                v.append(found)
-                d.append(far)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q)), pa.array(np.concatenate(v)), pa.array(np.concatenate(d))], ["query_id", "vec_id", "score"])
-
-
-def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Blocks of about ``size`` rows of one vector length; rows are dealt by a hash of their place and content."""
+            (ids, data), (query_ids, queries) = (_vectors_of(batch.column(name)[row]) for name in ("vectors", "queries"))
+            bounds = batch.column("queries")[row].values.field("bound").to_numpy(zero_copy_only=False)
+            values, order = (np.frombuffer(batch.column(name)[row].as_buffer(), dtype=kind).reshape(-1, len(ids)) for name, kind in (("values", np.float64), ("order", np.int32)))
+            found = [*CollisionIndex(data, ids, values, order).search(queries, query_ids, np.nan_to_num(bounds, nan=np.inf), k)]
+            q = np.repeat(query_ids, [len(v) for v, _ in found])
+            v, d = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(d)], ["query_id", "vec_id", "score"])
+
+
+def _dealt(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """Rows with the number of their block, of about ``size`` rows of one vector length, by a hash of place and content."""
     many = F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int")
-    counts = rows.groupBy("dim").agg(many.alias("parts"))
-    dealt = rows.join(F.broadcast(counts), "dim").withColumn("part", F.pmod(F.xxhash64("id", "vector"), F.col("parts")))  # a row per vector length
-    return dealt.groupBy("dim", "part").agg(F.collect_list(F.struct("id", "vector")).alias(name))
+    counts = rows.groupBy("dim").agg(many.alias("parts"))  # a row per vector length
+    return rows.join(F.broadcast(counts), "dim").withColumn(name, F.pmod(F.xxhash64("id", "vector"), F.col("parts")))
 
 
-def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, projections: int = PROJECTIONS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of each query row."""
     rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.size(vector_col).alias("dim"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     asked = rows.where("asks").groupBy("id").agg(F.min(F.struct("dim", "vector")).alias("q")).select("id", "q.vector", "q.dim")
-    blocks = materialize(_blocks(rows, block_rows, "vectors"), "vector-blocks")
-    probes = materialize(_blocks(asked, QUERY_ROWS, "queries").withColumnRenamed("part", "probe"), "query-blocks")
+    grouped = _dealt(rows, block_rows, "part").groupBy("dim", "part", "parts").agg(F.collect_list(F.struct("id", "vector")).alias("vectors"))
+    kind = f"dim int, part bigint, parts int, vectors {grouped.schema['vectors'].dataType.simpleString()}, values binary, order binary"
+    index = materialize(grouped.mapInArrow(lambda it: _index_blocks(it, projections), kind), "vector-index")
+    probes = materialize(_dealt(asked, query_rows, "probe").drop("parts"), "queries")
+    blocks = index.select("dim", "part", "parts")
+
+    def search(queries: DataFrame, met: Column) -> DataFrame:
+        together = queries.groupBy("dim", "probe").agg(F.collect_list(F.struct("id", "vector", "bound")).alias("queries"))
+        work = together.join(blocks, "dim").where(met).join(index.drop("parts"), ["dim", "part"]).repartition("dim", "part", "probe")
+        return work.select("vectors", "values", "order", "queries").mapInArrow(lambda it: _search_blocks(it, k), "query_id bigint, vec_id bigint, score double")
+
     # Every block of queries meets every block of vectors of its length: the stated queries against all rows.
-    work = probes.join(blocks.select("dim", "part"), "dim").join(blocks, ["dim", "part"]).repartition("dim", "part", "probe").select("vectors", "queries")
-    found = work.mapInArrow(lambda it: _search_blocks(it, k), "query_id bigint, vec_id bigint, score double")
+    own = F.col("part") == F.col("probe") % F.col("parts")
+    first = materialize(search(probes.withColumn("bound", F.lit(None).cast("double")), own), "first-block")
+    bounds = first.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.max("score")).alias("bound"))
+    found = first.unionByName(search(probes.join(bounds, "id", "left"), ~own))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
