@@ -3,16 +3,18 @@
 Texts are equal when identical after every character of ``[\\x20\\x09-\\x0D]`` is
 deleted.  The key is the 64-bit hash of that normal form.  A directory over the
 leading key bits doubles until no bucket holds more than ``capacity`` different
-keys, so each bucket is one contiguous key range.  Each range has one owner
-task, which walks its rows in key order, chains the texts of a key, tells chain
-members apart by comparing bytes, and writes its part of the index into the
+keys, to any depth; overfull buckets alone are counted again, so each bucket is one
+contiguous key range and the driver holds only where buckets begin.  Each range has
+one owner task, which walks its rows in key order, chains the texts of a key, tells
+chain members apart by comparing bytes, and writes its part of the index into the
 shared folder.  Copies met in the same input batch are folded into one head
 before the shuffle, so a text that makes up a third of the table reaches its
 owner as one row per batch.
 
 Null texts count as empty, and empty texts equal each other.  Of equal texts the
 row with the most code points in the original stays, then the smallest id; null
-ids lose ties.  Repeated ids are separate rows of the result.  An empty table
+ids lose ties.  Repeated rows are separate rows of the result, and exactly one row
+of a class is kept, also where rows tie or the winner has no id.  An empty table
 gives an empty result; extra columns of the input are not read.
 """
 
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import materialize, table, text_or_empty
@@ -35,37 +37,53 @@ def normal_form(text_col: str = "text"):
     return F.regexp_replace(text_or_empty(text_col), r"[\x20\x09-\x0D]+", "")
 
 
-def bucket_starts(counts: np.ndarray, capacity: int) -> np.ndarray:
-    """Directory: for every prefix of the deepest level, the first prefix of its bucket.
+def split_bucket(counts: np.ndarray, capacity: int) -> tuple[list[int], list[int]]:
+    """Halve a bucket until its parts fit: first prefixes of the parts, and prefixes that alone are overfull.
 
-    ``counts[p]`` is the number of different keys under prefix ``p``; its length
-    is a power of two.  Starting from one bucket, an overfull one splits by one
-    more bit (which doubles the directory when it was at global depth).
+    ``counts[p]`` is the number of different keys under child prefix ``p``; its
+    length is a power of two.
     """
-    size = len(counts)
-    owner = np.zeros(size, dtype=np.int64)
     sums = np.concatenate([[0], np.cumsum(counts)])
-    todo = [(0, size)]
+    starts, overfull, todo = [], [], [(0, len(counts))]
     while todo:
         start, width = todo.pop()
-        if width > 1 and sums[start + width] - sums[start] > capacity:
-            half = width // 2
-            todo += [(start, half), (start + half, half)]
+        if sums[start + width] - sums[start] <= capacity:
+            starts.append(start)
+        elif width == 1:
+            overfull.append(start)
         else:
-            owner[start : start + width] = start
-    return owner
+            todo += [(start, width // 2), (start + width // 2, width // 2)]
+    return sorted(starts), sorted(overfull)
 
 
-def directory(keys: DataFrame, capacity: int, depth: int) -> np.ndarray:
-    """The directory of a table of ``key``s; at most ``2 ** depth`` counts reach the driver."""
-    top = F.shiftrightunsigned("key", 64 - depth).alias("prefix")
-    counts = np.zeros(1 << depth, dtype=np.int64)
-    for row in keys.distinct().groupBy(top).count().toLocalIterator():
-        counts[row["prefix"]] = row["count"]
-    return bucket_starts(counts, capacity)
+def directory(keys: DataFrame, capacity: int, step: int = 4) -> np.ndarray:
+    """The first key of every bucket of a table of ``key``s, unsigned and in order.
 
-
-def _heads(batches: Iterator[pa.RecordBatch], owner: np.ndarray, depth: int) -> Iterator[pa.RecordBatch]:
+    The first depth follows the number of keys; buckets that are overfull there
+    are counted ``step`` bits deeper, and so on.
+    """
+    spark = keys.sparkSession
+    keys = materialize(keys.select("key").distinct(), "keys")
+    starts: list[int] = []
+    overfull, depth, more = [0], 0, (keys.count() // capacity).bit_length() + 1
+    while overfull:
+        deeper = min(64, depth + more)
+        rows = keys
+        if depth:
+            tops = spark.createDataFrame([(p,) for p in overfull], "top long")  # hardly ever more than a few
+            rows = keys.join(F.broadcast(tops), F.shiftrightunsigned("key", 64 - depth) == F.col("top"))
+        counts = {p: np.zeros(1 << deeper - depth, dtype=np.int64) for p in overfull}
+        for row in rows.groupBy(F.shiftrightunsigned("key", 64 - deeper).alias("prefix")).count().toLocalIterator():
+            top, child = divmod(row["prefix"] & (1 << 64) - 1, 1 << deeper - depth)
+            counts[top][child] = row["count"]
+        found = {p: split_bucket(c, capacity) for p, c in counts.items()}
+        starts += [((p << deeper - depth) + c) << 64 - deeper for p, (own, _) in found.items() for c in own]
+        overfull = [(p << deeper - depth) + c for p, (_, own) in found.items() for c in own]
+        depth, more = deeper, step
+    return np.sort(np.array(starts, dtype=np.uint64))
+
+
+def _heads(batches: Iterator[pa.RecordBatch], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Fold the equal texts of a batch into one head with its members."""
     for batch in batches:
         keys, norms = batch.column("key").to_numpy(), batch.column("norm")
@@ -74,10 +92,10 @@ def _heads(batches: Iterator[pa.RecordBatch], owner: np.ndarray, depth: int) ->
         for key, norm, i, n in zip(keys.tolist(), norms.cast(pa.binary()).to_pylist(), ids, chars, strict=True):
             members.setdefault((key, norm), []).append({"id": i, "chars": n})
         key = np.array([k for k, _ in members], dtype=np.int64)
-        prefix = (key.view(np.uint64) >> np.uint64(64 - depth)).astype(np.int64)
+        bucket = np.searchsorted(starts, key.view(np.uint64), side="right") - 1
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(owner[prefix] if len(key) else key),
+                pa.array(bucket.astype(np.int64)),
                 pa.array(key),
                 pa.array([t for _, t in members], pa.binary()),
                 pa.array(list(members.values()), pa.list_(pa.struct([("id", pa.int64()), ("chars", pa.int64())]))),
@@ -105,41 +123,41 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, depth: int = 16, key_bits: int = 64) -> DataFrame:
-    """Index rows ``(bucket, key, link, sha256, id, chars)``, one per input row, from shared files.
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 14, key_bits: int = 64) -> DataFrame:
+    """Index rows ``(bucket, key, link, sha256, id, chars, row)``, one per input row, from shared files.
 
-    ``(key, link)`` names a class of equal texts.  ``key_bits`` below 64 coarsens
-    the hash, which only makes chains longer.
+    ``(key, link)`` names a class of equal texts, ``row`` a row.  ``key_bits`` below
+    64 coarsens the hash, which only makes chains longer.
     """
     spark = docs.sparkSession
+    def key_of(norm: Column) -> Column:
+        key = F.xxhash64(norm)
+        return key if key_bits >= 64 else F.shiftleft(F.shiftrightunsigned(key, 64 - key_bits), 64 - key_bits)
+
     norm = normal_form(text_col)
-    key = F.xxhash64(norm)
-    if key_bits < 64:
-        key = F.shiftleft(F.shiftrightunsigned(key, 64 - key_bits), 64 - key_bits)
-    owner = spark.sparkContext.broadcast(directory(docs.select(key.alias("key")), capacity, depth))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.length(text_or_empty(text_col)).cast("long").alias("chars"), norm.alias("norm")).withColumn(
-        "key", F.xxhash64("norm") if key_bits >= 64 else F.shiftleft(F.shiftrightunsigned(F.xxhash64("norm"), 64 - key_bits), 64 - key_bits)
-    )
-    heads = rows.mapInArrow(lambda it: _heads(it, owner.value, depth), f"bucket bigint, key bigint, norm binary, members array<{MEMBER}>")
+    starts = spark.sparkContext.broadcast(directory(docs.select(key_of(norm).alias("key")), capacity))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.length(text_or_empty(text_col)).cast("long").alias("chars"), norm.alias("norm")).withColumn("key", key_of(F.col("norm")))
+    heads = rows.mapInArrow(lambda it: _heads(it, starts.value), f"bucket bigint, key bigint, norm binary, members array<{MEMBER}>")
     owned = heads.repartition("bucket").sortWithinPartitions("bucket", "key")
     index = owned.mapInArrow(_own, f"bucket bigint, key bigint, link int, sha256 string, members array<{MEMBER}>")
-    return materialize(index.select("bucket", "key", "link", "sha256", F.explode("members").alias("m")).select("bucket", "key", "link", "sha256", "m.id", "m.chars"), "hash-index")
+    members = index.select("bucket", "key", "link", "sha256", F.explode("members").alias("m")).select("bucket", "key", "link", "sha256", "m.id", "m.chars")
+    return materialize(members.withColumn("row", F.monotonically_increasing_id()), "hash-index")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **index_options) -> DataFrame:
     """One row per input row: ``id_col, keep_id, group_size, kept, text_sha256``."""
     index = build_index(docs, id_col, text_col, **index_options)
-    best = F.min(F.struct((-F.col("chars")).alias("less"), F.col("id").isNull().alias("no_id"), F.col("id").alias("keep_id")))
+    best = F.min(F.struct((-F.col("chars")).alias("less"), F.col("id").isNull().alias("no_id"), F.col("id").alias("keep_id"), F.col("row").alias("keep_row")))
     classes = index.groupBy("key", "link").agg(F.count("*").alias("group_size"), best.alias("best"))
-    many = classes.where("group_size > 1").select("key", "link", "group_size", F.col("best.keep_id").alias("keep_id"), F.lit(True).alias("shared"))
+    many = classes.where("group_size > 1").select("key", "link", "group_size", "best.keep_id", "best.keep_row")
     many = materialize(many, "classes")  # so that the join has a shuffle of its own, which may be split where a class is hot
     rows = index.join(many, ["key", "link"], "left")
-    keep = F.when(F.col("shared"), F.col("keep_id")).otherwise(F.col("id"))
+    shared = F.col("keep_row").isNotNull()
     return rows.select(
         F.col("id").alias(id_col),
-        keep.alias("keep_id"),
+        F.when(shared, F.col("keep_id")).otherwise(F.col("id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("id").eqNullSafe(keep).alias("kept"),
+        F.when(shared, F.col("row") == F.col("keep_row")).otherwise(True).alias("kept"),
         F.col("sha256").alias("text_sha256"),
     )
 
@@ -155,6 +173,6 @@ WITH n AS (
   FROM documents),
 g AS (
   SELECT norm, count(*) AS group_size, arg_min(doc_id, (-chars, doc_id)) AS keep_id FROM n GROUP BY norm)
-SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.norm) AS text_sha256
+SELECT n.doc_id, g.keep_id, g.group_size, row_number() OVER (PARTITION BY n.norm ORDER BY n.chars DESC, n.doc_id) = 1 AS kept, sha256(n.norm) AS text_sha256
 FROM n JOIN g ON n.norm = g.norm
 """
