@@ -1,19 +1,22 @@
 """Boilerplate lines by their frequency within a site.
 
-Pages are grouped by host.  A line's frequency is the number of the host's pages
-that contain it, divided by the number of the host's pages; lines over the ratio
-(and on enough pages to tell) are boilerplate and are dropped from every page of
-that host.  Different lines of a page count once each.
-
-Counts combine before the shuffle, so neither a hot host nor a hot line gathers
-in one task.  The boilerplate of a host has at most (lines of its average page) /
-ratio entries; it is joined to the pages as one array per host, by host, and pages
-are filtered in place, so no page's lines are scattered and collected again.
-
-Null texts stay null; a null host is a site of its own; a page may end up empty.
-Repeated rows count as pages of their own.  White space at the ends of a line
-does not tell lines apart, and blank lines are never boilerplate.  Columns of the
-input are kept.
+Pages are grouped by site, which is the host of their URL where they have one
+(``host_of``).  A line's frequency is the number of the site's pages that contain
+it, divided by the number of the site's pages; lines over the ratio are boilerplate
+and are dropped from every page of that site.  A line on a single page (fewer than
+``min_pages``) repeats nothing and stays, whatever the size of its site.  Different
+lines of a page count once each; a share of exactly the ratio is not over it.
+
+Counts combine before the shuffle, so neither a hot host nor a hot line gathers in
+one task.  The boilerplate of a site has at most (lines of its average page) / ratio
+entries, one array per site.  All of it is measured: up to ``BROADCAST_BYTES`` it is
+broadcast and pages don't move; beyond, pages and arrays are joined by site and
+salt, so that a hot site spreads over many tasks.  Pages are filtered in place.
+
+Null texts stay null; a null site is a site of its own; a page may end up empty, and
+an empty table gives no rows.  Repeated rows count as pages of their own.  White
+space at the ends of a line does not tell lines apart, and blank lines are never
+boilerplate.  Columns of the input are kept, also ones named like those used here.
 """
 
 from __future__ import annotations
@@ -21,9 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import table
+from quillspark.llm.common import materialize, table
 
-RATIO, MIN_PAGES = 0.1, 10
+RATIO, MIN_PAGES = 0.1, 2
+#: Boilerplate of all sites that is broadcast at most, and tasks that a site's pages are spread over beyond.
+BROADCAST_BYTES, SALTS = 32 << 20, 64
 BLANKS = " \t\r\f\v"
 
 
@@ -45,22 +50,40 @@ def boilerplate(pages: DataFrame, site: Column, text_col: str = "text", ratio: f
     return often.groupBy("site").agg(F.collect_list("line").alias("lines"))
 
 
+def _joined(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """``pages(site, page)`` with the ``lines`` of their site (null: none)."""
+    same = F.col("site").eqNullSafe(F.col("its"))
+    size = found.agg(F.sum(F.octet_length(F.array_join("lines", "")) + 8 * F.size("lines"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return pages.join(F.broadcast(found), same, "left")
+    spread = found.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = pages.withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, same & (F.col("salt") == F.col("copy")), "left")
+
+
 def drop_boilerplate(pages: DataFrame, site: Column, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, count_col: str | None = None) -> DataFrame:
     """Pages with boilerplate lines taken out of ``text_col``; ``count_col`` gets the number of lines dropped."""
-    found = boilerplate(pages, site, text_col, ratio, min_pages).withColumnsRenamed({"site": "__site", "lines": "__lines"})
-    joined = pages.withColumn("__own", site).join(found, F.col("__own").eqNullSafe(F.col("__site")), "left")
-    parts = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(parts, lambda line: ~F.array_contains(F.col("__lines"), _key(line)))
-    none = F.col("__lines").isNull() | F.col(text_col).isNull()
-    cleaned = F.when(none, F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    columns = {text_col: cleaned}
+    found = materialize(boilerplate(pages, site, text_col, ratio, min_pages).withColumnRenamed("site", "its"), "boilerplate")
+    joined = _joined(pages.select(site.alias("site"), F.struct(*pages.columns).alias("page")), found)
+    text = F.col("page").getField(text_col)
+    parts = F.split(text, "\n", -1)
+    gone = F.array_intersect(F.transform(parts, _key), "lines")  # by hashing: a page meets few of its site's lines
+    cut = joined.select("page", text.alias("text"), parts.alias("parts"), gone.alias("gone"))
+    kept = F.filter("parts", lambda line: ~F.array_contains("gone", _key(line)))
+    none = F.col("gone").isNull() | (F.size("gone") == 0)
+    columns = {c: F.col("page").getField(c) for c in pages.columns}
+    columns[text_col] = F.when(none, F.col("text")).otherwise(F.array_join(kept, "\n"))
     if count_col:
-        columns[count_col] = F.when(none, 0).otherwise(F.size(parts) - F.size(kept))
-    return joined.withColumns(columns).drop("__own", "__site", "__lines")
+        columns[count_col] = F.when(none, 0).otherwise(F.size("parts") - F.size(kept))
+    return cut.select(F.struct(*(value.alias(name) for name, value in columns.items())).alias("row")).select("row.*")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by source, which stands for their site: what stays of each, by digest, and how many lines went."""
+    """Documents by source: what stays of each, by digest, and how many lines went.
+
+    Documents have no URL, so ``source`` is their site; the HTML of ``pages``, which
+    have one, is a single line each and holds nothing to drop.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     cleaned = drop_boilerplate(docs, F.col("source"), count_col="lines_dropped")
     return cleaned.select(
@@ -79,7 +102,7 @@ t AS (SELECT source, count(*) AS pages FROM p GROUP BY source),
 b AS (
   SELECT k.source, k.key FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source WHERE k.key <> ''
   GROUP BY k.source, k.key, t.pages
-  HAVING count(DISTINCT r) >= 10 AND count(DISTINCT r) > 0.1::DOUBLE * t.pages),
+  HAVING count(DISTINCT r) >= 2 AND count(DISTINCT r) > 0.1::DOUBLE * t.pages),
 j AS (SELECT k.r, k.line, k.pos, b.key IS NOT NULL AS gone FROM k LEFT JOIN b ON k.key = b.key AND k.source IS NOT DISTINCT FROM b.source),
 s AS (
   SELECT r, count(*) FILTER (WHERE gone) AS lines_dropped,
