@@ -9,7 +9,8 @@ radius agree on two of them at least, so every pair of blocks is a sharding key
 and the links are found inside shards.  A shard's BK-tree keys each child by its
 integer distance to the parent, and a probe follows only edges within the radius
 of its own distance.  Shards over ``shard_rows`` fingerprints are split; each of
-their trees (of bounded size) is then sent to every probe block of the same key.
+their trees (of bounded size) is then sent to every probe block of the same key -
+to those alone, as all trees together grow with the corpus and may not be broadcast.
 A shard emits the links of a spanning forest only, so a group never becomes all
 its pairs, and no link between different fingerprints is lost.
 
@@ -285,11 +286,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = rows.groupBy("fp").agg(F.min("id").alias("first"))
     roots = materialize(connected_components(fingerprint_links(firsts.select("fp"), radius, shard_rows)), "roots").select(F.col("node").alias("fp"), "root")
     named = firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(lowest, "root").select("fp", "component_id")
+    classes = _classes(named, "fp")
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def _classes(named: DataFrame, node: str) -> DataFrame:
+    """``(node, root, component_id)`` of ``named(node, root, first)``, the smallest ``first`` of each root.
+
+    Both steps are written out, so that the joins have shuffles of their own,
+    which adaptive execution may split where a group or a node is hot.
+    """
+    lowest = materialize(named.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
+    return materialize(named.join(lowest, "root").select(node, "root", "component_id"), "classes")
+
+
 def sketch(text: bytes, words: int) -> tuple[int, bytes, list[int], int, int]:
     """Of the set of a text's word shingles: fingerprint, signature (one-permutation min-hash), shard keys (min-hashes), hash and size."""
     hashes = np.unique(shingle_hashes(text, words).astype(np.uint64))
@@ -345,9 +355,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     nodes = rows.groupBy("node").agg(F.min(F.struct("fp", "sig", "keys", "size", "row")).alias("s")).select("node", "s.*")
     keyed = nodes.select("node", "fp", "sig", "size", "row", F.posexplode("keys").alias("t", "key"))
     roots = materialize(connected_components(sharded_links(keyed, radius, shard_rows, similarity, sets_of)), "roots")
-    named = rows.select("id", "fp", "row", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    return named.join(lowest, "root").select(F.col("id").alias(id_col), "fp", "component_id", "row", "root")
+    firsts = rows.groupBy("node").agg(F.min("id").alias("first"))
+    classes = _classes(firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "node")
+    return rows.join(classes, "node").select(F.col("id").alias(id_col), "fp", "component_id", "row", "root")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
