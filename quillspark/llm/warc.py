@@ -9,7 +9,8 @@ to the responses they refer to.
 
 Spark's text writer lays the records down, with the record end as its line
 separator, so any file system Spark knows will do and a lost task is simply
-written again.  Null payloads are empty; a null URL leaves its header out; rows
+written again.  Rows are dealt to as many files as their bytes ask for, in the
+same shuffle that finds revisits; a reading task holds one packed file.  Null payloads are empty; a null URL leaves its header out; rows
 that tie on the largest id (repeated rows) are all responses, and so is every
 row with a null id.  Empty tables give no rows; extra columns are not read.
 """
@@ -32,8 +33,8 @@ from quillspark.llm.common import materialize, scratch_path, table, text_or_empt
 CRLF = "\r\n"
 RECORD_END = CRLF * 2
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records in one archive file at most; a file is read by one task, record by record.
-FILE_RECORDS = 4096
+#: Payload bytes of an archive file on average, and records in one at most.
+FILE_BYTES, FILE_RECORDS = 32 << 20, 4096
 #: Payload bytes handed on at a time while reading.
 BATCH_BYTES = 8 << 20
 
@@ -75,10 +76,12 @@ def record_text(date: str) -> Column:
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write one record per row of ``pages`` as gzip WARC files under ``path``."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), text_or_empty(html_col).alias("payload"))
+    total = rows.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
     rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
     heads = rows.select("id", "bytes", "digest")
     revisits = resolve_revisits(heads, min_bytes).where("refers_to is not null").distinct()
-    marked = rows.join(revisits, ["id", "bytes", "digest"], "left")
+    dealt = rows.repartition(1 + total // FILE_BYTES, "id", "bytes", "digest")
+    marked = dealt.join(revisits, ["id", "bytes", "digest"], "left")
     marked.select(record_text(date).alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
