@@ -6,8 +6,8 @@ list of bytes, lowest rank first and leftmost on ties.  The tables are built on
 the driver from the rank file (bounded by the vocabulary) and broadcast.
 
 Nulls encode as the empty text; an empty text gives no ids; texts of any length
-are encoded whole.  Repeated rows stay repeated rows.  Columns of the input that
-clash with an output column are replaced by it.
+are encoded whole.  Repeated rows stay repeated rows, and an empty table gives no
+rows.  Columns of the input that clash with an output column are replaced by it.
 """
 
 from __future__ import annotations
@@ -199,10 +199,15 @@ class Codec:
             if ids is None:
                 ids = self.piece_ids(piece)
                 if key and len(piece) < MEMO_CHARS:
-                    memo[key] = ids
+                    self.remember(key, ids)
             parts.append(ids)
         return b"".join(parts)
 
+    def remember(self, unit: str, ids: bytes) -> None:
+        if len(self.memo) >= MEMO_ENTRIES:
+            self.memo.clear()
+        self.memo[unit] = ids
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, dtype=np.int32)
@@ -211,15 +216,13 @@ class Codec:
         del units[0]
         found = [*map(memo.get, units)]
         if None in found:
-            if len(memo) > MEMO_ENTRIES:
-                memo.clear()
             for at, unit in enumerate(units):
                 if found[at] is None:
                     ids = memo.get(unit)
                     if ids is None:
                         ids = self.unit_ids(unit)
                         if len(unit) < MEMO_CHARS:
-                            memo[unit] = ids
+                            self.remember(unit, ids)
                     found[at] = ids
         return np.frombuffer(b"".join(parts + found), dtype="<i4")
 

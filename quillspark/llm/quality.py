@@ -13,7 +13,8 @@ driver averages the results, whose size and number are fixed.
 
 Null and empty texts have no features and are judged by the thresholds alone.
 Repeated rows are judged alike; rows without labels are not learnt from; with
-fewer than two grades every document is kept.  Extra columns are passed on.
+fewer than two grades every document is kept.  An empty table gives no rows; extra
+columns are passed on, but one named like the output is replaced by it.
 """
 
 from __future__ import annotations
@@ -42,13 +43,13 @@ MEMO_ENTRIES, MEMO_CHARS = 200_000, 40
 
 
 def shape(unit: str) -> str:
-    """A word's form: runs of capitals as ``A``, other letters ``a``, digits ``0``; the rest as it stands, shortened."""
+    """A word's form, whole: runs of capitals as ``A``, other letters ``a``, digits ``0``; the rest as it stands."""
     out: list[str] = []
-    for c in unit[:64]:
+    for c in unit:
         mark = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if mark not in "Aa0" or not out or out[-1] != mark:
             out.append(mark)
-    return "".join(out)[:12]
+    return "".join(out)
 
 
 def _bucket(key: str) -> int:
@@ -67,14 +68,14 @@ class Featurizer:
             return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.float32)
         found = [*map(memo.get, units)]
         if None in found:
-            if len(memo) > MEMO_ENTRIES:
-                memo.clear()
             for i, unit in enumerate(units):
                 if found[i] is None:
                     both = memo.get(unit)
                     if both is None:
                         both = _bucket("w" + unit.lower()) << 32 | _bucket("s" + shape(unit))
                         if len(unit) < MEMO_CHARS:
+                            if len(memo) >= MEMO_ENTRIES:
+                                memo.clear()
                             memo[unit] = both
                     found[i] = both
         both = np.array(found, dtype=np.int64)
@@ -133,6 +134,7 @@ def _round(state: Broadcast, rank: dict[int, int], number: int) -> Callable[[pa.
     """One task's part of a round: its rows' refinement of the shared weights."""
 
     def work(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("hash", "ascending"), ("label", "ascending")])  # the shuffle's order must not count
         labels, ats, values = group["label"].to_pylist(), group["at"].combine_chunks(), group["value"].combine_chunks()
         own = [(rank[g], a.values.to_numpy(), v.values.to_numpy().astype(np.float64)) for g, a, v in zip(labels, ats, values, strict=True)]
         order = np.random.default_rng(number).permutation(len(own))
@@ -151,11 +153,11 @@ def fit_quality(sample: DataFrame) -> OrdinalModel:
         for batch in batches:
             rows = [featurize(t.as_py()) for t in batch.column("text")]
             kinds = pa.list_(pa.int32()), pa.list_(pa.float32())
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("part"), pa.array([a for a, _ in rows], kinds[0]), pa.array([v for _, v in rows], kinds[1])], ["label", "part", "at", "value"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("label", "part", "hash")), pa.array([a for a, _ in rows], kinds[0]), pa.array([v for _, v in rows], kinds[1])], ["label", "part", "hash", "at", "value"])
 
     # A row's task is fixed by its text, so every run and every lost task sees the same rows.
-    parted = sample.select("text", F.col("label").cast("int").alias("label"), F.pmod(F.xxhash64("text"), F.lit(TASKS)).cast("int").alias("part"))
-    rows = materialize(parted.mapInArrow(extract, "label int, part int, at array<int>, value array<float>"), "quality-features")
+    parted = sample.select("text", F.col("label").cast("int").alias("label"), F.xxhash64("text").alias("hash")).withColumn("part", F.pmod("hash", F.lit(TASKS)).cast("int"))
+    rows = materialize(parted.mapInArrow(extract, "label int, part int, hash bigint, at array<int>, value array<float>"), "quality-features")
     grades = sorted(r["label"] for r in rows.select("label").distinct().collect())
     n = max(1, len(grades) - 1)
     model = OrdinalModel(np.zeros(BUCKETS), np.linspace(-1, 1, n) if n > 1 else np.zeros(1), grades, featurize)

@@ -37,6 +37,8 @@ def without_near_copies(sample: DataFrame, words: int = 5) -> DataFrame:
 
     Two hashes are tried in turn, so hardly a near copy is left.  Counts over a
     sample then tell how often something was written, not how often it was copied.
+    Of several rows that with the smallest hash of its text stays, then the larger
+    label, so every run keeps the same ones.
     """
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -51,5 +53,6 @@ def without_near_copies(sample: DataFrame, words: int = 5) -> DataFrame:
 
     kept = sample.withColumn("sketch", sketch("text"))
     for i in (0, 1):
-        kept = kept.withColumn("key", F.get("sketch", F.lit(i))).dropDuplicates(["key"])
+        first = F.min(F.struct(F.xxhash64("text").alias("hash"), (-F.col("label")).alias("less"), "text", "label", "sketch"))
+        kept = kept.groupBy(F.get("sketch", F.lit(i)).alias("key")).agg(first.alias("r")).select("r.*")
     return kept.select("text", "label")

@@ -16,7 +16,8 @@ training documents turns it into a score.
 
 Null and empty texts have no segment and get the score of no evidence.  Texts
 are scanned whole.  Repeated rows score alike; null labels are not learnt from,
-and without any labels every document gets score 0.  Extra columns are passed on.
+and without any labels every document gets score 0.  An empty table gives no rows;
+extra columns are passed on, but one named like the output is replaced by it.
 """
 
 from __future__ import annotations
@@ -110,14 +111,14 @@ class ToxicityModel:
         memo, units = self.memo, text.split()
         found = [*map(memo.get, units)]
         if None in found:
-            if len(memo) > MEMO_ENTRIES:
-                memo.clear()
             for i, unit in enumerate(units):
                 if found[i] is None:
                     score = memo.get(unit)
                     if score is None:
                         score = self.token_score(unit)
                         if len(unit) < MEMO_CHARS:
+                            if len(memo) >= MEMO_ENTRIES:
+                                memo.clear()
                             memo[unit] = score
                     found[i] = score
         scores = np.array(found, dtype=np.float64)
