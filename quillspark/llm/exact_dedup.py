@@ -123,7 +123,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 14, key_bits: int = 64) -> DataFrame:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, key_bits: int = 64) -> DataFrame:
     """Index rows ``(bucket, key, link, sha256, id, chars, row)``, one per input row, from shared files.
 
     ``(key, link)`` names a class of equal texts, ``row`` a row.  ``key_bits`` below
