@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.functions.url import resolved
+
 # Elements left out with all they hold, and elements that part paragraphs.
 SKIPPED = frozenset("script style noscript nav header footer aside svg iframe template form select button".split())
 BLOCKS = frozenset("p div section article h1 h2 h3 h4 h5 h6 li tr br blockquote dt dd pre figcaption".split())
@@ -32,12 +34,12 @@ class _Reader(HTMLParser):
             self.skipping.append(tag)
             return
         given = dict(reversed(attrs))
-        if tag == "title" and self.title is None:
+        if tag == "title" and not (self.title or "").strip():
             self.in_title, self.title = True, ""
         elif tag == "a" and given.get("href"):
             self.links.append(given["href"])
         elif tag == "img" and (given.get("alt") or "").strip():
-            self.parts.append(given["alt"].strip() + " ")
+            self.parts.append(given["alt"].strip() + "\n\n")
         if tag in BLOCKS:
             self.parts.append("\n\n")
 
@@ -65,14 +67,19 @@ class _Reader(HTMLParser):
             self.parts.append(data.strip() + " ")
 
 
-@F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("raw", T.StringType()), T.StructField("hrefs", T.ArrayType(T.StringType()))]))
-def read_html(pages: pd.Series) -> pd.DataFrame:
-    """Title, untidied text and links in order of a page (null: empty); ``text.tidy`` finishes the text."""
+@F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("raw", T.StringType()), T.StructField("links", T.ArrayType(T.StringType()))]))
+def read_html(pages: pd.Series, urls: pd.Series) -> pd.DataFrame:
+    """Title, untidied text and links of a page (null: empty); ``text.tidy`` finishes the text.
+
+    Links are absolute, in order and each once; those that don't resolve go.
+    """
 
-    def one(page: str | None) -> tuple[str, str, list[str]]:
+    def one(page: str | None, url: str | None) -> tuple[str, str, list[str]]:
         reader = _Reader()
         reader.feed(page or "")
         reader.close()
-        return (reader.title or "").strip(), "".join(reader.parts), list(dict.fromkeys(reader.links))
+        links = dict.fromkeys(resolved(url, href) for href in reader.links)
+        links.pop("", None)
+        return (reader.title or "").strip(), "".join(reader.parts), list(links)
 
-    return pd.DataFrame([one(p) for p in pages], columns=["title", "raw", "hrefs"])
+    return pd.DataFrame([one(p, u) for p, u in zip(pages, urls, strict=True)], columns=["title", "raw", "links"])

@@ -205,3 +205,27 @@ def echo_reply(prompt: Column, marker: str = "[ECHO]") -> Column:
     """What the stand-in model says: the prompt's sources."""
     parts = F.split(prompt, "SOURCES:", 2)
     return F.concat(F.lit(f"{marker}\n"), trim_space(F.coalesce(F.get(parts, F.lit(1)), prompt)))
+
+
+def empty_crawl(skipped: Column, summary: Column) -> Column:
+    """Why a crawl has no pages, from how many were left out and their summary."""
+    return F.when(skipped == 0, "we could not read any pages from this address").otherwise(F.concat(F.lit("no pages could be indexed. "), summary))
+
+
+def format_number(n: Column) -> Column:
+    """A whole number with commas between thousands."""
+    return F.format_number(n, 0)
+
+
+def plural_category(language: Column, n: Column) -> Column:
+    """The plural form a whole number takes in English or Arabic."""
+    hundred = n % 100
+    arabic = F.when(n == 0, "zero").when(n == 1, "one").when(n == 2, "two").when(hundred.between(3, 10), "few").when(hundred.between(11, 99), "many").otherwise("other")
+    return F.when(language == "ar", arabic).when(n == 1, "one").otherwise("other")
+
+
+def plural(language: Column, n: Column, forms: Column) -> Column:
+    """A number with its noun from a map of forms; Arabic none, one and two are told by the noun alone."""
+    category = plural_category(language, n)
+    noun = F.coalesce(forms[category], forms["other"], F.lit(""))
+    return F.when((language == "ar") & category.isin("zero", "one", "two"), noun).otherwise(F.concat(format_number(n), F.lit(" "), noun))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import urldefrag, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -111,22 +112,21 @@ def checked_url(url: Column) -> Column:
     return F.coalesce(scheme.isin("http", "https") & (h != "") & (~literal | public_ipv4(h)), F.lit(False))
 
 
-@F.pandas_udf(T.StringType())
-def resolve_url(base: pd.Series, href: pd.Series) -> pd.Series:
+def resolved(base: str | None, href: str | None) -> str:
     """Absolute http(s) URL of a link without its fragment; '' for empty, fragment-only and other-scheme links."""
-    from urllib.parse import urldefrag, urljoin, urlsplit
+    href = (href or "").strip()
+    if not href or href.startswith("#"):
+        return ""
+    try:
+        full = urldefrag(urljoin(base or "", href)).url
+        return full if urlsplit(full).scheme in ("http", "https") else ""
+    except ValueError:
+        return ""
 
-    def one(b: str | None, h: str | None) -> str:
-        h = (h or "").strip()
-        if not h or h.startswith("#"):
-            return ""
-        try:
-            full = urldefrag(urljoin(b or "", h)).url
-            return full if urlsplit(full).scheme in ("http", "https") else ""
-        except ValueError:
-            return ""
 
-    return pd.Series([one(b, h) for b, h in zip(base, href, strict=True)])
+@F.pandas_udf(T.StringType())
+def resolve_url(base: pd.Series, href: pd.Series) -> pd.Series:
+    return pd.Series([resolved(b, h) for b, h in zip(base, href, strict=True)])
 
 
 @F.pandas_udf(T.StringType())

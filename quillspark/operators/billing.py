@@ -4,37 +4,53 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EVENT = "struct<id: string, type: string, created: bigint, data: struct<object: struct<id: string, status: string, cancel_at_period_end: boolean, metadata: map<string, string>, customer: struct<id: string>, subscription: struct<id: string>, items: struct<data: array<struct<price: struct<id: string>, current_period_end: bigint>>>>>>"
+from quillspark.sources.shared import materialize
+
+EVENT = "struct<id: string, type: string, created: bigint, data: struct<object: struct<id: string, status: string, cancel_at_period_end: boolean, metadata: map<string, string>, customer: string, subscription: string, items: struct<data: array<struct<price: struct<id: string>, current_period_end: bigint>>>>>>"
 PAID = ("active", "trialing", "past_due")
 
 
 def parse_events(raw: DataFrame, body_col: str = "body") -> DataFrame:
-    """Fields of webhook bodies that the fold reads; extra columns are kept."""
+    """Fields of webhook bodies that the fold reads; extra columns are kept.
+
+    A customer or subscription is an object with an id, or the id itself.
+    """
+    plain = lambda c: F.coalesce(F.get_json_object(c, "$.id"), c, F.lit(""))
     e = raw.withColumn("__e", F.from_json(body_col, EVENT))
     o, item = "__e.data.object", F.get(F.col("__e.data.object.items.data"), F.lit(0))
     return e.select(
         *raw.columns, F.col("__e.id").alias("event_id"), F.col("__e.type").alias("type"), F.col(f"{o}.id").alias("object_id"), F.col(f"{o}.status").alias("status"),
         F.coalesce(f"{o}.cancel_at_period_end", F.lit(False)).alias("cancel_at_period_end"), F.col(f"{o}.metadata")["account_id"].alias("account_id"),
-        F.coalesce(f"{o}.customer.id", F.lit("")).alias("customer_id"), F.coalesce(f"{o}.subscription.id", F.lit("")).alias("subscription_id"),
+        plain(F.col(f"{o}.customer")).alias("customer_id"), plain(F.col(f"{o}.subscription")).alias("subscription_id"),
         F.coalesce(item["price"]["id"], F.lit("")).alias("price_id"), item["current_period_end"].alias("period_end"),
     )
 
 
-def signature_valid(body: Column, header: Column, secret: str) -> Column:
-    """Whether a ``t=…,v1=…`` header signs the raw body."""
+# Fixed value: seconds by which a signature may be older than its delivery.
+TOLERANCE = 300
+
+
+def signature_valid(body: Column, header: Column, secret: str, now: int | None = None) -> Column:
+    """Whether any ``v1`` of a ``t=…,v1=…`` header signs the raw body, at most five minutes before ``now`` (epoch seconds, if given)."""
 
     @F.pandas_udf(T.BooleanType())
     def check(bodies: pd.Series, headers: pd.Series) -> pd.Series:
         def one(b: str | None, h: str | None) -> bool:
-            parts = dict(x.split("=", 1) for x in (h or "").split(",") if "=" in x)
-            made = hmac.new(secret.encode(), f"{parts.get('t', '')}.{b or ''}".encode(), hashlib.sha256).hexdigest()
-            return hmac.compare_digest(made, parts.get("v1", ""))
+            parts = [x.strip().split("=", 1) for x in (h or "").split(",") if "=" in x]
+            at = dict(parts).get("t", "")
+            if not at.isdigit() or (now is not None and now - int(at) > TOLERANCE):
+                return False
+            made = hmac.new(secret.encode(), f"{at}.{b or ''}".encode(), hashlib.sha256).hexdigest()
+            return any(k == "v1" and hmac.compare_digest(made.encode(), v.encode()) for k, v in parts)
 
         return pd.Series([one(b, h) for b, h in zip(bodies, headers, strict=True)])
 
@@ -51,53 +67,116 @@ def plan_for_status(status: Column, plan: Column) -> Column:
     return F.when(status.isin(*PAID), plan).otherwise("free")
 
 
+#: Fields of an account that events set.
+FIELDS = ("plan", "subscription_status", "stripe_customer_id", "stripe_subscription_id", "stripe_price_id", "cancel_at_period_end", "current_period_end")
+# Types of events that are applied.
+CHECKOUT, FAILED, DELETED, SUBSCRIPTION = "checkout.session.completed", "invoice.payment_failed", "customer.subscription.deleted", "customer.subscription."
+
+
+def _result(event: dict, accounts: dict[str, dict]) -> str:
+    """Apply one event to the accounts of its group, and say what was done."""
+    # The sentences that the ledger keeps.
+    kind, sub, customer = event["type"], event["object_id"], event["customer_id"]
+    by = lambda field, value: next((a for _, a in sorted(accounts.items()) if value and a[field] == value), None)
+    if kind == CHECKOUT:
+        if not event["account_id"]:
+            return "no account_id in metadata"
+        account = accounts.get(event["account_id"])
+        if account is None:
+            return f"unknown account {event['account_id']}"
+        account["stripe_customer_id"] = customer or account["stripe_customer_id"]
+        account["stripe_subscription_id"] = event["subscription_id"] or account["stripe_subscription_id"]
+        return f"linked stripe customer to account {event['account_id']}"
+    if kind == FAILED:
+        account = by("stripe_customer_id", customer)
+        if not customer:
+            return "invoice without a customer"
+        if account is None:
+            return f"no account for customer {customer}"
+        account["subscription_status"] = "past_due"
+        return "payment failed; plan unchanged pending Stripe retries"
+    if kind not in (DELETED, f"{SUBSCRIPTION}created", f"{SUBSCRIPTION}updated"):
+        return "ignored"
+    account = by("stripe_subscription_id", sub) or by("stripe_customer_id", customer)
+    if account is None:
+        return f"no account for subscription {sub}"
+    if kind == DELETED:
+        account.update(plan="free", subscription_status="canceled", stripe_subscription_id="", stripe_price_id="", cancel_at_period_end=False)
+        return "downgraded to free"
+    if event["price_plan"] is None:
+        return f"unmapped price {event['price_id']}"
+    plan = event["price_plan"] if event["status"] in PAID else "free"
+    account.update(plan=plan, subscription_status=event["status"], stripe_subscription_id=sub, stripe_price_id=event["price_id"], cancel_at_period_end=bool(event["cancel_at_period_end"]))
+    if (event["period_end"] or 0) > 0:
+        account["current_period_end"] = datetime.fromtimestamp(event["period_end"], UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    return f"plan={plan} status={event['status']}"
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Walk groups in order, accounts before events; only the accounts of the group at hand are held."""
+    now, accounts = None, {}
+    row = lambda **x: dict.fromkeys(OUT.names) | x
+    told = lambda: [row(account=k, **v) for k, v in accounts.items()]
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            if r["group"] != now:
+                out += told()
+                now, accounts = r["group"], {}
+            if r["seq"] is None:
+                accounts[r["account"]] = {f: r[f] for f in FIELDS}
+            else:
+                out.append(row(event_id=r["event_id"], type=r["type"], result=_result(r, accounts)))
+        yield pa.RecordBatch.from_pylist(out, schema=OUT)
+    yield pa.RecordBatch.from_pylist(told(), schema=OUT)
+
+
+OUT = pa.schema([(c, pa.bool_() if c == "cancel_at_period_end" else pa.string()) for c in ("account", *FIELDS, "event_id", "type", "result")])
+
+
+def _groups(links: DataFrame) -> DataFrame:
+    """``(node, group)``: the smallest node that links ``(a, b)`` lead to; rounds follow the longest chain of ids."""
+    both = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "billing-links")
+    found = materialize(both.select(F.col("a").alias("node")).distinct().withColumn("group", F.col("node")), "billing-groups")
+    while True:
+        near = both.join(found.select(F.col("node").alias("b"), "group"), "b").groupBy(F.col("a").alias("node")).agg(F.min("group").alias("near"))
+        lower = found.join(near, "node", "left").select("node", F.least("group", "near").alias("group"), (F.col("near") < F.col("group")).alias("moved"))
+        lower = materialize(lower, "billing-groups")
+        found = lower.drop("moved")
+        if not lower.where("moved").take(1):
+            return found
+
+
 def apply_events(accounts: DataFrame, events: DataFrame, prices: DataFrame, order_col: str = "seq") -> tuple[DataFrame, DataFrame]:
     """``(accounts after all events, ledger rows with their result)``.
 
-    Events find their account by metadata (checkout), else by subscription id,
-    else by customer id; ids that checkouts link count for later events.  Each
-    account's state is then the last value that any of its events set, per field,
-    which is a grouped ``max_by`` and no loop.
+    Each event id counts once, in order of first delivery.  Checkouts find their
+    account by metadata; subscription events by the subscription id that an account
+    has at that time, else by its customer id; failed payments by customer id.  So
+    the state is folded in order, within groups of accounts, customers and
+    subscriptions that events or accounts link: a group is walked as a stream in
+    one task, and groups spread over the cluster.
     """
-    rows = ledger(events, order_col).join(F.broadcast(prices), "price_id", "left")  # prices: one row per plan sold
-    checkout, sub = F.col("type") == "checkout.session.completed", F.col("type").startswith("customer.subscription.")
-    failed, deleted = F.col("type") == "invoice.payment_failed", F.col("type") == "customer.subscription.deleted"
-    linked = rows.where(checkout).join(accounts.select(F.col("account").alias("account_id")), "account_id", "left_semi")
-    known = lambda own, name: accounts.where(f"{own} != ''").select(F.col(own).alias("__id"), "account", F.lit(-1).cast("long").alias("__since")).unionByName(linked.where(f"{name} != ''").select(F.col(name).alias("__id"), F.col("account_id").alias("account"), F.col(order_col).cast("long").alias("__since")))
-    by_sub = known("stripe_subscription_id", "subscription_id").withColumnsRenamed({"__id": "__sid", "account": "__by_sub", "__since": "__ssince"})
-    by_cus = known("stripe_customer_id", "customer_id").withColumnsRenamed({"__id": "__cid", "account": "__by_cus", "__since": "__csince"})
-    order = F.col(order_col).cast("long")
-    rows = rows.join(accounts.select(F.col("account").alias("__own")), F.col("account_id") == F.col("__own"), "left")
-    rows = rows.join(by_sub, sub & (F.col("object_id") == F.col("__sid")) & (F.col("__ssince") < order), "left")
-    rows = rows.join(by_cus, (sub | failed) & (F.col("customer_id") == F.col("__cid")) & (F.col("__csince") < order), "left")
-    best = Window.partitionBy("event_id").orderBy(F.desc_nulls_last("__ssince"), F.desc_nulls_last("__csince"))
-    rows = rows.withColumn("__n", F.row_number().over(best)).where("__n = 1")
-    target = F.when(checkout, F.col("__own")).when(sub, F.coalesce("__by_sub", "__by_cus")).when(failed, F.col("__by_cus"))
-    rows = rows.withColumn("target", target)
-    mapped = sub & ~deleted & F.col("target").isNotNull() & F.col("price_plan").isNotNull()
-    ended = deleted & F.col("target").isNotNull()
-    new_plan = F.when(ended, "free").when(mapped, plan_for_status(F.col("status"), F.col("price_plan")))
-    sets = {
-        "plan": new_plan,
-        "subscription_status": F.when(ended, "canceled").when(mapped, F.col("status")).when(failed & F.col("target").isNotNull(), "past_due"),
-        "stripe_customer_id": F.when(checkout & (F.col("customer_id") != ""), F.col("customer_id")),
-        "stripe_subscription_id": F.when(ended, "").when(mapped, F.col("object_id")).when(checkout & (F.col("subscription_id") != ""), F.col("subscription_id")),
-        "stripe_price_id": F.when(ended, "").when(mapped, F.col("price_id")),
-    }
-    result = (
-        F.when(checkout & F.coalesce("account_id", F.lit("")).eqNullSafe(""), "no account_id in metadata")
-        .when(checkout & F.col("target").isNull(), F.concat(F.lit("unknown account "), F.col("account_id")))
-        .when(checkout, F.concat(F.lit("linked stripe customer to account "), F.col("account_id")))
-        .when(sub & F.col("target").isNull(), F.concat(F.lit("no account for subscription "), F.col("object_id")))
-        .when(ended, "downgraded to free")
-        .when(sub & ~mapped, F.concat(F.lit("unmapped price "), F.col("price_id")))
-        .when(mapped, F.concat(F.lit("plan="), new_plan, F.lit(" status="), F.col("status")))
-        .when(failed & (F.col("customer_id") == ""), "invoice without a customer")
-        .when(failed & F.col("target").isNull(), F.concat(F.lit("no account for customer "), F.col("customer_id")))
-        .when(failed, "payment failed; plan unchanged pending Stripe retries")
-        .otherwise("ignored")
-    )
-    rows = rows.withColumns({f"set_{k}": v for k, v in sets.items()} | {"result": result})
-    last = rows.where("target is not null").groupBy("target").agg(*(F.max_by(f"set_{k}", F.when(F.col(f"set_{k}").isNotNull(), order)).alias(f"set_{k}") for k in sets))
-    after = accounts.join(last, accounts["account"] == last["target"], "left").withColumns({k: F.coalesce(f"set_{k}", k) for k in sets}).select(*accounts.columns)
-    return after, rows.select("event_id", "type", "result")
+    rows = ledger(events, order_col).join(prices, "price_id", "left")
+    wanted = {"period_end": "bigint", "cancel_at_period_end": "boolean"}
+    for c in ("event_id", "type", "object_id", "status", "account_id", "customer_id", "subscription_id", "price_id", *wanted):
+        given = F.col(c) if c in rows.columns else F.lit(None)
+        rows = rows.withColumn(c, given.cast(wanted.get(c, "string")))
+    for c in FIELDS:
+        if c not in accounts.columns:
+            accounts = accounts.withColumn(c, F.lit(False if c == "cancel_at_period_end" else ""))
+    named = lambda kind, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{kind}:"), c))
+    subscribed = F.col("type").startswith(SUBSCRIPTION)
+    own = [named("a", F.when(F.col("type") == CHECKOUT, F.col("account_id"))), named("c", F.col("customer_id")), named("s", F.when(subscribed, F.col("object_id")).otherwise(F.col("subscription_id")))]
+    rows = rows.withColumn("ids", F.array_compact(F.array(*own, named("e", F.col("event_id")))))
+    held = accounts.withColumn("ids", F.array_compact(F.array(named("a", F.col("account")), named("c", F.col("stripe_customer_id")), named("s", F.col("stripe_subscription_id")))))
+    links = lambda df: df.select(F.get("ids", F.lit(0)).alias("a"), F.explode("ids").alias("b"))
+    groups = _groups(links(rows).unionByName(links(held)))
+    grouped = lambda df: df.withColumn("node", F.get("ids", F.lit(0))).join(groups, "node").drop("node", "ids")
+    state = grouped(held).select("group", "account", *FIELDS, F.lit(None).cast("bigint").alias("seq"))
+    events_in = grouped(rows.withColumn("seq", F.col(order_col).cast("bigint"))).drop("cancel_at_period_end").join(rows.select("event_id", "cancel_at_period_end"), "event_id")
+    both = state.unionByName(events_in.select("group", "seq", "event_id", "type", "object_id", "status", "account_id", "customer_id", "subscription_id", "price_id", "price_plan", "period_end", "cancel_at_period_end"), allowMissingColumns=True)
+    ordered = both.repartition("group").sortWithinPartitions("group", F.col("seq").asc_nulls_first(), "account")
+    kind = ", ".join(f"{f.name} {'boolean' if f.name == 'cancel_at_period_end' else 'string'}" for f in OUT)
+    done = materialize(ordered.mapInArrow(_folded, kind), "billing")
+    return done.where("event_id is null").select(*accounts.columns), done.where("event_id is not null").select("event_id", "type", "result")

@@ -3,10 +3,14 @@
 Pieces (paragraphs, or sentences of long paragraphs) come from column
 expressions with their token estimates; the greedy packing with its running sum
 is one array fold, and the overlap reads the previous chunk.  No Python runs.
+Values that are used more than once are bound by ``_let``, as Spark evaluates a
+repeated expression inside array functions each time: work stays linear in the text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,15 @@ TARGET, LARGEST, SMALLEST, OVERLAP = 300, 450, 40, 50
 PIECES = "array<struct<text: string, tokens: int>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _chunk(text: Column) -> Column:
+    return F.struct(text.alias("text"), estimate_tokens(text).cast("int").alias("tokens"))
+
+
 def _packed(pieces: Column, joint: str) -> Column:
     """Greedy fold: a piece joins the open chunk while the sum stays within the target."""
     empty = F.struct(F.array().cast(PIECES).alias("done"), F.lit("").alias("text"), F.lit(0).alias("tokens"))
@@ -37,7 +50,7 @@ def _packed(pieces: Column, joint: str) -> Column:
 
 
 def _measured(texts: Column) -> Column:
-    return F.transform(texts, lambda t: F.struct(t.alias("text"), estimate_tokens(t).cast("int").alias("tokens")))
+    return F.transform(texts, _chunk)
 
 
 def text_pieces(text: Column) -> Column:
@@ -47,11 +60,15 @@ def text_pieces(text: Column) -> Column:
 
 
 def _tail_merged(chunks: Column) -> Column:
-    """A last chunk below the least size goes back into the one before."""
-    n = F.size(chunks)
-    last, before = F.get(chunks, n - 1), F.get(chunks, n - 2)
-    both = F.struct(F.concat(before["text"], F.lit("\n\n"), last["text"]).alias("text"), (before["tokens"] + last["tokens"]).alias("tokens"))
-    return F.when((n > 1) & (last["tokens"] < SMALLEST), F.concat(F.slice(chunks, 1, F.greatest(n - 2, F.lit(0))), F.array(both))).otherwise(chunks)
+    """A last chunk below the least size goes back into the one before, which is measured anew."""
+
+    def merged(c: Column) -> Column:
+        n = F.size(c)
+        last, before = F.get(c, n - 1), F.get(c, n - 2)
+        both = _let(F.concat(before["text"], F.lit("\n\n"), last["text"]), _chunk)
+        return F.when((n > 1) & (last["tokens"] < SMALLEST), F.concat(F.slice(c, 1, F.greatest(n - 2, F.lit(0))), F.array(both))).otherwise(c)
+
+    return _let(chunks, merged)
 
 
 def last_tokens(text: Column, most: int = OVERLAP) -> Column:
@@ -60,20 +77,24 @@ def last_tokens(text: Column, most: int = OVERLAP) -> Column:
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("tokens"), F.lit(True).alias("open"))
 
     def step(s: Column, x: Column) -> Column:
-        tokens = estimate_tokens(x)
-        fits = s["open"] & ((F.size(s["kept"]) == 0) | (s["tokens"] + tokens <= most))
-        return F.struct(F.when(fits, F.concat(F.array(x), s["kept"])).otherwise(s["kept"]).alias("kept"), F.when(fits, s["tokens"] + tokens).otherwise(s["tokens"]).cast("int").alias("tokens"), fits.alias("open"))
+        def taken(tokens: Column) -> Column:
+            fits = (F.size(s["kept"]) == 0) | (s["tokens"] + tokens <= most)
+            more = F.struct(F.concat(F.array(x), s["kept"]).alias("kept"), (s["tokens"] + tokens).cast("int").alias("tokens"), F.lit(True).alias("open"))
+            return F.when(fits, more).otherwise(F.struct(s["kept"].alias("kept"), s["tokens"].alias("tokens"), F.lit(False).alias("open")))
+
+        return F.when(s["open"], _let(estimate_tokens(x), taken)).otherwise(s)
 
     return F.aggregate(back, start, step, lambda s: F.array_join(s["kept"], " "))
 
 
 def _overlapped(chunks: Column) -> Column:
-    def one(c: Column, i: Column) -> Column:
-        tail = last_tokens(F.get(chunks, i - 1)["text"])
-        joined = F.concat(tail, F.lit("\n\n"), c["text"])
-        return F.when((i == 0) | (tail == ""), c).otherwise(F.struct(joined.alias("text"), estimate_tokens(joined).cast("int").alias("tokens")))
+    """Every chunk but the first after the end of the one before, as it was without its own overlap, and measured anew."""
+
+    def one(c: Column, x: Column, i: Column) -> Column:
+        joined = lambda tail: F.when(tail == "", x["text"]).otherwise(F.concat(tail, F.lit("\n\n"), x["text"]))
+        return F.when(i == 0, x).otherwise(_let(_let(last_tokens(F.get(c, i - 1)["text"]), joined), _chunk))
 
-    return F.transform(chunks, one)
+    return _let(chunks, lambda c: F.transform(c, lambda x, i: one(c, x, i)))
 
 
 def chunk_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -2,80 +2,79 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.html import read_html
 from quillspark.functions.text import normalize_arabic, short_reason, tidy, truncate
-from quillspark.functions.url import is_asset, resolve_url, robots_allow, robots_rules, same_site, title_from_url, url_key
+from quillspark.functions.url import is_asset, robots_allow, robots_rules, same_site, url_key
 from quillspark.functions.vector import hash_embedder
 from quillspark.operators.chunking import chunk_documents
+from quillspark.sources.shared import materialize, scratch_path
 
 # Characters of a page worth indexing, and failures told.
 THIN, TOLD = 120, 5
 
 
 def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Adds ``title``, ``text`` and ``links`` (absolute, unique, in order)."""
-    read = pages.withColumn("__h", read_html(html_col))
-    titled = read.withColumns({"title": F.when(F.col("__h.title") == "", title_from_url(F.col(url_col))).otherwise(F.col("__h.title")), "text": tidy(F.col("__h.raw"))})
-    return titled.withColumn("links", F.col("__h.hrefs")).drop("__h")
+    """Adds ``title`` (the URL, where a page has none), ``text`` and ``links`` (absolute, unique, in order)."""
+    read = pages.withColumn("__h", read_html(html_col, url_col))
+    named = F.when(F.col("__h.title") == "", F.col(url_col)).otherwise(F.col("__h.title"))
+    return read.withColumns({"title": named, "text": tidy(F.col("__h.raw")), "links": F.col("__h.links")}).drop("__h")
 
 
 def page_links(pages: DataFrame, id_col: str, url_col: str = "url") -> DataFrame:
-    """``(id_col, src, dst)`` for every resolvable link."""
-    rows = pages.select(id_col, F.col(url_col).alias("src"), F.explode("links").alias("href"))
-    return rows.withColumn("dst", resolve_url("src", "href")).where("dst != ''").select(id_col, "src", "dst").distinct()
+    """``(id_col, src, dst)`` for every link."""
+    return pages.select(id_col, F.col(url_col).alias("src"), F.explode("links").alias("dst")).distinct()
 
 
 def is_thin(text) -> object:
     return F.length(text) < THIN
 
 
-def _checkpointed(df: DataFrame, label: str) -> DataFrame:
-    """A copy in the shared folder, so rounds of a loop do not pile up."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/quillspark/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crawl(links: DataFrame, roots: DataFrame, robots: DataFrame | None = None, user_agent: str = "quillspark", max_pages: int = 200, indexable: DataFrame | None = None) -> DataFrame:
     """Pages fetched by a breadth-first crawl of each site from its root over known links: ``site, url, depth``.
 
     ``links(src, dst)``, ``roots(site, url)``, ``robots(site, body)``.  Links stay
-    on the site, are no assets, and obey robots.  One round is one join and one
-    anti-join for all sites, and rounds end with the pages.  A site stops with
+    on the site, are no assets, and obey robots; a site whose root they forbid is
+    not crawled.  One round is one join and one anti-join for all sites, writes
+    the pages it found, and rounds end with the pages.  A site stops with
     ``max_pages`` pages of ``indexable(url)`` (all pages, where none is given),
     nearest pages first, and discovers four times as many of any kind.
     """
-    edges = links.where(same_site(F.col("src"), F.col("dst")) & ~is_asset(F.coalesce(F.try_parse_url("dst", F.lit("PATH")), F.lit(""))))
+    spark = links.sparkSession
+    path = lambda url: F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
+    edges = links.where(same_site(F.col("src"), F.col("dst")) & ~is_asset(path(F.col("dst"))))
     edges = edges.select(url_key(F.col("src")).alias("src_key"), "dst", url_key(F.col("dst")).alias("key")).distinct()
     if robots is not None:
-        ruled = roots.join(robots, "site", "left").select(F.regexp_extract(url_key(F.col("url")), "^[^/]*", 0).alias("host"), robots_rules(F.col("body"), user_agent)["rules"].alias("rules"))
-        edges = edges.withColumn("host", F.regexp_extract("key", "^[^/]*", 0)).join(ruled, "host", "left")
-        edges = edges.where(robots_allow(F.col("rules"), F.try_parse_url("dst", F.lit("PATH")))).drop("host", "rules")
-    edges = _checkpointed(edges, "crawl-edges")
-    good = None if indexable is None else _checkpointed(indexable.select(url_key(F.col("url")).alias("key"), F.lit(1).alias("good")).distinct(), "crawl-indexable")
+        ruled = roots.join(robots, "site", "left").withColumn("rules", robots_rules(F.col("body"), user_agent)["rules"])
+        by_host = ruled.select(F.regexp_extract(url_key(F.col("url")), "^[^/]*", 0).alias("host"), "rules")
+        edges = edges.withColumn("host", F.regexp_extract("key", "^[^/]*", 0)).join(by_host, "host", "left")
+        edges = edges.where(robots_allow(F.col("rules"), path(F.col("dst")))).drop("host", "rules")
+        roots = ruled.where(robots_allow(F.col("rules"), path(F.col("url"))))
+    edges = materialize(edges, "crawl-edges")
+    good = None if indexable is None else materialize(indexable.select(url_key(F.col("url")).alias("key"), F.lit(1).alias("good")).distinct(), "crawl-indexable")
     rated = lambda found: found.withColumn("good", F.lit(1)) if good is None else found.join(good, "key", "left").withColumn("good", F.coalesce("good", F.lit(0)))
     columns = ["site", "url", "key", "depth", "good"]
-    seen = _checkpointed(rated(roots.select("site", "url", url_key(F.col("url")).alias("key"), F.lit(0).alias("depth"))).select(columns), "crawl")
-    order = Window.partitionBy("site").orderBy("depth", "key")
-    before = F.coalesce(F.sum("good").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    depth = 0
-    while True:
+    base, depth = scratch_path(spark, "crawl"), 0
+    fresh = rated(roots.select("site", "url", url_key(F.col("url")).alias("key"), F.lit(0).alias("depth"))).select(columns)
+    schema = fresh.schema
+    fresh.write.parquet(f"{base}/0")
+    seen = last = spark.read.schema(schema).parquet(f"{base}/0")
+    while last.take(1):
         depth += 1
-        reached = seen.where(F.col("depth") == depth - 1).select("site", F.col("key").alias("src_key")).join(edges, "src_key").groupBy("site", "key").agg(F.min("dst").alias("url"))
-        fresh = rated(reached.join(seen, ["site", "key"], "left_anti").select("site", "url", "key", F.lit(depth).alias("depth"))).select(columns)
-        grown = seen.unionByName(fresh).withColumns({"n": F.row_number().over(order), "before": before}).where((F.col("n") <= 4 * max_pages) & (F.col("before") < max_pages)).select(columns)
-        grown = _checkpointed(grown, "crawl")
-        if not grown.where(F.col("depth") == depth).take(1):
-            seen = grown
-            break
-        seen = grown
+        reached = last.select("site", F.col("key").alias("src_key")).join(edges, "src_key").groupBy("site", "key").agg(F.min("dst").alias("url"))
+        fresh = rated(reached.join(seen, ["site", "key"], "left_anti").select("site", "url", "key", F.lit(depth).alias("depth")))
+        had = seen.groupBy("site").agg(F.count("*").alias("pages"), F.sum("good").alias("goods"))
+        order = Window.partitionBy("site").orderBy("key")
+        before = F.coalesce(F.sum("good").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranked = fresh.join(had, "site").withColumns({"n": F.col("pages") + F.row_number().over(order), "before": F.col("goods") + before})
+        ranked.where((F.col("n") <= 4 * max_pages) & (F.col("before") < max_pages)).select(columns).write.parquet(f"{base}/{depth}")
+        last = spark.read.schema(schema).parquet(f"{base}/{depth}")
+        seen = spark.read.schema(schema).parquet(*(f"{base}/{d}" for d in range(depth + 1)))
     return seen.select("site", "url", "depth")
 
 
@@ -87,17 +86,28 @@ def within_quota(new: DataFrame, existing: DataFrame, limits: DataFrame, order_c
     source takes no room from later ones, so the running total is folded in order.
     """
     sized = new.join(existing.groupBy("workspace").agg(F.sum("chunks").alias("have")), "workspace", "left").join(limits, "workspace", "left")
-    queue = sized.groupBy("workspace").agg(F.coalesce(F.first("have"), F.lit(0)).alias("have"), F.coalesce(F.first("chunk_limit"), F.lit(0)).alias("chunk_limit"), F.sort_array(F.collect_list(F.struct(order_col, "source", "chunks"))).alias("queue"))
-    kind = "array<struct<source: string, chunks: bigint, ok: boolean>>"
-    start = F.struct(F.col("have").cast("long").alias("used"), F.array().cast(kind).alias("out"))
-
-    def step(s, x):
-        fits = (F.col("chunk_limit") <= 0) | (s["used"] + x["chunks"] <= F.col("chunk_limit"))
-        row = F.struct(x["source"].cast("string").alias("source"), x["chunks"].cast("long").alias("chunks"), fits.alias("ok"))
-        return F.struct(F.when(fits, s["used"] + x["chunks"]).otherwise(s["used"]).cast("long").alias("used"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    done = queue.select("workspace", F.explode(F.aggregate("queue", start, step, lambda s: s["out"])).alias("r")).select("workspace", "r.*")
-    return done.select("workspace", "source", "chunks", F.when(F.col("ok"), "ready").otherwise("failed").alias("status"))
+    queue = sized.select(
+        "workspace", F.col("source").cast("string").alias("source"), F.col("chunks").cast("long").alias("chunks"), F.col(order_col).alias("__order"),
+        F.coalesce("have", F.lit(0)).cast("long").alias("have"), F.coalesce("chunk_limit", F.lit(0)).cast("long").alias("chunk_limit"),
+    )
+    kind = ", ".join(f"{c} {queue.schema[c].dataType.simpleString()}" for c in ("workspace", "source", "chunks"))
+    in_order = queue.repartition("workspace").sortWithinPartitions("workspace", "__order", "source")
+    return in_order.mapInArrow(_admitted, f"{kind}, status string")
+
+
+def _admitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Walk the sources of workspaces in order; a batch at a time, so a large workspace never stands in memory."""
+    now, used = (), 0
+    for batch in batches:
+        status = []
+        for workspace, chunks, have, limit in zip(*(batch.column(c).to_pylist() for c in ("workspace", "chunks", "have", "chunk_limit")), strict=True):
+            if now != (workspace,):
+                now, used = (workspace,), have
+            fits = limit <= 0 or used + chunks <= limit
+            used += chunks if fits else 0
+            status.append("ready" if fits else "failed")
+        columns = [batch.column(c) for c in ("workspace", "source", "chunks")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(status, pa.string())], ["workspace", "source", "chunks", "status"])
 
 
 def index_documents(docs: DataFrame, id_col: str, text_col: str, dims: int = 1024) -> DataFrame:
@@ -107,12 +117,17 @@ def index_documents(docs: DataFrame, id_col: str, text_col: str, dims: int = 102
 
 
 def skipped_summary(skipped: DataFrame, key: str, order_col: str) -> DataFrame:
-    """Per source: how many pages were left out, the first five with their reasons, and how many more."""
-    n = F.col("n")
-    told = F.array_join(F.transform(F.slice("all", 1, TOLD), lambda x: F.concat(x["url"], F.lit(" ("), x["reason"], F.lit(")"))), "; ")
-    rows = skipped.groupBy(key).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct(order_col, "url", "reason"))).alias("all"))
-    text = F.concat(n.cast("string"), F.lit(" page(s) were not indexed: "), told, F.when(n > TOLD, F.concat(F.lit("and "), (n - TOLD).cast("string"), F.lit(" more"))).otherwise(""))
-    return rows.select(key, truncate(text, 2000).alias("summary"))
+    """Per source: how many pages were left out, the first five with their reasons, and how many more.
+
+    Pages are ranked first, so no more than five of a source are ever collected.
+    """
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(order_col, "url", "reason"))
+    first = skipped.withColumn("__rank", rank).where(F.col("__rank") <= TOLD)
+    told = first.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("__rank", F.concat("url", F.lit(" ("), "reason", F.lit(")")).alias("text")))).alias("told"))
+    n, counts = F.col("n"), skipped.groupBy(key).agg(F.count("*").alias("n"))
+    listed = F.array_join(F.col("told.text"), "; ")
+    text = F.concat(n.cast("string"), F.lit(" page(s) were not indexed: "), listed, F.when(n > TOLD, F.concat(F.lit("and "), (n - TOLD).cast("string"), F.lit(" more"))).otherwise(""))
+    return counts.join(told, key).select(key, truncate(text, 2000).alias("summary"))
 
 
 def source_status(sources: DataFrame, error_col: str = "error") -> DataFrame:

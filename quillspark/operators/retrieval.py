@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,13 +34,48 @@ def knn(vectors: DataFrame, workspace: object, query: list[float], k: int = 8) -
     return near.orderBy("distance", "chunk_id").limit(k)
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = FETCHED) -> DataFrame:
+def _nearest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The ``k`` nearest of a block of vectors for every query of a block, exactly."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            workspace = batch.column("workspace_id").slice(row, 1)
+            chunks, asked = batch.column("chunks")[row].values, batch.column("asked")[row].values
+            rows, widths = [], {len(x) for part in (chunks.field(1), asked.field(1)) for x in part}
+            if len(widths) > 1:
+                raise ValueError("embedding width differs from the query's")
+            data, queries = (part.field(1).flatten().to_numpy().astype(np.float64).reshape(len(part), -1) for part in (chunks, asked))
+            ids, query_ids = pc.rank(chunks.field(0), tiebreaker="dense").to_numpy(), asked.field(0)
+            for query in queries:
+                distance = np.sqrt(((data - query) ** 2).sum(axis=1))
+                near = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1]) if len(distance) > k else np.arange(len(distance))
+                rows.append((near := near[np.lexsort((ids[near], distance[near]))[:k]], distance[near]))
+            at = pa.array(np.repeat(np.arange(len(rows)), [len(n) for n, _ in rows]))
+            found = pa.array(np.concatenate([n for n, _ in rows]))
+            columns = [workspace.take(pa.array(np.zeros(len(at), dtype=np.int64))), query_ids.take(at), chunks.field(0).take(found), pa.array(np.concatenate([d for _, d in rows]))]
+            yield pa.RecordBatch.from_arrays(columns, ["workspace_id", "query_id", "chunk_id", "distance"])
+
+
+def _in_blocks(rows: DataFrame, size: int, id_col: str, vector_col: str, name: str) -> DataFrame:
+    """Rows of each tenant in blocks of about ``size``, dealt by a hash."""
+    counts = rows.groupBy("workspace_id").agg(F.ceil(F.count("*") / size).alias("__parts"))
+    part = F.pmod(F.xxhash64(id_col, vector_col), F.col("__parts"))
+    dealt = rows.join(counts, "workspace_id").select("workspace_id", part.alias(f"{name}_part"), F.struct(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).alias("row"))
+    return dealt.groupBy("workspace_id", f"{name}_part").agg(F.collect_list("row").alias(name))
+
+
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = FETCHED, block_rows: int = 4096) -> DataFrame:
     """Nearest chunks of every ``(workspace_id, query_id, query)`` within its tenant: ``rank`` from 1.
 
-    An equi-join on the tenant with a top-k that prunes before its shuffle; a
-    large tenant's partition is split by adaptive execution.
+    Vectors and queries of a tenant are dealt into blocks of bounded size, and each
+    pair of blocks is one piece of work that returns its ``k`` best, so a large
+    tenant is spread over many tasks and no pair of rows leaves its task.
     """
-    pairs = queries.join(vectors, "workspace_id").select("workspace_id", "query_id", "chunk_id", l2_distance(F.col("embedding"), F.col("query")).alias("distance"))
+    chunks = _in_blocks(vectors, block_rows, "chunk_id", "embedding", "chunks")
+    asked = _in_blocks(queries, block_rows // 4, "query_id", "query", "asked")
+    work = asked.join(chunks, "workspace_id").repartition("workspace_id", "asked_part", "chunks_part").select("workspace_id", "chunks", "asked")
+    types = {"workspace_id": vectors, "query_id": queries, "chunk_id": vectors}
+    kind = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c, df in types.items())
+    pairs = work.mapInArrow(lambda it: _nearest(it, k), f"{kind}, distance double")
     best = Window.partitionBy("workspace_id", "query_id").orderBy("distance", "chunk_id")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

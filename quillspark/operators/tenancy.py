@@ -93,9 +93,9 @@ def team(memberships: DataFrame, users: DataFrame) -> DataFrame:
     return memberships.join(users, "user").orderBy("created_ms", "user")
 
 
-def invitation_preview(invitations: DataFrame, workspaces: DataFrame, users: DataFrame, now_ms: int) -> DataFrame:
+def invitation_preview(invitations: DataFrame, workspaces: DataFrame, users: DataFrame, now_ms: int, label_col: str = "name") -> DataFrame:
     """What an invitation shows: workspace, who invites (name, else address), and whether it still holds."""
-    by = users.select(F.col("user").alias("invited_by"), F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.col("email")).alias("inviter"))
+    by = users.select(F.col("user").alias("invited_by"), F.coalesce(F.nullif(F.trim(label_col), F.lit("")), F.col("email")).alias("inviter"))
     rows = invitations.join(workspaces, "workspace").join(by, "invited_by", "left")
     return rows.withColumn("status", F.when(F.col("expires_ms") > F.lit(now_ms), 200).otherwise(410))
 
@@ -125,3 +125,58 @@ def provision(users: DataFrame) -> dict[str, DataFrame]:
         "workspaces": named.select(workspace.alias("workspace"), account.alias("account"), F.col("label").alias("name")),
         "memberships": named.select(workspace.alias("workspace"), "user", F.lit("owner").alias("role")),
     }
+
+
+def member_emails(memberships: DataFrame, users: DataFrame) -> DataFrame:
+    """Addresses of a workspace's members; users without one are left out."""
+    return memberships.join(users, "user").where("coalesce(email, '') != ''").select("workspace", "email")
+
+
+# Fixed value: characters of a workspace's name.
+NAME = 120
+
+
+def create_workspaces(requests: DataFrame, memberships: DataFrame, workspaces: DataFrame, limits: DataFrame) -> DataFrame:
+    """Requests ``(user, seq, name)`` to add a workspace to the account a user owns, with ``account`` and ``result``.
+
+    ``limits(account, max_workspaces)``.  Requests of an account count in order;
+    as long as slots are left each takes one.
+    """
+    used = workspaces.groupBy("account").agg(F.count("*").alias("used"))
+    own = owned_accounts(memberships, workspaces).join(used, "account", "left").join(limits, "account", "left")
+    rows = requests.withColumn("name", F.left(F.trim("name"), F.lit(NAME))).join(own, "user", "left")
+    valid = (F.col("name") != "") & F.col("account").isNotNull()
+    place = F.expr("sum(CASE WHEN __valid THEN 1 ELSE 0 END) OVER (PARTITION BY account ORDER BY seq)")
+    rows = rows.withColumn("__valid", valid).withColumn("__place", place)
+    left = slots_left(F.col("used"), F.col("max_workspaces"))
+    result = F.when(F.col("name") == "", "a workspace name is required").when(F.col("account").isNull(), "only the account owner can add a workspace").when(F.col("__place") > left, "no slots left").otherwise("created")
+    return rows.select("user", "seq", "name", "account", result.alias("result"))
+
+
+def accept_invitations(invitations: DataFrame, users: DataFrame, memberships: DataFrame, workspaces: DataFrame, limits: DataFrame, now_ms: int) -> DataFrame:
+    """What becomes of each user's attempt at an invitation: ``(invitation, user, workspace, role, result)``.
+
+    ``limits(account, max_members, invites)``.  Members already in the workspace
+    just use it up; a new seat is checked at that time.
+    """
+    members = account_members(memberships, workspaces)
+    seats_used = members.groupBy("account").agg(F.count("*").alias("members"))
+    inside = memberships.select("workspace", "user").distinct().withColumn("__in", F.lit(True))
+    seated = members.withColumn("__seat", F.lit(True))
+    rows = invitations.join(users.select("user", F.col("email").alias("own")), "user").join(workspaces.select("workspace", "account"), "workspace")
+    rows = rows.join(inside, ["workspace", "user"], "left").join(seated, ["account", "user"], "left").join(seats_used, "account", "left").join(limits, "account", "left")
+    full = F.col("__seat").isNull() & (slots_left(F.coalesce("members", F.lit(0)), F.col("max_members")) == 0)
+    result = (
+        F.when(F.col("expires_ms") <= now_ms, "expired")
+        .when(F.lower("own") != F.lower("email"), "for another address")
+        .when(F.col("__in"), "already a member")
+        .when(~F.coalesce("invites", F.lit(False)), "not on this plan")
+        .when(full, "team is full")
+        .otherwise("joined")
+    )
+    return rows.select("invitation", "user", "workspace", "role", result.alias("result"))
+
+
+def without_invitations(invitations: DataFrame, gone: DataFrame) -> DataFrame:
+    """Invitations left after some were revoked or used up."""
+    return invitations.join(gone.select("invitation"), "invitation", "left_anti")

@@ -11,7 +11,8 @@ from quillspark.plans.views import table, view, with_views
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-NOW = 1704067200000 + 40 * 86_400_000
+#: Ten hours of the test conversations lie before the window of thirty days.
+NOW = 1704067200000 + 30 * 86_400_000 + 10 * 3_600_000
 FLOOR = 0.15
 
 
@@ -222,11 +223,11 @@ def preferred_membership(s, d):
 
 @query("""WITH r(role) AS (VALUES ('owner'), ('admin'), ('agent'), (''))
 SELECT a.role AS actor, t.role AS target, (a.role = 'owner' AND t.role IN ('admin', 'agent')) OR (a.role = 'admin' AND t.role = 'agent') AS assign,
-  t.role <> 'owner' AND (a.role = 'owner' OR (a.role = 'admin' AND t.role = 'agent')) AS remove FROM r a CROSS JOIN r t""")
+  t.role <> 'owner' AND (a.role = 'owner' OR (a.role = 'admin' AND t.role = 'agent')) AS remove, t.role <> 'owner' AS leave FROM r a CROSS JOIN r t""")
 def role_matrix(s, d):
     roles = s.createDataFrame([("owner",), ("admin",), ("agent",), ("",)], "actor string")
     pairs = roles.join(roles.withColumnRenamed("actor", "target"))  # four by four names
-    return pairs.select("actor", "target", tenancy.can_assign(F.col("actor"), F.col("target")).alias("assign"), tenancy.can_remove(F.col("actor"), F.col("target"), F.lit(False)).alias("remove"))
+    return pairs.select("actor", "target", tenancy.can_assign(F.col("actor"), F.col("target")).alias("assign"), tenancy.can_remove(F.col("actor"), F.col("target"), F.lit(False)).alias("remove"), tenancy.can_remove(F.col("actor"), F.col("target"), F.lit(True)).alias("leave"))
 
 
 @query("SELECT workspace, lower(trim(email)) AS email, expires_ms FROM (SELECT *, row_number() OVER (PARTITION BY workspace, lower(email) ORDER BY created_ms DESC) AS n FROM v_invitations) WHERE n = 1")
@@ -327,7 +328,11 @@ def handoff_gate(s, d):
     return plans.handoff_enabled(_planned(s, d)).select("c_custkey")
 
 
-@query()
+@query("""WITH RECURSIVE q AS (SELECT c_nationkey AS workspace, c_custkey AS source, c_custkey % 50 AS chunks, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer),
+h AS (SELECT s_nationkey AS workspace, count(*) AS have FROM supplier GROUP BY 1),
+r AS (SELECT n.n_nationkey AS workspace, 0::BIGINT AS n, coalesce(h.have, 0) AS used, NULL::BIGINT AS source, NULL::BIGINT AS chunks, false AS ok FROM nation n LEFT JOIN h ON h.workspace = n.n_nationkey
+  UNION ALL SELECT q.workspace, q.n, CASE WHEN r.used + q.chunks <= 500 THEN r.used + q.chunks ELSE r.used END, q.source, q.chunks, r.used + q.chunks <= 500 FROM r JOIN q ON q.workspace = r.workspace AND q.n = r.n + 1)
+SELECT workspace, CAST(source AS VARCHAR) AS source, chunks, CASE WHEN ok THEN 'ready' ELSE 'failed' END AS status FROM r WHERE n > 0""")
 def quota_filter(s, d):
     """Sources of each workspace while their chunks fit, in order."""
     new = table(s, d, "customer").select(F.col("c_nationkey").alias("workspace"), F.col("c_custkey").alias("source"), F.col("c_custkey").alias("seq"), (F.col("c_custkey") % 50).alias("chunks"))
@@ -335,9 +340,24 @@ def quota_filter(s, d):
     return ingest.within_quota(new, have, table(s, d, "nation").select(F.col("n_nationkey").alias("workspace"), F.lit(500).alias("chunk_limit")))
 
 
-@query()
-def billing_fold(s, d):
-    """Accounts after all events of the test stream, which names them in turn."""
+BILLING = """
+WITH RECURSIVE e AS (SELECT event_id AS seq, 'acct_' || user_id AS account, 'cus_' || user_id AS cus, 'sub_' || user_id AS sub, 'price_' || event_id % 4 AS price, ['starter', 'growth', 'pro', NULL][event_id % 4 + 1] AS price_plan,
+    ['active', 'past_due', 'unpaid'][event_id % 3 + 1] AS status, event_type AS kind, event_id % 2 = 0 AS ending, 1704067200 + event_id AS until, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r AS (SELECT DISTINCT account, 0::BIGINT AS n, 'free' AS plan, '' AS st, '' AS cus, '' AS sub, '' AS price, false AS ending, '' AS until, '' AS note FROM e
+  UNION ALL SELECT account, n, CASE how WHEN 'deleted' THEN 'free' WHEN 'mapped' THEN CASE WHEN status IN ('active', 'past_due') THEN price_plan ELSE 'free' END ELSE plan END,
+    CASE how WHEN 'deleted' THEN 'canceled' WHEN 'mapped' THEN status WHEN 'failed' THEN 'past_due' ELSE st END, CASE how WHEN 'checkout' THEN e_cus ELSE cus END,
+    CASE how WHEN 'checkout' THEN e_sub WHEN 'mapped' THEN e_sub WHEN 'deleted' THEN '' ELSE sub END, CASE how WHEN 'mapped' THEN e_price WHEN 'deleted' THEN '' ELSE price END,
+    CASE how WHEN 'mapped' THEN e_ending WHEN 'deleted' THEN false ELSE ending END, CASE how WHEN 'mapped' THEN strftime(make_timestamp(e_until * 1000000), '%Y-%m-%dT%H:%M:%SZ') ELSE until END,
+    CASE how WHEN 'checkout' THEN 'linked stripe customer to account ' || account WHEN 'failed' THEN 'payment failed; plan unchanged pending Stripe retries' WHEN 'nobody' THEN 'no account for customer ' || e_cus WHEN 'unknown' THEN 'no account for subscription ' || e_sub
+      WHEN 'deleted' THEN 'downgraded to free' WHEN 'unmapped' THEN 'unmapped price ' || e_price ELSE 'plan=' || CASE WHEN status IN ('active', 'past_due') THEN price_plan ELSE 'free' END || ' status=' || status END
+  FROM (SELECT r.account, e.n, r.plan, r.st, r.cus, r.sub, r.price, r.ending, r.until, e.cus AS e_cus, e.sub AS e_sub, e.price AS e_price, e.price_plan, e.status, e.ending AS e_ending, e.until AS e_until,
+      CASE WHEN e.kind = 'purchase' THEN 'checkout' WHEN e.kind = 'error' THEN CASE WHEN r.cus = e.cus THEN 'failed' ELSE 'nobody' END WHEN r.sub <> e.sub AND r.cus <> e.cus THEN 'unknown'
+        WHEN e.kind = 'view' THEN 'deleted' WHEN e.price_plan IS NULL THEN 'unmapped' ELSE 'mapped' END AS how FROM r JOIN e ON e.account = r.account AND e.n = r.n + 1))
+"""
+
+
+def _billing(s, d):
+    """Accounts and ledger after all events of the test stream, which names accounts in turn."""
     e = table(s, d, "events")
     kind = F.create_map(*(F.lit(x) for p in {"click": "customer.subscription.updated", "purchase": "checkout.session.completed", "error": "invoice.payment_failed", "signup": "customer.subscription.created", "view": "customer.subscription.deleted"}.items() for x in p))
     user = F.col("user_id").cast("string")
@@ -345,11 +365,22 @@ def billing_fold(s, d):
         F.col("event_id").cast("string").alias("event_id"), F.col("event_id").alias("seq"), kind[F.col("event_type")].alias("type"), F.concat(F.lit("sub_"), user).alias("object_id"),
         F.element_at(F.array(F.lit("active"), F.lit("past_due"), F.lit("unpaid")), (F.col("event_id") % 3 + 1).cast("int")).alias("status"), F.concat(F.lit("acct_"), user).alias("account_id"),
         F.concat(F.lit("cus_"), user).alias("customer_id"), F.concat(F.lit("sub_"), user).alias("subscription_id"), F.concat(F.lit("price_"), (F.col("event_id") % 4).cast("string")).alias("price_id"),
+        (F.col("event_id") % 2 == 0).alias("cancel_at_period_end"), (F.lit(1704067200) + F.col("event_id")).alias("period_end"),
     )
-    empty = [F.lit("").alias(c) for c in ("subscription_status", "stripe_customer_id", "stripe_subscription_id", "stripe_price_id")]
-    accounts = e.select(F.concat(F.lit("acct_"), user).alias("account")).distinct().select("account", F.lit("free").alias("plan"), *empty)
+    accounts = e.select(F.concat(F.lit("acct_"), user).alias("account")).distinct().select("account", F.lit("free").alias("plan"), *(F.lit("").alias(c) for c in ("subscription_status", "stripe_customer_id", "stripe_subscription_id", "stripe_price_id")))
     prices = s.createDataFrame([("price_0", "starter"), ("price_1", "growth"), ("price_2", "pro")], "price_id string, price_plan string")
-    return billing.apply_events(accounts, events, prices)[0]
+    return billing.apply_events(accounts, events, prices)
+
+
+@query(f"""{BILLING} SELECT account, plan, st AS subscription_status, cus AS stripe_customer_id, sub AS stripe_subscription_id, price AS stripe_price_id, ending AS cancel_at_period_end, until AS current_period_end
+FROM r QUALIFY row_number() OVER (PARTITION BY account ORDER BY n DESC) = 1""")
+def billing_fold(s, d):
+    return _billing(s, d)[0]
+
+
+@query(f"{BILLING}, k AS (SELECT account, n, note FROM r WHERE n > 0) SELECT CAST(e.seq AS VARCHAR) AS event_id, k.note AS result FROM k JOIN e ON e.account = k.account AND e.n = k.n")
+def billing_ledger(s, d):
+    return _billing(s, d)[1].select("event_id", "result")
 
 
 @query("""WITH k AS (SELECT l_orderkey AS o, l_linenumber AS i, 'u' || l_partkey AS url, 'r' || l_suppkey AS reason FROM lineitem),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.plans.views import VIEWS, table, view, with_views
+from quillspark.sources.shared import scratch_path
 from quillspark.streaming import live
 
 QUERIES: dict = {}
@@ -37,8 +38,7 @@ def final(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame
     number; a batch written again after a failure replaces its own folder.
     """
     s = stream.sparkSession
-    base = (s.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    path = f"{base}/quillspark/stream-{uuid.uuid4().hex}"
+    path = scratch_path(s, "stream")
 
     def put(rows: DataFrame, number: int) -> None:
         rows.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out/n={number}")
@@ -51,6 +51,18 @@ def final(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame
     return last.select(*keys, "last.*") if rest else last
 
 
+def per_batch(stream: DataFrame, apply: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
+    """What ``apply`` makes of every micro-batch of a stream, one after the other; a repeated batch replaces its folder."""
+    s = stream.sparkSession
+    path = scratch_path(s, "batches")
+
+    def put(rows: DataFrame, number: int) -> None:
+        apply(rows).write.mode("overwrite").parquet(f"{path}/out/n={number}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/out")
+
+
 @query("SELECT o_custkey AS account, strftime(o_orderdate, '%Y-%m') AS period, count(*) AS replies, round(count(*) FILTER (WHERE o_orderkey % 5 = 0) * 0.02, 6) AS overage_usd FROM orders GROUP BY 1, 2")
 def stream_usage(s, d):
     rows = as_stream(s, d, "orders").select(F.col("o_custkey").alias("account"), F.col("o_orderdate").alias("ts"), (F.col("o_orderkey") % 5 == 0).alias("overage"))
@@ -81,17 +93,38 @@ def stream_fanout(s, d):
     return final(sent.groupBy("subscriber").agg(F.count("*").alias("events")), ["subscriber"])
 
 
-@query()
+@query("SELECT user_id AS subscriber, least(count(*), 16) AS delivered, greatest(count(*) - 16, 0) AS dropped FROM events GROUP BY 1")
 def stream_buffers(s, d):
-    """What bounded buffers deliver and drop, with the counts kept as state."""
+    """What buffers of sixteen, emptied after every micro-batch (here one), deliver and drop."""
     rows = as_stream(s, d, "events").select(F.col("user_id").alias("subscriber"))
-    return final(live.bounded_buffers(rows), ["subscriber"])
+    batches = per_batch(rows, live.deliver, "subscriber bigint, delivered bigint, dropped bigint")
+    return batches.groupBy("subscriber").agg(F.sum("delivered").alias("delivered"), F.sum("dropped").alias("dropped"))
 
 
-@query("SELECT DISTINCT event_id AS id FROM events")
+@query("SELECT DISTINCT event_id AS id, event_id <= 100 AS replayed FROM events")
 def stream_replay(s, d):
-    events = table(s, d, "events").select(F.col("event_id").alias("id"))
-    return live.replayed(events, events.where("id > 100"))
+    """A hundred events of history, then the live stream without them."""
+    history = table(s, d, "events").where("event_id <= 100").select(F.col("event_id").alias("id"))
+    stream = live.not_replayed(as_stream(s, d, "events").select(F.col("event_id").alias("id")), history)
+    return history.withColumn("replayed", F.lit(True)).unionByName(final(stream.withColumn("replayed", F.lit(False)), ["id"], "append"))
+
+
+@query("SELECT conversation, status IN ('human', 'escalated') AS with_human FROM v_conversations")
+def stream_status(s, d):
+    """Whether a person has each conversation, from the stream of its status events."""
+    rows = s.sql(VIEWS["conversations"].replace("SELECT DISTINCT", "SELECT"), conversations=as_stream(s, d, "conversations"))
+    return final(live.with_human(live.status_events(rows)), ["conversation"])
+
+
+@query("SELECT conversation, count(*) FILTER (WHERE kind = 'message') AS messages, count(*) FILTER (WHERE kind = 'status') AS statuses FROM (SELECT conversation, 'message' AS kind FROM v_messages WHERE role = 'human' UNION ALL SELECT conversation, 'status' FROM v_conversations) GROUP BY 1")
+def stream_published(s, d):
+    """What goes out live of each conversation: people's messages, and its status."""
+    turns = as_stream(s, d, "conversations")
+    messages = s.sql(VIEWS["messages"], conversations=turns)
+    updates = s.sql(VIEWS["conversations"].replace("SELECT DISTINCT", "SELECT"), conversations=turns.where("turn = 0"))
+    sent = live.events(messages, updates)
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    return final(sent.groupBy("conversation").agg(n("message").alias("messages"), n("status").alias("statuses")), ["conversation"])
 
 
 @query("SELECT workspace, conversation, count(*) AS n FROM v_messages WHERE role = 'human' GROUP BY 1, 2")

@@ -60,9 +60,18 @@ def detect_language(s, d):
     return found.withColumn("ratio", F.round("ratio", 6))
 
 
-@query("SELECT conversation, 'en' AS language FROM v_messages WHERE role = 'user' GROUP BY 1")
+MIXED = "CASE (conversation * 5 + turn * 3) % 7 WHEN 0 THEN 'هل التوصيل مجاني؟' WHEN 1 THEN '42' WHEN 2 THEN 'Hi مرحبا بكم' ELSE substr(text, 1, 40) END"
+
+
+@query(f"""WITH u AS (SELECT conversation, turn, {MIXED} AS t, row_number() OVER (PARTITION BY conversation ORDER BY turn DESC) AS back FROM v_messages WHERE role = 'user'),
+f AS (SELECT conversation, row_number() OVER (PARTITION BY conversation ORDER BY turn) AS i, {AR} AS a, {LA} AS l FROM u WHERE back <= 5),
+w AS (SELECT conversation, sum(i * least(a + l, 200)) AS w, sum(i * least(a + l, 200) * CASE WHEN a + l = 0 THEN 0 ELSE a / (a + l)::DOUBLE END) AS s FROM f GROUP BY 1)
+SELECT conversation, CASE WHEN w = 0 THEN 'en' WHEN s / w >= 0.2 THEN 'ar' ELSE 'en' END AS language FROM w""")
 def conversation_language(s, d):
-    rows = view(s, d, "messages").where("role = 'user'").groupBy("conversation").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("m"))
+    """Only the last five messages of a conversation are collected."""
+    back = F.expr("row_number() OVER (PARTITION BY conversation ORDER BY turn DESC)")
+    said = view(s, d, "messages").where("role = 'user'").withColumns({"text": F.expr(MIXED), "back": back}).where("back <= 5")
+    rows = said.groupBy("conversation").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("m"))
     return rows.select("conversation", tx.conversation_language(F.transform("m", lambda x: x["text"])).alias("language"))
 
 
@@ -137,9 +146,17 @@ def tidy(s, d):
     return table(s, d, "documents").select("doc_id", tx.tidy(F.col("text")).alias("text"))
 
 
-@query(rf"SELECT doc_id, CASE WHEN {count_of('text', r'\p{L}')} = 0 THEN 'no readable characters' ELSE 'ok' END AS reason FROM documents")
+# Texts that meet each verdict: whole and reversed function words, display glyphs, undecoded letters, none at all.
+WORDY = " ".join(["كتاب في بيت من حجر على جبل إلى مدينة"] * 12)
+GATE = [(1, WORDY, "ok"), (2, WORDY[::-1], "display order"), (3, "كتاب بيت حجر " * 30, "no recognisable words"), (4, "\ufe8d\ufedf\ufee4 كتاب" * 40, "display glyphs"), (5, "abc \ufffd", "encoding not decoded"), (6, "123 ...", "no readable characters"), (7, "مرحبا", "ok")]
+GATED = ", ".join(f"({i}, '{w}')" for i, _, w in GATE)
+
+
+@query(rf"SELECT doc_id + 100 AS id, CASE WHEN {count_of('text', r'\p{L}')} = 0 THEN 'no readable characters' ELSE 'ok' END AS reason FROM documents UNION ALL SELECT * FROM (VALUES {GATED})")
 def readable_gate(s, d):
-    return table(s, d, "documents").select("doc_id", tx.readability(F.col("text")).alias("reason"))
+    own = s.createDataFrame([(i, t) for i, t, _ in GATE], "id bigint, text string")
+    rows = own.unionByName(table(s, d, "documents").select((F.col("doc_id") + 100).alias("id"), "text"))
+    return rows.select("id", tx.readability(F.col("text")).alias("reason"))
 
 
 @query("WITH c AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'a' || c_custkey || '@b.example' WHEN 1 THEN '+1 555 ' || (1000000 + c_custkey) WHEN 2 THEN 'call me' ELSE '12' END AS contact FROM customer) SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'email' WHEN 1 THEN 'phone' ELSE 'other' END AS kind FROM c")
@@ -227,10 +244,14 @@ def sse_round_trip(s, d):
     return frames.parse_frames(framed, "raw", "struct<value: double>").select("event_id", "event", "payload.value")
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, unnest(string_split_regex(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ')) AS word FROM documents), k AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM w WHERE word <> ''),
+f AS (SELECT word, list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda a, b: (xor(a, b) * 16777619) % 4294967296) % 64 AS bucket FROM k),
+c AS (SELECT doc_id, bucket, count(*) AS n FROM w JOIN f ON w.word = f.word GROUP BY 1, 2), t AS (SELECT doc_id, sqrt(sum(n * n)) AS size FROM c GROUP BY 1)
+SELECT c.doc_id, c.bucket, CAST(CAST(c.n AS FLOAT) / CAST(t.size AS FLOAT) AS DOUBLE) AS value FROM c JOIN t ON c.doc_id = t.doc_id""")
 def hash_embed(s, d):
-    vectors = table(s, d, "documents").select("doc_id", hash_embedder(64)(F.col("text")).alias("v"))
-    return vectors.select("doc_id", F.transform("v", lambda x: F.round(x, 5)).alias("v"))
+    """The filled buckets of every document's vector."""
+    vectors = table(s, d, "documents").select("doc_id", F.posexplode(hash_embedder(64)(F.col("text"))).alias("bucket", "value"))
+    return vectors.where("value <> 0").select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.col("value").cast("double").alias("value"))
 
 
 @query()
@@ -239,7 +260,8 @@ def crawl_bfs(s, d):
     pages = ingest.extract_pages(table(s, d, "pages"))
     links = ingest.page_links(pages, "page_id").select("src", "dst")
     roots = pages.groupBy(ur.host(F.col("url")).alias("site")).agg(F.min_by("url", "page_id").alias("url"))
-    return ingest.crawl(links, roots, indexable=pages.where(~ingest.is_thin(F.col("text"))).select("url"))
+    robots = roots.select("site", F.lit(ROBOTS).alias("body"))
+    return ingest.crawl(links, roots, robots, indexable=pages.where(~ingest.is_thin(F.col("text"))).select("url"))
 
 
 @query("SELECT conversation, turn, CASE WHEN conversation % 5 IN (1, 2) THEN 'human' ELSE outcome END AS outcome, conversation % 5 NOT IN (1, 2) AND outcome = 'answered' AS metered FROM v_messages WHERE role = 'assistant'")

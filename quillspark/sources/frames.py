@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.url import origin_allowed
+
 
 def frame(event: Column, payload: Column) -> Column:
     """One frame from an event name and a struct or map."""
@@ -36,6 +38,7 @@ def public_widget(config: Column, name: Column) -> Column:
     return F.struct(pick(s, "name", name).alias("name"), *(pick(s, k, F.lit(v).cast("string")).alias(k) for k, v in defaults.items()))
 
 
+# Shapes of widget keys and invitation tokens.
 KEY = r"^wk_[0-9A-HJKMNP-TV-Z]{26}$"
 INVITE = r"^inv_[0-9A-HJKMNP-TV-Z]{52}$"
 
@@ -50,3 +53,21 @@ def is_invite(token: Column) -> Column:
 
 def token_hash(token: Column) -> Column:
     return F.sha2(token, 256)
+
+
+def source_view(sources: DataFrame) -> DataFrame:
+    """What a dashboard may see of sources."""
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("title", "type", "status", "error")]
+    return sources.select("id", *text, F.coalesce(F.col("pages").cast("long"), F.lit(0).cast("long")).alias("pages"))
+
+
+def string_list(text: Column) -> Column:
+    """A JSON list of strings; empty or invalid text is an empty list."""
+    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+
+
+def resolve_widgets(requests: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """Requests ``(request, key, origin)`` with the workspace they reach: a well-formed key that is known, from an allowed origin."""
+    shaped = requests.where(is_widget_key(F.col("key")))
+    known = workspaces.select("workspace", F.col("widget_key").alias("key"), "allowed_domains")
+    return shaped.join(known, "key").where(origin_allowed(string_list(F.col("allowed_domains")), F.col("origin"))).select("request", "workspace")

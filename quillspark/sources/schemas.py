@@ -58,5 +58,5 @@ def checked(rows: DataFrame, name: str) -> DataFrame:
 
 def write_vectors(rows: DataFrame, path: str, dims: int) -> None:
     """Chunks with their embedding in one table, by tenant: text and vector appear together or not at all."""
-    sized = F.when((F.size("embedding") == dims) & (F.col("workspace") != ""), F.col("embedding")).otherwise(F.raise_error(F.lit("a vector lacks its workspace or has another width")))
+    sized = F.when((F.size("embedding") == dims) & (F.coalesce(F.col("workspace").cast("string"), F.lit("")) != ""), F.col("embedding")).otherwise(F.raise_error(F.lit("a vector lacks its workspace or has another width")))
     rows.withColumn("embedding", sized).write.partitionBy("workspace").mode("append").parquet(path)

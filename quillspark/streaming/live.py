@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,23 +43,26 @@ def deliver(batch: DataFrame, buffer: int = BUFFER) -> DataFrame:
     return batch.groupBy("subscriber").agg(F.least(n, F.lit(buffer)).alias("delivered"), F.greatest(n - buffer, F.lit(0)).alias("dropped"))
 
 
-def bounded_buffers(events: DataFrame, buffer: int = BUFFER) -> DataFrame:
-    """Running ``subscriber, delivered, dropped`` of a stream, with the counts as state."""
-    schema = "subscriber bigint, delivered bigint, dropped bigint"
+def not_replayed(live: DataFrame, history: DataFrame) -> DataFrame:
+    """Live events (a stream) that the history a client was sent did not hold, each id once."""
+    return live.join(history.select("id"), "id", "left_anti").dropDuplicates(["id"])
+
+
+def status_events(conversations: DataFrame) -> DataFrame:
+    """Every update of a conversation goes out as a status event."""
+    return conversations.select("conversation", F.lit("status").alias("kind"), "status", "created_ms")
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        delivered, dropped = state.get if state.exists else (0, 0)
-        n = sum(len(b) for b in batches)
-        delivered, dropped = delivered + min(n, buffer), dropped + max(0, n - buffer)
-        state.update((delivered, dropped))
-        yield pd.DataFrame({"subscriber": [key[0]], "delivered": [delivered], "dropped": [dropped]})
 
-    return events.groupBy("subscriber").applyInPandasWithState(fold, schema, "delivered bigint, dropped bigint", "update", "NoTimeout")
+def events(messages: DataFrame, conversations: DataFrame) -> DataFrame:
+    """What goes out live: people's messages and status changes, in one stream."""
+    sent = published(messages).select("conversation", F.lit("message").alias("kind"), F.lit("").alias("status"), "created_ms")
+    return sent.unionByName(status_events(conversations))
 
 
-def replayed(history: DataFrame, live: DataFrame) -> DataFrame:
-    """History and live events, each id once."""
-    return history.unionByName(live).dropDuplicates(["id"])
+def with_human(events: DataFrame) -> DataFrame:
+    """Whether a person has each conversation, by its latest status."""
+    status = F.max_by("status", "created_ms")
+    return events.where("kind = 'status'").groupBy("conversation").agg(status.isin("human", "escalated").alias("with_human"))
 
 
 def gauges(subscriptions: DataFrame, dropped: DataFrame) -> DataFrame:

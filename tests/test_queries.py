@@ -16,7 +16,7 @@ def test_query_matches_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys()))
 def test_query_runs(spark, name):
-    assert QUERIES[name](spark, SF).columns
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry_module_names():
