@@ -1,14 +1,19 @@
 """Chat formatting with Spark expressions only.
 
-Turns are collected per conversation as structs and sorted; runs of one role are
-found and sliced out as blocks; blocks become marked text; all by array
-functions.  A block reads ``<s>role[INST]text[+]text[/INST]</s>`` (``[+]`` parts
+Turns are collected per conversation as structs and sorted; from the sorted array
+each turn gets the number of its run of one role and its place in the formatted
+text, by running sums over the conversation; the texts of a run are merged by array
+aggregation and its block becomes marked text.  All steps after the first shuffle
+stay in its partitions, and work is linear in a conversation's text but for sorting.
+A block reads ``<s>role[INST]text[+]text[/INST]</s>`` (``[+]`` parts
 the turns that were merged).  Control strings in texts or roles get a backslash
 after their first character, and those that have backslashes there already get
 one more, so reading back is exact.
 
 The loss mask is a list of ``(start, length)`` spans over the formatted string,
-one per turn of a role in ``loss_roles``, on its escaped text only.
+one per turn of a role in ``loss_roles``, on its escaped text only.  Reading cuts
+the string at its marks once, so a span is one of the pieces and is found by where
+it starts.
 
 Null texts and roles are empty.  Turns sort by turn (null first), then role,
 then text; repeated rows stay turns of their own.  Rows with a null conversation
@@ -20,10 +25,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import table
+from quillspark.llm.common import materialize, table
 
 
 @dataclass(frozen=True)
@@ -58,38 +63,22 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (role_col, text_col))
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
     sorted_turns = rows.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size("turns") - 1),
-        lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", i - 1)["role"]),
-    )
-    blocks = F.transform(
-        "starts",
-        lambda s, j: F.struct(
-            F.get("turns", s)["role"].alias("role"),
-            F.transform(
-                F.slice("turns", s + 1, F.coalesce(F.get("starts", j + 1), F.size("turns")) - s),
-                lambda one: t.escape(one["text"]),
-            ).alias("texts"),
-        ),
-    )
-    head = lambda b: F.concat(F.lit(t.open), t.escape(b["role"]), F.lit(t.begin))
-    whole = lambda b: F.concat(head(b), F.array_join(b["texts"], t.part), F.lit(t.end + t.close))
-    merged = sorted_turns.withColumn("starts", starts).withColumn("blocks", blocks).withColumn("pieces", F.transform("blocks", whole))
-    # Running offsets: of the blocks, then of the texts inside each block whose role counts.
-    add = lambda seen, n: F.struct((seen["at"] + n).alias("at"), F.concat(seen["all"], F.array(seen["at"])).alias("all"))
-    none = lambda: F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-    offsets = F.aggregate(F.transform("pieces", F.length), none(), add)["all"]
-    inner = lambda b: F.aggregate(F.transform(b["texts"], lambda x: F.length(x) + len(t.part)), none(), add)["all"]
-    spans = F.flatten(
-        F.transform(
-            F.filter(F.arrays_zip("blocks", "offsets"), lambda z: z["blocks"]["role"].isin(*loss_roles)),
-            lambda z: F.transform(
-                F.arrays_zip(z["blocks"]["texts"].alias("texts"), inner(z["blocks"]).alias("ats")),
-                lambda y: F.struct((z["offsets"] + F.length(head(z["blocks"])) + y["ats"]).alias("start"), F.length(y["texts"]).alias("length")),
-            ),
-        )
-    )
-    return merged.withColumn("offsets", offsets).select(F.col("conv").alias(conv_col), F.array_join("pieces", "").alias("formatted"), spans.alias("loss_spans"))
+    each = sorted_turns.select("conv", F.posexplode("turns").alias("pos", "t")).select("conv", "pos", "t.role", t.escape(F.col("t.text")).alias("text"))
+    order = Window.partitionBy("conv").orderBy("pos")
+    first = F.coalesce(F.lag("role").over(order) != F.col("role"), F.lit(True))
+    last = F.coalesce(F.lead("role").over(order) != F.col("role"), F.lit(True))
+    head = F.concat(F.lit(t.open), t.escape(F.col("role")), F.lit(t.begin))
+    marked = each.withColumns({"first": first, "last": last}).withColumn("before", F.when(F.col("first"), F.length(head)).otherwise(len(t.part)))
+    size = F.col("before") + F.length("text") + F.when(F.col("last"), len(t.end + t.close)).otherwise(0)
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = marked.withColumns({"block": F.sum(F.col("first").cast("int")).over(so_far), "at": F.sum(size).over(so_far) - size + F.col("before")})
+    span = F.when(F.col("role").isin(*loss_roles), F.struct(F.col("at").cast("int").alias("start"), F.length("text").alias("length")))
+    blocks = placed.groupBy("conv", "block").agg(
+        F.any_value(head).alias("head"), F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("texts"), F.array_sort(F.collect_list(span)).alias("spans")
+    )
+    whole = F.concat("head", F.array_join(F.col("texts.text"), t.part), F.lit(t.end + t.close))
+    chats = blocks.select("conv", F.struct("block", whole.alias("piece"), "spans").alias("b")).groupBy("conv").agg(F.sort_array(F.collect_list("b")).alias("b"))
+    return chats.select(F.col("conv").alias(conv_col), F.array_join(F.col("b.piece"), "").alias("formatted"), F.flatten("b.spans").alias("loss_spans"))
 
 
 def read_chats(formatted: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
@@ -104,7 +93,26 @@ def read_chats(formatted: DataFrame, template: ChatTemplate = ChatTemplate()) ->
     return formatted.withColumn("turns", turns)
 
 
+def masked_texts(chats: DataFrame, id_col: str = "conv_id", template: ChatTemplate = ChatTemplate()) -> DataFrame:
+    """``(id_col, masked)``: the text under the loss mask of each conversation, unescaped and end to end.
+
+    Marks and what stands between them are the pieces of the string; a piece is
+    masked where a span starts at its place and has its length.
+    """
+    t = template
+    mark = "|".join(rf"\Q{m}\E" for m in t.marks())
+    pieces = chats.select(F.col(id_col).alias("conv"), "loss_spans", F.posexplode(F.split("formatted", rf"(?={mark})|(?<={mark})", -1)).alias("pos", "piece"))
+    order = Window.partitionBy("conv").orderBy("pos")
+    start = F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("piece")
+    placed = pieces.drop("loss_spans").withColumn("start", start.cast("int"))
+    spans = chats.select(F.col(id_col).alias("own"), F.explode("loss_spans").alias("s")).select("own", "s.start", "s.length").where("length > 0")
+    hit = placed.join(spans, F.col("conv").eqNullSafe(F.col("own")) & (placed["start"] == spans["start"]) & (F.length("piece") == F.col("length")))
+    said = hit.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("pos", t.unescape(F.col("piece")).alias("text")))).alias("said"))
+    return said.select(F.col("conv").alias(id_col), F.array_join(F.col("said.text"), "").alias("masked"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations formatted, written out, and digested as they are read back."""
     columns = ["conv_id", "turn", "role", "text"]
     rows = table(spark, sf_dir, "conversations").select(*columns)
     own = spark.range(2).select(
@@ -113,15 +121,31 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
-    read = read_chats(format_chats(rows.unionByName(own)))
-    said = ChatTemplate().unescape
-    masked = F.array_join(F.transform("loss_spans", lambda s: said(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
+    chats = materialize(format_chats(rows.unionByName(own)), "chats")
+    masks = masked_texts(chats).withColumnRenamed("conv_id", "own")
+    read = read_chats(chats).join(masks, F.col("conv_id").eqNullSafe(F.col("own")), "left").withColumn("masked", F.coalesce("masked", F.lit("")))
     told = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(told, 256).alias("turns_sha256"),
-        F.length(masked).cast("long").alias("loss_chars"),
-        F.sha2(masked, 256).alias("loss_sha256"),
+        F.length("masked").cast("long").alias("loss_chars"),
+        F.sha2("masked", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+_ESCAPED = r"length(regexp_replace({}, '([<\[])(\\*)(s>|INST\]|\+\]|/INST\]|/s>)', '\1\\\2\3', 'g'))"
+OP9_SQL = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role)),
+o AS (SELECT *, lag(role) OVER w AS before, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+s AS (
+  SELECT *, {_ESCAPED.format("text")} + CASE WHEN before = role THEN 3 ELSE {_ESCAPED.format("role")} + 20 END AS size FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(size)::BIGINT AS formatted_chars
+FROM s GROUP BY conv_id
+"""

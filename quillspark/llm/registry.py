@@ -27,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.OP3_SQL, "op4_line_dedup": line_dedup.OP4_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+    return {"op3_warc": warc.OP3_SQL, "op4_line_dedup": line_dedup.OP4_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "op9_chat_format": chat_format.OP9_SQL}
