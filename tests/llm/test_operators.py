@@ -368,6 +368,26 @@ def test_chat_escapes_are_reversible(spark):
     assert [(t["role"], t["text"]) for t in chats["turns"]] == [(r, t or "") for _, _, r, t in rows]
 
 
+def test_chat_masks_are_the_texts(spark):
+    """Spans hold the escaped texts exactly; long runs, several conversations, a null id and clashing columns."""
+    from quillspark.llm import chat_format
+
+    rng = np.random.default_rng(8)
+    words = ["<s>", "[INST]", "[+]", "\\", "ok", "é", "", "</s>[", "[/INST]", "\n"]
+    rows = [(i or None, n, str(rng.choice(["assistant", "user", "us[+]er"])), "".join(rng.choice(words, rng.integers(0, 6))), "x", 7) for i in range(6) for n in range(60)]
+    rows += [(99, n, "assistant", f"t{n}", "x", 7) for n in range(3000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, block string, pos int")
+    chats = chat_format.format_chats(turns)
+    masked = {r["conv_id"]: r["masked"] for r in chat_format.masked_texts(chats).collect()}
+    for chat in chat_format.read_chats(chats).collect():
+        own = [r for r in rows if r[0] == chat["conv_id"]]
+        assert [(t["role"], t["text"]) for t in chat["turns"]] == [(r[2], r[3]) for r in own]
+        said = [r[3] for r in own if r[2] == "assistant"]
+        spans = [chat["formatted"][s["start"] : s["start"] + s["length"]] for s in chat["loss_spans"]]
+        assert [re.sub(r"([<\[])\\(\\*)(s>|INST\]|\+\]|/INST\]|/s>)", r"\1\2\3", s) for s in spans] == said
+        assert masked[chat["conv_id"]] == "".join(said)
+
+
 def recall(got, vectors, ids, queries):
     """Share of the exact ten nearest that were found; every score must be exact, and ranks in order."""
     found = defaultdict(list)
