@@ -230,19 +230,37 @@ class Codec:
         return b"".join(map(self.entries.__getitem__, ids))
 
 
-def encode_documents(docs: DataFrame, codec: Codec, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """Add ``ids_col``, the array of token ids of the whole text."""
+def encode_documents(docs: DataFrame, codec: Codec, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """Add ``ids_col``, the array of token ids of the whole text.
+
+    With ``decoded_col`` the ids are decoded where they were made, too, which
+    spares a second Python worker in each task and sending the ids to it.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(codec)
+    if decoded_col is None:
+
+        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        def ids_of(texts: pa.Array) -> pa.Array:
+            encode = shared.value.encode
+            return id_lists([encode(text.as_py()) for text in texts])
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def ids_of(texts: pa.Array) -> pa.Array:
-        encode, parts = shared.value.encode, [np.empty(0, dtype=np.int32)]
+        return docs.withColumn(ids_col, ids_of(text_or_empty(text_col)))
+
+    @F.arrow_udf(T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.BinaryType()))
+    def both_of(texts: pa.Array) -> pa.Array:
+        encode, decode, ids, decoded = shared.value.encode, shared.value.decode, [], []
         for text in texts:
-            parts.append(encode(text.as_py()))
-        ends = np.cumsum([len(p) for p in parts], dtype=np.int64).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
+            ids.append(encode(text.as_py()))
+            decoded.append(decode(ids[-1].tolist()))
+        return pa.StructArray.from_arrays([id_lists(ids), pa.array(decoded, pa.binary())], ["ids", "decoded"])
+
+    both, kept = both_of(text_or_empty(text_col)), [c for c in docs.columns if c.lower() not in (ids_col.lower(), decoded_col.lower())]
+    return docs.withColumn("__both", both).select(*kept, F.col("__both.ids").alias(ids_col), F.col("__both.decoded").alias(decoded_col))
+
 
-    return docs.withColumn(ids_col, ids_of(text_or_empty(text_col)))
+def id_lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int64).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, dtype=np.int32), *rows])))
 
 
 def decode_ids(docs: DataFrame, codec: Codec, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -267,8 +285,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, decode the ids, and digest both sides."""
     codec = public_codec()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode_ids(encode_documents(docs, codec), codec)
-    return both.select(
+    return encode_documents(docs, codec, decoded_col="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -15,6 +15,7 @@ import tiktoken
 import xxhash
 from conftest import SF
 from oracle import check
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillspark.llm import bpe, components, exact_dedup, line_dedup, neighbours, packing, quality, registry, simhash, toxicity, warc
@@ -51,6 +52,20 @@ def test_byte_bpe_odd_texts(text):
     assert codec.decode(ids) == text.encode()
 
 
+def test_byte_bpe_in_one_pass_and_in_two(spark):
+    codec = bpe.public_codec()
+    texts = [(1, "two  words, two", "old"), (2, None, "old"), (2, "", None), (1, "two  words, two", "old"), (None, "\u00e9t\u00e9 \U0001f600 " * 500, "old")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, ids string").withColumn("Decoded", F.lit(0))
+    one = bpe.encode_documents(docs, codec, decoded_col="decoded")
+    two = bpe.decode_ids(bpe.encode_documents(docs.drop("Decoded"), codec), codec)
+    assert one.columns == ["doc_id", "text", "ids", "decoded"]
+    rows = one.collect()
+    assert sorted(map(str, rows)) == sorted(map(str, two.select(one.columns).collect()))
+    assert all(bytes(r["decoded"]) == (r["text"] or "").encode() and r["ids"] == codec.encode(r["text"] or "").tolist() for r in rows)
+    assert bpe.encode_documents(docs.limit(0), codec, decoded_col="decoded").count() == 0
+    assert one.select(F.size("ids"), "ids", "decoded")._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_perfect_hash_is_minimal():
     keys = [str(i * i).encode() for i in range(5000)]
     table = bpe.PerfectHash(keys)
