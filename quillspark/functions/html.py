@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -13,6 +14,9 @@ from quillspark.functions.url import resolved
 # Elements left out with all they hold, and elements that part paragraphs.
 SKIPPED = frozenset("script style noscript nav header footer aside svg iframe template form select button".split())
 BLOCKS = frozenset("p div section article h1 h2 h3 h4 h5 h6 li tr br blockquote dt dd pre figcaption".split())
+# Left-out elements that end with an element around them, too, and elements that end all that is open inside.
+LOOSE = frozenset("nav header footer aside form button".split())
+CLOSING = LOOSE | frozenset("address article blockquote center details dialog dir div dl fieldset figcaption figure hgroup main menu ol pre section summary table ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -24,15 +28,25 @@ class _Reader(HTMLParser):
         self.in_title = False
         self.links: list[str] = []
         self.skipping: list[str] = []
+        self.open: list[str] = []
+        self.held: Counter[str] = Counter()
+        self.left_out: int | None = None  # place of the element in ``open`` with which all is left out
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.skipping:
             if tag == self.skipping[-1]:
                 self.skipping.append(tag)
             return
-        if tag in SKIPPED:
+        if tag in SKIPPED - LOOSE:
             self.skipping.append(tag)
             return
+        if tag in CLOSING:
+            self.open.append(tag)
+            self.held[tag] += 1
+            if tag in LOOSE and self.left_out is None:
+                self.left_out = len(self.open) - 1
+        if self.left_out is not None:
+            return
         given = dict(reversed(attrs))
         if tag == "title" and not (self.title or "").strip():
             self.in_title, self.title = True, ""
@@ -53,13 +67,24 @@ class _Reader(HTMLParser):
             if tag == self.skipping[-1]:
                 self.skipping.pop()
             return
+        if tag in CLOSING:
+            if not self.held[tag]:
+                return
+            ended = ""
+            while ended != tag:
+                ended = self.open.pop()
+                self.held[ended] -= 1
+            if self.left_out is not None and len(self.open) <= self.left_out:
+                self.left_out = None
+        if self.left_out is not None:
+            return
         if tag == "title":
             self.in_title = False
         if tag in BLOCKS:
             self.parts.append("\n\n")
 
     def handle_data(self, data: str) -> None:
-        if self.skipping:
+        if self.skipping or self.left_out is not None:
             return
         if self.in_title:
             self.title += data

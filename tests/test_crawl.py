@@ -38,3 +38,16 @@ def test_crawl_has_no_depth_limit_and_counts_indexable_pages(spark):
     ).collect()
     want = {(site, url, depth) for site, root in roots.items() for url, depth in plain_crawl(links, root, good, 30).items()}
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_robots_leave_out_pages_and_whole_sites(spark):
+    links = [(f"http://{h}.example/", f"http://{h}.example/{p}") for h in "abc" for p in ("open", "shut/x", "shut/but")]
+    links += [("http://a.example/shut/x", "http://a.example/behind"), ("http://a.example/shut/but", "http://a.example/late"), ("http://a.example/open", "http://b.example/over")]
+    robots = [("a.example", "User-agent: *\nDisallow: /shut\nAllow: /shut/but\n"), ("b.example", "User-agent: *\nDisallow: /\n")]
+    roots = [(f"{h}.example", f"http://{h}.example/") for h in "abc"]
+    got = ingest.crawl(spark.createDataFrame(links, "src string, dst string"), spark.createDataFrame(roots, "site string, url string"), spark.createDataFrame(robots, "site string, body string")).collect()
+    barred = {"http://a.example/shut/x"}
+    own = [(a, b) for a, b in links if a.split("/")[2] == b.split("/")[2] and b not in barred]
+    everything = {url for link in links for url in link}
+    want = {(site, url, depth) for site, root in roots if site != "b.example" for url, depth in plain_crawl(own, root, everything, 200).items()}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
