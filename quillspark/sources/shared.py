@@ -1,4 +1,4 @@
-"""The folder that all executors share, and copies of tables in it."""
+"""Tables as they are read, the folder that all executors share, and copies of tables in it."""
 
 from __future__ import annotations
 
@@ -8,6 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table as read, dealt out over all cores where the reader makes no more splits than there are cores.
+
+    Such a table is small (a split per core at most) and may lie in one row group, which
+    one core would work on alone.  Larger tables are passed on as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder where a local session has none set, an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
