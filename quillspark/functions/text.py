@@ -32,16 +32,26 @@ def trim_space(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
 
 
+def is_inked(text: Column) -> Column:
+    """Whether anything but white space stands in a text."""
+    return F.rlike(text, F.lit(r"\P{IsWhite_Space}"))
+
+
 def collapse_space(text: Column) -> Column:
     return trim_space(F.regexp_replace(text, rf"{SPACE}+", " "))
 
 
+def count_chars(text: Column, kind: str) -> Column:
+    """How many characters are of a regex character class, met by runs, without a list of matches."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{kind}+", ""))
+
+
 def arabic_letters(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"(?=\p{L})\p{IsArabic}"))
+    return count_chars(text, r"[\p{L}&&\p{IsArabic}]")
 
 
 def latin_letters(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"(?=\p{L})\p{IsLatin}"))
+    return count_chars(text, r"[\p{L}&&\p{IsLatin}]")
 
 
 def direction(language: Column) -> Column:
@@ -84,10 +94,10 @@ def normalize_arabic(text: Column) -> Column:
 
 def estimate_tokens(text: Column) -> Column:
     """Tokens a model would see, from character counts; blank text has none, any other at least one."""
-    arabic = F.regexp_count(text, F.lit(r"\p{IsArabic}"))
-    other = F.length(text) - arabic - F.regexp_count(text, F.lit(SPACE))
+    arabic = count_chars(text, r"\p{IsArabic}")
+    other = F.length(F.regexp_replace(text, rf"[\p{{IsArabic}}{SPACE}]+", ""))
     estimate = F.floor(arabic / F.lit(ARABIC_CHARS_PER_TOKEN) + other / F.lit(OTHER_CHARS_PER_TOKEN) + 0.5).cast("int")
-    return F.when(trim_space(text) == "", 0).otherwise(F.greatest(F.lit(1), estimate))
+    return F.when(~is_inked(text), 0).otherwise(F.greatest(F.lit(1), estimate))
 
 
 def split_paragraphs(text: Column) -> Column:
@@ -118,7 +128,7 @@ def has_presentation_forms(text: Column) -> Column:
 
 def readability(text: Column) -> Column:
     """``ok``, or why extracted text can't be vouched for."""
-    letters, arabic = F.regexp_count(text, F.lit(r"\p{L}")), arabic_letters(text)
+    letters, arabic = count_chars(text, r"\p{L}"), arabic_letters(text)
     broken = F.regexp_count(text, F.lit("\\x{FFFD}"))
     count = lambda words: sum(((F.size(F.split(text, f" {w} ", -1)) - 1) for w in words), F.lit(0))
     forward, backward = count(ARABIC_FUNCTION_WORDS), count([w[::-1] for w in ARABIC_FUNCTION_WORDS])

@@ -102,14 +102,16 @@ def chunk_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     steps = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("__text")).withColumn("__pieces", text_pieces(F.col("__text")))
     packed = steps.withColumn("__packed", _tail_merged(_packed(F.col("__pieces"), "\n\n")))
     whole = packed.withColumn("__chunks", _overlapped(F.col("__packed")))
-    return whole.select(F.col(id_col), F.posexplode("__chunks").alias("position", "c")).select(id_col, "position", "c.text", F.col("c.tokens").alias("est_tokens"))
+    # The outer form: for the inner one Spark filters by the size of the array first and builds it twice.
+    rows = whole.select(F.col(id_col), F.posexplode_outer("__chunks").alias("position", "c")).where("position is not null")
+    return rows.select(id_col, "position", "c.text", F.col("c.tokens").alias("est_tokens"))
 
 
 def chunk_pairs(pairs: DataFrame, id_col: str, pairs_col: str) -> DataFrame:
     """One chunk per question-answer pair, never merged; pairs empty on both sides are skipped, positions stay dense."""
     text = lambda p: trim_space(F.concat_ws("\n", trim_space(F.coalesce(p["question"], F.lit(""))), trim_space(F.coalesce(p["answer"], F.lit("")))))
     kept = F.filter(F.transform(F.col(pairs_col), text), lambda t: t != "")
-    return pairs.select(F.col(id_col), F.posexplode(kept).alias("position", "text")).withColumn("est_tokens", estimate_tokens(F.col("text")))
+    return pairs.select(F.col(id_col), F.posexplode_outer(kept).alias("position", "text")).where("position is not null").withColumn("est_tokens", estimate_tokens(F.col("text")))
 
 
 def titled_chunks(chunks: DataFrame, site_col: str, page_col: str, title_col: str) -> DataFrame:

@@ -97,7 +97,7 @@ TWO = "replace(text, chr(10), chr(10) || chr(10))"
 @query(f"WITH p AS (SELECT doc_id, unnest(string_split({TWO}, chr(10) || chr(10))) AS p FROM documents) SELECT doc_id, {trimmed('p')} AS paragraph FROM p WHERE {trimmed('p')} <> ''")
 def paragraphs(s, d):
     docs = table(s, d, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
-    return docs.select("doc_id", F.explode(tx.split_paragraphs(F.col("text"))).alias("paragraph"))
+    return docs.select("doc_id", F.explode_outer(tx.split_paragraphs(F.col("text"))).alias("paragraph")).where("paragraph is not null")
 
 
 # The other engine has no look-around: ends that count are marked first, full stops inside numbers after that
@@ -105,7 +105,7 @@ def paragraphs(s, d):
 @query(rf"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([!?\x{{61f}}\x{{6d4}}\n.])', '\1' || chr(1), 'g'), '(\d\.)' || chr(1) || '(\d)', '\1\2', 'g'), '(\d\.)' || chr(1) || '(\d)', '\1\2', 'g') AS t FROM documents),
 p AS (SELECT doc_id, unnest(string_split(t, chr(1))) AS p FROM m) SELECT doc_id, {trimmed('p')} AS sentence FROM p WHERE {trimmed('p')} <> ''""")
 def sentences(s, d):
-    return table(s, d, "documents").select("doc_id", F.explode(tx.split_sentences(F.col("text"))).alias("sentence"))
+    return table(s, d, "documents").select("doc_id", F.explode_outer(tx.split_sentences(F.col("text"))).alias("sentence")).where("sentence is not null")
 
 
 @query(f"""WITH q AS (SELECT conv_id, turn, {trimmed('text')} AS t FROM conversations WHERE {trimmed('text')} <> '')
