@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.sources.shared import materialize, scratch_path
+from quillspark.sources.shared import materialize, scratch_path, spread
 
 __all__ = ["is_held_out", "materialize", "scratch_path", "table", "text_or_empty"]
 
 
+#: Tables of texts, on which work takes much longer than reading does.
+TEXTS = {"documents", "pages"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
 
 
 def text_or_empty(name: str = "text") -> Column:
