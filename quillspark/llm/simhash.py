@@ -349,7 +349,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     named_row = row_hash(id_col, text_col).alias("row")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        return docs.select(named_row, text_or_empty(text_col).alias("text")).join(wanted, "row").select("node", sets("text").alias("set"))
+        found = docs.select(named_row, text_or_empty(text_col).alias("text")).join(wanted, "row").select("node", sets("text").alias("set"))
+        return found.dropDuplicates(["node"])  # rows alike in id and text; the join by node needs this shuffle anyhow
 
     rows = materialize(docs.select(F.col(id_col).alias("id"), named_row, sketches(text_or_empty(text_col)).alias("s")).select("id", "row", "s.*"), "sketches")
     nodes = rows.groupBy("node").agg(F.min(F.struct("fp", "sig", "keys", "size", "row")).alias("s")).select("node", "s.*")

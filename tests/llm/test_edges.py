@@ -89,3 +89,20 @@ def test_near_copies_with_repeated_ids(spark):
     for frame in (docs, docs.orderBy("text"), docs.orderBy("doc_id")):
         kept = corpus_pipeline.drop_near_copies(spark, frame, "").collect()
         assert sorted((r["text"], r["doc_id"] or 0) for r in kept) == sorted([(a, 1), (b, 1), (c, 2), ("alone", 0)])
+
+
+def test_near_copies_of_repeated_rows(spark, monkeypatch):
+    texts = [" ".join(f"w{i}" for i in range(300)), " ".join([*(f"w{i}" for i in range(299)), "other"]), "quite another text of a few words"]
+    docs = spark.createDataFrame([(i, text) for i, text in enumerate(texts)] * 40, "doc_id long, text string")
+    trees, plain = [], simhash.materialize
+
+    def kept(df, label):
+        found = plain(df, label)
+        if label == "shards":
+            trees.extend([n["node"] for n in r["tree"]] for r in found.select("tree").collect())
+        return found
+
+    monkeypatch.setattr(simhash, "materialize", kept)
+    groups = Counter((r["doc_id"], r["component_id"]) for r in simhash.similar_documents(docs).collect())
+    assert groups == Counter({(0, 0): 40, (1, 0): 40, (2, 2): 40})
+    assert trees and all(len(nodes) == len(set(nodes)) for nodes in trees)
