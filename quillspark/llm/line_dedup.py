@@ -45,7 +45,8 @@ def boilerplate(pages: DataFrame, site: Column, text_col: str = "text", ratio: f
     """``(site, lines)``: for every site that has any, the array of its boilerplate lines."""
     seen = pages.select(site.alias("site"), F.array_distinct(F.transform(F.split(F.col(text_col), "\n", -1), _key)).alias("own"))
     totals = seen.groupBy("site").agg(F.count("*").alias("pages"))
-    lines = seen.select("site", F.explode("own").alias("line")).where("line <> ''").groupBy("site", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    # The outer form: for the inner one Spark filters by the size of the array first and builds it twice.
+    lines = seen.select("site", F.explode_outer("own").alias("line")).where("line <> ''").groupBy("site", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     often = lines.join(totals, lines["site"].eqNullSafe(totals["site"])).where(F.col("n") > F.lit(ratio) * F.col("pages")).select(lines["site"], "line")
     return often.groupBy("site").agg(F.collect_list("line").alias("lines"))
 
