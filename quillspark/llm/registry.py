@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, chat_format, exact_dedup, line_dedup, neighbours, packing, quality, simhash, toxicity, warc
+from quillspark.llm import bpe, chat_format, exact_dedup, line_dedup, merkle, neighbours, packing, quality, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +23,9 @@ def queries() -> dict[str, Query]:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_neighbours": neighbours.op10_neighbours,
+        "op13_merkle": merkle.op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.OP3_SQL, "op4_line_dedup": line_dedup.OP4_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "op9_chat_format": chat_format.OP9_SQL}
+    return {"op3_warc": warc.OP3_SQL, "op4_line_dedup": line_dedup.OP4_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "op9_chat_format": chat_format.OP9_SQL, "op13_merkle": merkle.OP13_SQL}
