@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, chat_format, exact_dedup, line_dedup, merkle, neighbours, packing, quality, simhash, toxicity, warc
+from quillspark.llm import alignment, bpe, chat_format, exact_dedup, language, line_dedup, merkle, neighbours, packing, quality, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,8 @@ def queries() -> dict[str, Query]:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_neighbours": neighbours.op10_neighbours,
+        "op11_language": language.op11_language,
+        "op12_alignment": alignment.op12_alignment,
         "op13_merkle": merkle.op13_merkle,
     }
 
