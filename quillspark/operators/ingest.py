@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.html import read_html
-from quillspark.functions.text import normalize_arabic, short_reason, tidy, truncate
+from quillspark.functions.text import normalize_arabic, tidy, truncate
 from quillspark.functions.url import is_asset, robots_allow, robots_rules, same_site, url_key
 from quillspark.functions.vector import hash_embedder
 from quillspark.operators.chunking import chunk_documents
@@ -78,36 +78,44 @@ def crawl(links: DataFrame, roots: DataFrame, robots: DataFrame | None = None, u
     return seen.select("site", "url", "depth")
 
 
-def within_quota(new: DataFrame, existing: DataFrame, limits: DataFrame, order_col: str = "seq") -> DataFrame:
-    """Sources whose chunks still fit their workspace, before anything is embedded.
+def admission(new: DataFrame, existing: DataFrame, limits: DataFrame, order_col: str = "seq") -> DataFrame:
+    """Whether the chunks of each source still fit its workspace, before anything is embedded.
 
     ``new(workspace, source, seq, chunks)``, ``existing(workspace, chunks)``,
     ``limits(workspace, chunk_limit)``; a limit of zero or less is none.  A refused
-    source takes no room from later ones, so the running total is folded in order.
+    source takes no room from later ones, so the running total is folded in order:
+    a workspace is walked by one task, a batch at a time.  Returns ``workspace,
+    source, chunks, chunk_limit, held, status``; ``held`` is what the workspace had
+    when the source's turn came.
     """
     sized = new.join(existing.groupBy("workspace").agg(F.sum("chunks").alias("have")), "workspace", "left").join(limits, "workspace", "left")
     queue = sized.select(
-        "workspace", F.col("source").cast("string").alias("source"), F.col("chunks").cast("long").alias("chunks"), F.col(order_col).alias("__order"),
-        F.coalesce("have", F.lit(0)).cast("long").alias("have"), F.coalesce("chunk_limit", F.lit(0)).cast("long").alias("chunk_limit"),
+        "workspace", F.col("source").cast("string").alias("source"), F.col("chunks").cast("long").alias("chunks"), F.coalesce("chunk_limit", F.lit(0)).cast("long").alias("chunk_limit"),
+        F.coalesce("have", F.lit(0)).cast("long").alias("have"), F.col(order_col).alias("turn"),
     )
-    kind = ", ".join(f"{c} {queue.schema[c].dataType.simpleString()}" for c in ("workspace", "source", "chunks"))
-    in_order = queue.repartition("workspace").sortWithinPartitions("workspace", "__order", "source")
-    return in_order.mapInArrow(_admitted, f"{kind}, status string")
+    kind = f"workspace {queue.schema['workspace'].dataType.simpleString()}, source string, chunks bigint, chunk_limit bigint, held bigint, status string"
+    return queue.repartition("workspace").sortWithinPartitions("workspace", "turn", "source").mapInArrow(_admitted, kind)
 
 
 def _admitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Walk the sources of workspaces in order; a batch at a time, so a large workspace never stands in memory."""
     now, used = (), 0
     for batch in batches:
-        status = []
+        held, status = [], []
         for workspace, chunks, have, limit in zip(*(batch.column(c).to_pylist() for c in ("workspace", "chunks", "have", "chunk_limit")), strict=True):
             if now != (workspace,):
                 now, used = (workspace,), have
             fits = limit <= 0 or used + chunks <= limit
+            held.append(used)
             used += chunks if fits else 0
             status.append("ready" if fits else "failed")
-        columns = [batch.column(c) for c in ("workspace", "source", "chunks")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(status, pa.string())], ["workspace", "source", "chunks", "status"])
+        columns = [batch.column(c) for c in ("workspace", "source", "chunks", "chunk_limit")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(held, pa.int64()), pa.array(status, pa.string())], ["workspace", "source", "chunks", "chunk_limit", "held", "status"])
+
+
+def within_quota(new: DataFrame, existing: DataFrame, limits: DataFrame, order_col: str = "seq") -> DataFrame:
+    """``(workspace, source, chunks, status)`` of every source, as ``admission`` judges it."""
+    return admission(new, existing, limits, order_col).select("workspace", "source", "chunks", "status")
 
 
 def index_documents(docs: DataFrame, id_col: str, text_col: str, dims: int = 1024) -> DataFrame:
@@ -128,9 +136,3 @@ def skipped_summary(skipped: DataFrame, key: str, order_col: str) -> DataFrame:
     listed = F.array_join(F.col("told.text"), "; ")
     text = F.concat(n.cast("string"), F.lit(" page(s) were not indexed: "), listed, F.when(n > TOLD, F.concat(F.lit("and "), (n - TOLD).cast("string"), F.lit(" more"))).otherwise(""))
     return counts.join(told, key).select(key, truncate(text, 2000).alias("summary"))
-
-
-def source_status(sources: DataFrame, error_col: str = "error") -> DataFrame:
-    """``ready``, or ``failed`` with the reason made short."""
-    failed = F.coalesce(F.col(error_col), F.lit("")) != ""
-    return sources.withColumns({"status": F.when(failed, "failed").otherwise("ready"), error_col: F.when(failed, short_reason(F.col(error_col))).otherwise("")})
