@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.operators import knowledge
 from quillspark.plans.views import VIEWS, table, view, with_views
 from quillspark.sources.shared import scratch_path
-from quillspark.streaming import live
+from quillspark.streaming import live, stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -76,10 +77,47 @@ def stream_gaps(s, d):
     return final(live.gap_stream(rows, "seq"), ["workspace", "question_normalized"]).select("workspace", "question_normalized", "n", F.col("best_similarity").cast("double").alias("best_similarity"), "question")
 
 
-@query("SELECT DISTINCT CAST(event_id % 1000 AS VARCHAR) AS event_id FROM events")
+def dealt(s: SparkSession, rows: DataFrame, by: str, files: int = 3) -> DataFrame:
+    """Rows as a stream of a few files, one a micro-batch, cut by a column."""
+    path = scratch_path(s, "arrivals")
+    rows.repartitionByRange(files, by).sortWithinPartitions(by).write.parquet(path)
+    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _kept(s: SparkSession, stream: DataFrame, table_name: str, keys: list[str], fold) -> DataFrame:
+    store = knowledge.open_store(s, scratch_path(s, "kept"))
+    stored.keep(stream, store, table_name, keys, fold, table_name, scratch_path(s, "kept-state")).awaitTermination()
+    return store.read(table_name)
+
+
+@query("SELECT event_id, arg_min(type, seq) AS type FROM v_ledger_events GROUP BY 1")
 def stream_ledger(s, d):
-    rows = as_stream(s, d, "events").select((F.col("event_id") % 1000).cast("string").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"))
-    return final(live.ledger_stream(rows, "ts", "3650 days").select("event_id"), ["event_id"], "append")
+    """The stored ledger after all deliveries, in several batches: each id as first delivered, whatever time lies between."""
+    rows = view(s, d, "ledger_events").select("event_id", "type", F.lit("").alias("account"), F.lit("").alias("result"), "seq", F.col("ts").cast("timestamp").alias("at"))
+    return _kept(s, dealt(s, rows, "seq"), "billing_events", ["event_id"], stored.fold_ledger).select("event_id", "type")
+
+
+@query("SELECT CAST(account AS VARCHAR) AS account, strftime(ts, '%Y-%m') AS period, count(*) AS ai_replies_used, round(count(*) FILTER (WHERE overage) * 0.02, 6) AS overage_usd FROM v_replies GROUP BY 1, 2")
+def stored_usage(s, d):
+    """Stored counters after all replies, in several batches that meet the same accounts and months."""
+    rows = view(s, d, "replies").select(F.col("account").cast("string").alias("account"), "ts", "overage", "seq")
+    return _kept(s, stored.with_period(dealt(s, rows, "seq")), "usage", ["account", "period"], stored.fold_usage).withColumn("overage_usd", F.round("overage_usd", 6))
+
+
+@query(r"SELECT CAST(workspace AS VARCHAR) AS workspace, trim(regexp_replace(question, '\s+', ' ', 'g')) AS question_normalized, count(*) AS n, max(similarity)::DOUBLE AS best_similarity, arg_min(question, seq) AS question, arg_min(language, seq) AS language FROM v_questions GROUP BY 1, 2")
+def stored_gaps(s, d):
+    """Stored gaps after all unanswered questions, in several batches."""
+    rows = view(s, d, "questions").withColumns({"workspace": F.col("workspace").cast("string"), "at": F.timestamp_millis(F.col("seq"))})
+    kept = _kept(s, stored.with_normal_form(dealt(s, rows, "seq")), "knowledge_gaps", ["workspace", "question_normalized"], stored.fold_gaps)
+    return kept.select("workspace", "question_normalized", F.col("count").alias("n"), "best_similarity", "question", "language")
+
+
+@query("SELECT CAST(conversation AS VARCHAR) AS conversation, CAST(max(lead) AS VARCHAR) AS lead, 'pending' AS status FROM v_leads GROUP BY 1")
+def stored_escalations(s, d):
+    """Stored escalations after all requests, in several batches."""
+    text = lambda c: F.col(c).cast("string").alias(c)
+    rows = view(s, d, "leads").select(text("conversation"), text("workspace"), text("lead"), F.col("lead").alias("seq"), F.timestamp_millis("created_ms").alias("at"))
+    return _kept(s, dealt(s, rows, "seq"), "escalations", ["conversation"], stored.fold_escalations).select("conversation", "lead", "status")
 
 
 @query("""WITH m AS (SELECT conversation FROM v_messages WHERE role = 'human'), u AS (SELECT c_custkey AS subscriber, c_custkey % 200 AS conversation FROM customer),
@@ -105,8 +143,9 @@ def stream_buffers(s, d):
 def stream_replay(s, d):
     """A hundred events of history, then the live stream without them."""
     history = table(s, d, "events").where("event_id <= 100").select(F.col("event_id").alias("id"))
-    stream = live.not_replayed(as_stream(s, d, "events").select(F.col("event_id").alias("id")), history)
-    return history.withColumn("replayed", F.lit(True)).unionByName(final(stream.withColumn("replayed", F.lit(False)), ["id"], "append"))
+    live_rows = as_stream(s, d, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    stream = live.not_replayed(live_rows, history).select("id", F.lit(False).alias("replayed"))
+    return history.withColumn("replayed", F.lit(True)).unionByName(final(stream, ["id"], "append"))
 
 
 @query("SELECT conversation, status IN ('human', 'escalated') AS with_human FROM v_conversations")

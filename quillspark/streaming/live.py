@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators.usage import gap_fold, monthly_usage
+from quillspark.operators.usage import OVERAGE_USD, gap_fold
 
 # Subscribers of a conversation, and events that wait for one.
 SUBSCRIBERS, BUFFER = 8, 16
 
 
-def usage_stream(replies: DataFrame) -> DataFrame:
-    """Running monthly usage (update or complete mode); months are grouping keys, as windows can't express them."""
-    return monthly_usage(replies)
+def usage_stream(replies: DataFrame, delay: str = "40 days") -> DataFrame:
+    """Running monthly usage (update or append mode); months leave the state once they are closed.
+
+    The event time is the month's first day, so a month is closed when one has begun
+    that lies ``delay`` later; replies that arrive after that are too late to count.
+    """
+    month = replies.withColumn("month", F.date_trunc("month", F.to_utc_timestamp("ts", F.current_timezone()))).withWatermark("month", delay)
+    spent = F.sum(F.when(F.col("overage"), OVERAGE_USD).otherwise(0.0)).alias("overage_usd")
+    return month.groupBy("account", "month").agg(F.count("*").alias("replies"), spent).select("account", F.date_format("month", "yyyy-MM").alias("period"), "replies", "overage_usd")
 
 
 def gap_stream(questions: DataFrame, order_col: str) -> DataFrame:
@@ -21,7 +27,7 @@ def gap_stream(questions: DataFrame, order_col: str) -> DataFrame:
 
 
 def ledger_stream(events: DataFrame, ts_col: str, delay: str = "30 days") -> DataFrame:
-    """Each event id once within the watermark, which is generous as the batch form has none."""
+    """Each event id once within the watermark, after which it leaves the state; ``stored.fold_ledger`` has no such bound."""
     return events.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
@@ -43,9 +49,12 @@ def deliver(batch: DataFrame, buffer: int = BUFFER) -> DataFrame:
     return batch.groupBy("subscriber").agg(F.least(n, F.lit(buffer)).alias("delivered"), F.greatest(n - buffer, F.lit(0)).alias("dropped"))
 
 
-def not_replayed(live: DataFrame, history: DataFrame) -> DataFrame:
-    """Live events (a stream) that the history a client was sent did not hold, each id once."""
-    return live.join(history.select("id"), "id", "left_anti").dropDuplicates(["id"])
+def not_replayed(live: DataFrame, history: DataFrame, ts_col: str = "ts", delay: str = "10 minutes") -> DataFrame:
+    """Live events (a stream) that the history a client was sent did not hold, each id once.
+
+    Repeats of an id come close to it, so ids are forgotten ``delay`` after their event.
+    """
+    return live.join(history.select("id"), "id", "left_anti").withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(["id"])
 
 
 def status_events(conversations: DataFrame) -> DataFrame:
