@@ -14,7 +14,10 @@ number has no bound, is joined by pair, where no pair is hot any more.
 
 White space between two visible characters begins a token of both vocabularies (which is
 checked for the second), so a text is cut there into units, each aligned once and
-remembered.  A text whose units don't come out byte for byte is encoded whole.
+remembered.  Plain units (visible Latin letters, digits, punctuation, and line feeds between
+them) are aligned many at a time in numpy, and the first vocabulary encodes them by rank: every entry's own bytes
+merge into it, so merging by rank and by the list of merges are the same.  A text whose
+units don't come out byte for byte is encoded whole.
 
 Null and empty texts, and texts whose tokens don't spell the text byte for byte (a text
 that holds the second's mark of a space, say), have no tokens: all counts are zero.
@@ -27,8 +30,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,22 +47,17 @@ from quillspark.llm.common import materialize, table
 #: Irregular pairs that are broadcast at most, the most frequent ones (36 MB).
 HOT_PAIRS = 1 << 21
 #: Units remembered per Python worker, and the longest of them; the memory is emptied when full.
-MEMO_ENTRIES, MEMO_CHARS = 150_000, 40
+MEMO_ENTRIES, MEMO_CHARS = 400_000, 40
+#: Units that are encoded as one text.
+TOGETHER = 1000
 #: Documents whose links are sent on together, and links at which fewer are.
 ROWS, LINKS = 512, 1 << 20
 #: Mark of a space in the second vocabulary.
 SPACE = "▁"
 
 
-@dataclass(eq=False)
-class Unit:
-    """A stretch of text aligned: sizes, groups as text, and links as ``a << 32 | b``."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: bytes
-    links: np.ndarray
+#: A stretch of text aligned: tokens of either side, groups, links; groups as text, and links (``a << 32 | b``) as bytes.
+Unit = tuple[int, int, int, int, bytes, bytes]
 
 
 def link_tokens(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[list[str], list[int]]:
@@ -85,24 +85,26 @@ def link_tokens(a: list[int], b: list[int], size_a: list[int], size_b: list[int]
 class Aligner:
     """Both tokenizers, from their files' contents; remembers the units it has aligned."""
 
-    def __init__(self, json_a: str, model_b: bytes):
-        self.json_a, self.model_b = json_a, model_b
+    def __init__(self, json_a: str, model_b: bytes, pattern: str):
+        self.json_a, self.model_b, self.pattern = json_a, model_b, pattern
         self._ready()
 
     @classmethod
-    def of_files(cls, path_a: str, path_b: str) -> Aligner:
+    def of_files(cls, path_a: str, path_b: str, pattern: str) -> Aligner:
+        """``pattern`` is that of the first vocabulary's pre-tokens."""
         with open(path_a, encoding="utf-8") as a, open(path_b, "rb") as b:
-            return cls(a.read(), b.read())
+            return cls(a.read(), b.read(), pattern)
 
-    def __getstate__(self) -> tuple[str, bytes]:
-        return self.json_a, self.model_b
+    def __getstate__(self) -> tuple[str, bytes, str]:
+        return self.json_a, self.model_b, self.pattern
 
-    def __setstate__(self, state: tuple[str, bytes]) -> None:
-        self.json_a, self.model_b = state
+    def __setstate__(self, state: tuple[str, bytes, str]) -> None:
+        self.json_a, self.model_b, self.pattern = state
         self._ready()
 
     def _ready(self) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -116,7 +118,12 @@ class Aligner:
         by_bytes = {entry: i for i, entry in reversed([*enumerate(self.bytes_b)]) if entry and not self.b.is_byte(i)}
         lone = {entry: i for i, entry in enumerate(self.bytes_b) if self.b.is_byte(i)}
         self.same = np.array([by_bytes.get(entry, lone.get(entry, -1)) for entry in self.bytes_a], dtype=np.int64)
-        self.cut = regex.compile(r"(?<=[^\s\p{Z}\p{C}]) (?=[^\s\p{Z}\p{C}])").split
+        letters = {entry: i for i, entry in enumerate(self.bytes_a) if entry}
+        self.rank_a = tiktoken.Encoding("a", pat_str=self.pattern, mergeable_ranks=letters, special_tokens={}).encode_ordinary
+        self.sizes_a, self.sizes_b = np.array(self.size_a), np.array(self.size_b)
+        self.told = [np.array([f"{i}{mark}" for i in range(max(len(self.size_a), len(self.size_b)))], dtype=object) for mark in ",|;"]
+        self.split = regex.compile(r"(?<=[^\s\p{Z}\p{C}]) (?=[^\s\p{Z}\p{C}])").split
+        self.is_plain = re.compile(r"[!-~\xa1-\xac\xae-\u024f]+(?:\n+[!-~\xa1-\xac\xae-\u024f]+)*").fullmatch
         self.memo: dict[str, Unit | None] = {}
 
     def _entries_a(self) -> list[bytes]:
@@ -149,27 +156,74 @@ class Aligner:
                 found.append(None)
                 continue
             groups, links = link_tokens(a, b, self.size_a, self.size_b)
-            found.append(Unit(len(a), len(b), len(groups), ";".join(groups).encode(), np.array(links, dtype=np.int64)))
+            found.append((len(a), len(b), len(groups), len(links), ";".join(groups).encode(), np.array(links, dtype=np.int64).tobytes()))
         return found
 
+    def align_plain(self, units: list[str]) -> list[Unit | None]:
+        """``align`` for plain units, all at once: places are bytes in the units end to end, a space before each."""
+        if not units:
+            return []
+        of_a = np.array([i for at in range(0, len(units), TOGETHER) for i in self.rank_a(" " + " ".join(units[at : at + TOGETHER]))])
+        of_b = np.array([*chain.from_iterable(self.b.encode(units, num_threads=1))])
+        ends = np.cumsum([len(u.encode()) + 1 for u in units])
+        end_a, end_b = np.cumsum(self.sizes_a[of_a]), np.cumsum(self.sizes_b[of_b])
+        common = np.intersect1d(end_a, end_b, assume_unique=True)  # where groups end
+        if len(np.setdiff1d(ends, common, assume_unique=True)):
+            return self.align(units)
+        in_a, in_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
+        n_a, n_b = (np.bincount(x, minlength=len(common)) for x in (in_a, in_b))
+
+        first = np.searchsorted(end_b, end_a - self.sizes_a[of_a], side="right")
+        times = np.searchsorted(end_b - self.sizes_b[of_b], end_a) - first
+        links = np.repeat(of_a, times) << 32 | of_b[np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())]
+
+        comma, bar, semicolon = self.told
+        words = np.empty(len(of_a) + len(of_b), dtype=object)
+        last_a, last_b = np.append(in_a[1:] != in_a[:-1], True), np.append(in_b[1:] != in_b[:-1], True)
+        words[np.arange(len(of_a)) + (np.cumsum(n_b) - n_b)[in_a]] = np.where(last_a, bar[of_a], comma[of_a])
+        words[np.arange(len(of_b)) + np.cumsum(n_a)[in_b]] = np.where(last_b, semicolon[of_b], comma[of_b])
+        words, raw = words.tolist(), links.tobytes()
+
+        to_a, to_b, to_group = (np.searchsorted(x, ends) + 1 for x in (end_a, end_b, common))
+        to_link = np.cumsum(times)[to_a - 1]
+        found: list[Unit | None] = []
+        a = b = g = k = 0
+        for a2, b2, g2, k2 in zip(to_a.tolist(), to_b.tolist(), to_group.tolist(), to_link.tolist(), strict=True):
+            found.append((a2 - a, b2 - b, g2 - g, k2 - k, "".join(words[a + b : a2 + b2])[:-1].encode(), raw[8 * k : 8 * k2]))
+            a, b, g, k = a2, b2, g2, k2
+        return found
+
+    def cut(self, text: str) -> list[str]:
+        """Units of a text: it is cut at spaces between visible characters."""
+        if text.replace("\n", "").isprintable() and not (text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text):
+            return text.split(" ")  # its only white space are such spaces, and line feeds
+        return self.split(text)
+
     def texts(self, texts: list[str | None]) -> Iterator[list[Unit] | None]:
         """The units of every text; None where it has no tokens."""
         cuts = [self.cut(t) if t else [] for t in texts]
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
-        missing = [*{u for units in cuts for u in units} - self.memo.keys()]
-        own = dict(zip(missing, self.align(missing), strict=True))
-        self.memo |= {u: unit for u, unit in own.items() if len(u) < MEMO_CHARS}
+        memo = self.memo
+        missing = [*set(chain.from_iterable(cuts)).difference(memo)]
+        plain = [u for u in missing if self.is_plain(u)]
+        odd = [*set(missing).difference(plain)]
+        long = {}
+        for units, found in ((plain, self.align_plain(plain)), (odd, self.align(odd))):
+            for unit, aligned in zip(units, found, strict=True):
+                (memo if len(unit) < MEMO_CHARS else long)[unit] = aligned
         for text, units in zip(texts, cuts, strict=True):
-            found = [own.get(u) or self.memo.get(u) for u in units]
+            found = [*map(memo.get, units)]
             if None in found:
-                found = self.align([text])
+                found = [long.get(u) if x is None else x for u, x in zip(units, found, strict=True)]
+                if None in found:
+                    found = self.align([text])
             yield found if found and found[0] is not None else None
 
 
-def _counted(found: list[Unit], same: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _counted(links: bytes, same: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Identity ids with how often they are linked, and other pairs with how often they are."""
-    pairs, n = np.unique(np.concatenate([u.links for u in found]), return_counts=True)
+    pairs, n = np.unique(np.frombuffer(links, dtype=np.int64), return_counts=True)
     alike = same[pairs >> 32] == (pairs & 0xFFFFFFFF)
     return (pairs[alike] >> 32).astype(np.int32), n[alike].astype(np.int32), pairs[~alike], n[~alike].astype(np.int32)
 
@@ -206,9 +260,10 @@ def linked_documents(docs: DataFrame, aligner: Aligner, text_col: str = "text",
                 digests.append("")
                 values = [np.empty(0, dtype=np.int32)] * 2 + [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32)]
             else:
-                values = _counted(found, tool.same)
-                sizes.append((sum(u.n_a for u in found), sum(u.n_b for u in found), sum(u.n_groups for u in found), sum(len(u.links) for u in found)))
-                digests.append(hashlib.sha256(b";".join([u.groups for u in found])).hexdigest())
+                *counts, groups, links = zip(*found, strict=True)
+                values = _counted(b"".join(links), tool.same)
+                sizes.append(tuple(map(sum, counts)))
+                digests.append(hashlib.sha256(b";".join(groups)).hexdigest())
             for into, value in zip(lists, values, strict=True):
                 into.append(value)
         numbers = [pa.array([s[i] for s in sizes], pa.int64()) for i in range(4)]
@@ -326,7 +381,7 @@ def score_links(linked: DataFrame, aligner: Aligner, hot_pairs: int = HOT_PAIRS)
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    aligner = Aligner.of_files(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    aligner = Aligner.of_files(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     linked = materialize(linked_documents(docs, aligner, keep=["doc_id"]), "linked")
     return score_links(linked, aligner).select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

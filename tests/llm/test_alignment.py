@@ -17,7 +17,7 @@ from quillspark.llm.common import materialize, table
 
 @pytest.fixture(scope="module")
 def aligner():
-    return alignment.Aligner.of_files(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.Aligner.of_files(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
 
 
 def ranges(tokens):
@@ -110,3 +110,24 @@ def test_identity_array(aligner):
     hits = [(i, b) for i, b in enumerate(aligner.same) if b >= 0]
     assert len(hits) > 5000
     assert all(aligner.bytes_a[i] == aligner.bytes_b[b] for i, b in hits)
+
+
+def test_rank_order_is_merge_order(aligner):
+    """Every entry's letters merge into it by the list of merges; so no other pair that spells it ever meets."""
+    for word, i in aligner.a.get_vocab(with_added_tokens=False).items():
+        assert [t.id for t in aligner.a.model.tokenize(word)] == [i]
+
+
+def test_plain_units_alone_and_together(aligner):
+    rng = random.Random(3)
+    letters = [chr(c) for c in range(33, 0x250) if not 127 <= c <= 160 and c != 173]
+    units = sorted({"".join(rng.choice(letters[:94] if rng.random() < 0.7 else letters) for _ in range(rng.randint(1, 14))) for _ in range(30_000)})
+    units += ["\n".join(units[i : i + 2]) for i in range(0, 2000, 2)] + [units[0] + "\n\n\n" + units[1]]
+    assert all(map(aligner.is_plain, units)) and not any(map(aligner.is_plain, ["", "a b", "\na", "a\n", "a\t", "a\xa0b", "\xad", "漢"]))
+    assert aligner.align_plain(units) == aligner.align(units)
+
+
+def test_cut_is_the_same_either_way(aligner):
+    for text in odd_texts():
+        if text:
+            assert aligner.cut(text) == aligner.split(text)
