@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.operators.components import connected_components
 from quillspark.sources.shared import materialize
 
 EVENT = "struct<id: string, type: string, created: bigint, data: struct<object: struct<id: string, status: string, cancel_at_period_end: boolean, metadata: map<string, string>, customer: string, subscription: string, items: struct<data: array<struct<price: struct<id: string>, current_period_end: bigint>>>>>>"
@@ -63,88 +64,90 @@ def ledger(events: DataFrame, order_col: str = "seq") -> DataFrame:
     return events.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
 
 
-def plan_for_status(status: Column, plan: Column) -> Column:
-    return F.when(status.isin(*PAID), plan).otherwise("free")
-
-
 #: Fields of an account that events set.
 FIELDS = ("plan", "subscription_status", "stripe_customer_id", "stripe_subscription_id", "stripe_price_id", "cancel_at_period_end", "current_period_end")
 # Types of events that are applied.
 CHECKOUT, FAILED, DELETED, SUBSCRIPTION = "checkout.session.completed", "invoice.payment_failed", "customer.subscription.deleted", "customer.subscription."
 
 
-def _result(event: dict, accounts: dict[str, dict]) -> str:
+class _Accounts(dict):
+    """Accounts of a group by name, found by customer or subscription, too: the first by name of several."""
+
+    def __init__(self) -> None:
+        self.by: dict[str, dict[str, set[str]]] = {"stripe_customer_id": {}, "stripe_subscription_id": {}}
+
+    def set(self, name: str, **fields: object) -> None:
+        account = self.setdefault(name, {})
+        for field, names in self.by.items():
+            if field in fields:
+                names.get(account.get(field), set()).discard(name)
+                names.setdefault(fields[field], set()).add(name)
+        account.update(fields)
+
+    def find(self, field: str, value: str) -> str | None:
+        return min(self.by[field].get(value, ()), default=None) if value else None
+
+
+def _result(event: dict, accounts: _Accounts) -> str:
     """Apply one event to the accounts of its group, and say what was done."""
     # The sentences that the ledger keeps.
     kind, sub, customer = event["type"], event["object_id"], event["customer_id"]
-    by = lambda field, value: next((a for _, a in sorted(accounts.items()) if value and a[field] == value), None)
     if kind == CHECKOUT:
-        if not event["account_id"]:
+        name = event["account_id"]
+        if not name:
             return "no account_id in metadata"
-        account = accounts.get(event["account_id"])
-        if account is None:
-            return f"unknown account {event['account_id']}"
-        account["stripe_customer_id"] = customer or account["stripe_customer_id"]
-        account["stripe_subscription_id"] = event["subscription_id"] or account["stripe_subscription_id"]
-        return f"linked stripe customer to account {event['account_id']}"
+        if name not in accounts:
+            return f"unknown account {name}"
+        given = {"stripe_customer_id": customer, "stripe_subscription_id": event["subscription_id"]}
+        accounts.set(name, **{field: value for field, value in given.items() if value})
+        return f"linked stripe customer to account {name}"
     if kind == FAILED:
-        account = by("stripe_customer_id", customer)
         if not customer:
             return "invoice without a customer"
-        if account is None:
+        name = accounts.find("stripe_customer_id", customer)
+        if name is None:
             return f"no account for customer {customer}"
-        account["subscription_status"] = "past_due"
+        accounts.set(name, subscription_status="past_due")
         return "payment failed; plan unchanged pending Stripe retries"
     if kind not in (DELETED, f"{SUBSCRIPTION}created", f"{SUBSCRIPTION}updated"):
         return "ignored"
-    account = by("stripe_subscription_id", sub) or by("stripe_customer_id", customer)
-    if account is None:
+    name = accounts.find("stripe_subscription_id", sub) or accounts.find("stripe_customer_id", customer)
+    if name is None:
         return f"no account for subscription {sub}"
     if kind == DELETED:
-        account.update(plan="free", subscription_status="canceled", stripe_subscription_id="", stripe_price_id="", cancel_at_period_end=False)
+        accounts.set(name, plan="free", subscription_status="canceled", stripe_subscription_id="", stripe_price_id="", cancel_at_period_end=False)
         return "downgraded to free"
     if event["price_plan"] is None:
         return f"unmapped price {event['price_id']}"
     plan = event["price_plan"] if event["status"] in PAID else "free"
-    account.update(plan=plan, subscription_status=event["status"], stripe_subscription_id=sub, stripe_price_id=event["price_id"], cancel_at_period_end=bool(event["cancel_at_period_end"]))
+    accounts.set(name, plan=plan, subscription_status=event["status"], stripe_subscription_id=sub, stripe_price_id=event["price_id"], cancel_at_period_end=bool(event["ending"]))
     if (event["period_end"] or 0) > 0:
-        account["current_period_end"] = datetime.fromtimestamp(event["period_end"], UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+        accounts.set(name, current_period_end=datetime.fromtimestamp(event["period_end"], UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))
     return f"plan={plan} status={event['status']}"
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Walk groups in order, accounts before events; only the accounts of the group at hand are held."""
-    now, accounts = None, {}
+    now, accounts = None, _Accounts()
     row = lambda **x: dict.fromkeys(OUT.names) | x
-    told = lambda: [row(account=k, **v) for k, v in accounts.items()]
+    told = lambda: [row(kind=ACCOUNT, account=k, **v) for k, v in accounts.items()]
     for batch in batches:
         out = []
         for r in batch.to_pylist():
             if r["group"] != now:
                 out += told()
-                now, accounts = r["group"], {}
-            if r["seq"] is None:
-                accounts[r["account"]] = {f: r[f] for f in FIELDS}
+                now, accounts = r["group"], _Accounts()
+            if r["kind"] == ACCOUNT:
+                accounts.set(r["account"], **{f: r[f] for f in FIELDS})
             else:
-                out.append(row(event_id=r["event_id"], type=r["type"], result=_result(r, accounts)))
+                out.append(row(kind=EVENT, event_id=r["event_id"], type=r["type"], result=_result(r, accounts)))
         yield pa.RecordBatch.from_pylist(out, schema=OUT)
     yield pa.RecordBatch.from_pylist(told(), schema=OUT)
 
 
-OUT = pa.schema([(c, pa.bool_() if c == "cancel_at_period_end" else pa.string()) for c in ("account", *FIELDS, "event_id", "type", "result")])
-
-
-def _groups(links: DataFrame) -> DataFrame:
-    """``(node, group)``: the smallest node that links ``(a, b)`` lead to; rounds follow the longest chain of ids."""
-    both = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "billing-links")
-    found = materialize(both.select(F.col("a").alias("node")).distinct().withColumn("group", F.col("node")), "billing-groups")
-    while True:
-        near = both.join(found.select(F.col("node").alias("b"), "group"), "b").groupBy(F.col("a").alias("node")).agg(F.min("group").alias("near"))
-        lower = found.join(near, "node", "left").select("node", F.least("group", "near").alias("group"), (F.col("near") < F.col("group")).alias("moved"))
-        lower = materialize(lower, "billing-groups")
-        found = lower.drop("moved")
-        if not lower.where("moved").take(1):
-            return found
+#: What a row of the fold is.
+ACCOUNT, EVENT = 0, 1
+OUT = pa.schema([("kind", pa.int32()), *((c, pa.bool_() if c == "cancel_at_period_end" else pa.string()) for c in ("account", *FIELDS, "event_id", "type", "result"))])
 
 
 def apply_events(accounts: DataFrame, events: DataFrame, prices: DataFrame, order_col: str = "seq") -> tuple[DataFrame, DataFrame]:
@@ -155,9 +158,15 @@ def apply_events(accounts: DataFrame, events: DataFrame, prices: DataFrame, orde
     has at that time, else by its customer id; failed payments by customer id.  So
     the state is folded in order, within groups of accounts, customers and
     subscriptions that events or accounts link: a group is walked as a stream in
-    one task, and groups spread over the cluster.
+    one task, by its meaning, and groups spread over the cluster.
+
+    Events without an id or without a place in the order can't be told apart or
+    applied; each of them is a ledger row that says so, and changes nothing.
     """
-    rows = ledger(events, order_col).join(prices, "price_id", "left")
+    placed, known = F.col(order_col).isNotNull(), F.coalesce(F.col("event_id").cast("string"), F.lit("")) != ""
+    said = F.when(~known, "rejected: no event id").otherwise("rejected: no place in the order")
+    rejected = events.where(~(known & placed)).select(F.col("event_id").cast("string").alias("event_id"), F.col("type").cast("string").alias("type"), said.alias("result"))
+    rows = ledger(events.where(known & placed), order_col).join(prices, "price_id", "left")
     wanted = {"period_end": "bigint", "cancel_at_period_end": "boolean"}
     for c in ("event_id", "type", "object_id", "status", "account_id", "customer_id", "subscription_id", "price_id", *wanted):
         given = F.col(c) if c in rows.columns else F.lit(None)
@@ -170,13 +179,16 @@ def apply_events(accounts: DataFrame, events: DataFrame, prices: DataFrame, orde
     own = [named("a", F.when(F.col("type") == CHECKOUT, F.col("account_id"))), named("c", F.col("customer_id")), named("s", F.when(subscribed, F.col("object_id")).otherwise(F.col("subscription_id")))]
     rows = rows.withColumn("ids", F.array_compact(F.array(*own, named("e", F.col("event_id")))))
     held = accounts.withColumn("ids", F.array_compact(F.array(named("a", F.col("account")), named("c", F.col("stripe_customer_id")), named("s", F.col("stripe_subscription_id")))))
-    links = lambda df: df.select(F.get("ids", F.lit(0)).alias("a"), F.explode("ids").alias("b"))
-    groups = _groups(links(rows).unionByName(links(held)))
-    grouped = lambda df: df.withColumn("node", F.get("ids", F.lit(0))).join(groups, "node").drop("node", "ids")
-    state = grouped(held).select("group", "account", *FIELDS, F.lit(None).cast("bigint").alias("seq"))
-    events_in = grouped(rows.withColumn("seq", F.col(order_col).cast("bigint"))).drop("cancel_at_period_end").join(rows.select("event_id", "cancel_at_period_end"), "event_id")
-    both = state.unionByName(events_in.select("group", "seq", "event_id", "type", "object_id", "status", "account_id", "customer_id", "subscription_id", "price_id", "price_plan", "period_end", "cancel_at_period_end"), allowMissingColumns=True)
-    ordered = both.repartition("group").sortWithinPartitions("group", F.col("seq").asc_nulls_first(), "account")
-    kind = ", ".join(f"{f.name} {'boolean' if f.name == 'cancel_at_period_end' else 'string'}" for f in OUT)
+    links = lambda df: df.select(F.get("ids", F.lit(0)).alias("u"), F.explode("ids").alias("v"))
+    groups = connected_components(links(rows).unionByName(links(held)))
+    first = F.get("ids", F.lit(0))
+    grouped = lambda df: df.withColumn("node", first).join(groups, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("node", "root", "ids")
+    state = grouped(held).select("group", F.lit(ACCOUNT).alias("kind"), "account", *FIELDS)
+    events_in = grouped(rows.withColumn("seq", F.col(order_col).cast("bigint")).withColumnRenamed("cancel_at_period_end", "ending"))
+    events_in = events_in.select("group", F.lit(EVENT).alias("kind"), "seq", "event_id", "type", "object_id", "status", "account_id", "customer_id", "subscription_id", "price_id", "price_plan", "period_end", "ending")
+    both = state.unionByName(events_in, allowMissingColumns=True)
+    ordered = both.repartition("group").sortWithinPartitions("group", "kind", "seq", "account")
+    kind = ", ".join(f"{f.name} { {'kind': 'int', 'cancel_at_period_end': 'boolean'}.get(f.name, 'string')}" for f in OUT)
     done = materialize(ordered.mapInArrow(_folded, kind), "billing")
-    return done.where("event_id is null").select(*accounts.columns), done.where("event_id is not null").select("event_id", "type", "result")
+    told = done.where(F.col("kind") == EVENT).select("event_id", "type", "result")
+    return done.where(F.col("kind") == ACCOUNT).select(*accounts.columns), told.unionByName(rejected)

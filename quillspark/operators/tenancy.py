@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import normalize_email
+from quillspark.sources.shared import materialize
 
 MANAGERS = ("owner", "admin")
 
@@ -153,28 +154,46 @@ def create_workspaces(requests: DataFrame, memberships: DataFrame, workspaces: D
     return rows.select("user", "seq", "name", "account", result.alias("result"))
 
 
-def accept_invitations(invitations: DataFrame, users: DataFrame, memberships: DataFrame, workspaces: DataFrame, limits: DataFrame, now_ms: int) -> DataFrame:
-    """What becomes of each user's attempt at an invitation: ``(invitation, user, workspace, role, result)``.
+def accept_invitations(attempts: DataFrame, users: DataFrame, memberships: DataFrame, workspaces: DataFrame, limits: DataFrame, now_ms: int, order_col: str = "seq") -> DataFrame:
+    """What becomes of each attempt at an invitation, in order: ``(invitation, user, workspace, role, seq, result)``.
 
-    ``limits(account, max_members, invites)``.  Members already in the workspace
-    just use it up; a new seat is checked at that time.
+    ``attempts(invitation, user, workspace, email, expires_ms, role, seq)``, seq unique;
+    ``limits(account, max_members, invites)``.  Members already in the workspace just
+    use their invitation up.  A seat is checked when it is taken: users new to an
+    account take its last seats in the order of their first valid attempt, and seats
+    are never given back in between, so a user has a seat if fewer others came
+    before.  A used invitation isn't found again.
     """
     members = account_members(memberships, workspaces)
     seats_used = members.groupBy("account").agg(F.count("*").alias("members"))
-    inside = memberships.select("workspace", "user").distinct().withColumn("__in", F.lit(True))
-    seated = members.withColumn("__seat", F.lit(True))
-    rows = invitations.join(users.select("user", F.col("email").alias("own")), "user").join(workspaces.select("workspace", "account"), "workspace")
+    inside = memberships.select("workspace", "user").distinct().withColumn("inside", F.lit(True))
+    seated = members.withColumn("seated", F.lit(True))
+    rows = attempts.select("invitation", "user", "workspace", "email", "expires_ms", "role", F.col(order_col).alias("seq"))
+    rows = rows.join(users.select("user", F.col("email").alias("own")), "user").join(workspaces.select("workspace", "account"), "workspace")
     rows = rows.join(inside, ["workspace", "user"], "left").join(seated, ["account", "user"], "left").join(seats_used, "account", "left").join(limits, "account", "left")
-    full = F.col("__seat").isNull() & (slots_left(F.coalesce("members", F.lit(0)), F.col("max_members")) == 0)
-    result = (
+    early = (
         F.when(F.col("expires_ms") <= now_ms, "expired")
         .when(F.lower("own") != F.lower("email"), "for another address")
-        .when(F.col("__in"), "already a member")
+        .when(F.col("inside"), "already a member")
         .when(~F.coalesce("invites", F.lit(False)), "not on this plan")
-        .when(full, "team is full")
-        .otherwise("joined")
     )
-    return rows.select("invitation", "user", "workspace", "role", result.alias("result"))
+    rows = rows.withColumns({"early": early, "free": slots_left(F.coalesce("members", F.lit(0)), F.coalesce("max_members", F.lit(0)))})
+    rows = materialize(rows.select("invitation", "user", "workspace", "role", "seq", "account", "seated", "early", "free"), "attempts")
+    # New users of an account by their first valid attempt; no more than the largest number of free seats are ranked.
+    newcomers = rows.where("early is null and seated is null").groupBy("account", "user").agg(F.min("seq").alias("first"), F.max("free").alias("free"))
+    most = newcomers.agg(F.max("free")).first()[0] or 0
+    turn = F.row_number().over(Window.partitionBy("account").orderBy("first"))
+    admitted = newcomers.withColumn("turn", turn).where(F.col("turn") <= F.lit(most)).where("turn <= free").select("account", "user", F.lit(True).alias("admitted"))
+    rows = rows.join(admitted, ["account", "user"], "left")
+    joins = F.col("early").isNull() & (F.col("seated") | F.col("admitted"))
+    before = Window.partitionBy("workspace", "user").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    again = F.coalesce(F.max(F.coalesce(joins, F.lit(False))).over(before), F.lit(False))
+    result = F.coalesce("early", F.when(~F.coalesce(joins, F.lit(False)), "team is full").when(again, "already a member").otherwise("joined"))
+    rows = rows.withColumn("result", result)
+    uses = F.col("result").isin("joined", "already a member")
+    earlier = Window.partitionBy("invitation").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    used = F.coalesce(F.max(uses).over(earlier), F.lit(False))
+    return rows.select("invitation", "user", "workspace", "role", "seq", F.when(used, "not found").otherwise(F.col("result")).alias("result"))
 
 
 def without_invitations(invitations: DataFrame, gone: DataFrame) -> DataFrame:

@@ -208,15 +208,24 @@ def created_workspaces(s, d):
     return tenancy.create_workspaces(asked, view(s, d, "memberships"), view(s, d, "workspaces"), limits).select(F.col("user").alias("usr"), "seq", "account", "result")
 
 
-@query("""WITH m AS (SELECT DISTINCT w.account, m.usr FROM v_memberships m JOIN v_workspaces w ON m.workspace = w.workspace), k AS (SELECT account, count(*) AS n FROM m GROUP BY 1),
-i AS (SELECT i.created_ms AS invitation, i.created_ms % 97 AS usr, i.workspace, i.email, i.expires_ms, w.account FROM v_invitations i JOIN v_workspaces w ON i.workspace = w.workspace)
-SELECT i.invitation, i.usr, CASE WHEN i.expires_ms <= 30000 THEN 'expired' WHEN lower(i.email) <> lower(u.email) THEN 'for another address' WHEN EXISTS (SELECT 1 FROM v_memberships x WHERE x.workspace = i.workspace AND x.usr = i.usr) THEN 'already a member'
-  WHEN i.account = 0 THEN 'not on this plan' WHEN NOT EXISTS (SELECT 1 FROM m WHERE m.account = i.account AND m.usr = i.usr) AND k.n >= 90 + i.account THEN 'team is full' ELSE 'joined' END AS result
-FROM i JOIN v_users u ON i.usr = u.usr LEFT JOIN k ON k.account = i.account""")
+@query("""WITH RECURSIVE m AS (SELECT DISTINCT w.account, m.usr FROM v_memberships m JOIN v_workspaces w ON m.workspace = w.workspace), k AS (SELECT account, count(*) AS n, list(usr) AS people FROM m GROUP BY 1),
+a AS (SELECT i.created_ms + 100000 * t.t AS seq, i.created_ms AS invitation, i.created_ms % 97 AS usr, i.workspace, i.email, i.expires_ms, w.account FROM v_invitations i JOIN v_workspaces w ON i.workspace = w.workspace, (VALUES (0), (1)) t(t)),
+q AS (SELECT a.*, u.email AS own, row_number() OVER (PARTITION BY a.account ORDER BY a.seq) AS n, EXISTS (SELECT 1 FROM v_memberships x WHERE x.workspace = a.workspace AND x.usr = a.usr) AS inside FROM a JOIN v_users u ON a.usr = u.usr),
+r AS (SELECT DISTINCT q.account, 0::BIGINT AS n, k.people AS people, k.n + q.account % 3 AS most, []::BIGINT[] AS used, []::VARCHAR[] AS joined, NULL::BIGINT AS seq, NULL::BIGINT AS invitation, NULL::BIGINT AS usr, '' AS result FROM q JOIN k ON k.account = q.account
+  UNION ALL SELECT account, n, CASE WHEN result = 'joined' AND NOT list_contains(people, usr) THEN list_append(people, usr) ELSE people END, most, CASE WHEN result IN ('joined', 'already a member') THEN list_append(used, invitation) ELSE used END,
+    CASE WHEN result = 'joined' THEN list_append(joined, place) ELSE joined END, seq, invitation, usr, result
+  FROM (SELECT r.account, q.n, r.people, r.most, r.used, r.joined, q.seq, q.invitation, q.usr, q.workspace || '/' || q.usr AS place,
+      CASE WHEN list_contains(r.used, q.invitation) THEN 'not found' WHEN q.expires_ms <= 30000 THEN 'expired' WHEN lower(q.email) <> lower(q.own) THEN 'for another address' WHEN q.inside OR list_contains(r.joined, q.workspace || '/' || q.usr) THEN 'already a member'
+        WHEN q.account = 0 THEN 'not on this plan' WHEN NOT list_contains(r.people, q.usr) AND len(r.people) >= r.most THEN 'team is full' ELSE 'joined' END AS result FROM r JOIN q ON q.account = r.account AND q.n = r.n + 1))
+SELECT seq, invitation, usr, result FROM r WHERE n > 0""")
 def accepted_invitations(s, d):
-    asked = view(s, d, "invitations").select(F.col("created_ms").alias("invitation"), (F.col("created_ms") % 97).alias("user"), "workspace", "email", "expires_ms", F.lit("agent").alias("role"))
-    limits = table(s, d, "region").select(F.col("r_regionkey").alias("account"), (90 + F.col("r_regionkey")).alias("max_members"), (F.col("r_regionkey") > 0).alias("invites"))
-    return tenancy.accept_invitations(asked, view(s, d, "users"), view(s, d, "memberships"), view(s, d, "workspaces"), limits, 30000).select("invitation", F.col("user").alias("usr"), "result")
+    """Every invitation tried twice, in order, in accounts with none to two seats left."""
+    asked = view(s, d, "invitations").select(F.col("created_ms").alias("invitation"), (F.col("created_ms") % 97).alias("user"), "workspace", "email", "expires_ms", F.lit("agent").alias("role"), "created_ms")
+    asked = asked.withColumn("seq", F.explode(F.array(F.col("created_ms"), F.col("created_ms") + 100000)))
+    memberships, workspaces = view(s, d, "memberships"), view(s, d, "workspaces")
+    seats = tenancy.account_members(memberships, workspaces).groupBy("account").agg(F.count("*").alias("n"))
+    limits = seats.select("account", (F.col("n") + F.col("account") % 3).alias("max_members"), (F.col("account") > 0).alias("invites"))
+    return tenancy.accept_invitations(asked, view(s, d, "users"), memberships, workspaces, limits, 30000).select("seq", "invitation", F.col("user").alias("usr"), "result")
 
 
 @query("SELECT created_ms AS invitation, workspace FROM v_invitations WHERE created_ms % 4 <> 0")

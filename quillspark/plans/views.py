@@ -63,6 +63,7 @@ def with_views(body: str) -> str:
     """SQL for the other engine: ``body`` after the views it names as ``v_…``."""
     used = [n for n in VIEWS if re.search(rf"\bv_{n}\b", body)]
     heads = [f"v_{n} AS ({re.sub(r'\{(\w+)\}', r'\1', VIEWS[n]).strip()})" for n in used]
-    joint = ", " if re.match(r"\s*WITH\b", body) else ""
-    rest = re.sub(r"^\s*WITH\b", "", body) if joint else body
-    return (f"WITH {', '.join(heads)}{joint or ' '}{rest}" if heads else body).strip()
+    own = re.match(r"\s*WITH(\s+RECURSIVE)?\b", body)
+    if not heads or not own:
+        return (f"WITH {', '.join(heads)} {body}" if heads else body).strip()
+    return f"WITH{own[1] or ''} {', '.join(heads)}, {body[own.end() :]}".strip()
