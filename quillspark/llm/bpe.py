@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import table, text_or_empty
+from quillspark.llm.common import table, text_or_empty, unused
 
 #: Pre-tokens remembered per Python worker; the memory is emptied when full, which changes no result.
 MEMO_ENTRIES = 800_000
@@ -254,8 +254,9 @@ def encode_documents(docs: DataFrame, codec: Codec, text_col: str = "text", ids_
             decoded.append(decode(ids[-1].tolist()))
         return pa.StructArray.from_arrays([id_lists(ids), pa.array(decoded, pa.binary())], ["ids", "decoded"])
 
-    both, kept = both_of(text_or_empty(text_col)), [c for c in docs.columns if c.lower() not in (ids_col.lower(), decoded_col.lower())]
-    return docs.withColumn("__both", both).select(*kept, F.col("__both.ids").alias(ids_col), F.col("__both.decoded").alias(decoded_col))
+    both, kept = unused(docs, "both"), [c for c in docs.columns if c.lower() not in (ids_col.lower(), decoded_col.lower())]
+    made = docs.withColumn(both, both_of(text_or_empty(text_col)))
+    return made.select(*kept, F.col(f"{both}.ids").alias(ids_col), F.col(f"{both}.decoded").alias(decoded_col))
 
 
 def id_lists(rows: list[np.ndarray]) -> pa.ListArray:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.sources.shared import materialize, scratch_path, spread
 
-__all__ = ["is_held_out", "materialize", "scratch_path", "table", "text_or_empty"]
+__all__ = ["is_held_out", "materialize", "scratch_path", "table", "text_or_empty", "unused"]
 
 
 #: Tables of texts, on which work takes much longer than reading does.
@@ -28,3 +28,11 @@ def is_held_out(id_col: str = "doc_id") -> Column:
     """The fixed split: crc32 of the id as text, modulo 3, equals 1 (null ids are held out)."""
     part = F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
     return F.coalesce(part == 1, F.lit(True))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it as long as the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

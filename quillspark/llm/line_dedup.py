@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import materialize, table
+from quillspark.operators.ingest import extract_pages
 
 RATIO, MIN_PAGES = 0.1, 2
 #: Boilerplate of all sites that is broadcast at most, and tasks that a site's pages are spread over beyond.
@@ -80,15 +81,21 @@ def drop_boilerplate(pages: DataFrame, site: Column, text_col: str = "text", rat
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by source: what stays of each, by digest, and how many lines went.
-
-    Documents have no URL, so ``source`` is their site; the HTML of ``pages``, which
-    have one, is a single line each and holds nothing to drop.
-    """
+    """Documents by source, which stands for their site as they have no URL: what stays of each, by digest, and how many lines went."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    cleaned = drop_boilerplate(docs, F.col("source"), count_col="lines_dropped")
+    return _told(drop_boilerplate(docs, F.col("source"), count_col="lines_dropped"), "doc_id")
+
+
+def op4_line_dedup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by host: what stays of the text read from each, by digest, and how many lines went."""
+    pages = extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text")
+    pages = materialize(pages, "page-texts")  # read twice, to count and to cut
+    return _told(drop_boilerplate(pages, host_of(F.col("url")), count_col="lines_dropped"), "page_id")
+
+
+def _told(cleaned: DataFrame, id_col: str) -> DataFrame:
     return cleaned.select(
-        "doc_id",
+        id_col,
         F.col("lines_dropped").cast("long").alias("lines_dropped"),
         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars_kept"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),

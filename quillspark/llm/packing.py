@@ -15,7 +15,8 @@ salted groups, so a length that a third of all pieces share is spread out.
 
 Null texts are empty; an empty text is the end token alone.  Repeated rows are
 packed each.  An empty table gives no rows; extra columns are not read by the
-tokeniser and are passed on by ``pack``, whose own columns replace clashing ones.
+tokeniser and are passed on by ``pack``; its two own columns replace clashing ones, and
+no other name clashes.
 """
 
 from __future__ import annotations
@@ -363,18 +364,18 @@ def pack(pieces: DataFrame, key_cols: list[str], capacity: int = CAPACITY, lengt
     Groups are dealt by all columns, so pieces without an id are spread out too.
     """
     spark = pieces.sparkSession
-    keep = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    keep = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
     salt = F.pmod(F.xxhash64(*keep), F.lit(max(SALTS, pieces.count() // SALT_ROWS))).cast("int")
-    rows = pieces.select(*keep, F.col(length_col).cast("long").alias("__len"), salt.alias("__salt"))
-    groups = rows.groupBy("__len", "__salt").count()
-    counts = {r["__len"]: r["n"] for r in groups.groupBy("__len").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
+    rows = pieces.select(F.struct(*keep).alias("row"), F.col(length_col).cast("long").alias("len"), salt.alias("salt"))
+    groups = rows.groupBy("len", "salt").count()
+    counts = {r["len"]: r["n"] for r in groups.groupBy("len").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
     if any(s < 1 or s > capacity for s in counts):
         raise ValueError(f"pieces must have 1 to {capacity} tokens")
     shared = spark.sparkContext.broadcast(plan(counts, capacity))
-    before = "sum(count) OVER (PARTITION BY __len ORDER BY __salt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    bases = groups.selectExpr("__len", "__salt", f"coalesce({before}, 0) AS __base")
-    order = ", ".join(f"`{c}`" for c in key_cols)
-    ranked = rows.withColumn("__rn", F.expr(f"row_number() OVER (PARTITION BY __len, __salt ORDER BY {order}) - 1"))
+    before = "sum(count) OVER (PARTITION BY len ORDER BY salt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    bases = groups.selectExpr("len", "salt", f"coalesce({before}, 0) AS base")
+    order = ", ".join(f"row.`{c}`" for c in key_cols)
+    ranked = rows.withColumn("rn", F.expr(f"row_number() OVER (PARTITION BY len, salt ORDER BY {order}) - 1"))
 
     @F.arrow_udf(T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
     def place(length: pa.Array, rank: pa.Array) -> pa.Array:
@@ -384,8 +385,8 @@ def pack(pieces: DataFrame, key_cols: list[str], capacity: int = CAPACITY, lengt
         into, copy = np.divmod(r - p["first"][at], p["each"][at])
         return pa.StructArray.from_arrays([pa.array(p["base"][at] + into), pa.array(p["offset"][at] + copy * size)], ["sequence_id", "offset"])
 
-    placed = ranked.join(bases, ["__len", "__salt"]).withColumn("__at", place("__len", F.col("__base") + F.col("__rn")))
-    return placed.select(*keep, "__at.sequence_id", "__at.offset")
+    placed = ranked.join(bases, ["len", "salt"]).withColumn("at", place("len", F.col("base") + F.col("rn")))
+    return placed.select("row.*", "at.sequence_id", "at.offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_warc": warc.op3_warc,
         "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op4_line_dedup_pages": line_dedup.op4_line_dedup_pages,
         "op5_packing": packing.op5_packing,
         "op6_simhash": simhash.op6_simhash,
         "op7_quality": quality.op7_quality,

@@ -1,12 +1,16 @@
 """Nulls, empty texts, repeated rows, clashing columns and empty tables, for each operator."""
 
-from collections import Counter
+import hashlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+from conftest import SF
 
 from quillspark.llm import bpe, chat_format, exact_dedup, line_dedup, neighbours, packing, quality, simhash, toxicity, warc
+from quillspark.llm.common import table
+from quillspark.operators.ingest import extract_pages
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, length long, label string, id string, sequence_id string, fp string"
 
@@ -106,3 +110,34 @@ def test_near_copies_of_repeated_rows(spark, monkeypatch):
     groups = Counter((r["doc_id"], r["component_id"]) for r in simhash.similar_documents(docs).collect())
     assert groups == Counter({(0, 0): 40, (1, 0): 40, (2, 2): 40})
     assert trees and all(len(nodes) == len(set(nodes)) for nodes in trees)
+
+
+def test_no_inner_name_clashes(spark):
+    """Columns named like those inside operators come back as they were."""
+    kind = "doc_id long, length int, len string, salt string, rn int, base int, at string, `__len` int, `__salt` int, row string"
+    rows = [(i, 100 + i % 7, "a", "b", 1, 2, "c", 3, 4, "r") for i in range(60)]
+    packed = packing.pack(spark.createDataFrame(rows, kind), ["doc_id"]).collect()
+    assert sorted(tuple(r)[:10] for r in packed) == sorted(rows) and packed[0].__fields__[10:] == ["sequence_id", "offset"]
+    docs = spark.createDataFrame([("some text", "mine", 1)], "text string, both string, `__both` int")
+    found = bpe.encode_documents(docs, bpe.public_codec(), decoded_col="decoded").first()
+    assert (found["both"], found["__both"], bytes(found["decoded"])) == ("mine", 1, b"some text")
+
+
+def test_page_lines_by_host(spark):
+    """Boilerplate of every host of the whole table, against a plain version on the text that the library reads."""
+    pages = extract_pages(table(spark, SF, "pages")).select("page_id", "url", "text").collect()
+    key = lambda line: line.strip(" \t\r\f\v")
+    hosts, seen = Counter(), defaultdict(Counter)
+    for r in pages:
+        host = r["url"].split("://")[1].split("/")[0].lower()
+        hosts[host] += 1
+        seen[host].update({key(x) for x in r["text"].split("\n")} - {""})
+    gone = {h: {x for x, n in c.items() if n >= 2 and n > 0.1 * hosts[h]} for h, c in seen.items()}
+    assert any(gone.values())
+    want = {}
+    for r in pages:
+        lines = r["text"].split("\n")
+        kept = [x for x in lines if key(x) not in gone[r["url"].split("://")[1].split("/")[0].lower()]]
+        want[r["page_id"]] = (len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
+    got = {r["page_id"]: (r["lines_dropped"], r["text_sha256"]) for r in line_dedup.op4_line_dedup_pages(spark, SF).collect()}
+    assert got == want and any(n for n, _ in got.values())

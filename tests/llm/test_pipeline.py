@@ -99,7 +99,7 @@ def test_boilerplate_by_brute_force(spark, docs):
     for r in rows:
         pages[r["source"]] += 1
         seen[r["source"]].update({key(x) for x in (r["text"] or "").split("\n")} - {""})
-    gone = {s: {x for x, n in c.items() if n >= 3 and n > 0.065 * pages[s]} for s, c in seen.items()}
+    gone = {s: {x for x, n in c.items() if n >= 3 and n > 0.05 * pages[s]} for s, c in seen.items()}
     want = {r["doc_id"]: None if r["text"] is None else "\n".join(x for x in r["text"].split("\n") if key(x) not in gone[r["source"]]) for r in rows}
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_boilerplate(spark, docs, SF).collect()}
     assert {i: t for i, (t, _) in got.items()} == want
@@ -120,15 +120,18 @@ def test_near_copies_by_brute_force(spark, docs):
 
 def test_stages_on_odd_and_empty_tables(spark):
     """Nulls in every column, empty and long texts, repeated rows and ids, and columns named like those that stages use."""
-    schema = "doc_id long, text string, lang string, source string, n_chars int, row string, root long, lines string, site string, label int, __row string"
+    schema = "doc_id long, text string, lang string, source string, n_chars int, row string, root long, lines string, site string, label int, __row string, toxicity string, quality int, lines_dropped string, row_hash long, ROW_HASH_ string, page string, gone int"
     clean = "The of and to in that is with for on. " * 8
     rows = [(1, clean), (1, clean), (1, "Another text with the same id, which is not alike at all."), (2, None), (None, None), (3, ""), (None, clean), (4, "word " * 30_000), (5, " \n\n\t")]
-    odd = spark.createDataFrame([(i, t, None, None, None, "r", 1, "l", "s", 1, "q") for i, t in rows], schema)
+    mine = ("r", 1, "l", "s", 1, "q", "mine", 7, "own", 8, "kept", "p", 9)
+    odd = spark.createDataFrame([(i, t, None, None, None, *mine) for i, t in rows], schema)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd.where("doc_id = -1"), SF).collect() == [], name
         kept = stage(spark, odd, SF)
         assert kept.columns == odd.columns, name
-        texts = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+        found = kept.collect()
+        assert all(tuple(r)[5:] == mine and tuple(r)[2:4] == (None, None) for r in found), name
+        texts = Counter((r["doc_id"], r["text"]) for r in found)
         given = Counter(rows)
         assert name == "line dedup" or not texts - given, name
         if name == "line dedup":
