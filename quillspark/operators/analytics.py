@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.times import month_start
 from quillspark.operators.retrieval import require_tenant
+from quillspark.sources.shared import materialize
 
 DAY_MS = 86_400_000
 
@@ -19,11 +24,28 @@ def days_or_default(days: object) -> int:
     return n if 1 <= n <= 365 else 30
 
 
-def in_window(created: Column, now_ms: int, days: int = 30) -> Column:
-    return created >= F.lit(now_ms - days * DAY_MS)
+def in_window(created: Column, now_ms: int, days: object = 30) -> Column:
+    return created >= F.lit(now_ms - days_or_default(days) * DAY_MS)
+
+
+def month_start_ms(now_ms: int) -> Column:
+    """Epoch milliseconds at which the UTC month of a time began."""
+    now = F.timestamp_millis(F.lit(now_ms))
+    return F.unix_millis(F.from_utc_timestamp(month_start(F.to_utc_timestamp(now, F.current_timezone())), F.current_timezone()))
+
 
+def workspace_counts(workspaces: DataFrame, sources: DataFrame, messages: DataFrame, conversations: DataFrame, now_ms: int, days: object = 30) -> DataFrame:
+    """Of every workspace: sources, the assistant's messages since the month began, and conversations of the last days."""
+    n = lambda rows, name: rows.groupBy("workspace").agg(F.count("*").alias(name))
+    said = messages.where((F.col("role") == "assistant") & (F.col("created_ms") >= month_start_ms(now_ms)))
+    parts = [n(sources, "sources"), n(said, "replies"), n(scoped(conversations, None, now_ms, days), "conversations")]
+    rows = workspaces.select("workspace")
+    for part in parts:
+        rows = rows.join(part, "workspace", "left")
+    return rows.select("workspace", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("sources", "replies", "conversations")))
 
-def scoped(rows: DataFrame, workspace: object | None, now_ms: int | None = None, days: int = 30) -> DataFrame:
+
+def scoped(rows: DataFrame, workspace: object | None, now_ms: int | None = None, days: object = 30) -> DataFrame:
     if workspace is not None:
         rows = rows.where(F.col("workspace") == F.lit(require_tenant(workspace)))
     return rows if now_ms is None else rows.where(in_window(F.col("created_ms"), now_ms, days))
@@ -61,31 +83,77 @@ def first_responses(messages: DataFrame) -> DataFrame:
     return messages.groupBy("workspace", "conversation").agg(user.alias("first_user_ms"), reply.alias("first_reply_ms"))
 
 
+def exact_medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """``(key, median)`` of whole numbers, nulls left out: the middle value, or the mean of the two.
+
+    Equal values are counted first, so no value is hot.  The counts are cut into
+    ranges of key and value, each range adds up what lies before it, and the ranges
+    that hold the middle give it: two shuffles, whatever a key's share of the rows.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    parts = materialize(counts.repartitionByRange("k", "v").withColumn("part", F.spark_partition_id()), "medians")
+    held = parts.groupBy("k", "part").agg(F.sum("n").alias("here"))
+    sums = held.selectExpr("k", "part", "sum(here) OVER (PARTITION BY k ORDER BY part) - here AS before", "sum(here) OVER (PARTITION BY k) AS total", "here")
+    low, high = F.expr("(total - 1) div 2"), F.expr("total div 2")
+    middle = sums.where((F.col("before") <= high) & (F.col("before") + F.col("here") > low))
+    near = parts.join(middle, ["k", "part"])
+    upto = near.withColumn("upto", F.col("before") + F.expr("sum(n) OVER (PARTITION BY k, part ORDER BY v)"))
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("v")))
+    found = upto.groupBy("k").agg(at(low).alias("low"), at(high).alias("high"))
+    return found.select(F.col("k").alias(key), ((F.col("low") + F.col("high")) / 2).alias("median"))
+
+
 def median_response(pairs: DataFrame) -> DataFrame:
     """Whole milliseconds of the median positive wait; null where there is none."""
-    wait = F.col("first_reply_ms") - F.col("first_user_ms")
-    return pairs.groupBy("workspace").agg(F.floor(F.percentile(F.when(wait > 0, wait), F.lit(0.5))).cast("long").alias("median_ms"))
+    waits = pairs.withColumn("wait", F.col("first_reply_ms") - F.col("first_user_ms")).select("workspace", F.when(F.col("wait") > 0, F.col("wait")).alias("wait"))
+    found = exact_medians(waits, "workspace", "wait").select("workspace", F.floor("median").cast("long").alias("median_ms"))
+    return pairs.select("workspace").distinct().join(found, "workspace", "left")
 
 
 def counted_map(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy("workspace").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "n")))).alias(f"{key}_map"))
 
 
-def summary(conversations: DataFrame, messages: DataFrame, leads: DataFrame, gaps: DataFrame, workspace: object | None, now_ms: int, days: int = 30) -> DataFrame:
+def _mapped(kinds: Column, field: str, condition: Callable[[Column], Column]) -> Column:
+    """Counts by a field of the kinds (arrays of a closed vocabulary, so short) that meet a condition, as a map."""
+    own = F.filter(kinds, condition)
+    total = lambda word: F.aggregate(own, F.lit(0).cast("long"), lambda s, x: s + F.when(x[field] == word, x["n"]).otherwise(0))
+    words = F.sort_array(F.array_distinct(F.transform(own, lambda x: x[field])))
+    return F.map_from_entries(F.transform(words, lambda w: F.struct(w.alias("word"), total(w).alias("n"))))
+
+
+def conversation_figures(conversations: DataFrame) -> DataFrame:
+    """All figures that conversations give, in one pass: counts by status, and maps of resolutions and languages."""
+    kinds = conversations.groupBy("workspace", "status", "resolution_signal", "language").agg(F.count("*").alias("n"))
+    n = lambda status: F.sum(F.when(F.col("status") == status, F.col("n")).otherwise(0)).alias(status)
+    each = kinds.groupBy("workspace").agg(F.sum("n").alias("conversations"), n("auto_resolved"), n("escalated"), n("human"), F.collect_list(F.struct("status", "resolution_signal", "language", "n")).alias("kinds"))
+    solved = _mapped(F.col("kinds"), "resolution_signal", lambda x: (x["status"] == "auto_resolved") & (x["resolution_signal"] != ""))
+    spoken = _mapped(F.col("kinds"), "language", lambda x: x["language"] != "")
+    return each.select("workspace", "conversations", "auto_resolved", "escalated", "human", solved.alias("resolution_signal_map"), spoken.alias("language_map"))
+
+
+def message_figures(messages: DataFrame) -> DataFrame:
+    """All figures that messages give, in one pass by conversation: outcomes, ratings, and the median first response."""
+    n = lambda column, word: F.count_if(F.col(column) == word)
+    user = F.min(F.when(F.col("role") == "user", F.col("created_ms")))
+    reply = F.min(F.when(F.col("role").isin("assistant", "human"), F.col("created_ms")))
+    counted = {"answered": n("outcome", "answered"), "unanswered": n("outcome", "refused"), "up": n("rating", "up"), "down": n("rating", "down")}
+    each = materialize(messages.groupBy("workspace", "conversation").agg(user.alias("first_user_ms"), reply.alias("first_reply_ms"), *(c.alias(name) for name, c in counted.items())), "conversation-figures")
+    return each.groupBy("workspace").agg(*(F.sum(name).alias(name) for name in counted)).join(median_response(each), "workspace", "left")
+
+
+def summary(conversations: DataFrame, messages: DataFrame, leads: DataFrame, gaps: DataFrame, workspace: object | None, now_ms: int, days: object = 30) -> DataFrame:
     """One row per workspace with every figure of the dashboard; open gaps are not windowed, maps are never null."""
     c, m, ld = (scoped(x, workspace, now_ms, days) for x in (conversations, messages, leads))
     g = scoped(gaps, workspace).where(~F.col("answered"))
-    parts = [
-        status_counts(c), counted_map(resolutions(c), "resolution_signal"), counted_map(languages(c), "language"), outcomes(m), ratings(m),
-        ld.groupBy("workspace").agg(F.count("*").alias("leads")), g.groupBy("workspace").agg(F.count("*").alias("open_gaps")), median_response(first_responses(m)),
-    ]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.join(part, "workspace", "full")
+    parts = [conversation_figures(c), message_figures(m), ld.groupBy("workspace").agg(F.count("*").alias("leads")), g.groupBy("workspace").agg(F.count("*").alias("open_gaps"))]
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     counts = ["conversations", "auto_resolved", "escalated", "human", "answered", "unanswered", "up", "down", "leads", "open_gaps"]
+    maps = ["resolution_signal_map", "language_map"]
+    one = lambda name: F.first(name, ignorenulls=True)  # noqa: E731  # a workspace has one row of each part at most
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
-    maps = {x: F.coalesce(x, none) for x in ("resolution_signal_map", "language_map")}
-    return whole.withColumns({n: F.coalesce(n, F.lit(0).cast("long")) for n in counts} | maps)
+    whole = together.groupBy("workspace").agg(*(F.coalesce(one(n), F.lit(0).cast("long")).alias(n) for n in counts), *(F.coalesce(one(n), none).alias(n) for n in maps), one("median_ms").alias("median_ms"))
+    return whole
 
 
 def percent(part: Column, whole: Column) -> Column:

@@ -64,6 +64,16 @@ def ledger(events: DataFrame, order_col: str = "seq") -> DataFrame:
     return events.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
 
 
+def priced(rows: DataFrame, prices: DataFrame) -> DataFrame:
+    """Rows with the plan of their ``price_id``, null where ``prices(price_id, price_plan)`` has none."""
+    return rows.join(prices, "price_id", "left")
+
+
+def unmapped(price: Column) -> Column:
+    """What the ledger says of a price without a plan."""
+    return F.concat(F.lit("unmapped price "), F.coalesce(price, F.lit("")))
+
+
 #: Fields of an account that events set.
 FIELDS = ("plan", "subscription_status", "stripe_customer_id", "stripe_subscription_id", "stripe_price_id", "cancel_at_period_end", "current_period_end")
 # Types of events that are applied.
@@ -130,23 +140,23 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Walk groups in order, accounts before events; only the accounts of the group at hand are held."""
     now, accounts = None, _Accounts()
     row = lambda **x: dict.fromkeys(OUT.names) | x
-    told = lambda: [row(kind=ACCOUNT, account=k, **v) for k, v in accounts.items()]
+    told = lambda: [row(kind=OF_ACCOUNT, account=k, **v) for k, v in accounts.items()]
     for batch in batches:
         out = []
         for r in batch.to_pylist():
             if r["group"] != now:
                 out += told()
                 now, accounts = r["group"], _Accounts()
-            if r["kind"] == ACCOUNT:
+            if r["kind"] == OF_ACCOUNT:
                 accounts.set(r["account"], **{f: r[f] for f in FIELDS})
             else:
-                out.append(row(kind=EVENT, event_id=r["event_id"], type=r["type"], result=_result(r, accounts)))
+                out.append(row(kind=OF_EVENT, event_id=r["event_id"], type=r["type"], result=_result(r, accounts)))
         yield pa.RecordBatch.from_pylist(out, schema=OUT)
     yield pa.RecordBatch.from_pylist(told(), schema=OUT)
 
 
 #: What a row of the fold is.
-ACCOUNT, EVENT = 0, 1
+OF_ACCOUNT, OF_EVENT = 0, 1
 OUT = pa.schema([("kind", pa.int32()), *((c, pa.bool_() if c == "cancel_at_period_end" else pa.string()) for c in ("account", *FIELDS, "event_id", "type", "result"))])
 
 
@@ -166,7 +176,7 @@ def apply_events(accounts: DataFrame, events: DataFrame, prices: DataFrame, orde
     placed, known = F.col(order_col).isNotNull(), F.coalesce(F.col("event_id").cast("string"), F.lit("")) != ""
     said = F.when(~known, "rejected: no event id").otherwise("rejected: no place in the order")
     rejected = events.where(~(known & placed)).select(F.col("event_id").cast("string").alias("event_id"), F.col("type").cast("string").alias("type"), said.alias("result"))
-    rows = ledger(events.where(known & placed), order_col).join(prices, "price_id", "left")
+    rows = priced(ledger(events.where(known & placed), order_col), prices)
     wanted = {"period_end": "bigint", "cancel_at_period_end": "boolean"}
     for c in ("event_id", "type", "object_id", "status", "account_id", "customer_id", "subscription_id", "price_id", *wanted):
         given = F.col(c) if c in rows.columns else F.lit(None)
@@ -183,12 +193,12 @@ def apply_events(accounts: DataFrame, events: DataFrame, prices: DataFrame, orde
     groups = connected_components(links(rows).unionByName(links(held)))
     first = F.get("ids", F.lit(0))
     grouped = lambda df: df.withColumn("node", first).join(groups, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("node", "root", "ids")
-    state = grouped(held).select("group", F.lit(ACCOUNT).alias("kind"), "account", *FIELDS)
+    state = grouped(held).select("group", F.lit(OF_ACCOUNT).alias("kind"), "account", *FIELDS)
     events_in = grouped(rows.withColumn("seq", F.col(order_col).cast("bigint")).withColumnRenamed("cancel_at_period_end", "ending"))
-    events_in = events_in.select("group", F.lit(EVENT).alias("kind"), "seq", "event_id", "type", "object_id", "status", "account_id", "customer_id", "subscription_id", "price_id", "price_plan", "period_end", "ending")
+    events_in = events_in.select("group", F.lit(OF_EVENT).alias("kind"), "seq", "event_id", "type", "object_id", "status", "account_id", "customer_id", "subscription_id", "price_id", "price_plan", "period_end", "ending")
     both = state.unionByName(events_in, allowMissingColumns=True)
     ordered = both.repartition("group").sortWithinPartitions("group", "kind", "seq", "account")
     kind = ", ".join(f"{f.name} { {'kind': 'int', 'cancel_at_period_end': 'boolean'}.get(f.name, 'string')}" for f in OUT)
     done = materialize(ordered.mapInArrow(_folded, kind), "billing")
-    told = done.where(F.col("kind") == EVENT).select("event_id", "type", "result")
-    return done.where(F.col("kind") == ACCOUNT).select(*accounts.columns), told.unionByName(rejected)
+    told = done.where(F.col("kind") == OF_EVENT).select("event_id", "type", "result")
+    return done.where(F.col("kind") == OF_ACCOUNT).select(*accounts.columns), told.unionByName(rejected)

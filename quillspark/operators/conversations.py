@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import detect_language, refusal
+from quillspark.operators.analytics import last_turns
 
 
 def replies(decisions: DataFrame) -> DataFrame:
@@ -75,6 +76,13 @@ def inbox_detail(conversations: DataFrame, messages: DataFrame, leads: DataFrame
     return both.select("conversation", "status", "messages", F.coalesce("leads", F.lit(0).cast("long")).alias("leads"))
 
 
+def inbox_threads(conversations: DataFrame, messages: DataFrame, leads: DataFrame, most: int = 50) -> DataFrame:
+    """Conversations with the rows of their last messages, and the newest lead of each (null: none)."""
+    newest = leads.groupBy("conversation").agg(F.max("lead").alias("lead"))
+    said = last_turns(messages, most).drop("workspace", "back")
+    return conversations.drop("created_ms").join(said, "conversation").join(newest, "conversation", "left")
+
+
 def escalate(requests: DataFrame, existing: DataFrame, conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(escalations, conversations)`` after requests ``(conversation, seq, lead)``.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -13,10 +14,12 @@ from quillspark.functions.text import normalize_arabic, tidy, truncate
 from quillspark.functions.url import is_asset, robots_allow, robots_rules, same_site, url_key
 from quillspark.functions.vector import hash_embedder
 from quillspark.operators.chunking import chunk_documents
-from quillspark.sources.shared import materialize, scratch_path
+from quillspark.sources.shared import materialize
 
 # Characters of a page worth indexing, and failures told.
 THIN, TOLD = 120, 5
+#: Rounds of a crawl whose pages are written together.
+FOLDED = 8
 
 
 def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -27,8 +30,9 @@ def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html"
 
 
 def page_links(pages: DataFrame, id_col: str, url_col: str = "url") -> DataFrame:
-    """``(id_col, src, dst)`` for every link."""
-    return pages.select(id_col, F.col(url_col).alias("src"), F.explode("links").alias("dst")).distinct()
+    """``(id_col, src, dst, place)`` for every link, ``place`` being where it first stands on its page."""
+    each = pages.select(id_col, F.col(url_col).alias("src"), F.posexplode("links").alias("place", "dst"))
+    return each.groupBy(id_col, "src", "dst").agg(F.min("place").alias("place"))
 
 
 def is_thin(text) -> object:
@@ -36,46 +40,51 @@ def is_thin(text) -> object:
 
 
 def crawl(links: DataFrame, roots: DataFrame, robots: DataFrame | None = None, user_agent: str = "quillspark", max_pages: int = 200, indexable: DataFrame | None = None) -> DataFrame:
-    """Pages fetched by a breadth-first crawl of each site from its root over known links: ``site, url, depth``.
+    """Pages that a breadth-first crawl of each site fetches over known links: ``site, url, depth, turn``.
 
-    ``links(src, dst)``, ``roots(site, url)``, ``robots(site, body)``.  Links stay
+    ``links(src, dst, place)``, ``roots(site, url)``, ``robots(site, body)``.  Links stay
     on the site, are no assets, and obey robots; a site whose root they forbid is
-    not crawled.  One round is one join and one anti-join for all sites, writes
-    the pages it found, and rounds end with the pages.  A site stops with
-    ``max_pages`` pages of ``indexable(url)`` (all pages, where none is given),
-    nearest pages first, and discovers four times as many of any kind.
+    not crawled.  Pages are fetched first in, first out: a page's turn follows from the
+    turn of the page it was first found on and the place of the link there, so the caps
+    cut exactly where a queue would.  A site stops with ``max_pages`` pages of
+    ``indexable(url)`` (all pages, where none is given) and discovers four times as
+    many of any kind.
+
+    A round is one depth of all sites: a join and an anti-join.  Rounds write what they
+    found, and every ``FOLDED`` rounds the pages so far are written together.
     """
     spark = links.sparkSession
     path = lambda url: F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
     edges = links.where(same_site(F.col("src"), F.col("dst")) & ~is_asset(path(F.col("dst"))))
-    edges = edges.select(url_key(F.col("src")).alias("src_key"), "dst", url_key(F.col("dst")).alias("key")).distinct()
+    edges = edges.select(url_key(F.col("src")).alias("src_key"), "dst", url_key(F.col("dst")).alias("key"), "place")
     if robots is not None:
         ruled = roots.join(robots, "site", "left").withColumn("rules", robots_rules(F.col("body"), user_agent)["rules"])
         by_host = ruled.select(F.regexp_extract(url_key(F.col("url")), "^[^/]*", 0).alias("host"), "rules")
         edges = edges.withColumn("host", F.regexp_extract("key", "^[^/]*", 0)).join(by_host, "host", "left")
         edges = edges.where(robots_allow(F.col("rules"), path(F.col("dst")))).drop("host", "rules")
         roots = ruled.where(robots_allow(F.col("rules"), path(F.col("url"))))
-    edges = materialize(edges, "crawl-edges")
+    first = F.min(F.struct("place", "dst"))
+    edges = materialize(edges.groupBy("src_key", "key").agg(first.alias("at")).select("src_key", "key", "at.place", "at.dst"), "crawl-edges")
     good = None if indexable is None else materialize(indexable.select(url_key(F.col("url")).alias("key"), F.lit(1).alias("good")).distinct(), "crawl-indexable")
     rated = lambda found: found.withColumn("good", F.lit(1)) if good is None else found.join(good, "key", "left").withColumn("good", F.coalesce("good", F.lit(0)))
-    columns = ["site", "url", "key", "depth", "good"]
-    base, depth = scratch_path(spark, "crawl"), 0
-    fresh = rated(roots.select("site", "url", url_key(F.col("url")).alias("key"), F.lit(0).alias("depth"))).select(columns)
-    schema = fresh.schema
-    fresh.write.parquet(f"{base}/0")
-    seen = last = spark.read.schema(schema).parquet(f"{base}/0")
-    while last.take(1):
+    columns = ["site", "url", "key", "depth", "turn", "good"]
+    fresh = roots.select("site", "url", url_key(F.col("url")).alias("key"), F.lit(0).alias("depth"), F.lit(1).cast("long").alias("turn"))
+    rounds = [materialize(rated(fresh).select(columns), "crawl")]
+    depth, seen = 0, rounds[0]
+    while rounds[-1].take(1):
         depth += 1
-        reached = last.select("site", F.col("key").alias("src_key")).join(edges, "src_key").groupBy("site", "key").agg(F.min("dst").alias("url"))
-        fresh = rated(reached.join(seen, ["site", "key"], "left_anti").select("site", "url", "key", F.lit(depth).alias("depth")))
+        reached = rounds[-1].select("site", F.col("key").alias("src_key"), "turn").join(edges, "src_key")
+        found = reached.groupBy("site", "key").agg(F.min(F.struct("turn", "place", F.col("dst").alias("url"))).alias("by"))
+        found = rated(found.join(seen, ["site", "key"], "left_anti").select("site", "by.*", "key"))
         had = seen.groupBy("site").agg(F.count("*").alias("pages"), F.sum("good").alias("goods"))
-        order = Window.partitionBy("site").orderBy("key")
+        order = Window.partitionBy("site").orderBy("turn", "place", "key")
         before = F.coalesce(F.sum("good").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranked = fresh.join(had, "site").withColumns({"n": F.col("pages") + F.row_number().over(order), "before": F.col("goods") + before})
-        ranked.where((F.col("n") <= 4 * max_pages) & (F.col("before") < max_pages)).select(columns).write.parquet(f"{base}/{depth}")
-        last = spark.read.schema(schema).parquet(f"{base}/{depth}")
-        seen = spark.read.schema(schema).parquet(*(f"{base}/{d}" for d in range(depth + 1)))
-    return seen.select("site", "url", "depth")
+        ranked = found.join(had, "site").select("site", "url", "key", F.lit(depth).alias("depth"), (F.col("pages") + F.row_number().over(order)).alias("turn"), "good", (F.col("goods") + before).alias("goods"))
+        rounds.append(materialize(ranked.where((F.col("turn") <= 4 * max_pages) & (F.col("goods") < max_pages)).select(columns), "crawl"))
+        if len(rounds) > FOLDED:
+            rounds = [materialize(reduce(DataFrame.unionByName, rounds[:-1]), "crawl"), rounds[-1]]
+        seen = reduce(DataFrame.unionByName, rounds)
+    return seen.select("site", "url", "depth", "turn")
 
 
 def admission(new: DataFrame, existing: DataFrame, limits: DataFrame, order_col: str = "seq") -> DataFrame:

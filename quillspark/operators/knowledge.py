@@ -27,7 +27,7 @@ from quillspark.operators.ingest import admission, skipped_summary
 from quillspark.operators.retrieval import knn
 from quillspark.operators.tenancy import provision
 from quillspark.sources.commits import Store
-from quillspark.sources.schemas import TABLES
+from quillspark.sources.schemas import TABLES, checked
 from quillspark.sources.shared import materialize
 
 Embedder = Callable[[Column], Column]
@@ -45,7 +45,7 @@ REFERENCES = [
 
 def open_store(spark: SparkSession, base: str) -> Store:
     """The store in a folder; chunks are cut by workspace, so a search reads one tenant's files."""
-    return Store(spark, base, TABLES, {"chunks": ["workspace"]})
+    return Store(spark, base, TABLES, {"chunks": ["workspace"]}, checked)
 
 
 def _sources(rows: DataFrame, now: str, **columns: Column) -> DataFrame:

@@ -221,13 +221,18 @@ def preferred_membership(s, d):
     return tenancy.preferred_memberships(view(s, d, "memberships")).withColumnRenamed("user", "usr").select("usr", "workspace", "role", "created_ms")
 
 
-@query("""WITH r(role) AS (VALUES ('owner'), ('admin'), ('agent'), (''))
-SELECT a.role AS actor, t.role AS target, (a.role = 'owner' AND t.role IN ('admin', 'agent')) OR (a.role = 'admin' AND t.role = 'agent') AS assign,
-  t.role <> 'owner' AND (a.role = 'owner' OR (a.role = 'admin' AND t.role = 'agent')) AS remove, t.role <> 'owner' AS leave FROM r a CROSS JOIN r t""")
+@query("""WITH e AS (SELECT event_id, event_id % 25 AS workspace, user_id % 97 AS actor, CASE WHEN event_id % 10 = 0 THEN user_id % 97 ELSE event_id % 97 END AS target FROM events),
+r AS (SELECT e.event_id, e.actor = e.target AS himself, coalesce(a.role, '') AS actor, coalesce(t.role, '') AS target FROM e LEFT JOIN v_memberships a ON a.workspace = e.workspace AND a.usr = e.actor LEFT JOIN v_memberships t ON t.workspace = e.workspace AND t.usr = e.target)
+SELECT event_id, actor, target, (actor = 'owner' AND target IN ('admin', 'agent')) OR (actor = 'admin' AND target = 'agent') AS assign,
+  target <> 'owner' AND (himself OR actor = 'owner' OR (actor = 'admin' AND target = 'agent')) AS remove FROM r""")
 def role_matrix(s, d):
-    roles = s.createDataFrame([("owner",), ("admin",), ("agent",), ("",)], "actor string")
-    pairs = roles.join(roles.withColumnRenamed("actor", "target"))  # four by four names
-    return pairs.select("actor", "target", tenancy.can_assign(F.col("actor"), F.col("target")).alias("assign"), tenancy.can_remove(F.col("actor"), F.col("target"), F.lit(False)).alias("remove"), tenancy.can_remove(F.col("actor"), F.col("target"), F.lit(True)).alias("leave"))
+    """Events read as one member acting on another of the same workspace, or on himself."""
+    e = table(s, d, "events").select("event_id", (F.col("event_id") % 25).alias("workspace"), (F.col("user_id") % 97).alias("who"), F.when(F.col("event_id") % 10 == 0, F.col("user_id") % 97).otherwise(F.col("event_id") % 97).alias("whom"))
+    roles = view(s, d, "memberships")
+    named = lambda user, role: roles.select("workspace", F.col("user").alias(user), F.col("role").alias(role))
+    rows = e.join(named("who", "actor"), ["workspace", "who"], "left").join(named("whom", "target"), ["workspace", "whom"], "left").fillna("", ["actor", "target"])
+    actor, target = F.col("actor"), F.col("target")
+    return rows.select("event_id", actor, target, tenancy.can_assign(actor, target).alias("assign"), tenancy.can_remove(actor, target, F.col("who") == F.col("whom")).alias("remove"))
 
 
 @query("SELECT workspace, lower(trim(email)) AS email, expires_ms FROM (SELECT *, row_number() OVER (PARTITION BY workspace, lower(email) ORDER BY created_ms DESC) AS n FROM v_invitations) WHERE n = 1")

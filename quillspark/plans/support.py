@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.functions import colors, times
@@ -27,17 +28,6 @@ def query(sql: str | None = None):
     return add
 
 
-def quoted(value) -> str:
-    if value is None:
-        return "NULL"
-    return str(value) if isinstance(value, bool | int | float) else "'" + value.replace("'", "''") + "'"
-
-
-def told(cases: list[tuple], columns: str) -> str:
-    """Cases as SQL rows."""
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quoted, c)) + ')' for c in cases)}) AS v({columns})"
-
-
 # --- lookups
 
 
@@ -276,11 +266,11 @@ def hub_gauges(s, d):
     return live.gauges(watching, live.deliver(table(s, d, "events").select(F.col("user_id").alias("subscriber"))))
 
 
-@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'starter' WHEN 1 THEN 'growth' END AS price_plan FROM part")
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'starter' WHEN 1 THEN 'growth' END AS price_plan, CASE WHEN p_size % 4 > 1 THEN 'unmapped price p' || p_size % 4 END AS told FROM part")
 def price_plans(s, d):
     prices = s.createDataFrame([("p0", "starter"), ("p1", "growth")], "price_id string, price_plan string")
     parts = table(s, d, "part").withColumn("price_id", F.concat(F.lit("p"), (F.col("p_size") % 4).cast("string")))
-    return parts.join(prices, "price_id", "left").select("p_partkey", "price_plan")
+    return billing.priced(parts, prices).select("p_partkey", "price_plan", F.when(F.col("price_plan").isNull(), billing.unmapped(F.col("price_id"))).alias("told"))
 
 
 @query("""WITH v AS (SELECT workspace_id, chunk_id, row_number() OVER (PARTITION BY workspace_id ORDER BY chunk_id) - 1 AS n FROM v_vectors)
@@ -293,11 +283,13 @@ def embedding_batches(s, d):
     return found.where("embedding IS NOT NULL").select("workspace_id", "chunk_id", F.col("batch").cast("long").alias("batch"), F.col("index").cast("long").alias("index"))
 
 
-@query("SELECT page_id, page_id % 40 AS site, row_number() OVER (PARTITION BY page_id % 40 ORDER BY page_id) - 1 AS position, CASE WHEN page_id % 3 = 0 THEN 'body' ELSE 'T ' || page_id || chr(10) || chr(10) || 'body' END AS text FROM pages")
+@query(r"""WITH l AS (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
+SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id, n) - 1 AS position, CASE WHEN doc_id % 3 = 0 THEN line ELSE 'Page ' || doc_id || ' ' || lang || chr(10) || chr(10) || line END AS text FROM l""")
 def titled_chunks(s, d):
-    title = F.when(F.col("page_id") % 3 == 0, " ").otherwise(F.concat(F.lit(" T  "), F.col("page_id").cast("string")))
-    rows = table(s, d, "pages").select("page_id", (F.col("page_id") % 40).alias("site"), F.lit("body").alias("text"), F.lit(0).alias("position"), title.alias("title"))
-    return chunking.titled_chunks(rows, "site", "page_id", "title").select("page_id", "site", F.col("position").cast("long").alias("position"), "text")
+    """The lines of documents as chunks of pages, under titles that need tidying or are blank."""
+    title = F.when(F.col("doc_id") % 3 == 0, " \n").otherwise(F.concat(F.lit("  Page  "), F.col("doc_id").cast("string"), F.lit(" \t"), "lang"))
+    lines = table(s, d, "documents").select("doc_id", "source", title.alias("title"), F.posexplode(F.split("text", "\n", -1)).alias("position", "text"))
+    return chunking.titled_chunks(lines, "source", "doc_id", "title").select("doc_id", "source", F.col("position").cast("long").alias("position"), "text")
 
 
 # --- billing events
@@ -319,6 +311,29 @@ def webhook_events(s, d):
     return billing.parse_events(table(s, d, "events").select(body.alias("body"))).select("event_id", "type", "object_id", "account_id", "customer_id", "price_id", "period_end")
 
 
+SECRET, SIGNED_AT = "whsec_test", 1704067200
+PADS = [bytes(x ^ pad for x in SECRET.encode().ljust(64, b"\0")).hex() for pad in (0x36, 0x5C)]
+
+
+def _signed(text: Column, key: int = 0) -> Column:
+    """HMAC of a text under the secret, by its definition; ``key`` spoils the secret."""
+    inner, outer = (F.unhex(F.lit(p if not key else f"{key:02x}{p[2:]}")) for p in PADS)
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, text.cast("binary")), 256))), 256)
+
+
+@query("SELECT event_id, event_id % 8 IN (0, 1, 7) AS valid FROM events")
+def webhook_signatures(s, d):
+    """Deliveries signed well (alone, beside another signature, and at the last second), and with all that can be wrong."""
+    at = F.when(F.col("event_id") % 8 == 5, SIGNED_AT - 301).when(F.col("event_id") % 8 == 7, SIGNED_AT - 300).otherwise(SIGNED_AT - F.col("user_id") % 200).cast("string")
+    rows = table(s, d, "events").select("event_id", F.concat(F.lit('{"id": "'), F.col("event_id").cast("string"), F.lit('", "props": '), "props", F.lit("}")).alias("body"), at.alias("at"))
+    signed = F.concat("at", F.lit("."), "body")
+    good, bad = _signed(signed), _signed(signed, 7)
+    head = F.concat(F.lit("t="), "at", F.lit(",v1="))
+    headers = [F.concat(head, good), F.concat(head, bad, F.lit(",v1="), good), F.concat(head, bad), F.concat(F.lit("v1="), good), F.concat(F.lit("t="), "at", F.lit(",v0="), good), F.concat(head, good), F.concat(head, _signed(F.concat(signed, F.lit(" ")))), F.concat(head, good)]
+    header = F.element_at(F.array(*headers), (F.col("event_id") % 8 + 1).cast("int"))
+    return rows.select("event_id", billing.signature_valid(F.col("body"), header, SECRET, SIGNED_AT).alias("valid"))
+
+
 # --- times
 
 
@@ -327,13 +342,19 @@ def month_starts(s, d):
     return table(s, d, "orders").select("o_orderkey", times.month_start(F.col("o_orderdate").cast("timestamp_ntz")).cast("timestamp_ntz").alias("month"))
 
 
-TIMES = [(1, "2024-01-02 03:04:05.678Z", 1704164645678), (2, "2024-01-02 03:04:05.678", 1704164645678), (3, "2024-01-02T03:04:05Z", 1704164645000), (4, "2024-01-02T03:04:05.5+02:00", 1704157445500), (5, "2024-01-02 03:04:05", None), (6, "2024-13-02 03:04:05.000Z", None), (7, "", None), (8, "soon", None)]
+STORED = """SELECT event_id, event_id % 8 AS kind, strftime(make_timestamp((1704067200 + event_id * 997) * 1000000), '%Y-%m-%d') AS day, strftime(make_timestamp((1704067200 + event_id * 997) * 1000000), '%H:%M:%S') AS clock, event_id % 1000 AS ms FROM events"""
 
 
-@query(told([(i, ms) for i, _, ms in TIMES], "id, ms"))
+@query(f"""WITH t AS ({STORED}) SELECT event_id, CASE WHEN kind < 3 THEN epoch_ms(CAST(day || ' ' || clock AS TIMESTAMP)) + CASE kind WHEN 2 THEN 0 ELSE ms END WHEN kind = 3 THEN epoch_ms(CAST(day || ' ' || clock AS TIMESTAMP)) + ms - 7200000 END AS ms FROM t""")
 def parse_times(s, d):
-    rows = s.createDataFrame([(i, t) for i, t, _ in TIMES], "id int, t string")
-    return rows.select("id", F.unix_millis(times.parse_time(F.col("t"))).alias("ms"))
+    """Times as they are stored, with and without a zone, in RFC 3339, and in forms that are none."""
+    e = table(s, d, "events").withColumn("at", F.timestamp_seconds(F.lit(1704067200) + F.col("event_id") * 997))
+    wall = times.rfc3339(F.lit(1704067200) + F.col("event_id") * 997)
+    day, clock, ms = F.substring(wall, 1, 10), F.substring(wall, 12, 8), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0")
+    join = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    forms = [join(day, " ", clock, ".", ms, "Z"), join(day, " ", clock, ".", ms), join(day, "T", clock, "Z"), join(day, "T", clock, ".", ms, "+02:00"), join(day, " ", clock), join(F.substring(day, 1, 5), "13-02 ", clock, ".", ms), F.lit(""), join(day, " soon")]
+    text = F.element_at(F.array(*forms), (F.col("event_id") % 8 + 1).cast("int"))
+    return e.select("event_id", F.unix_millis(times.parse_time(text)).alias("ms"))
 
 
 @query("SELECT event_id, strftime(make_timestamp((1704067200 + event_id * 997) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS at, event_id * 1000 + 604800000 AS expires_ms FROM events")
@@ -341,58 +362,74 @@ def epoch_times(s, d):
     return table(s, d, "events").select("event_id", times.rfc3339(F.lit(1704067200) + F.col("event_id") * 997).alias("at"), times.invitation_expiry(F.col("event_id") * 1000).alias("expires_ms"))
 
 
-# --- literal cases
+# --- types, addresses and links of what is fetched
 
-TYPES = [(1, "text/html; charset=utf-8", True), (2, "TEXT/plain", True), (3, "application/xhtml+xml", True), (4, "image/svg+xml", True), (5, "application/pdf", False), (6, "", False), (7, "application/json", False)]
+#: Content types with and without a charset, in either case; both engines read this.
+TYPED = """SELECT event_id, concat(CASE WHEN event_id % 3 = 0 THEN upper(kind) ELSE kind END, CASE WHEN user_id % 2 = 0 THEN '; charset=utf-8' ELSE '' END) AS type
+FROM (SELECT *, CASE event_id % 9 WHEN 0 THEN 'text/html' WHEN 1 THEN 'text/plain' WHEN 2 THEN 'application/xhtml+xml' WHEN 3 THEN 'image/svg+xml' WHEN 4 THEN 'application/pdf' WHEN 5 THEN '' WHEN 6 THEN 'application/json' WHEN 7 THEN 'application/atom+xml' ELSE concat('application/', event_type) END AS kind FROM {events}) t"""
 
 
-@query(told([(i, ok) for i, _, ok in TYPES], "id, textual"))
+@query(f"SELECT event_id, type, lower(type) LIKE 'text/%' OR lower(type) LIKE '%xhtml%' OR lower(type) LIKE '%+xml%' AS textual FROM ({TYPED.replace('{events}', 'events')})")
 def textual_types(s, d):
-    return s.createDataFrame([(i, t) for i, t, _ in TYPES], "id int, t string").select("id", ur.is_textual(F.col("t")).alias("textual"))
+    return s.sql(TYPED, events=table(s, d, "events")).select("event_id", "type", ur.is_textual(F.col("type")).alias("textual"))
 
 
-@query("SELECT doc_id, text FROM documents UNION ALL SELECT -1, 'مرحبا'")
-def decode_bodies(s, d):
-    """Bodies in UTF-8 (undeclared or of unknown charset), UTF-16 and Windows-1256."""
-    third = F.col("doc_id") % 3
-    docs = table(s, d, "documents").select("doc_id", F.when(third == 0, F.encode("text", "UTF-16")).otherwise(F.encode("text", "UTF-8")).alias("body"), F.when(third == 0, "text/html; charset=utf-16").when(third == 1, "text/html").otherwise("text/html; charset=none-such").alias("type"))
-    own = s.createDataFrame([(-1, bytearray("مرحبا".encode("cp1256")), "text/html; charset=windows-1256")], "doc_id bigint, body binary, type string")
-    return docs.unionByName(own).select("doc_id", ur.decode_bytes("body", "type").alias("text"))
+#: Addresses in special and ordinary ranges, mapped into IPv6, of IPv6, and malformed.
+ADDRESSES = """SELECT event_id, kind, a, b, c, e, g, CASE WHEN kind < 5 THEN v4 WHEN kind = 5 THEN concat('::ffff:', v4) WHEN kind = 6 THEN concat(g, '::', CAST(e AS STRING)) ELSE concat(CAST(a + 300 AS STRING), '.', v4) END AS address
+FROM (SELECT *, concat(CAST(a AS STRING), '.', CAST(b AS STRING), '.', CAST(c AS STRING), '.', CAST(e AS STRING)) AS v4 FROM (
+  SELECT event_id, event_id % 8 AS kind, CASE user_id % 13 WHEN 0 THEN 10 WHEN 1 THEN 127 WHEN 2 THEN 172 WHEN 3 THEN 192 WHEN 4 THEN 169 WHEN 5 THEN 100 WHEN 6 THEN 198 WHEN 7 THEN 224 WHEN 8 THEN 0 WHEN 9 THEN 255 ELSE 8 + user_id % 80 END AS a,
+    CASE event_id % 7 WHEN 0 THEN 168 WHEN 1 THEN 254 WHEN 2 THEN 0 WHEN 3 THEN 18 ELSE event_id % 256 END AS b, CASE event_id % 4 WHEN 0 THEN 0 ELSE event_id % 251 END AS c, event_id % 241 AS e,
+    CASE event_id % 5 WHEN 0 THEN 'fe80' WHEN 1 THEN 'fd12' WHEN 2 THEN 'ff02' WHEN 3 THEN '2606' ELSE '2a00' END AS g FROM {events}) o) t"""
+PRIVATE = "a IN (0, 10, 127) AND (a <> 0 OR (b = 0 AND c = 0 AND e = 0)) OR a = 172 AND b BETWEEN 16 AND 31 OR a = 192 AND b = 168 OR a = 169 AND b = 254 OR a = 100 AND b BETWEEN 64 AND 127 OR a = 192 AND b = 0 AND c = 0 OR a = 198 AND b IN (18, 19) OR a >= 224"
 
 
-ADDRESSES = [
-    ("8.8.8.8", True), ("10.1.2.3", False), ("127.0.0.1", False), ("172.16.0.1", False), ("172.32.0.1", True), ("192.168.1.1", False), ("169.254.169.254", False), ("100.64.0.1", False), ("100.128.0.1", True),
-    ("0.0.0.0", False), ("198.18.0.1", False), ("224.0.0.1", False), ("255.255.255.255", False), ("::1", False), ("fe80::1", False), ("fc00::1", False), ("2606:4700::1111", True), ("::ffff:10.0.0.1", False), ("::ffff:8.8.8.8", True), ("nonsense", False), ("", False),
-]
-
-
-@query(told(ADDRESSES, "address, public"))
+@query(f"SELECT event_id, address, CASE WHEN kind < 6 THEN NOT ({PRIVATE}) WHEN kind = 6 THEN g NOT IN ('fe80', 'fd12', 'ff02') ELSE false END AS public FROM ({ADDRESSES.replace('{events}', 'events')})")
 def public_addresses(s, d):
-    return s.createDataFrame([(a,) for a, _ in ADDRESSES], "address string").select("address", ur.public_address("address").alias("public"))
+    return s.sql(ADDRESSES, events=table(s, d, "events")).select("event_id", "address", ur.public_address("address").alias("public"))
 
 
-URLS = [("https://a.example/x", True), ("http://8.8.8.8/", True), ("http://127.0.0.1:8080/", False), ("http://10.0.0.1", False), ("ftp://a.example/", False), ("file:///etc/passwd", False), ("https://", False), ("not a url", False), ("HTTPS://A.EXAMPLE", True)]
+#: Pages' URLs as they are, with other schemes, in capitals, without a host, and at addresses.
+ASKED_URLS = """SELECT page_id, kind, address, public, CASE kind WHEN 0 THEN url WHEN 1 THEN upper(url) WHEN 2 THEN concat('ftp://', host, '/x') WHEN 3 THEN concat(host, '/x') WHEN 4 THEN 'https://' WHEN 5 THEN concat('file:///', host) ELSE concat('http://', address, ':8080/', CAST(page_id AS STRING)) END AS asked
+FROM (SELECT page_id, url, page_id % 8 AS kind, split_part(split_part(url, '//', 2), '/', 1) AS host, CASE page_id % 3 WHEN 0 THEN concat('10.0.0.', CAST(page_id % 250 AS STRING)) WHEN 1 THEN concat('8.8.8.', CAST(page_id % 250 AS STRING)) ELSE '127.0.0.1' END AS address, page_id % 3 = 1 AS public FROM {pages}) t"""
 
 
-@query(told(URLS, "url, ok"))
+@query(f"SELECT page_id, asked, kind IN (0, 1) OR (kind > 5 AND public) AS ok FROM ({ASKED_URLS.replace('{pages}', 'pages')})")
 def checked_urls(s, d):
-    return s.createDataFrame([(u,) for u, _ in URLS], "url string").select("url", ur.checked_url(F.col("url")).alias("ok"))
+    return s.sql(ASKED_URLS, pages=table(s, d, "pages")).select("page_id", "asked", ur.checked_url(F.col("asked")).alias("ok"))
 
 
-LINKS = [("../b", "https://a.example/x/b"), ("#top", ""), ("mailto:x@y", ""), ("//b.example/p#q", "https://b.example/p"), ("?q=1", "https://a.example/x/y/z?q=1"), ("  /r ", "https://a.example/r"), ("", ""), ("javascript:void(0)", ""), ("http://c.example", "http://c.example")]
+#: Links of every form on pages; what they mean is told from the parts of the page's URL.
+HREFS = """SELECT page_id, url, page_id % 9 AS kind, CASE page_id % 9 WHEN 0 THEN concat('../b', CAST(page_id AS STRING)) WHEN 1 THEN '#top' WHEN 2 THEN concat('mailto:x', CAST(page_id AS STRING), '@y.example') WHEN 3 THEN concat('//b.example/p', CAST(page_id AS STRING), '#q')
+  WHEN 4 THEN concat('?q=', CAST(page_id AS STRING)) WHEN 5 THEN concat('  /r', CAST(page_id AS STRING), ' ') WHEN 6 THEN '' WHEN 7 THEN 'javascript:void(0)' ELSE concat('http://c', CAST(page_id AS STRING), '.example') END AS href FROM {pages}"""
 
 
-@query(told(LINKS, "href, url"))
+@query(f"""WITH h AS ({HREFS.replace('{pages}', 'pages')}), p AS (SELECT *, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS site, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM h),
+f AS (SELECT *, regexp_extract(path, '^(.*/)[^/]*$', 1) AS folder FROM p)
+SELECT page_id, href, CASE kind WHEN 0 THEN site || coalesce(nullif(regexp_replace(folder, '[^/]+/$', ''), ''), '/') || trim(href, './') WHEN 3 THEN scheme || ':' || split_part(href, '#', 1) WHEN 4 THEN site || path || href WHEN 5 THEN site || trim(href) WHEN 8 THEN href ELSE '' END AS url FROM f""")
 def resolve_links(s, d):
-    return s.createDataFrame([(h,) for h, _ in LINKS], "href string").select("href", ur.resolve_url(F.lit("https://a.example/x/y/z"), "href").alias("url"))
+    return s.sql(HREFS, pages=table(s, d, "pages")).select("page_id", "href", ur.resolve_url("url", "href").alias("url"))
 
 
-FLOORS = [(1, '{"similarityFloor": 0.5}', 0.5), (2, '{"similarityFloor": 1}', 1.0), (3, '{"similarityFloor": 0}', 0.35), (4, '{"similarityFloor": 1.5}', 0.35), (5, '{"similarityFloor": "x"}', 0.35), (6, "{}", 0.35), (7, "", 0.35), (8, None, 0.35)]
+#: Workspaces' settings: floors inside and outside (0, 1], as text, missing, and no JSON at all.
+CONFIGS = """SELECT c_custkey, CASE kind WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '{{"name": "x"}}' WHEN 3 THEN '{{"similarityFloor": "high"}}' ELSE concat('{{"similarityFloor": ', CAST(tenths AS STRING), 'e-1, "name": "x"}}') END AS config, kind, tenths
+FROM (SELECT c_custkey, c_custkey % 9 AS kind, c_custkey % 17 - 2 AS tenths FROM {customer}) t"""
 
 
-@query(f"SELECT id, floor::DOUBLE AS floor FROM ({told([(i, f) for i, _, f in FLOORS], 'id, floor')})")
+@query(f"SELECT c_custkey, CASE WHEN kind > 3 AND tenths > 0 AND tenths <= 10 THEN tenths / 10.0::DOUBLE ELSE 0.35::DOUBLE END AS floor FROM ({CONFIGS.replace('{customer}', 'customer').replace('{{', '{').replace('}}', '}')})")
 def workspace_floors(s, d):
-    return s.createDataFrame([(i, c) for i, c, _ in FLOORS], "id int, c string").select("id", retrieval.floor_of(F.col("c")).cast("double").alias("floor"))
+    found = s.sql(CONFIGS, customer=table(s, d, "customer"))
+    return found.select("c_custkey", retrieval.floor_of(F.col("config")).cast("double").alias("floor"))
+
+
+@query("SELECT doc_id, text FROM documents UNION ALL SELECT -1, 'مرحبا'")
+def decode_bodies(s, d):
+    """Bodies in UTF-8 (undeclared or of unknown charset), UTF-16, Latin-1 where the text allows it, and Windows-1256."""
+    part, latin = F.col("doc_id") % 4, F.rlike("text", F.lit(r"^[\x00-\x7F\xA0-\xFF]*$"))
+    body = F.when(part == 0, F.encode("text", "UTF-16")).when((part == 3) & latin, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    kind = F.when(part == 0, "text/html; charset=utf-16").when((part == 3) & latin, 'text/html; Charset="ISO-8859-1"').when(part == 1, "text/html").otherwise("text/html; charset=none-such")
+    own = s.createDataFrame([(-1, bytearray("مرحبا".encode("cp1256")), "text/html; charset=windows-1256")], "doc_id bigint, body binary, type string")
+    docs = table(s, d, "documents").select("doc_id", body.alias("body"), kind.alias("type"))
+    return docs.unionByName(own).select("doc_id", ur.decode_bytes("body", "type").alias("text"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 120 < 100 THEN c_custkey % 120 ELSE NULL END AS delay_s, CASE WHEN c_custkey % 120 >= 100 THEN 500 ELSE least(5000, greatest(500, (c_custkey % 120) * 100)) END AS delay_ms FROM customer")
@@ -403,14 +440,17 @@ def robots_delays(s, d):
     return table(s, d, "customer").select("c_custkey", F.when(n < 100, F.round(seconds * 10).cast("long")).alias("delay_s"), ur.effective_delay(500, seconds).alias("delay_ms"))
 
 
-@query("""SELECT doc_id, substr(text, 1, 2000) AS cut, 'not found at ' || doc_id AS reason, CASE WHEN doc_id % 2 = 0 THEN 'short: error' ELSE repeat('b', 150) || '' END AS error,
-  ceil(length(text) / 60.0)::INTEGER AS pieces, CASE WHEN doc_id % 2 = 0 THEN 'we could not read any pages from this address' ELSE 'no pages could be indexed. s' END AS told FROM documents""")
+FAILED = "SELECT doc_id, text, concat(CASE doc_id % 4 WHEN 0 THEN 'ingest: ' WHEN 1 THEN 'crawl: fetch: ' WHEN 2 THEN 'extract: ' ELSE '' END, substr(text, 1, 60 + doc_id % 40)) AS failed, concat(CASE WHEN doc_id % 2 = 0 THEN 'fetch page: ' ELSE '' END, substr(text, 1, 40 + doc_id % 220)) AS long FROM {documents}"
+
+
+@query(rf"""WITH f AS ({FAILED.replace('{documents}', 'documents')}), c AS (SELECT *, CASE WHEN strlen(long) > 90 AND instr(long, ': ') > 0 THEN substr(long, instr(long, ': ') + 2) ELSE long END AS rest FROM f)
+SELECT doc_id, substr(text, 1, 2000) AS cut, regexp_replace(failed, 'ingest: |crawl: |fetch: |extract: ', '', 'g') AS reason, CASE WHEN strlen(rest) > 180 THEN substr(rest, 1, 180) || '…' ELSE rest END AS error, ceil(length(text) / 60.0)::INTEGER AS pieces,
+  CASE WHEN doc_id % 2 = 0 THEN 'we could not read any pages from this address' ELSE 'no pages could be indexed. ' || substr(text, 1, 20) END AS told FROM c""")
 def short_texts(s, d):
-    n = F.col("doc_id")
-    reason = F.concat(F.lit("ingest: crawl: not found at "), n.cast("string"))
-    error = F.when(n % 2 == 0, "short: error").otherwise(F.concat(F.lit("prefix: "), F.lit("b" * 150)))
-    told_text = tx.empty_crawl(n % 2, F.lit("s"))
-    return table(s, d, "documents").select("doc_id", tx.truncate(F.col("text"), 2000).alias("cut"), tx.short_reason(reason).alias("reason"), tx.short_error(error).alias("error"), F.size(tx.pieces(F.col("text"))).alias("pieces"), told_text.alias("told"))
+    """Texts cut to size, and failures (made of the documents' own words) without their prefixes."""
+    rows = s.sql(FAILED, documents=table(s, d, "documents"))
+    told_text = tx.empty_crawl(F.col("doc_id") % 2, F.left("text", F.lit(20)))
+    return rows.select("doc_id", tx.truncate(F.col("text"), 2000).alias("cut"), tx.short_reason(F.col("failed")).alias("reason"), tx.short_error(F.col("long")).alias("error"), F.size(tx.pieces(F.col("text"))).alias("pieces"), told_text.alias("told"))
 
 
 @query("SELECT doc_id, '[ECHO]' || chr(10) || trim(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')) AS reply FROM documents WHERE lang = 'en'")
@@ -432,41 +472,56 @@ def live_messages(s, d):
     return conversations.live_messages(rows).select("id", "role", "refused")
 
 
-KEYS = [("wk_" + "0" * 26, True, False), ("wk_" + "0" * 25, False, False), ("wk_" + "I" * 26, False, False), ("inv_" + "Z" * 52, False, True), ("inv_" + "Z" * 51 + "U", False, False), ("", False, False)]
+#: Keys of the right and of wrong length, with letters that keys don't have, and invitations.
+KEYS = """SELECT c_custkey, CASE kind WHEN 0 THEN concat('wk_', substr(body, 1, 26)) WHEN 1 THEN concat('wk_', substr(body, 1, 25)) WHEN 2 THEN concat('wk_', substr(body, 1, 25), 'I') WHEN 3 THEN concat('inv_', substr(body, 1, 52)) WHEN 4 THEN concat('inv_', substr(body, 1, 51), 'U') WHEN 5 THEN concat('wk_', lower(substr(body, 1, 20)), 'ABCDEF') ELSE substr(body, 1, 26) END AS key, kind
+FROM (SELECT c_custkey, c_custkey % 7 AS kind, upper({sha}) AS body FROM {{customer}}) t"""
 
 
-@query(f"SELECT *, sha256(key) AS hash FROM ({told(KEYS, 'key, widget, invite')})")
+@query(f"SELECT c_custkey, key, kind = 0 AS widget, kind = 3 AS invite, sha256(key) AS hash FROM ({KEYS.format(sha='sha256(CAST(c_custkey AS VARCHAR))').replace('{customer}', 'customer')})")
 def key_shapes(s, d):
-    rows = s.createDataFrame([(k,) for k, _, _ in KEYS], "key string")
-    return rows.select("key", frames.is_widget_key(F.col("key")).alias("widget"), frames.is_invite(F.col("key")).alias("invite"), frames.token_hash(F.col("key")).alias("hash"))
+    rows = s.sql(KEYS.format(sha="sha2(CAST(c_custkey AS STRING), 256)"), customer=table(s, d, "customer"))
+    return rows.select("c_custkey", "key", frames.is_widget_key(F.col("key")).alias("widget"), frames.is_invite(F.col("key")).alias("invite"), frames.token_hash(F.col("key")).alias("hash"))
+
 
+@query("SELECT count(*) AS issued, count(*) AS widget_keys, count(*) AS invitations, 2 * count(*) AS different FROM customer")
+def issued_keys(s, d):
+    """New keys for every customer: all well formed, no two alike."""
+    keys = table(s, d, "customer").select("c_custkey").withColumns({"key": frames.new_widget_key("c_custkey"), "token": frames.new_invite("c_custkey")})
+    each = keys.select("key", "token", F.explode(F.array("key", "token")).alias("any"))
+    n = lambda c: F.count_if(c)
+    return each.agg((F.count("*") / 2).cast("long").alias("issued"), n(frames.is_widget_key(F.col("any"))).alias("widget_keys"), n(frames.is_invite(F.col("any"))).alias("invitations"), F.countDistinct("any").alias("different"))
 
-DURATIONS = [(None, "—"), (0, "0ms"), (999, "999ms"), (1000, "1s"), (59_400, "59s"), (60_000, "1m"), (3_599_000, "60m"), (3_600_000, "1.0h"), (5_400_000, "1.5h")]
 
+WAITS = "SELECT event_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN event_id % 1000 WHEN 2 THEN 1000 + event_id * 7 % 59000 WHEN 3 THEN 60000 + event_id * 991 % 3540000 ELSE 3600000 + event_id * 99991 % 900000000 END AS ms FROM {events}"
 
-@query(told(DURATIONS, "ms, label"))
+
+@query(f"""SELECT event_id, CASE WHEN ms IS NULL THEN '—' WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN (ms + 500) // 1000 || 's' WHEN ms < 3600000 THEN (ms + 30000) // 60000 || 'm'
+  ELSE ((ms + 180000) // 360000) // 10 || '.' || ((ms + 180000) // 360000) % 10 || 'h' END AS label FROM ({WAITS.replace('{events}', 'events')})""")
 def duration_labels(s, d):
-    return s.createDataFrame([(m,) for m, _ in DURATIONS], "ms bigint").select("ms", analytics.duration_label(F.col("ms")).alias("label"))
+    return s.sql(WAITS, events=table(s, d, "events")).select("event_id", analytics.duration_label(F.col("ms")).alias("label"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 0 ELSE CAST(floor(100.0 * (c_custkey % 7) / (c_custkey % 9) + 0.5) AS BIGINT) END AS pct, round((c_custkey % 200) * 0.02, 2) AS cost,
-  CASE WHEN c_custkey % 6 - 1 <= 0 THEN 0 ELSE (c_custkey % 6 - 1) * 50 END AS left, c_custkey % 100 * 10 AS yearly FROM customer""")
+  CASE WHEN c_custkey % 6 - 1 <= 0 THEN 0 ELSE (c_custkey % 6 - 1) * 50 END AS left, c_custkey % 100 * 10 AS yearly, round((c_custkey % 100) * 10 / 12.0::DOUBLE, 2) AS monthly FROM customer""")
 def percentages_and_costs(s, d):
     k = F.col("c_custkey")
     return table(s, d, "customer").select(
-        k, analytics.percent(k % 7, k % 9).alias("pct"), usage.overage_cost(k % 200).cast("double").alias("cost"), usage.replies_under_cap(F.lit(1.0), (k % 6).cast("double")).alias("left"), usage.annual_total(k % 100).alias("yearly")
+        k, analytics.percent(k % 7, k % 9).alias("pct"), usage.overage_cost(k % 200).cast("double").alias("cost"), usage.replies_under_cap(F.lit(1.0), (k % 6).cast("double")).alias("left"), usage.annual_total(k % 100).alias("yearly"), usage.annual_monthly(k % 100).alias("monthly")
     )
 
 
 NOUNS = {"en": {"one": "reply", "other": "replies"}, "ar": {"zero": "لا ردود", "one": "رد واحد", "two": "ردان", "few": "ردود", "many": "ردًا", "other": "رد"}}
-PLURALS = [("en", 0, "0 replies"), ("en", 1, "1 reply"), ("en", 1234567, "1,234,567 replies"), ("ar", 0, "لا ردود"), ("ar", 1, "رد واحد"), ("ar", 2, "ردان"), ("ar", 3, "3 ردود"), ("ar", 11, "11 ردًا"), ("ar", 100, "100 رد"), ("ar", 1003, "1,003 ردود")]
+COUNTED = "SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'ar' ELSE 'en' END AS lang, CASE event_id % 5 WHEN 0 THEN event_id % 4 WHEN 1 THEN event_id % 120 WHEN 2 THEN event_id * 1009 ELSE event_id END AS n FROM {events}"
 
 
-@query(told(PLURALS, "lang, n, label"))
+@query(f"""WITH k AS (SELECT *, n % 100 AS h, CASE WHEN n < 1000 THEN n || '' WHEN n < 1000000 THEN n // 1000 || ',' || lpad(n % 1000 || '', 3, '0') ELSE n // 1000000 || ',' || lpad(n // 1000 % 1000 || '', 3, '0') || ',' || lpad(n % 1000 || '', 3, '0') END AS told FROM ({COUNTED.replace('{events}', 'events')}))
+SELECT event_id, lang, n, CASE WHEN lang = 'en' THEN told || CASE n WHEN 1 THEN ' reply' ELSE ' replies' END WHEN n = 0 THEN '{NOUNS['ar']['zero']}' WHEN n = 1 THEN '{NOUNS['ar']['one']}' WHEN n = 2 THEN '{NOUNS['ar']['two']}'
+  WHEN h BETWEEN 3 AND 10 THEN told || ' {NOUNS['ar']['few']}' WHEN h BETWEEN 11 AND 99 THEN told || ' {NOUNS['ar']['many']}' ELSE told || ' {NOUNS['ar']['other']}' END AS label FROM k""")
 def plural_labels(s, d):
-    rows = s.createDataFrame([(la, n) for la, n, _ in PLURALS], "lang string, n bigint")
+    rows = s.sql(COUNTED, events=table(s, d, "events"))
     forms = lambda la: F.create_map(*(F.lit(x) for p in NOUNS[la].items() for x in p))
-    return rows.select("lang", "n", F.when(F.col("lang") == "ar", tx.plural(F.col("lang"), F.col("n"), forms("ar"))).otherwise(tx.plural(F.col("lang"), F.col("n"), forms("en"))).alias("label"))
+    label = F.when(F.col("lang") == "ar", tx.plural(F.col("lang"), F.col("n"), forms("ar"))).otherwise(tx.plural(F.col("lang"), F.col("n"), forms("en")))
+    return rows.select("event_id", "lang", "n", label.alias("label"))
 
 
 @query("""WITH c AS (SELECT DISTINCT p_size % 16 AS n FROM part), h AS (SELECT n, '#' || repeat(lower(hex(n * 17)), 3) AS color, n * 17 / 255.0::DOUBLE AS s FROM c),
@@ -485,3 +540,37 @@ def recorded_gaps(s, d):
     status = F.when(F.col("conversation") % 5 == 1, "escalated").when(F.col("conversation") % 5 == 2, "human").otherwise("active")
     made = conversations.replies(rows.withColumns({"status": status, "language": F.lit("en"), "verdict": F.lit("allow")}))
     return made.where("outcome <> 'human'").select("conversation", "turn", F.col("records_gap").alias("gap"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'dark' WHEN event_id % 3 = 1 THEN 'light' WHEN event_id % 256 * 299 + event_id * 7 % 256 * 587 + user_id % 256 * 114 < 128000 THEN 'dark' ELSE 'light' END AS theme FROM events""")
+def page_themes(s, d):
+    """The widget's theme on pages of every background."""
+    setting = F.element_at(F.array(F.lit("dark"), F.lit("light"), F.lit("auto")), (F.col("event_id") % 3 + 1).cast("int"))
+    return table(s, d, "events").select("event_id", colors.page_theme(setting, F.col("event_id") % 256, F.col("event_id") * 7 % 256, F.col("user_id") % 256).alias("theme"))
+
+
+@query("""SELECT conversation, turn, list_filter([CASE WHEN turn % 7 = 0 THEN 'role' END, CASE WHEN conversation % 5 = 0 THEN 'outcome' END], lambda x: x IS NOT NULL) AS bad FROM v_messages""")
+def vocabulary_violations(s, d):
+    """Columns of messages outside their vocabularies."""
+    rows = view(s, d, "messages").withColumns({"role": F.when(F.col("turn") % 7 == 0, "robot").otherwise(F.col("role")), "outcome": F.when(F.col("conversation") % 5 == 0, "lost").otherwise(F.col("outcome"))})
+    return rows.select("conversation", "turn", schemas.violations(rows, "messages").alias("bad"))
+
+
+@query("""WITH l AS (SELECT conversation, max(lead) AS lead FROM v_leads GROUP BY 1), m AS (SELECT *, row_number() OVER (PARTITION BY conversation ORDER BY created_ms DESC, turn DESC) AS back FROM v_messages)
+SELECT c.conversation, c.status, m.turn, m.role, m.text, l.lead FROM v_conversations c JOIN m ON m.conversation = c.conversation AND m.back <= 50 LEFT JOIN l ON l.conversation = c.conversation WHERE c.status IN ('escalated', 'human')""")
+def inbox_threads(s, d):
+    """Conversations that wait for a person, with their last messages and the newest lead of each."""
+    waiting = view(s, d, "conversations").where(F.col("status").isin("escalated", "human"))
+    return conversations.inbox_threads(waiting, view(s, d, "messages"), view(s, d, "leads")).select("conversation", "status", "turn", "role", "text", "lead")
+
+
+SINCE_MS = 1704067200000 + 3 * 86_400_000
+
+
+@query(f"""SELECT w.workspace, (SELECT count(*) FROM supplier x WHERE x.s_nationkey = w.workspace) AS sources,
+  (SELECT count(*) FROM v_messages m WHERE m.workspace = w.workspace AND m.role = 'assistant' AND m.created_ms >= epoch_ms(date_trunc('month', make_timestamp({SINCE_MS} * 1000)))) AS replies,
+  (SELECT count(*) FROM v_conversations c WHERE c.workspace = w.workspace AND c.created_ms >= {SINCE_MS} - 2 * 86400000) AS conversations FROM v_workspaces w""")
+def workspace_counts(s, d):
+    """Of every workspace: sources, the assistant's messages since the month began, and conversations of the last days."""
+    sources = table(s, d, "supplier").select(F.col("s_nationkey").alias("workspace"))
+    return analytics.workspace_counts(view(s, d, "workspaces"), sources, view(s, d, "messages"), view(s, d, "conversations"), SINCE_MS, 2)

@@ -258,7 +258,7 @@ def hash_embed(s, d):
 def crawl_bfs(s, d):
     """Pages of each host reached from its first page over the links between known pages."""
     pages = ingest.extract_pages(table(s, d, "pages"))
-    links = ingest.page_links(pages, "page_id").select("src", "dst")
+    links = ingest.page_links(pages, "page_id").select("src", "dst", "place")
     roots = pages.groupBy(ur.host(F.col("url")).alias("site")).agg(F.min_by("url", "page_id").alias("url"))
     robots = roots.select("site", F.lit(ROBOTS).alias("body"))
     return ingest.crawl(links, roots, robots, indexable=pages.where(~ingest.is_thin(F.col("text"))).select("url"))

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
@@ -29,10 +30,10 @@ class Conflict(Exception):
 
 
 class Store:
-    """Tables by name with their columns (DDL), and the columns that their folders are cut by."""
+    """Tables by name with their columns (DDL), the columns that their folders are cut by, and a check of rows before they are written."""
 
-    def __init__(self, spark: SparkSession, base: str, tables: dict[str, str], partitions: dict[str, list[str]] | None = None):
-        self.spark, self.base, self.tables, self.partitions = spark, base.rstrip("/"), tables, partitions or {}
+    def __init__(self, spark: SparkSession, base: str, tables: dict[str, str], partitions: dict[str, list[str]] | None = None, check: Callable[[DataFrame, str], DataFrame] | None = None):
+        self.spark, self.base, self.tables, self.partitions, self.check = spark, base.rstrip("/"), tables, partitions or {}, check
 
     def _path(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
@@ -87,9 +88,10 @@ class Store:
 
     def _stage(self, rows: dict[str, DataFrame], gone: dict[str, list[DataFrame]]) -> dict[str, dict]:
         tables: dict[str, dict] = {}
-        for name, df in rows.items():
+        for name, added in rows.items():
             tables.setdefault(name, {"gone": []})["rows"] = mark = uuid.uuid4().hex
-            writer = df.to(self._schema(name)).write
+            exact = added.to(self._schema(name))
+            writer = (self.check(exact, name) if self.check else exact).write
             writer.partitionBy(*self.partitions.get(name, [])).parquet(f"{self.base}/{name}/commit={mark}")
         for name, all_keys in gone.items():
             for keys in all_keys:

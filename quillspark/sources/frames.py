@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import secrets
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,28 @@ KEY = r"^wk_[0-9A-HJKMNP-TV-Z]{26}$"
 INVITE = r"^inv_[0-9A-HJKMNP-TV-Z]{52}$"
 
 
+# Fixed value: the letters of keys.
+LETTERS = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def _new_keys(prefix: str, size: int):
+    """Unguessable keys, one for every row; they differ each time a row is computed, so write them once."""
+
+    @F.pandas_udf("string")
+    def keys(rows: pd.Series) -> pd.Series:
+        return pd.Series([prefix + "".join(LETTERS[b & 31] for b in secrets.token_bytes(size)) for _ in range(len(rows))])
+
+    return keys.asNondeterministic()
+
+
+def new_widget_key(of: Column | str) -> Column:
+    return _new_keys("wk_", 26)(of)
+
+
+def new_invite(of: Column | str) -> Column:
+    return _new_keys("inv_", 52)(of)
+
+
 def is_widget_key(key: Column) -> Column:
     return F.coalesce(F.rlike(key, F.lit(KEY)), F.lit(False))
 

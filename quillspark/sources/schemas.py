@@ -51,9 +51,9 @@ def violations(rows: DataFrame, name: str) -> Column:
 
 
 def checked(rows: DataFrame, name: str) -> DataFrame:
-    """Rows as they are; a value outside its vocabulary fails the write that meets it."""
-    first = F.get(violations(rows, name), F.lit(0))
-    return reduce(lambda r, c: r.withColumn(c, F.when(first.isNull(), F.col(c)).otherwise(F.raise_error(F.concat(F.lit(f"{name}: bad "), first)))), list(ENUMS.get(name, {}))[:1], rows)
+    """Rows as they are; a value outside its column's vocabulary fails the job that reads it (null is unset)."""
+    strict = {c: F.when(F.col(c).isNull() | F.col(c).isin(*words), F.col(c)).otherwise(F.raise_error(F.concat(F.lit(f"{name}.{c} can't be "), F.col(c)))) for c, words in ENUMS.get(name, {}).items() if c in rows.columns}
+    return rows.withColumns(strict)
 
 
 def write_vectors(rows: DataFrame, path: str, dims: int) -> None:
