@@ -34,47 +34,77 @@ def knn(vectors: DataFrame, workspace: object, query: list[float], k: int = 8) -
     return near.orderBy("distance", "chunk_id").limit(k)
 
 
+def _closest(data: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places and distances of the ``k`` nearest rows of every query; ties go to the smaller id.
+
+    One matrix product tells which rows can be among them, within its rounding; their
+    distances are computed anew, exactly.
+    """
+    sizes, own = (data**2).sum(axis=1), (queries**2).sum(axis=1)
+    rough = np.maximum(sizes + own[:, None] - 2 * (queries @ data.T), 0)
+    slack = 1e-9 * (own + sizes.max(initial=0.0)) + 1e-300
+    found = []
+    for query, near, more in zip(queries, rough, slack, strict=True):
+        some = np.flatnonzero(near <= np.partition(near, k - 1)[k - 1] + more) if len(near) > k else np.arange(len(near))
+        distance = np.sqrt(((data[some] - query) ** 2).sum(axis=1))
+        best = np.lexsort((ids[some], distance))[:k]
+        found.append((some[best], distance[best]))
+    return found
+
+
 def _nearest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """The ``k`` nearest of a block of vectors for every query of a block, exactly."""
+    """Rows of block after block, its vectors before its queries: hold the vectors, and answer queries as they come."""
+    now, held, data, ids, order = None, [], None, None, None
     for batch in batches:
-        for row in range(batch.num_rows):
-            workspace = batch.column("workspace_id").slice(row, 1)
-            chunks, asked = batch.column("chunks")[row].values, batch.column("asked")[row].values
-            rows, widths = [], {len(x) for part in (chunks.field(1), asked.field(1)) for x in part}
-            if len(widths) > 1:
+        keys = [*zip(batch.column("workspace_id").to_pylist(), batch.column("part").to_pylist(), batch.column("asks").to_pylist(), strict=True)]
+        ends = [*(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        for start, end in zip([0, *ends], ends, strict=False):
+            (workspace, part, asks), rows = keys[start], batch.slice(start, end - start)
+            if now != (workspace, part):
+                now, held, data = (workspace, part), [], None
+            if not asks:
+                held.append(rows)
+                continue
+            if not held:
+                continue  # no vector fell into this block
+            if data is None:
+                ids = pa.concat_arrays([r.column("chunk_id") for r in held])
+                order = pc.rank(ids, tiebreaker="dense").to_numpy()
+                data = _rows([r.column("vector") for r in held])
+            queries = _rows([rows.column("vector")])
+            if queries.shape[1] != data.shape[1]:
                 raise ValueError("embedding width differs from the query's")
-            data, queries = (part.field(1).flatten().to_numpy().astype(np.float64).reshape(len(part), -1) for part in (chunks, asked))
-            ids, query_ids = pc.rank(chunks.field(0), tiebreaker="dense").to_numpy(), asked.field(0)
-            for query in queries:
-                distance = np.sqrt(((data - query) ** 2).sum(axis=1))
-                near = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1]) if len(distance) > k else np.arange(len(distance))
-                rows.append((near := near[np.lexsort((ids[near], distance[near]))[:k]], distance[near]))
-            at = pa.array(np.repeat(np.arange(len(rows)), [len(n) for n, _ in rows]))
-            found = pa.array(np.concatenate([n for n, _ in rows]))
-            columns = [workspace.take(pa.array(np.zeros(len(at), dtype=np.int64))), query_ids.take(at), chunks.field(0).take(found), pa.array(np.concatenate([d for _, d in rows]))]
+            found = _closest(data, order, queries, k)
+            at = pa.array(np.repeat(np.arange(len(found)), [len(n) for n, _ in found]))
+            chunks = ids.take(pa.array(np.concatenate([n for n, _ in found])))
+            columns = [rows.column("workspace_id").take(at), rows.column("query_id").take(at), chunks, pa.array(np.concatenate([d for _, d in found]))]
             yield pa.RecordBatch.from_arrays(columns, ["workspace_id", "query_id", "chunk_id", "distance"])
 
 
-def _in_blocks(rows: DataFrame, size: int, id_col: str, vector_col: str, name: str) -> DataFrame:
-    """Rows of each tenant in blocks of about ``size``, dealt by a hash."""
-    counts = rows.groupBy("workspace_id").agg(F.ceil(F.count("*") / size).alias("__parts"))
-    part = F.pmod(F.xxhash64(id_col, vector_col), F.col("__parts"))
-    dealt = rows.join(counts, "workspace_id").select("workspace_id", part.alias(f"{name}_part"), F.struct(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).alias("row"))
-    return dealt.groupBy("workspace_id", f"{name}_part").agg(F.collect_list("row").alias(name))
+def _rows(vectors: list[pa.Array]) -> np.ndarray:
+    if len({len(v) for part in vectors for v in part}) > 1:
+        raise ValueError("embedding width differs from the query's")
+    return np.concatenate([part.flatten().to_numpy() for part in vectors]).astype(np.float64).reshape(sum(map(len, vectors)), -1)
 
 
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = FETCHED, block_rows: int = 4096) -> DataFrame:
     """Nearest chunks of every ``(workspace_id, query_id, query)`` within its tenant: ``rank`` from 1.
 
-    Vectors and queries of a tenant are dealt into blocks of bounded size, and each
-    pair of blocks is one piece of work that returns its ``k`` best, so a large
-    tenant is spread over many tasks and no pair of rows leaves its task.
+    Vectors of a tenant are dealt into blocks of about ``block_rows``, so a large
+    tenant is spread over many tasks.  A block moves once and is held by one task;
+    the tenant's queries stream past it and leave their ``k`` best.
     """
-    chunks = _in_blocks(vectors, block_rows, "chunk_id", "embedding", "chunks")
-    asked = _in_blocks(queries, block_rows // 4, "query_id", "query", "asked")
-    work = asked.join(chunks, "workspace_id").repartition("workspace_id", "asked_part", "chunks_part").select("workspace_id", "chunks", "asked")
     types = {"workspace_id": vectors, "query_id": queries, "chunk_id": vectors}
-    kind = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c, df in types.items())
+    kinds = {c: df.schema[c].dataType for c, df in types.items()}
+    wide = {vectors.schema["embedding"].dataType.simpleString(), queries.schema["query"].dataType.simpleString()}
+    vector = lambda c: F.col(c) if len(wide) == 1 else F.col(c).cast("array<double>")
+    counts = vectors.groupBy("workspace_id").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("chunk_id", "embedding"), F.col("parts")).cast("int")
+    blocks = vectors.join(counts, "workspace_id").select("workspace_id", part.alias("part"), F.lit(False).alias("asks"), "chunk_id", F.lit(None).cast(kinds["query_id"]).alias("query_id"), vector("embedding").alias("vector"))
+    met = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    asked = queries.join(counts, "workspace_id").select("workspace_id", met, F.lit(True).alias("asks"), F.lit(None).cast(kinds["chunk_id"]).alias("chunk_id"), "query_id", vector("query").alias("vector"))
+    work = blocks.unionByName(asked).repartition("workspace_id", "part").sortWithinPartitions("workspace_id", "part", "asks")
+    kind = ", ".join(f"{c} {t.simpleString()}" for c, t in kinds.items())
     pairs = work.mapInArrow(lambda it: _nearest(it, k), f"{kind}, distance double")
     best = Window.partitionBy("workspace_id", "query_id").orderBy("distance", "chunk_id")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
