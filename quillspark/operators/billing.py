@@ -40,22 +40,26 @@ def parse_events(raw: DataFrame, body_col: str = "body") -> DataFrame:
 TOLERANCE = 300
 
 
-def signature_valid(body: Column, header: Column, secret: str, now: int | None = None) -> Column:
-    """Whether any ``v1`` of a ``t=…,v1=…`` header signs the raw body, at most five minutes before ``now`` (epoch seconds, if given)."""
+def signature_valid(body: Column, header: Column, secret: str, now: int | None = None, received: Column | None = None) -> Column:
+    """Whether any ``v1`` of a ``t=…,v1=…`` header signs the raw body, at most five minutes before it was received.
+
+    That time is ``received`` or ``now``, in epoch seconds; without either, the age
+    isn't looked at.  Without a secret nothing is valid.
+    """
 
     @F.pandas_udf(T.BooleanType())
-    def check(bodies: pd.Series, headers: pd.Series) -> pd.Series:
-        def one(b: str | None, h: str | None) -> bool:
+    def check(bodies: pd.Series, headers: pd.Series, times: pd.Series) -> pd.Series:
+        def one(b: str | None, h: str | None, time: float) -> bool:
             parts = [x.strip().split("=", 1) for x in (h or "").split(",") if "=" in x]
             at = dict(parts).get("t", "")
-            if not at.isdigit() or (now is not None and now - int(at) > TOLERANCE):
+            if not secret or not at.isdigit() or time - int(at) > TOLERANCE:  # no time: not a number, so never too old
                 return False
             made = hmac.new(secret.encode(), f"{at}.{b or ''}".encode(), hashlib.sha256).hexdigest()
             return any(k == "v1" and hmac.compare_digest(made.encode(), v.encode()) for k, v in parts)
 
-        return pd.Series([one(b, h) for b, h in zip(bodies, headers, strict=True)])
+        return pd.Series([one(b, h, t) for b, h, t in zip(bodies, headers, times.astype("float64"), strict=True)], dtype=bool)
 
-    return check(body, header)
+    return check(body, header, F.lit(now).cast("double") if received is None else received.cast("double"))
 
 
 def ledger(events: DataFrame, order_col: str = "seq") -> DataFrame:

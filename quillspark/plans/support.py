@@ -334,6 +334,16 @@ def webhook_signatures(s, d):
     return rows.select("event_id", billing.signature_valid(F.col("body"), header, SECRET, SIGNED_AT).alias("valid"))
 
 
+@query("SELECT conversation, turn, 'message' AS event, role, text FROM v_messages WHERE role = 'human' UNION ALL SELECT conversation, NULL, 'status', status, NULL FROM v_conversations")
+def framed_events(s, d):
+    """Live events written as frames and read back, in the form that clients parse."""
+    said = view(s, d, "messages").where("role = 'human'").select(F.lit("message").alias("event"), F.struct("conversation", "turn", "role", "text").alias("payload"))
+    status = view(s, d, "conversations").select(F.lit("status").alias("event"), F.struct("conversation", F.lit(None).cast("long").alias("turn"), F.col("status").alias("role"), F.lit(None).cast("string").alias("text")).alias("payload"))
+    path = scratch_path(s, "frames")
+    frames.write_frames(said.unionByName(status), path, "event", "payload")
+    return frames.read_frames(s, path, "conversation long, turn long, role string, text string").select("payload.conversation", "payload.turn", "event", "payload.role", "payload.text")
+
+
 # --- times
 
 

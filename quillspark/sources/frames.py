@@ -5,10 +5,11 @@ from __future__ import annotations
 import secrets
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.url import origin_allowed
+from quillspark.operators.billing import signature_valid
 
 
 def frame(event: Column, payload: Column) -> Column:
@@ -16,6 +17,36 @@ def frame(event: Column, payload: Column) -> Column:
     return F.concat(F.lit("event: "), event, F.lit("\ndata: "), F.to_json(payload), F.lit("\n\n"))
 
 
+def read_frames(spark: SparkSession, path: str, payload_type: str, stream: bool = False) -> DataFrame:
+    """``event, payload`` of files of frames, also as a stream of new files.
+
+    The reader cuts at blank lines, so a frame is a row wherever it lies in a file of
+    any size; the stream's checkpoint knows which files were read, so a restart
+    reads none twice.  Frames without data (heartbeats) are left out.
+    """
+    reader = spark.readStream if stream else spark.read
+    raw = reader.option("lineSep", "\n\n").text(path)
+    event, data = F.regexp_extract("value", r"(?m)^event: (.*)$", 1), F.regexp_extract("value", r"(?m)^data: (.*)$", 1)
+    return raw.where(data != "").select(event.alias("event"), F.from_json(data, payload_type).alias("payload"))
+
+
+def write_frames(rows: DataFrame, path: str, event_col: str, payload_col: str, mode: str = "append") -> None:
+    """Rows as files of frames; a payload is a struct or map."""
+    text = F.concat(F.lit("event: "), F.col(event_col), F.lit("\ndata: "), F.to_json(payload_col))
+    rows.select(text.alias("value")).write.mode(mode).option("lineSep", "\n\n").text(path)
+
+
+def read_deliveries(spark: SparkSession, path: str, secret: str, stream: bool = False) -> DataFrame:
+    """Webhook deliveries, a JSON line ``{body, signature, received}`` each, with ``valid``.
+
+    The signature is checked on the body as it came, at the time it was received
+    (epoch seconds); a body that was decoded and encoded again would not verify.
+    """
+    reader = (spark.readStream if stream else spark.read).schema("body string, signature string, received long")
+    rows = reader.json(path)
+    return rows.withColumn("valid", signature_valid(F.col("body"), F.col("signature"), secret, received=F.col("received")))
+
+
 def parse_frames(streams: DataFrame, raw_col: str, payload_type: str) -> DataFrame:
     """``event, payload`` rows of concatenated frames, in order; frames without data are left out."""
     parts = streams.select(*[c for c in streams.columns if c != raw_col], F.posexplode(F.split(raw_col, "\n\n", -1)).alias("n", "__frame"))
