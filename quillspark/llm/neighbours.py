@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by collision counting over projections.
 
-Vectors are dealt into blocks of bounded size, and the queries likewise.  In a
-block each of ``projections`` random directions gives one sorted array of projected
-values; this index is built once and written to the shared folder.  A query opens a
-window around its own value in every array and widens all of them step by step
+Vectors are dealt into blocks of bounded size.  A block and the queries that meet it
+go to one task, the block first: each of ``projections`` random directions gives one
+sorted array of its projected values, and the queries stream past, so an index never
+moves.  A query opens a window around its own value in every array and widens all of
+them step by step
 (virtual rehashing: no table is built anew).  A vector that lies in the windows of
 at least ``threshold`` of the directions is verified: its distance is computed on
 the original vectors in double precision.  Widening stops when a vector as near as
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import materialize, table
 
 PROJECTIONS, THRESHOLD, MISS = 64, 36, 0.03
-BLOCK_ROWS, QUERY_ROWS = 8192, 2048
+BLOCK_ROWS = 8192
 #: Factor by which windows widen, and queries of a block that widen them together.
 GROWTH, TOGETHER = 1.2, 64
 SEED = 7
@@ -132,57 +133,57 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _vectors_of(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
-    rows = rows.values
-    return rows.field("id").to_numpy(), rows.field("vector").flatten().to_numpy().reshape(len(rows), -1).astype(np.float64)
+def _matrix(rows: list[pa.Array]) -> np.ndarray:
+    return np.concatenate([r.flatten().to_numpy() for r in rows]).reshape(sum(map(len, rows)), -1).astype(np.float64)
 
 
-def _index_blocks(batches: Iterator[pa.RecordBatch], projections: int) -> Iterator[pa.RecordBatch]:
+def _search_blocks(batches: Iterator[pa.RecordBatch], k: int, projections: int) -> Iterator[pa.RecordBatch]:
+    """Rows of block after block, its vectors before its queries: index the vectors, then answer queries as they come."""
+    now, ids, vectors, index = None, [], [], None
     for batch in batches:
-        made = [project(_vectors_of(rows)[1], projections) for rows in batch.column("vectors")]
-        values, order = pa.array([v.tobytes() for v, _ in made], pa.binary()), pa.array([o.tobytes() for _, o in made], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns, values, order], [*batch.schema.names, "values", "order"])
-
-
-def _search_blocks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in range(batch.num_rows):
-            (ids, data), (query_ids, queries) = (_vectors_of(batch.column(name)[row]) for name in ("vectors", "queries"))
-            bounds = batch.column("queries")[row].values.field("bound").to_numpy(zero_copy_only=False)
-            values, order = (np.frombuffer(batch.column(name)[row].as_buffer(), dtype=kind).reshape(-1, len(ids)) for name, kind in (("values", np.float64), ("order", np.int32)))
-            found = [*CollisionIndex(data, ids, values, order).search(queries, query_ids, np.nan_to_num(bounds, nan=np.inf), k)]
-            q = np.repeat(query_ids, [len(v) for v, _ in found])
+        keys = [*zip(batch.column("dim").to_pylist(), batch.column("part").to_pylist(), batch.column("asks").to_pylist(), strict=True)]
+        ends = [*(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        for start, end in zip([0, *ends], ends, strict=False):
+            (dim, part, asks), rows = keys[start], batch.slice(start, end - start)
+            if now != (dim, part):
+                now, ids, vectors, index = (dim, part), [], [], None
+            if not asks:
+                ids.append(rows.column("id").to_numpy())
+                vectors.append(rows.column("vector"))
+                continue
+            if not vectors:
+                continue  # no vector fell into this block
+            if index is None:
+                data = _matrix(vectors)
+                index = CollisionIndex(data, np.concatenate(ids), *project(data, projections))
+            asked, bounds = rows.column("id").to_numpy(), np.nan_to_num(rows.column("bound").to_numpy(zero_copy_only=False).astype(np.float64), nan=np.inf)
+            found = [*index.search(_matrix([rows.column("vector")]), asked, bounds, k)]
+            q = np.repeat(asked, [len(v) for v, _ in found])
             v, d = (np.concatenate([f[i] for f in found]) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(d)], ["query_id", "vec_id", "score"])
 
 
-def _dealt(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows with the number of their block, of about ``size`` rows of one vector length, by a hash of place and content."""
-    many = F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int")
-    counts = rows.groupBy("dim").agg(many.alias("parts"))  # a row per vector length
-    return rows.join(F.broadcast(counts), "dim").withColumn(name, F.pmod(F.xxhash64("id", "vector"), F.col("parts")))
-
-
-def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, projections: int = PROJECTIONS) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS, projections: int = PROJECTIONS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of each query row."""
     rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.size(vector_col).alias("dim"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     asked = rows.where("asks").groupBy("id").agg(F.min(F.struct("dim", "vector")).alias("q")).select("id", "q.vector", "q.dim")
-    grouped = _dealt(rows, block_rows, "part").groupBy("dim", "part", "parts").agg(F.collect_list(F.struct("id", "vector")).alias("vectors"))
-    kind = f"dim int, part bigint, parts int, vectors {grouped.schema['vectors'].dataType.simpleString()}, values binary, order binary"
-    index = materialize(grouped.mapInArrow(lambda it: _index_blocks(it, projections), kind), "vector-index")
-    probes = materialize(_dealt(asked, query_rows, "probe").drop("parts"), "queries")
-    blocks = index.select("dim", "part", "parts")
-
-    def search(queries: DataFrame, met: Column) -> DataFrame:
-        together = queries.groupBy("dim", "probe").agg(F.collect_list(F.struct("id", "vector", "bound")).alias("queries"))
-        work = together.join(blocks, "dim").where(met).join(index.drop("parts"), ["dim", "part"]).repartition("dim", "part", "probe")
-        return work.select("vectors", "values", "order", "queries").mapInArrow(lambda it: _search_blocks(it, k), "query_id bigint, vec_id bigint, score double")
-
-    # Every block of queries meets every block of vectors of its length: the stated queries against all rows.
-    own = F.col("part") == F.col("probe") % F.col("parts")
-    first = materialize(search(probes.withColumn("bound", F.lit(None).cast("double")), own), "first-block")
+    counts = rows.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int").alias("parts"))  # a row per vector length
+    place = lambda df: df.join(F.broadcast(counts), "dim").withColumn("part", F.pmod(F.xxhash64("id", "vector"), F.col("parts")).cast("int"))
+    none = F.lit(None).cast("double").alias("bound")
+    blocks = place(rows).select("dim", "part", F.lit(False).alias("asks"), "id", "vector", none)
+    probes = materialize(place(asked), "queries")
+
+    def search(queries: DataFrame) -> DataFrame:
+        """Queries with the ``part`` they meet; queries move, and each block moves once."""
+        both = blocks.unionByName(queries.select("dim", "part", F.lit(True).alias("asks"), "id", "vector", "bound"))
+        dealt = both.repartition("dim", "part").sortWithinPartitions("dim", "part", "asks", "id", "vector")
+        return dealt.mapInArrow(lambda it: _search_blocks(it, k, projections), "query_id bigint, vec_id bigint, score double")
+
+    # Every query meets every block of vectors of its length: the stated queries against all rows.
+    first = materialize(search(probes.withColumn("bound", none)), "first-block")
     bounds = first.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.max("score")).alias("bound"))
-    found = first.unionByName(search(probes.join(bounds, "id", "left"), ~own))
+    others = probes.join(bounds, "id", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("other <> part")
+    found = first.unionByName(search(others.drop("part").withColumnRenamed("other", "part")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

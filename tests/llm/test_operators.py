@@ -420,7 +420,7 @@ def recall(got, vectors, ids, queries):
     return hits / total
 
 
-@pytest.mark.parametrize(("sf", "options"), [("sf0.001", {}), ("sf0.01", {"block_rows": 60, "query_rows": 2}), ("sf0.1", {"block_rows": 300})])
+@pytest.mark.parametrize(("sf", "options"), [("sf0.001", {}), ("sf0.01", {"block_rows": 60}), ("sf0.1", {"block_rows": 300})])
 def test_neighbours_recall(spark, sf, options):
     rows = pd.read_parquet(f"/root/testdata/{sf}/embeddings.parquet")
     ids, vectors = rows.vec_id.to_numpy(), np.stack(rows.embedding).astype(np.float64)
