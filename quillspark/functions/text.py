@@ -114,7 +114,9 @@ def split_sentences(text: Column) -> Column:
 def tidy(text: Column) -> Column:
     """Collapse white space in lines, drop blank lines and immediate repeats, part lines by blank lines."""
     lines = F.filter(F.transform(F.split(text, "\n", -1), collapse_space), lambda line: line != "")
-    return F.array_join(drop_repeats(lines), "\n\n")
+    # Bound in an array of one, as Spark evaluates a repeated expression inside a filter for every element.
+    joined = F.transform(F.array(lines), lambda found: F.array_join(drop_repeats(found), "\n\n"))
+    return F.get(joined, F.lit(0))
 
 
 def drop_repeats(items: Column) -> Column:
