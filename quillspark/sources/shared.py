@@ -8,12 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Largest table that is dealt over all cores.
+SPREAD_BYTES = 64 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A table as read, dealt out over all cores where the reader makes no more splits than there are cores.
+    """A table as read, dealt out over all cores where it is small and the reader makes too few splits for them.
 
-    Such a table is small (a split per core at most) and may lie in one row group, which
-    one core would work on alone.  Larger tables are passed on as they are, without a shuffle.
+    Such a table may lie in one row group, which one core would work on alone.  What
+    is larger than ``SPREAD_BYTES`` is passed on as it is, whatever the number of cores.
     """
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SPREAD_BYTES:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
 
