@@ -3,9 +3,11 @@
 Texts are equal when identical after every character of ``[\\x20\\x09-\\x0D]`` is
 deleted.  The key is the 64-bit hash of that normal form.  A directory over the
 leading key bits doubles until no bucket holds more than ``capacity`` different
-keys, to any depth; overfull buckets alone are counted again, so each bucket is one
-contiguous key range and the driver holds only where buckets begin.  Each range has
-one owner task, which walks its rows in key order, chains the texts of a key, tells
+keys, to any depth: its first depth follows the number of keys, and buckets that are
+overfull there are split deeper, alone.  A bucket is a contiguous key range, named by
+the key it begins with, and a key finds its bucket from its own bits and the tables of
+overfull buckets (empty as a rule), so no list of buckets is held anywhere.  Each range
+has one owner task, which walks its rows in key order, chains the texts of a key, tells
 chain members apart by comparing bytes, and writes its part of the index into the
 shared folder.  Copies met in the same input batch are folded into one head
 before the shuffle, so a text that makes up a third of the table reaches its
@@ -22,8 +24,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,73 +33,67 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import materialize, table, text_or_empty
 
 MEMBER = "struct<id: bigint, chars: bigint>"
+#: Overfull buckets of a depth that are broadcast at most (8 bytes each).
+BROADCAST_BUCKETS = 1 << 16
 
 
 def normal_form(text_col: str = "text"):
     return F.regexp_replace(text_or_empty(text_col), r"[\x20\x09-\x0D]+", "")
 
 
-def split_bucket(counts: np.ndarray, capacity: int) -> tuple[list[int], list[int]]:
-    """Halve a bucket until its parts fit: first prefixes of the parts, and prefixes that alone are overfull.
+@dataclass
+class Directory:
+    """Depths, first to last, and for each but the last the buckets ``start`` that are overfull there, with their number."""
 
-    ``counts[p]`` is the number of different keys under child prefix ``p``; its
-    length is a power of two.
-    """
-    sums = np.concatenate([[0], np.cumsum(counts)])
-    starts, overfull, todo = [], [], [(0, len(counts))]
-    while todo:
-        start, width = todo.pop()
-        if sums[start + width] - sums[start] <= capacity:
-            starts.append(start)
-        elif width == 1:
-            overfull.append(start)
-        else:
-            todo += [(start, width // 2), (start + width // 2, width // 2)]
-    return sorted(starts), sorted(overfull)
-
-
-def directory(keys: DataFrame, capacity: int, step: int = 4) -> np.ndarray:
-    """The first key of every bucket of a table of ``key``s, unsigned and in order.
-
-    The first depth follows the number of keys; buckets that are overfull there
-    are counted ``step`` bits deeper, and so on.
-    """
-    spark = keys.sparkSession
-    keys = materialize(keys.select("key").distinct(), "keys")
-    starts: list[int] = []
-    overfull, depth, more = [0], 0, (keys.count() // capacity).bit_length() + 1
-    while overfull:
-        deeper = min(64, depth + more)
-        rows = keys
-        if depth:
-            tops = spark.createDataFrame([(p,) for p in overfull], "top long")  # hardly ever more than a few
-            rows = keys.join(F.broadcast(tops), F.shiftrightunsigned("key", 64 - depth) == F.col("top"))
-        counts = {p: np.zeros(1 << deeper - depth, dtype=np.int64) for p in overfull}
-        for row in rows.groupBy(F.shiftrightunsigned("key", 64 - deeper).alias("prefix")).count().toLocalIterator():
-            top, child = divmod(row["prefix"] & (1 << 64) - 1, 1 << deeper - depth)
-            counts[top][child] = row["count"]
-        found = {p: split_bucket(c, capacity) for p, c in counts.items()}
-        starts += [((p << deeper - depth) + c) << 64 - deeper for p, (own, _) in found.items() for c in own]
-        overfull = [(p << deeper - depth) + c for p, (_, own) in found.items() for c in own]
-        depth, more = deeper, step
-    return np.sort(np.array(starts, dtype=np.uint64))
-
-
-def _heads(batches: Iterator[pa.RecordBatch], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    depths: list[int]
+    overfull: list[tuple[DataFrame, int]]
+
+
+def _start(depth: int) -> Column:
+    """Where the bucket of a key begins at a depth: the key with its further bits cleared."""
+    if depth == 0:
+        return F.lit(0).cast("long")
+    return F.col("key") if depth >= 64 else F.shiftleft(F.shiftrightunsigned("key", 64 - depth), 64 - depth)
+
+
+def directory(keys: DataFrame, capacity: int, step: int = 4) -> Directory:
+    """The directory of a table of ``key``s: overfull buckets are counted ``step`` bits deeper, until there are none."""
+    left = keys = materialize(keys.select("key").distinct(), "keys")
+    found = Directory([min(64, (keys.count() // capacity).bit_length() + 1)], [])
+    while True:
+        depth = found.depths[-1]
+        held = left.groupBy(_start(depth).alias("start")).agg(F.count("*").alias("n"))
+        full = materialize(held.where(F.col("n") > capacity).select("start"), "overfull")
+        n = full.count()
+        if not n:
+            return found
+        left = left.join(full, _start(depth) == full["start"], "left_semi")
+        found.overfull.append((full, n))
+        found.depths.append(min(64, depth + step))
+
+
+def with_bucket(rows: DataFrame, found: Directory) -> DataFrame:
+    """Rows with ``bucket``, where the bucket of their ``key`` begins."""
+    rows = rows.withColumn("bucket", _start(found.depths[0]))
+    for (full, n), deeper in zip(found.overfull, found.depths[1:], strict=True):
+        split = full.withColumnRenamed("start", "split")
+        split = F.broadcast(split) if n <= BROADCAST_BUCKETS else split
+        rows = rows.join(split, F.col("bucket") == F.col("split"), "left").withColumn("bucket", F.when(F.col("split").isNotNull(), _start(deeper)).otherwise(F.col("bucket"))).drop("split")
+    return rows
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fold the equal texts of a batch into one head with its members."""
     for batch in batches:
-        keys, norms = batch.column("key").to_numpy(), batch.column("norm")
-        ids, chars = batch.column("id").to_pylist(), batch.column("chars").to_pylist()
-        members: dict[tuple[int, bytes], list[dict]] = {}
-        for key, norm, i, n in zip(keys.tolist(), norms.cast(pa.binary()).to_pylist(), ids, chars, strict=True):
-            members.setdefault((key, norm), []).append({"id": i, "chars": n})
-        key = np.array([k for k, _ in members], dtype=np.int64)
-        bucket = np.searchsorted(starts, key.view(np.uint64), side="right") - 1
+        columns = (batch.column(c).to_pylist() for c in ("bucket", "key", "id", "chars"))
+        members: dict[tuple[int, int, bytes], list[dict]] = {}
+        for norm, bucket, key, i, n in zip(batch.column("norm").cast(pa.binary()).to_pylist(), *columns, strict=True):
+            members.setdefault((bucket, key, norm), []).append({"id": i, "chars": n})
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(bucket.astype(np.int64)),
-                pa.array(key),
-                pa.array([t for _, t in members], pa.binary()),
+                pa.array([b for b, _, _ in members], pa.int64()),
+                pa.array([k for _, k, _ in members], pa.int64()),
+                pa.array([t for _, _, t in members], pa.binary()),
                 pa.array(list(members.values()), pa.list_(pa.struct([("id", pa.int64()), ("chars", pa.int64())]))),
             ],
             ["bucket", "key", "norm", "members"],
@@ -129,15 +125,15 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``(key, link)`` names a class of equal texts, ``row`` a row.  ``key_bits`` below
     64 coarsens the hash, which only makes chains longer.
     """
-    spark = docs.sparkSession
+
     def key_of(norm: Column) -> Column:
         key = F.xxhash64(norm)
         return key if key_bits >= 64 else F.shiftleft(F.shiftrightunsigned(key, 64 - key_bits), 64 - key_bits)
 
     norm = normal_form(text_col)
-    starts = spark.sparkContext.broadcast(directory(docs.select(key_of(norm).alias("key")), capacity))
+    found = directory(docs.select(key_of(norm).alias("key")), capacity)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.length(text_or_empty(text_col)).cast("long").alias("chars"), norm.alias("norm")).withColumn("key", key_of(F.col("norm")))
-    heads = rows.mapInArrow(lambda it: _heads(it, starts.value), f"bucket bigint, key bigint, norm binary, members array<{MEMBER}>")
+    heads = with_bucket(rows, found).mapInArrow(_heads, f"bucket bigint, key bigint, norm binary, members array<{MEMBER}>")
     owned = heads.repartition("bucket").sortWithinPartitions("bucket", "key")
     index = owned.mapInArrow(_own, f"bucket bigint, key bigint, link int, sha256 string, members array<{MEMBER}>")
     members = index.select("bucket", "key", "link", "sha256", F.explode("members").alias("m")).select("bucket", "key", "link", "sha256", "m.id", "m.chars")

@@ -344,18 +344,21 @@ def test_exact_dedup_by_brute_force(spark, documents, options):
     assert {r[0]: tuple(r[1:]) for r in exact_dedup.exact_dedup(docs, **options).collect()} == want
 
 
-def test_buckets_are_halved_until_they_fit():
-    assert exact_dedup.split_bucket(np.array([5, 0, 0, 1, 9, 9, 0, 0]), 9) == ([0, 4, 5, 6], [])
-    assert exact_dedup.split_bucket(np.array([1, 0, 12, 1]), 9) == ([0, 3], [2])
-
-
-def test_directory_doubles_without_a_ceiling(spark):
-    """Keys that agree in 40 leading bits still part, and no bucket is overfull."""
+def test_directory_doubles_without_a_ceiling(spark, monkeypatch):
+    """Keys that agree in 40 leading bits still part, no bucket is overfull, and only overfull ones are split; with and without broadcast."""
     keys = sorted({*(int(x) for x in np.random.default_rng(2).integers(0, 2**63, 300)), *(-(1 << 62) + (i << 3) for i in range(200)), -1, 0})
-    starts = exact_dedup.directory(spark.createDataFrame([(k,) for k in keys + keys[:50]], "key long"), 4)
-    unsigned = np.array(keys, dtype=np.int64).view(np.uint64)
-    held = np.bincount(np.searchsorted(starts, unsigned, side="right") - 1, minlength=len(starts))
-    assert starts[0] == 0 and held.sum() == len(keys) and held.max() <= 4
+    rows = spark.createDataFrame([(k, "mine") for k in keys + keys[:50]], "key long, split string").drop("split")
+    for most in (exact_dedup.BROADCAST_BUCKETS, 0):
+        monkeypatch.setattr(exact_dedup, "BROADCAST_BUCKETS", most)
+        found = exact_dedup.directory(rows, 4)
+        assert len(found.depths) > 5 and found.depths == sorted(set(found.depths)) and len(found.overfull) == len(found.depths) - 1
+        buckets = defaultdict(set)
+        for r in exact_dedup.with_bucket(rows, found).collect():
+            buckets[r["bucket"] % 2**64].add(r["key"] % 2**64)
+        assert sum(map(len, buckets.values())) == len(keys) and max(map(len, buckets.values())) <= 4
+        ranges = sorted((min(k), max(k), start) for start, k in buckets.items())
+        assert all(start <= low for low, _, start in ranges) and all(a[1] < b[2] for a, b in zip(ranges, ranges[1:], strict=False))
+    assert exact_dedup.directory(rows.limit(0), 4).depths == [1]
 
 
 def test_chat_format(spark):
