@@ -463,9 +463,9 @@ def short_texts(s, d):
     return rows.select("doc_id", tx.truncate(F.col("text"), 2000).alias("cut"), tx.short_reason(F.col("failed")).alias("reason"), tx.short_error(F.col("long")).alias("error"), F.size(tx.pieces(F.col("text"))).alias("pieces"), told_text.alias("told"))
 
 
-@query("SELECT doc_id, '[ECHO]' || chr(10) || trim(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')) AS reply FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, '[ECHO]' || chr(10) || trim(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')) AS reply FROM documents")
 def echo_replies(s, d):
-    docs = table(s, d, "documents").where("lang = 'en'")
+    docs = table(s, d, "documents")
     return docs.select("doc_id", tx.echo_reply(F.concat(F.lit("Rules.\n\nSOURCES:\n"), F.col("text"))).alias("reply"))
 
 

@@ -60,7 +60,7 @@ def detect_language(s, d):
     return found.withColumn("ratio", F.round("ratio", 6))
 
 
-MIXED = "CASE (conversation * 5 + turn * 3) % 7 WHEN 0 THEN 'هل التوصيل مجاني؟' WHEN 1 THEN '42' WHEN 2 THEN 'Hi مرحبا بكم' ELSE substr(text, 1, 40) END"
+MIXED = "CASE (conversation * 5 + turn * 3) % 7 WHEN 0 THEN 'هل التوصيل مجاني؟' WHEN 1 THEN '42' WHEN 2 THEN 'Hi مرحبا بكم' ELSE text END"
 
 
 @query(f"""WITH u AS (SELECT conversation, turn, {MIXED} AS t, row_number() OVER (PARTITION BY conversation ORDER BY turn DESC) AS back FROM v_messages WHERE role = 'user'),
