@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from conftest import SF
 
-from quillspark.llm import bpe, chat_format, exact_dedup, line_dedup, neighbours, packing, quality, simhash, toxicity, warc
+from quillspark.llm import bpe, chat_format, components, exact_dedup, line_dedup, neighbours, packing, quality, simhash, toxicity, warc
 from quillspark.llm.common import table
 from quillspark.operators.ingest import extract_pages
 
@@ -141,3 +141,20 @@ def test_page_lines_by_host(spark):
         want[r["page_id"]] = (len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
     got = {r["page_id"]: (r["lines_dropped"], r["text_sha256"]) for r in line_dedup.op4_line_dedup_pages(spark, SF).collect()}
     assert got == want and any(n for n, _ in got.values())
+
+
+def test_components_of_odd_links(spark):
+    kind = "u long, v long, root long"
+    links = spark.createDataFrame([(5, 3, 0), (3, 5, 0), (3, 9, 0), (7, 7, 0), (None, 4, 0), (4, None, 0), (20, 21, 0), (21, 22, 0), (22, 20, 0)], kind)
+    assert {r["node"]: r["root"] for r in components.connected_components(links.select("u", "v")).collect()} == {3: 3, 5: 3, 9: 3, 20: 20, 21: 20, 22: 20}
+    assert components.connected_components(links.select("u", "v").where("u > 100")).count() == 0
+
+
+def test_a_very_long_chat_beside_columns_of_its_own(spark):
+    """Twenty thousand turns, merged where roles repeat; columns named like those used inside are not read."""
+    said = [(1, n, "user" if n % 5 < 3 else "assistant", f"turn {n} </s>" * (n % 3), "x", 7, "y") for n in range(20_000)]
+    rows = spark.createDataFrame(said, "conv_id long, turn int, role string, text string, pos string, block int, t string").repartition(4)
+    formatted = chat_format.format_chats(rows)
+    chat = chat_format.read_chats(formatted).first()
+    assert [(t["role"], t["text"]) for t in chat["turns"]] == [r[2:4] for r in said]
+    assert sum(s["length"] for s in formatted.first()["loss_spans"]) >= sum(len(r[3]) for r in said if r[2] == "assistant")
