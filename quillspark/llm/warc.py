@@ -76,9 +76,9 @@ def record_text(date: str) -> Column:
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write one record per row of ``pages`` as gzip WARC files under ``path``."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), text_or_empty(html_col).alias("payload"))
-    total = rows.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
     rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
-    heads = rows.select("id", "bytes", "digest")
+    heads = materialize(rows.select("id", "bytes", "digest"), "warc-headers")  # sizes and both sides of the join come from these
+    total = heads.agg(F.sum("bytes")).first()[0] or 0
     revisits = resolve_revisits(heads, min_bytes).where("refers_to is not null").distinct()
     dealt = rows.repartition(1 + total // FILE_BYTES, "id", "bytes", "digest")
     marked = dealt.join(revisits, ["id", "bytes", "digest"], "left")
@@ -131,8 +131,9 @@ def resolved_records(records: DataFrame) -> DataFrame:
     """``(id, type, refers_to, bytes, digest)``, with size and digest of the full payload.
 
     A revisit takes both from the response it refers to, found by id and digest.
+    Records are read once, and written without their payloads.
     """
-    slim = records.select("id", "type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("bytes"), "seen")
+    slim = materialize(records.select("id", "type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("bytes"), "seen"), "warc-records")
     responses = slim.where("type = 'response'").select("id", "type", "refers_to", "bytes", F.col("seen").alias("digest"))
     originals = responses.select(F.col("id").alias("refers_to"), "digest", F.col("bytes").alias("full")).distinct()
     revisits = slim.where("type = 'revisit'").join(originals, ["refers_to", "digest"], "left").select("id", "type", "refers_to", F.col("full").alias("bytes"), "digest")
@@ -143,8 +144,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     path = scratch_path(spark, "warc")
     write_archives(pages, path)
-    slim = materialize(resolved_records(read_archives(spark, path)), "warc-records")
-    return slim.select(
+    return resolved_records(read_archives(spark, path)).select(
         F.col("id").alias("page_id"),
         F.col("bytes").alias("payload_bytes"),
         F.col("digest").alias("payload_digest"),
