@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import knowledge
 from quillspark.plans.views import VIEWS, table, view, with_views
-from quillspark.sources.shared import scratch_path
+from quillspark.sources.shared import materialize, scratch_path
 from quillspark.streaming import live, stored
 
 QUERIES: dict = {}
@@ -78,9 +78,11 @@ def stream_gaps(s, d):
 
 
 def dealt(s: SparkSession, rows: DataFrame, by: str, files: int = 3) -> DataFrame:
-    """Rows as a stream of a few files, one a micro-batch, cut by a column."""
+    """Rows as a stream of a few files, one a micro-batch, cut by a column and arriving in its order."""
     path = scratch_path(s, "arrivals")
-    rows.repartitionByRange(files, by).sortWithinPartitions(by).write.parquet(path)
+    parts = materialize(rows.repartitionByRange(files, by).withColumn("__part", F.spark_partition_id()), "arrivals")
+    for part in range(files):  # one after the other: files are met in the order they were written
+        parts.where(F.col("__part") == part).drop("__part").coalesce(1).sortWithinPartitions(by).write.mode("append").parquet(path)
     return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
