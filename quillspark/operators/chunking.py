@@ -115,7 +115,7 @@ def chunk_pairs(pairs: DataFrame, id_col: str, pairs_col: str) -> DataFrame:
 
 
 def titled_chunks(chunks: DataFrame, site_col: str, page_col: str, title_col: str) -> DataFrame:
-    """Chunks of a site's pages under their titles, with positions that run on across pages."""
+    """Chunks of a site's pages under their titles, with positions that run on across pages (a site, of at most 200 crawled pages, is numbered by one task)."""
     title = collapse_space(F.coalesce(title_col, F.lit("")))
     text = F.when(title == "", F.col("text")).otherwise(F.concat(title, F.lit("\n\n"), F.col("text")))
     return chunks.withColumn("text", text).withColumn("position", F.expr(f"row_number() OVER (PARTITION BY {site_col} ORDER BY {page_col}, position) - 1"))

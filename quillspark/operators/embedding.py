@@ -10,7 +10,7 @@ BATCH = 96
 
 
 def embedding_batches(rows: DataFrame, key: str, order_col: str, size: int = BATCH) -> DataFrame:
-    """Adds ``batch`` and ``index``, the place in it, in order within each key."""
+    """Adds ``batch`` and ``index``, the place in it, in order within each key, whose rows one task numbers."""
     numbered = rows.withColumn("__n", F.expr(f"row_number() OVER (PARTITION BY {key} ORDER BY {order_col}) - 1"))
     return numbered.withColumns({"batch": F.floor(F.col("__n") / size), "index": F.col("__n") % size}).drop("__n")
 

@@ -141,7 +141,7 @@ def create_workspaces(requests: DataFrame, memberships: DataFrame, workspaces: D
     """Requests ``(user, seq, name)`` to add a workspace to the account a user owns, with ``account`` and ``result``.
 
     ``limits(account, max_workspaces)``.  Requests of an account count in order;
-    as long as slots are left each takes one.
+    as long as slots are left each takes one; by its meaning one task goes through them.
     """
     used = workspaces.groupBy("account").agg(F.count("*").alias("used"))
     own = owned_accounts(memberships, workspaces).join(used, "account", "left").join(limits, "account", "left")

@@ -30,6 +30,7 @@ def running_overage(replies: DataFrame, order_col: str) -> DataFrame:
     """Verdict of every reply in order, from ``account, period, limit, cap``.
 
     The spend so far is a running sum of the same additions, so it equals step-by-step metering.
+    By its meaning an account's month is summed in order, by one task.
     """
     w = f"(PARTITION BY account, period ORDER BY {order_col}"
     numbered = replies.withColumn("n", F.expr(f"row_number() OVER {w})"))
