@@ -15,7 +15,9 @@ from __future__ import annotations
 import base64
 import heapq
 import struct
+from array import array
 from collections.abc import Callable
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
@@ -171,6 +173,7 @@ class Codec:
 
     def _ready(self) -> None:
         self.find = regex.compile(self.pattern).findall
+        self.words = self.find(f" {ascii_letters}") == [f" {ascii_letters}"]  # letters after a space are one piece
         self.blank_run = regex.compile(r"\s\s|^\s|\s$").search
         self.cut = regex.compile(r"(?<=\S) (?=\S)").split
         self.memo: dict[str, bytes] = {}
@@ -185,10 +188,12 @@ class Codec:
     def piece_ids(self, piece: str) -> bytes:
         raw = piece.encode()
         whole = self.hash.rank(raw)
-        return ID(whole) if whole >= 0 else np.array(merge_bytes([self.bytes[b] for b in raw], self.pairs), dtype="<i4").tobytes()
+        return ID(whole) if whole >= 0 else array("i", merge_bytes([*map(self.bytes.__getitem__, raw)], self.pairs)).tobytes()
 
     def unit_ids(self, unit: str) -> bytes:
         """Ids, packed, of a unit and the space before it; its pieces are remembered as units where they are such."""
+        if self.words and unit.isascii() and unit.isalpha():
+            return self.piece_ids(" " + unit)
         memo, pieces = self.memo, self.find(" " + unit)
         if len(pieces) == 1:
             return self.piece_ids(pieces[0])
