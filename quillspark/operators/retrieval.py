@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from quillspark.functions.vector import SIMILARITY_FLOOR, l2_distance, similarity_from_distance
 
 FETCHED, PASSAGES = 10, 5
+#: Queries that meet a block in one matrix product.
+ASKED = 128
 
 
 def require_tenant(workspace: object) -> object:
@@ -53,7 +55,7 @@ def _closest(data: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) ->
 
 
 def _nearest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows of block after block, its vectors before its queries: hold the vectors, and answer queries as they come."""
+    """Rows of block after block, its vectors before its queries: hold the vectors, and answer queries as they come, ``ASKED`` at once."""
     now, held, data, ids, order = None, [], None, None, None
     for batch in batches:
         keys = [*zip(batch.column("workspace_id").to_pylist(), batch.column("part").to_pylist(), batch.column("asks").to_pylist(), strict=True)]
@@ -71,14 +73,15 @@ def _nearest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
                 ids = pa.concat_arrays([r.column("chunk_id") for r in held])
                 order = pc.rank(ids, tiebreaker="dense").to_numpy()
                 data = _rows([r.column("vector") for r in held])
-            queries = _rows([rows.column("vector")])
-            if queries.shape[1] != data.shape[1]:
-                raise ValueError("embedding width differs from the query's")
-            found = _closest(data, order, queries, k)
-            at = pa.array(np.repeat(np.arange(len(found)), [len(n) for n, _ in found]))
-            chunks = ids.take(pa.array(np.concatenate([n for n, _ in found])))
-            columns = [rows.column("workspace_id").take(at), rows.column("query_id").take(at), chunks, pa.array(np.concatenate([d for _, d in found]))]
-            yield pa.RecordBatch.from_arrays(columns, ["workspace_id", "query_id", "chunk_id", "distance"])
+            for few in (rows.slice(i, ASKED) for i in range(0, len(rows), ASKED)):
+                queries = _rows([few.column("vector")])
+                if queries.shape[1] != data.shape[1]:
+                    raise ValueError("embedding width differs from the query's")
+                found = _closest(data, order, queries, k)
+                at = pa.array(np.repeat(np.arange(len(found)), [len(n) for n, _ in found]))
+                chunks = ids.take(pa.array(np.concatenate([n for n, _ in found])))
+                columns = [few.column("workspace_id").take(at), few.column("query_id").take(at), chunks, pa.array(np.concatenate([d for _, d in found]))]
+                yield pa.RecordBatch.from_arrays(columns, ["workspace_id", "query_id", "chunk_id", "distance"])
 
 
 def _rows(vectors: list[pa.Array]) -> np.ndarray:

@@ -1,6 +1,9 @@
 """Batch search against brute force, over several blocks, ties, widths and types."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,3 +36,22 @@ def test_widths_must_agree(spark):
     with pytest.raises(Exception, match="width"):
         retrieval.knn_batch(df, df.select("workspace_id", F.lit(1).alias("query_id"), F.array(F.lit(1.0)).alias("query"))).collect()
     assert retrieval.knn_batch(df.limit(0), df.select("workspace_id", F.lit(1).alias("query_id"), F.col("embedding").alias("query"))).count() == 0
+
+
+def test_memory_does_not_follow_the_queries_of_a_batch():
+    rng = np.random.default_rng(5)
+
+    def rows(n, asks):
+        ids = pa.array(range(n), pa.int64())
+        vectors = pa.ListArray.from_arrays(np.arange(0, 8 * n + 1, 8, dtype=np.int32), pa.array(rng.random(8 * n)))
+        none = pa.nulls(n, pa.int64())
+        columns = {"workspace_id": pa.array([1] * n), "part": pa.array([0] * n), "asks": pa.array([asks] * n), "chunk_id": none if asks else ids, "query_id": ids if asks else none, "vector": vectors}
+        return pa.RecordBatch.from_pydict(columns)
+
+    work = [rows(2048, False), rows(3000, True)]
+    tracemalloc.start()
+    found = sum(len(b) for b in retrieval._nearest(iter(work), 3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 9000
+    assert peak < 24 << 20
