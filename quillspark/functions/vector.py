@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.functions.batches import pieces
+
 SIMILARITY_FLOOR = 0.35
+#: Words that the embedder remembers, and characters of one.
+WORDS, WORD = 1 << 15, 48
 
 
 def l2_distance(a: Column, b: Column) -> Column:
@@ -22,28 +26,42 @@ def similarity_from_distance(distance: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - distance * distance / 2))
 
 
+class _Buckets(dict):
+    """The FNV-1a-32 bucket of a word; short words are remembered, up to a bound."""
+
+    def __init__(self, dims: int) -> None:
+        super().__init__()
+        self.dims = dims
+
+    def __missing__(self, word: str) -> int:
+        h = 0x811C9DC5
+        for byte in word.encode():
+            h = (h ^ byte) * 0x01000193 & 0xFFFFFFFF
+        if len(word) <= WORD:
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = h % self.dims
+        return h % self.dims
+
+
 def hash_embedder(dims: int = 1024) -> Callable[[Column], Column]:
-    """Bag of lower-case words, each at its FNV-1a-32 bucket, scaled to unit length."""
-
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def embed(texts: pd.Series) -> pd.Series:
-        memo: dict[str, int] = {}
-
-        def bucket(word: str) -> int:
-            if word not in memo:
-                h = 0x811C9DC5
-                for byte in word.encode():
-                    h = (h ^ byte) * 0x01000193 & 0xFFFFFFFF
-                memo[word] = h % dims
-            return memo[word]
-
-        def one(text: str | None) -> list[float]:
-            v = np.zeros(dims, dtype=np.float32)
-            for word in (text or "").lower().split():
-                v[bucket(word)] += 1
+    """Bag of lower-case words, each at its FNV-1a-32 bucket, scaled to unit length.
+
+    Vectors are made for a few texts at a time and leave at once, as numbers of Arrow.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bucket = _Buckets(dims)
+
+        def one(text: str | None) -> np.ndarray:
+            v = np.bincount(np.fromiter(map(bucket.__getitem__, (text or "").lower().split()), dtype=np.int64), minlength=dims).astype(np.float32)
             size = np.sqrt((v.astype(np.float64) ** 2).sum())
-            return (v / np.float32(size)).tolist() if size else v.tolist()
+            return v / np.float32(size) if size else v
 
-        return texts.map(one)
+        for texts in batches:
+            for part in pieces(texts):
+                flat = np.concatenate([one(text.as_py()) for text in texts[part]])
+                yield pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, dims, dtype=np.int32), pa.array(flat))
 
     return embed

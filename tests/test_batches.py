@@ -1,9 +1,12 @@
 """Texts of a batch are worked on, and leave, a few at a time."""
 
+import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from quillspark.functions.batches import BYTES, ROWS, pieces
 from quillspark.functions.html import read_html
+from quillspark.functions.vector import hash_embedder
 
 
 def test_pieces_cover_a_batch_in_order():
@@ -22,3 +25,18 @@ def test_pages_leave_a_few_at_a_time():
     assert len(read) > 3 and all(r.nbytes < 2 * BYTES for r in read)
     rows = [x for r in read for x in r.to_pylist()]
     assert len(rows) == 91 and rows[0]["title"] == "T" and rows[0]["links"] == ["https://h.example/b"] and rows[-1] == {"title": "", "raw": "", "links": []}
+
+
+def test_vectors_leave_a_few_at_a_time():
+    made = [*hash_embedder(1024).func(iter([pa.array(["A b  a", None, ""] * 400)]))]
+    assert all(len(m) <= ROWS for m in made)
+    rows = [np.array(x, dtype=np.float32) for m in made for x in m.to_pylist()]
+    assert len(rows) == 1200 and sorted(rows[0][rows[0] != 0]) == sorted(np.float32([1, 2]) / np.float32(np.sqrt(5)))
+    assert not rows[1].any() and not rows[2].any()
+
+
+def test_pieces_keep_the_order_of_rows(spark):
+    rows = spark.range(3000, numPartitions=2).withColumn("t", F.concat(F.lit("w"), F.col("id")))
+    own, other = hash_embedder(512)("t"), F.concat(F.lit("<p>"), F.col("t"), F.lit("</p>"))
+    made = rows.select("t", own.alias("v"), read_html(other, F.lit("https://h.example/")).alias("h")).where(r"regexp_replace(h.raw, '[\\s]', '') = t and aggregate(v, 0D, (s, x) -> s + x) = 1")
+    assert made.count() == 3000
