@@ -25,11 +25,14 @@ REFUSALS = {
 }
 
 SPACE = r"\p{IsWhite_Space}"
+# The same characters one by one, and Arabic script, whose lookup costs much, told by its range first.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+ARABIC = r"[\x{600}-\x{10ffff}&&\p{IsArabic}]"
 
 
 def trim_space(text: Column) -> Column:
     """Trim Unicode white space, not only U+0020."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_inked(text: Column) -> Column:
@@ -38,7 +41,8 @@ def is_inked(text: Column) -> Column:
 
 
 def collapse_space(text: Column) -> Column:
-    return trim_space(F.regexp_replace(text, rf"{SPACE}+", " "))
+    """One space for every run of white space, none at the ends; single spaces are passed over."""
+    return F.trim(F.regexp_replace(text, rf"[{SPACE}&&[^ ]]{SPACE}*+| {SPACE}++", " "))
 
 
 def count_chars(text: Column, kind: str) -> Column:
@@ -89,13 +93,14 @@ def normalize_arabic(text: Column) -> Column:
     marks = "[" + "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in MARK_RANGES) + "]"
     folds = {0x0660 + d: 0x30 + d for d in range(10)} | {0x06F0 + d: 0x30 + d for d in range(10)} | LETTER_FOLDS
     source, target = "".join(map(chr, folds)), "".join(map(chr, folds.values()))
-    return collapse_space(F.translate(F.regexp_replace(text, marks, ""), source + chr(TATWEEL), target))
+    folded = F.translate(F.regexp_replace(text, marks, ""), source + chr(TATWEEL), target)
+    return collapse_space(F.when(F.rlike(text, F.lit(r"[\x{600}-\x{8ff}]")), folded).otherwise(text))
 
 
 def estimate_tokens(text: Column) -> Column:
     """Tokens a model would see, from character counts; blank text has none, any other at least one."""
-    arabic = count_chars(text, r"\p{IsArabic}")
-    other = F.length(F.regexp_replace(text, rf"[\p{{IsArabic}}{SPACE}]+", ""))
+    arabic = count_chars(text, ARABIC)
+    other = F.length(F.regexp_replace(text, rf"[{SPACE}{ARABIC}]+", ""))
     estimate = F.floor(arabic / F.lit(ARABIC_CHARS_PER_TOKEN) + other / F.lit(OTHER_CHARS_PER_TOKEN) + 0.5).cast("int")
     return F.when(~is_inked(text), 0).otherwise(F.greatest(F.lit(1), estimate))
 
@@ -107,7 +112,7 @@ def split_paragraphs(text: Column) -> Column:
 
 def split_sentences(text: Column) -> Column:
     """Sentences with their ends; a full stop between two digits is none."""
-    ends = "(?<=[!?\\x{61f}\\x{6d4}\\n])|(?<=\\.)(?!(?<=\\p{Nd}\\.)\\p{Nd})"
+    ends = "(?<=[.!?\\x{61f}\\x{6d4}\\n])(?!(?<=\\p{Nd}\\.)\\p{Nd})"
     return F.filter(F.transform(F.split(text, ends, -1), trim_space), lambda s: s != "")
 
 

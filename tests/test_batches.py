@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.batches import BYTES, ROWS, pieces
 from quillspark.functions.html import read_html
-from quillspark.functions.vector import hash_embedder
+from quillspark.functions.text import collapse_space, normalize_arabic, split_sentences, trim_space
+from quillspark.functions.vector import _hashes, hash_embedder
 
 
 def test_pieces_cover_a_batch_in_order():
@@ -40,3 +41,34 @@ def test_pieces_keep_the_order_of_rows(spark):
     own, other = hash_embedder(512)("t"), F.concat(F.lit("<p>"), F.col("t"), F.lit("</p>"))
     made = rows.select("t", own.alias("v"), read_html(other, F.lit("https://h.example/")).alias("h")).where(r"regexp_replace(h.raw, '[\\s]', '') = t and aggregate(v, 0D, (s, x) -> s + x) = 1")
     assert made.count() == 3000
+
+
+def test_words_are_hashed_as_one_by_one():
+    def fnv(word):
+        h = 0x811C9DC5
+        for byte in word.encode():
+            h = (h ^ byte) * 0x01000193 & 0xFFFFFFFF
+        return h
+
+    words = ["a", "foobar", "", "é" * 32, "é" * 33, "x" * 64, "x" * 65, "كلمة", "b", "👍"]
+    assert fnv("a") == 0xE40C292C and _hashes(words).tolist() == [fnv(w) for w in words]
+    assert _hashes([]).tolist() == [] and _hashes(["y" * 99]).tolist() == [fnv("y" * 99)]
+
+
+def test_white_space_of_every_kind(spark):
+    kinds = [*map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
+    others = [*map(chr, (0x1C, 0x1F, 0x200B, 0x2060, 0x180E, 0xFEFF))]
+    texts = [f"{k}{n}a{k}b {k}c{k} d  e{n}{k}" for k in kinds + others for n in (" ", "\n", "")] + ["", " ", "\u3000\t", "a", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("t", trim_space(F.col("t")).alias("trimmed"), collapse_space(F.col("t")).alias("one"), normalize_arabic(F.col("t")).alias("norm")).collect()
+    ws = "".join(kinds)
+    for r in rows:
+        if r["t"] is None:
+            assert r["trimmed"] is r["one"] is r["norm"] is None
+            continue
+        spaced = "".join(" " if c in kinds else c for c in r["t"])
+        assert r["trimmed"] == r["t"].strip(ws) and r["one"] == r["norm"] == " ".join(p for p in spaced.split(" ") if p)
+
+
+def test_ends_of_sentences(spark):
+    rows = spark.createDataFrame([("a.b 3.5 4. 5.c .6 7.؟8!9۔1.2.3\n4..5",)], "t string").select(split_sentences(F.col("t")).alias("s")).collect()
+    assert rows[0]["s"] == ["a.", "b 3.5 4.", "5.", "c .", "6 7.", "؟", "8!", "9۔", "1.2.3", "4.", ".", "5"]
